@@ -28,7 +28,7 @@ COLLECTION = 2000
 STRIDE = 2
 #: Strings of a block with one minimiser from which the combiner settles them before they travel.
 CROWD = 16
-_KINDS = ["<i8", "<u4", "<i4", "u1", "<u4", "u1", "?"]
+_KINDS = ["<i8", "<u4", "<i4", "u1", "<u2", "u1", "u1", "?"]
 _CODE = S.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -216,7 +216,7 @@ def _mapper(width: int):
                 spans, kept = S.settle(strings, repeats, CROWD)
                 packed = []
                 for bucket, group in S.by_bucket(kept, buckets):
-                    columns = [np.diff(group.doc, prepend=0), group.row.astype("<u4"), group.start.astype("<i4"), group.n.astype("u1"), group.mini.astype("<u4"), group.pos.astype("u1"), group.twice]
+                    columns = [np.diff(group.doc, prepend=0), group.row.astype("<u4"), group.start.astype("<i4"), group.n.astype("u1"), (group.mini >> 16).astype("<u2"), (group.mini >> 8).astype("u1"), group.pos.astype("u1"), group.twice]
                     packed.append((bucket, S.pack(columns, tokens[S.ranges(group.at, group.n + width - 1)].tobytes())))
                 yield from S.moved(spans, packed)
 
@@ -234,8 +234,8 @@ def _reducer(width: int):
             heads.append([np.cumsum(head[0]), *head[1:]])
             bodies.append(body)
         if heads:
-            doc, row, start, n, mini, pos, twice = (np.concatenate(x) for x in zip(*heads, strict=True))
-            n = n.astype(np.int64)
+            doc, row, start, n, high, low, pos, twice = (np.concatenate(x) for x in zip(*heads, strict=True))
+            n, mini = n.astype(np.int64), high.astype(np.uint32) << 8 | low  # three bytes tell a bucket's minimisers well enough apart
             lengths = n + width - 1
             strings = S.Strings(width, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lengths) - lengths, n, doc, row.astype(np.int64), start.astype(np.int64), mini, pos.astype(np.int64), twice)
             spans, _ = S.settle(strings, repeats)

@@ -193,7 +193,7 @@ def moved(spans: list, packed: list[tuple[int, bytes]]) -> Iterator[pd.DataFrame
 def pack(columns: list[np.ndarray], body: bytes) -> bytes:
     """Ids and places as differences, then the tokens, compressed together."""
     head = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=3).compress(np.array([len(columns[0])], "<i8").tobytes() + head + body)
+    return zstandard.ZstdCompressor(level=6).compress(np.array([len(columns[0])], "<i8").tobytes() + head + body)
 
 
 def unpack(blob: bytes, kinds: list[str]) -> tuple[list[np.ndarray], bytes]:
