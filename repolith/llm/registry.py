@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .simhash import op2_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op8_suffix_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op8_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
