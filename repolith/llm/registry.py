@@ -6,13 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op5_benchmark_decontamination
+from .language import op10_language_id
+from .neighbours import op9_one_bit_neighbours
+from .packing import op6_packing
+from .pseudonyms import op3_pseudonyms
+from .secrets import op4_secret_scan
+from .sharding import op7_uniform_shards
 from .simhash import op2_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
 
+QUERIES = (
+    op1_substring_dedup,
+    op2_simhash_near_dedup,
+    op3_pseudonyms,
+    op4_secret_scan,
+    op5_benchmark_decontamination,
+    op6_packing,
+    op7_uniform_shards,
+    op8_suffix_dedup,
+    op9_one_bit_neighbours,
+    op10_language_id,
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op8_suffix_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
