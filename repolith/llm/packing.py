@@ -8,9 +8,12 @@ distance between two cuts, the best earlier cut is a sliding minimum, kept in a
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +27,10 @@ SIZE, SENTENCE, INSIDE = 1024, 2, 8
 STRETCH = 1 << 18
 #: Parts of the stream hold about so many bytes of text each; a part's last sequence may stay short.
 PART = 32 << 20
+#: Most words whose ids a worker keeps at hand.
+WORDS = 400_000
+#: White space other than single spaces and line breaks inside a text.
+_OTHER_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$|\A\s|\s\Z")
 
 
 def choose_cuts(places: np.ndarray, harm: np.ndarray, size: int, open_end: bool = False) -> list[int]:
@@ -78,6 +85,10 @@ class _Tokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        kind = json.loads(self.model.to_str())
+        cut = kind["pre_tokenizer"] or {}
+        self.by_word = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not kind["normalizer"] and not kind["post_processor"] and all(not set(t["content"]) & set(" \n") for t in kind["added_tokens"])
+        self.known: dict[str, bytes] = {}
         words = self.model.get_vocab()
         marks = {c for c in ".?!"} | {"Ċ"}  # as byte-level vocabularies write a line break
         self.stops = np.zeros(max(words.values(), default=0) + 2, bool)
@@ -90,10 +101,43 @@ class _Tokenizer:
             hi, n = lo, 0
             while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= most):
                 n, hi = n + len(texts[hi]), hi + 1
-            for doc, e in zip(docs[lo:hi], self.model.encode_batch_fast(texts[lo:hi], add_special_tokens=False), strict=True):
-                yield doc, np.array(e.ids, "<u4")
+            yield from zip(docs[lo:hi], self._encoded(texts[lo:hi]), strict=True)
             lo = hi
 
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Byte-level vocabularies of this kind never join what a space or line break parts from the word before it.
+
+        So texts with single ones only are looked up word by word, with their space or line break in front; words not
+        met before are encoded together. All other texts are encoded as they are.
+        """
+        if not self.by_word:
+            return self._whole(texts)
+        plain = [i for i, t in enumerate(texts) if t and not _OTHER_SPACE.search(t)]
+        words = {i: texts[i].replace("\n", " \n").split(" ") for i in plain}
+        new = {w if w[:1] == "\n" else " " + w for ws in words.values() for w in ws[1:] if w not in self.known}
+        if len(self.known) + len(new) > WORDS:
+            self.known.clear()
+            new = {w if w[:1] == "\n" else " " + w for ws in words.values() for w in ws[1:]}
+        new = list(new)
+        self.known.update((w if w[0] == "\n" else w[1:], ids.tobytes()) for w, ids in zip(new, self._whole(new), strict=True))
+        first = self._whole([words[i][0] for i in plain])
+        out: list = [None] * len(texts)
+        for i, head in zip(plain, first, strict=True):
+            out[i] = np.frombuffer(head.tobytes() + b"".join(map(self.known.__getitem__, words[i][1:])), "<u4")
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@cache
+def _tokenizer(path: str) -> _Tokenizer:
+    """One for each worker process and file: its words stay known from task to task."""
+    return _Tokenizer(path)
+
 
 PIECES = "doc long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -137,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, sen
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        model = _Tokenizer(tokenizer)
+        model = _tokenizer(tokenizer)
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple[int, int, np.ndarray, int]] = []
         tokens = 0

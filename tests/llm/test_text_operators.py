@@ -282,3 +282,17 @@ def test_held_out_accuracy(spark):
     assert len(out) == len(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
     held = [r for r in out if r["held_out"] and truth[r["doc_id"]]]
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.97
+
+
+def test_ids_by_word_are_the_library_s(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(P, "WORDS", 50)
+    t = P._Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert t.by_word
+    r = random.Random(8)
+    texts = ["", " ", "\n", "a", "a b", " a", "a ", "a\nb", "a\n", "\na", "a  b", "a\n\nb", "a \n b", "a\tb", "it's 12,3 é x", "x y", "don't\nI'll 99% <|endoftext|> ok"]
+    texts += ["".join(r.choice(["word", "Ünï", "12", ".", "'s", " ", " ", "\n", "!?", "　", "\x1f"]) for _ in range(r.randint(1, 40))) for _ in range(600)]
+    for lo in range(0, len(texts), 40):
+        want = [e.ids for e in t.model.encode_batch(texts[lo : lo + 40], add_special_tokens=False)]
+        assert [x.tolist() for x in t._encoded(texts[lo : lo + 40])] == want
