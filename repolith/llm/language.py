@@ -61,7 +61,8 @@ def training_sample(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     if not share:
         return labelled.limit(0)
     picked = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 30))))), F.col("lang"))
-    return labelled.where(picked).dropDuplicates(["lang", "text"])
+    # The sample has a fixed bound: few partitions mean few partial counts of one string.
+    return labelled.where(picked).dropDuplicates(["lang", "text"]).repartition(len(share))
 
 
 @dataclass
