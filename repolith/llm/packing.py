@@ -28,7 +28,7 @@ STRETCH = 1 << 18
 #: Parts of the stream hold about so many bytes of text each; a part's last sequence may stay short.
 PART = 32 << 20
 #: Most words whose ids a worker keeps at hand.
-WORDS = 400_000
+WORDS = 150_000
 #: White space other than single spaces and line breaks inside a text.
 _OTHER_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$|\A\s|\s\Z")
 
