@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
@@ -27,10 +26,6 @@ SIZE, SENTENCE, INSIDE = 1024, 2, 8
 STRETCH = 1 << 18
 #: Parts of the stream hold about so many bytes of text each; a part's last sequence may stay short.
 PART = 32 << 20
-#: Most words whose ids a worker keeps at hand.
-WORDS = 150_000
-#: White space other than single spaces and line breaks inside a text.
-_OTHER_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$|\A\s|\s\Z")
 
 
 def choose_cuts(places: np.ndarray, harm: np.ndarray, size: int, open_end: bool = False) -> list[int]:
@@ -77,65 +72,52 @@ def cut_places(lengths: np.ndarray, ends: np.ndarray, size: int, sentence: int,
     return places, harm
 
 
+#: How byte-level vocabularies of this kind cut a text before they merge: fixed by the format.
+_CUT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class _Tokenizer:
-    """Ids of whole texts; sentence ends are ids that stand for a full stop, question or exclamation mark, or a line break."""
+    """Ids of whole texts; sentence ends are ids that stand for a full stop, question or exclamation mark, or a line break.
+
+    A byte-level vocabulary whose ids follow the order of its merges is also a table of ranks: the same merges are then
+    made by a faster library. Any other file, and texts that hold one of its added tokens, go through its own.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        kind = json.loads(self.model.to_str())
-        cut = kind["pre_tokenizer"] or {}
-        self.by_word = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not kind["normalizer"] and not kind["post_processor"] and all(not set(t["content"]) & set(" \n") for t in kind["added_tokens"])
-        self.known: dict[str, bytes] = {}
         words = self.model.get_vocab()
         marks = {c for c in ".?!"} | {"Ċ"}  # as byte-level vocabularies write a line break
         self.stops = np.zeros(max(words.values(), default=0) + 2, bool)
         self.stops[[i for w, i in words.items() if w and w[-1] in marks]] = True
+        self.ranks = self._by_rank(json.loads(self.model.to_str()))
+
+    def _by_rank(self, kind: dict):
+        import tiktoken
+
+        cut, model = kind["pre_tokenizer"] or {}, kind["model"]
+        self.added = [t["content"] for t in kind["added_tokens"]]
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model.get("merges", ())]
+        vocab = {w: i for w, i in model["vocab"].items() if w not in self.added} if model.get("type") == "BPE" else {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not kind["normalizer"] and not kind["post_processor"] and not model.get("ignore_merges")
+        if not plain or len(vocab) != 256 + len(merges) or any(vocab.get(m.replace(" ", "")) != 256 + i for i, m in enumerate(merges)):
+            return None
+        # The format's letters for bytes: printable ones stand for themselves, the others follow from 256.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in own)}
+        return tiktoken.Encoding("ranks", pat_str=_CUT, mergeable_ranks={bytes(map(letters.__getitem__, w)): i for w, i in vocab.items()}, special_tokens={})
 
-    def each(self, docs: list[int], texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
-        """(doc, ids), about ``most`` characters at a time: the library's encodings take much memory."""
-        lo = 0
-        while lo < len(texts):
-            hi, n = lo, 0
-            while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= most):
-                n, hi = n + len(texts[hi]), hi + 1
-            yield from zip(docs[lo:hi], self._encoded(texts[lo:hi]), strict=True)
-            lo = hi
-
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        """Byte-level vocabularies of this kind never join what a space or line break parts from the word before it.
-
-        So texts with single ones only are looked up word by word, with their space or line break in front; words not
-        met before are encoded together. All other texts are encoded as they are.
-        """
-        if not self.by_word:
-            return self._whole(texts)
-        plain = [i for i, t in enumerate(texts) if t and not _OTHER_SPACE.search(t)]
-        words = {i: texts[i].replace("\n", " \n").split(" ") for i in plain}
-        new = {w if w[:1] == "\n" else " " + w for ws in words.values() for w in ws[1:] if w not in self.known}
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = {w if w[:1] == "\n" else " " + w for ws in words.values() for w in ws[1:]}
-        new = list(new)
-        self.known.update((w if w[0] == "\n" else w[1:], ids.tobytes()) for w, ids in zip(new, self._whole(new), strict=True))
-        first = self._whole([words[i][0] for i in plain])
-        out: list = [None] * len(texts)
-        for i, head in zip(plain, first, strict=True):
-            out[i] = np.frombuffer(head.tobytes() + b"".join(map(self.known.__getitem__, words[i][1:])), "<u4")
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, text: str) -> np.ndarray:
+        if self.ranks is None or any(a in text for a in self.added):
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
 
 @cache
 def _tokenizer(path: str) -> _Tokenizer:
-    """One for each worker process and file: its words stay known from task to task."""
+    """One for each worker process and file."""
     return _Tokenizer(path)
 
 
@@ -186,7 +168,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, sen
         held: list[tuple[int, int, np.ndarray, int]] = []
         tokens = 0
         for batch in batches:
-            for doc, ids in model.each(batch["doc"].tolist(), batch["text"].tolist()):
+            for doc, text in zip(batch["doc"].tolist(), batch["text"], strict=True):
+                ids = model.ids(text)
                 held.append((doc, 0, np.append(ids, np.uint32(end_id)), len(ids) + 1))
                 tokens += len(ids) + 1
                 if tokens >= STRETCH:

@@ -24,7 +24,7 @@ def odd(spark, rows):
     return spark.createDataFrame([(i, t, 1, "x", 2, "y", 3) for i, t in rows], ODD)
 
 
-def texts(spark, sf):
+def texts_of(spark, sf):
     return [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
 
 
@@ -56,7 +56,7 @@ def test_secrets(spark, sf):
     for r in got:
         said = ",".join(f"{s['kind']}:{s['start']}:{s['stop']}" for s in r["spans"])
         assert said == brute_secrets(dict([*SECRETS, (6, SECRETS[2][1])])[r["path"]])[4]
-    docs = dict(texts(spark, sf))
+    docs = dict(texts_of(spark, sf))
     for r in C.op4_secret_scan(spark, sf).collect():
         assert tuple(r[1:5]) == brute_secrets(docs[r["doc_id"]])[:4]
 
@@ -167,7 +167,7 @@ def test_decontamination(spark, block):
 
 def test_decontamination_of_given_table(spark, sf):
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    docs = dict(texts(spark, sf))
+    docs = dict(texts_of(spark, sf))
     for x in D.op5_benchmark_decontamination(spark, sf).collect():
         n, hits, found, _ = brute_hits(docs[x["doc_id"]], items)
         assert (x["n_words"], x["n_hit"], x["n_items"], x["contaminated"]) == (n, hits, len(found), hits > 0)
@@ -198,7 +198,7 @@ def test_packing(spark, sf, monkeypatch, stretch):
     monkeypatch.setattr(P, "STRETCH", stretch)
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    docs = texts(spark, sf) + [(1000, None), (1001, ""), (1002, "x " * 5000), (1003, "\n")]
+    docs = texts_of(spark, sf) + [(1000, None), (1001, ""), (1002, "x " * 5000), (1003, "\n")]
     got = P.pack(odd(spark, docs), path).collect()
     pieces, sequences = {}, {}
     for x in got:
@@ -284,15 +284,16 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.97
 
 
-def test_ids_by_word_are_the_library_s(monkeypatch):
+def test_ids_by_rank_are_the_library_s(spark):
     import public_tokenizers
 
-    monkeypatch.setattr(P, "WORDS", 50)
     t = P._Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
-    assert t.by_word
+    assert t.ranks is not None
     r = random.Random(8)
     texts = ["", " ", "\n", "a", "a b", " a", "a ", "a\nb", "a\n", "\na", "a  b", "a\n\nb", "a \n b", "a\tb", "it's 12,3 é x", "x y", "don't\nI'll 99% <|endoftext|> ok"]
     texts += ["".join(r.choice(["word", "Ünï", "12", ".", "'s", " ", " ", "\n", "!?", "　", "\x1f"]) for _ in range(r.randint(1, 40))) for _ in range(600)]
-    for lo in range(0, len(texts), 40):
-        want = [e.ids for e in t.model.encode_batch(texts[lo : lo + 40], add_special_tokens=False)]
-        assert [x.tolist() for x in t._encoded(texts[lo : lo + 40])] == want
+    texts += [x for _, x in texts_of(spark, "/root/testdata/sf0.01")]
+    for text in texts:
+        assert t.ids(text).tolist() == t.model.encode(text, add_special_tokens=False).ids
+    other = P._Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.ranks is None and other.ids("A b").tolist() == other.model.encode("A b", add_special_tokens=False).ids
