@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 WINDOW, BLOCK = 10, 1_000_000
+#: Characters of documents whose words a task holds together.
+SOME = 1 << 20
 _LETTERS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
@@ -185,22 +187,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     sc = docs.sparkSession.sparkContext
     automata = [sc.broadcast(pickle.dumps(Automaton.of(b, window))) for b in _blocks(benchmark, block)]
 
+    def some(texts: pd.Series, alone: Automaton | None) -> list[tuple]:
+        words = [words_of(t) for t in texts]
+        hits = [np.zeros(len(w), bool) for w in words]
+        items: list[set] = [set() for _ in words]
+        longest = [0] * len(words)
+        for a in automata:  # one in memory at a time
+            automaton = alone or pickle.loads(a.value)
+            for i, w in enumerate(words):
+                hit, found, most = automaton.match(w, window)
+                hits[i] |= hit
+                items[i] |= {str(automaton.item_ids[x]) for x in found if automaton.item_ids[x] is not None}
+                longest[i] = max(longest[i], most)
+        runs = [np.flatnonzero(np.diff(np.concatenate([[0], h, [0]]).astype(np.int8))).reshape(-1, 2).tolist() for h in hits]
+        return [(len(w), int(h.sum()), m, sorted(x), [{"start": s, "stop": e} for s, e in r]) for w, h, m, x, r in zip(words, hits, longest, items, runs, strict=True)]
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         alone = pickle.loads(automata[0].value) if len(automata) == 1 else None
         for texts in batches:
-            words = [words_of(t) for t in texts]
-            hits = [np.zeros(len(w), bool) for w in words]
-            items: list[set] = [set() for _ in words]
-            longest = [0] * len(words)
-            for a in automata:  # one in memory at a time
-                automaton = alone or pickle.loads(a.value)
-                for i, w in enumerate(words):
-                    hit, found, most = automaton.match(w, window)
-                    hits[i] |= hit
-                    items[i] |= {str(automaton.item_ids[x]) for x in found if automaton.item_ids[x] is not None}
-                    longest[i] = max(longest[i], most)
-            runs = [np.flatnonzero(np.diff(np.concatenate([[0], h, [0]]).astype(np.int8))).reshape(-1, 2).tolist() for h in hits]
-            yield pd.DataFrame({"n_words": [len(w) for w in words], "n_hit": [int(h.sum()) for h in hits], "longest": longest, "items": [sorted(x) for x in items], "hits": [[{"start": s, "stop": e} for s, e in r] for r in runs]})
+            rows, lo = [], 0
+            while lo < len(texts):  # some documents' words at a time
+                hi, n = lo, 0
+                while hi < len(texts) and n < SOME:
+                    n, hi = n + len(texts.iloc[hi] or ""), hi + 1
+                rows += some(texts.iloc[lo:hi], alone)
+                lo = hi
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "longest", "items", "hits"])
 
     matched = F.pandas_udf(run, "n_words long, n_hit long, longest long, items array<string>, hits array<struct<start:long,stop:long>>")
     out = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("doc"), matched("text").alias("found"))
