@@ -19,7 +19,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: In the order in which they are tried at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "phone": r"(?<![\w.+-])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w.+-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
     "ssn": r"(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])",
     "date": r"(?<![\w.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\w-])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w-]|\.\d)",
@@ -100,13 +100,18 @@ def _email(text: Column, key: str) -> Column:
 
 
 def _phone(text: Column, key: str) -> Column:
-    """Area code and exchange stay between 200 and 999; a country code stays."""
+    """Area code and exchange stay between 200 and 999 where both are; all other numbers go to one of the others. A country code stays."""
     all_ = F.regexp_replace(text, "[^0-9]", "")
-    ten = F.right(all_, F.lit(10))
-    value = (F.substring(ten, 1, 3).cast("long") - 200) * 8_000_000 + (F.substring(ten, 4, 3).cast("long") - 200) * 10_000 + F.substring(ten, 7, 4).cast("long")
-    out = permute(value, F.lit(800).cast("long"), F.lit(8_000_000).cast("long"), key, F.lit("phone"))
-    area, exchange = _div(out, 8_000_000) + 200, _div(out % 8_000_000, 10_000) + 200
-    new = F.concat(area.cast("string"), exchange.cast("string"), F.lpad((out % 10_000).cast("string"), 4, "0"))
+    long = lambda x: F.lit(x).cast("long")
+    value = F.right(all_, F.lit(10)).cast("long")
+    area, exchange = (lambda v: _div(v, 10_000_000)), (lambda v: _div(v, 10_000) % 1000)
+    real = lambda v: (area(v) >= 200) & (exchange(v) >= 200)
+    place = (area(value) - 200) * 8_000_000 + (exchange(value) - 200) * 10_000 + value % 10_000
+    out = permute(place, long(800), long(8_000_000), key, F.lit("phone"))
+    out = (_div(out, 8_000_000) + 200) * 10_000_000 + out % 8_000_000 + 2_000_000
+    move = lambda v: permute(v, long(100_000), long(100_000), key, F.lit("other phone"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(99)), move(value), lambda v, _: F.when(real(v), move(v)).otherwise(v))
+    new = F.lpad(F.when(real(value), out).otherwise(walked).cast("string"), 10, "0")
     return _fill(text, F.concat(F.when(F.length(all_) > 10, F.substring(all_, 1, 1)).otherwise(F.lit("")), new))
 
 

@@ -112,6 +112,10 @@ def test_permutations(spark):
     for a, b in ((40, 60), (1, 2400), (2400, 1)):
         got = [r[0] for r in ids.select(N.permute(F.col("id"), F.lit(a).cast("long"), F.lit(b).cast("long"), "k", F.lit("t"))).collect()]
         assert sorted(got) == list(range(2400)) and (got != list(range(2400)) or a * b == 1)
+    phones = spark.range(3000).select(F.concat(F.lpad((F.col("id") % 300).cast("string"), 3, "0"), F.lit("-"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0"), F.lit("-0007")).alias("s"))
+    moved = phones.select("s", N._phone(F.col("s"), "k").alias("o")).collect()
+    real = lambda x: x[0] >= "2" and x[4] >= "2"
+    assert len({r["o"] for r in moved}) == len({r["s"] for r in moved}) == 3000 and all(real(r["s"]) == real(r["o"]) and re.fullmatch(r"\d{3}-\d{3}-\d{4}", r["o"]) for r in moved)
     dates = spark.range(372).select(F.expr("date_format(date_add(date'2001-01-01', cast(id as int)), 'MM/dd/yyyy')").alias("s"))
     assert dates.select(N._date(F.col("s"), "k").alias("o")).distinct().count() == 372
     words = spark.createDataFrame([(x + y,) for x in "abcxyz" for y in "abcxyz"], "s string")
