@@ -11,11 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import decontaminate, language, packing, pseudonyms, simhash
+from repolith.llm import decontaminate, language, near_texts, packing, pseudonyms
 from repolith.llm.common import NO_ID, table, written
 
-#: The stage compares five-word shingles and allows more bits than the contract query: near copies with a few edited words
-#: in a hundred differ in about five.
+#: The stage compares five-word shingles. Fingerprints within the radius are candidates, as are texts that share a MinHash
+#: band; only an exact similarity of 0.8 or more links them.
 NEAR_WORDS, NEAR_RADIUS = 5, 6
 
 
@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat a doc_id are one document to this stage. A row without a doc_id stays only if no row of its
     group has one.
     """
-    groups = simhash.near_duplicates(docs, words=NEAR_WORDS, radius=NEAR_RADIUS)
+    groups = near_texts.near_texts(docs, NEAR_WORDS, NEAR_RADIUS)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_kept")).distinct()
     return _columns(docs.join(kept, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_kept"), "left_semi"), docs)
 
