@@ -24,10 +24,14 @@ def _columns(frame: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops null texts and texts without a letter; ``lang`` stays as it was labelled, predictions fill its nulls."""
+    """``lang`` becomes the predicted language, whatever the label was; null texts and texts without a letter are rejected.
+
+    Only those have no language (``und``). A low score rejects nothing: the nearest language is still the best guess.
+    If no row has both a label and a text there is no model, and everything is rejected.
+    """
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
     found = language.identify(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
-    return _columns(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
+    return _columns(found.withColumn("lang", F.col("lang_pred")), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

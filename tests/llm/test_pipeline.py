@@ -81,3 +81,12 @@ def test_edges(spark, sf):
         assert stage(spark, frame.limit(0), sf).count() == 0
     assert set(C.decontaminate_benchmark(spark, frame, sf).columns) == set(frame.columns)
     assert C.mask_private_data(spark, frame, sf).count() == len(rows)
+
+
+def test_predicted_language_takes_effect(spark, sf, docs):
+    known = [r for r in docs.collect() if r["text"] and len(r["text"]) > 400 and r["lang"]]
+    one = known[0]
+    other = next(r["lang"] for r in known if r["lang"] != one["lang"])
+    wrong = spark.createDataFrame([*known, (10**6, one["text"], other, "s", 1)], SCHEMA)
+    found = {r["doc_id"]: r["lang"] for r in C.identify_language(spark, wrong, sf).collect()}
+    assert found[10**6] == one["lang"]
