@@ -7,7 +7,7 @@ as likely. Statistics are frozen before any text is scored, so the exact code le
 a number in a table, and scoring a text adds up what its bytes cost under each language. The trees of all languages
 share one trie of byte strings, which is walked for all places of a text at once.
 
-Training uses labelled texts up to a bound: ``SAMPLE`` bytes a language on average, picked by a hash of the text.
+Training uses distinct labelled texts up to a bound: about ``SAMPLE`` bytes a language, in the order of a hash of the text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -25,6 +25,8 @@ from .common import table
 ORDER = 4
 #: Bytes of training text for each language, about.
 SAMPLE = 1 << 19
+#: Slots by hash that a language's texts are counted in, to find where the sample ends.
+SLOTS = 1 << 16
 UNKNOWN = "und"
 #: Bytes before a text's first one, as contexts see them.
 _BEFORE = b"\n" * ORDER
@@ -55,14 +57,21 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
 
 def training_sample(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Distinct texts of ``labelled`` (lang, text): about ``sample`` bytes for each language, or all it has."""
-    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    share = {r["lang"]: min(1.0, sample / max(r["bytes"], 1)) for r in sizes.collect()}
-    if not share:
+    """Distinct texts of ``labelled`` (lang, text): for each language about ``sample`` bytes or somewhat more, or all it has.
+
+    Texts are taken in the order of a slot that their hash gives; the last slot taken is the one in which the bytes of
+    distinct texts reach the bound. So no language is without a text.
+    """
+    slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
+    sizes = labelled.select("lang", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes")).distinct()
+    by_slot = sizes.groupBy("lang", slot(F.col("hash")).alias("slot")).agg(F.sum("bytes").alias("bytes"))
+    before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("slot")) - F.col("bytes")
+    last = {r["lang"]: r["last"] for r in by_slot.withColumn("before", before).where(F.col("before") < sample).groupBy("lang").agg(F.max("slot").alias("last")).collect()}
+    if not last:
         return labelled.limit(0)
-    picked = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 30))))), F.col("lang"))
+    picked = slot(F.xxhash64("text")) <= F.element_at(F.create_map(*(F.lit(x) for kv in last.items() for x in kv)), F.col("lang"))
     # The sample has a fixed bound: few partitions mean few partial counts of one string.
-    return labelled.where(picked).dropDuplicates(["lang", "text"]).repartition(len(share))
+    return labelled.where(picked).dropDuplicates(["lang", "text"]).repartition(len(last))
 
 
 @dataclass

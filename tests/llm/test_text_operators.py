@@ -301,3 +301,16 @@ def test_ids_by_rank_are_the_library_s(spark):
         assert t.ids(text).tolist() == t.model.encode(text, add_special_tokens=False).ids
     other = P._Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     assert other.ranks is None and other.ids("A b").tolist() == other.model.encode("A b", add_special_tokens=False).ids
+
+
+def test_language_sample_keeps_every_language(spark):
+    from repolith.llm import language as L
+
+    few = [("xx", f"{i} " + "kuvuza mbali " * 300) for i in range(3)]
+    copies = [("yy", "the same words again ")] * 990 + [("yy", f"text {i} of its own") for i in range(10)]
+    rows = spark.createDataFrame(few + copies, "lang string, text string")
+    got = [tuple(r) for r in L.training_sample(rows, 150).collect()]
+    size = {x: sum(len(t) for lang, t in got if lang == x) for x in ("xx", "yy")}
+    assert len(set(got)) == len(got) and size["xx"] == len(few[0][1]) and 150 <= size["yy"] < 180
+    assert sorted(map(tuple, L.training_sample(rows).collect())) == sorted(set(few + copies))
+    assert L.train(rows, 150).langs == ["xx", "yy"]
