@@ -158,7 +158,11 @@ def _equal_windows(strings: S.Strings) -> np.ndarray:
 
 
 def _context_shared(strings: S.Strings) -> np.ndarray:
-    """Strings that another shares half a window's context with, left or right of the minimiser, as equal windows must."""
+    """Strings that another shares half a window's context with, left or right of the minimiser, as equal windows must.
+
+    That holds where both have their minimiser once, at ``pos``. A string marked twice may hold it elsewhere too (or its
+    place is not known), so it and all strings of its minimiser stay.
+    """
     half, n, size = (strings.width - K) // 2, len(strings), strings.n + strings.width - 1
     keys = np.tile(np.arange(n, dtype=np.uint64), (2, 1))  # a side that is too short has a key of its own
     for lo in range(0, n, 1000):
@@ -167,7 +171,7 @@ def _context_shared(strings: S.Strings) -> np.ndarray:
         begin = np.cumsum(size[i]) - size[i] + strings.pos[i]
         for side, place, there in ((0, begin - half, strings.pos[i] >= half), (1, begin + K, strings.pos[i] + K + half <= size[i])):
             keys[side, i[there]] = h[place[there]] ^ strings.mini[i[there]]
-    shared = strings.twice.copy()
+    shared = np.isin(strings.mini, strings.mini[strings.twice])
     for key in keys:
         _, back, count = np.unique(key, return_inverse=True, return_counts=True)
         shared |= count[back] > 1

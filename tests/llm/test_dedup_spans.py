@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolith.llm import superkmers as S
+from repolith.llm import suffix_dedup as D
 from repolith.llm.substring_dedup import dedup_substrings, op1_substring_dedup
 from repolith.llm.suffix_dedup import collection_bwt, dedup_suffixes, op8_suffix_dedup
 
@@ -107,3 +108,26 @@ def test_transform_and_prefixes():
     assert bwt.tolist() == [c for _, _, c in rows]
     common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     assert lcp.tolist() == [0, *(common(a[0], b[0]) for a, b in zip(rows, rows[1:]))]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_once_against_marked_twice(seed):
+    """Copies that one block has settled, and one copy with another lead-in in the next block."""
+    r = random.Random(seed)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)).encode()
+    passage = word(260)
+
+    def block(many, doc):
+        texts = [word(150) + passage + word(150) for _ in range(many)]
+        tokens, none = np.frombuffer(b"".join(texts), np.uint8), np.zeros(many, np.int64)
+        strings = S.cut(tokens, D._CODE[tokens], none + len(texts[0]), np.arange(many) + doc, none, 100, D.K)
+        return S.settle(strings, D.repeats, D.CROWD)[1]
+
+    a, b = block(24, 0), block(1, 100)
+    windows = lambda x: [x[p : p + 100].tobytes() for p in range(len(x) - 99)]
+    earlier = set(windows(a.tokens))
+    want = {p for p, x in enumerate(windows(b.tokens)) if x in earlier}
+    b.at = b.at + len(a.tokens)
+    both = S.Strings(100, np.concatenate([a.tokens, b.tokens]), *(np.concatenate(x) for x in zip(a.columns(), b.columns())))
+    gone = {p for doc, _, lo, hi in zip(*S.settle(both, D.repeats)[0]) if doc == 100 for p in range(lo, hi)}
+    assert gone == want and want >= set(range(150, 150 + 161))
