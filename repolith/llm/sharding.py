@@ -58,18 +58,21 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED)
     shard = F.size(F.filter("bounds", lambda b: b < F.col("place")))
     # A part of a shard's rows, again by hash: the second permutation runs in cells, each of about PART rows or fewer.
     cells = max(1, n // shards)
-    there = dealt.withColumn("place", place).join(bounds, "part").select("row", "h2", shard.alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 3), "h2"), F.lit(cells)).alias("cell"))
-    there = written(there)
+    cell = F.pmod(F.xxhash64(F.lit(seed + 3), "h2"), F.lit(cells)).alias("cell")
+    to_shard = lambda x: x.withColumn("place", place).join(F.broadcast(bounds), "part").withColumn("shard", shard).withColumn("cell", cell)
+    # Cells are counted on the hashes alone, so that whole rows are exchanged twice and written nowhere between.
+    there = to_shard(dealt)
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = there.groupBy("shard", "cell").count().select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    counts = to_shard(dealt.select("part", "h0", "h1", "h2")).groupBy("shard", "cell").count()
+    starts = written(counts.select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")))
     within = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("h2"))
-    out = there.withColumn("within", within).join(starts, ["shard", "cell"])
+    out = there.withColumn("within", within).join(F.broadcast(starts), ["shard", "cell"])
     return out.select("row.*", "shard", (F.col("first") + F.col("within") - 1).cast("long").alias("slot"))
 
 
 def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    out = shuffle_into_shards(docs)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shuffle_into_shards(rows)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    return out.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

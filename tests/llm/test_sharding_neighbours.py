@@ -108,3 +108,10 @@ def test_codes_bound_the_error():
     off = np.abs(guess - q @ v.T) / np.linalg.norm(q, axis=1)[:, None]
     assert codes.shape == (2000, 4) and (off <= error[None, :]).mean() > 0.99
     assert abs((guess - q @ v.T).mean()) < 0.1
+
+
+def test_query_shuffles_whole_documents(spark, sf, monkeypatch):
+    seen, own = [], H.shuffle_into_shards
+    monkeypatch.setattr(H, "shuffle_into_shards", lambda rows, *a, **k: seen.append(rows.columns) or own(rows, *a, **k))
+    H.op7_uniform_shards(spark, sf)
+    assert seen == [spark.read.parquet(f"{sf}/documents.parquet").columns]
