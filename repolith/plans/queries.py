@@ -724,7 +724,7 @@ def h1_python_docstrings(t: Lens) -> DataFrame:
 @query()
 def h2_notebooks(t: Lens) -> DataFrame:
     cell = F.to_json(F.struct(F.array(F.struct(F.lit("code").alias("cell_type"), F.split("content", r"(?<=\n)").alias("source"))).alias("cells")))
-    rows = t.files.where("seq % 4 = 0").withColumn("raw", cell)
+    rows = t.files.withColumn("raw", cell)
     return rows.select("repo_key", "path", F.length(parsers.flatten_notebook(F.col("raw"))).alias("flat"), F.length(parsers.summarise_notebook(F.col("raw"))).alias("short"))
 
 

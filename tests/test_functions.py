@@ -117,3 +117,11 @@ def test_report_and_counts(spark, tmp_path):
     for fmt in ("parquet", "csv"):
         write_report(str(tmp_path / fmt), rows, summary=summary.count_statuses(rows), fmt=fmt)
         assert spark.read.format(fmt).option("header", True).load(str(tmp_path / fmt / "results")).count() == 2
+
+
+def test_notebook_query_has_every_file(spark, sf):
+    from repolith.plans import queries as Q
+    from repolith.sources.lens import Lens
+
+    files = Lens(spark, sf).files
+    assert Q.QUERIES["h2_notebooks"](spark, sf).count() == files.count()
