@@ -716,7 +716,7 @@ def f20_fill_display(t: Lens) -> DataFrame:
 @query()
 def h1_python_docstrings(t: Lens) -> DataFrame:
     """Python files of which every third has real syntax around the document's words."""
-    body = F.concat(F.lit('"""Module."""\n\nclass A:\n    """Args: x"""\n\n    def f(self):\n        """'), F.regexp_replace(F.substring("content", 1, 400), r'["\\]', " "), F.lit('"""\n\n\ndef _g():\n    pass\n'))
+    body = F.concat(F.lit('"""Module."""\n\nclass A:\n    """Args: x"""\n\n    def f(self):\n        """'), F.regexp_replace("content", r'["\\]', " "), F.lit('"""\n\n\ndef _g():\n    pass\n'))
     rows = feats(t).where("ext = '.py'").withColumn("content", F.when(F.col("seq") % 3 == 0, body).otherwise(F.col("content")))
     return rows.select("repo_key", "path", parsers.python_docstrings(F.col("content")).alias("d")).select("repo_key", "path", "d.*")
 

@@ -125,3 +125,13 @@ def test_notebook_query_has_every_file(spark, sf):
 
     files = Lens(spark, sf).files
     assert Q.QUERIES["h2_notebooks"](spark, sf).count() == files.count()
+
+
+def test_docstring_query_parses_whole_contents(spark, monkeypatch):
+    from repolith.plans import queries as Q
+
+    late = "x" * 500 + "\nReturns: y"
+    rows = spark.createDataFrame([("r", "a.py", 0, ".py", late)], "repo_key string, path string, seq long, ext string, content string")
+    monkeypatch.setattr(Q, "feats", lambda t: rows)
+    monkeypatch.setattr(Q.parsers, "python_docstrings", lambda c: F.struct(c.alias("parsed")))
+    assert late in Q.h1_python_docstrings(None).first()["parsed"]
