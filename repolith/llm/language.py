@@ -7,7 +7,8 @@ as likely. Statistics are frozen before any text is scored, so the exact code le
 a number in a table, and scoring a text adds up what its bytes cost under each language. The trees of all languages
 share one trie of byte strings, which is walked for all places of a text at once.
 
-Training uses distinct labelled texts up to a bound: about ``SAMPLE`` bytes a language, in the order of a hash of the text.
+Training uses distinct pieces of labelled texts up to a bound: about ``SAMPLE`` bytes a language, in the order of a hash
+of the piece, so that neither copies nor very long texts crowd a language out.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 ORDER = 4
 #: Bytes of training text for each language, about.
 SAMPLE = 1 << 19
-#: Slots by hash that a language's texts are counted in, to find where the sample ends.
-SLOTS = 1 << 16
+#: Characters in one piece of a text.
+PIECE = 4096
+#: Pieces are counted in SLOTS slots by hash, each of which has SLOTS slots of its own: where a sample ends is found in two steps.
+SLOTS = 1 << 12
 UNKNOWN = "und"
 #: Bytes before a text's first one, as contexts see them.
 _BEFORE = b"\n" * ORDER
@@ -57,21 +60,28 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
 
 def training_sample(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Distinct texts of ``labelled`` (lang, text): for each language about ``sample`` bytes or somewhat more, or all it has.
+    """Distinct pieces of up to ``PIECE`` characters of ``labelled`` (lang, text): for each language about ``sample`` bytes, or all it has.
 
-    Texts are taken in the order of a slot that their hash gives; the last slot taken is the one in which the bytes of
-    distinct texts reach the bound. So no language is without a text.
+    Pieces are taken in the order of slots that their hash gives, up to and with the slot in which the bytes of distinct
+    pieces reach the bound. So no language with a text is without a piece, and the sample passes the bound by one slot
+    at most: a piece, or one part in ``SLOTS`` ** 2 of all that a language has.
     """
-    slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
-    sizes = labelled.select("lang", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes")).distinct()
-    by_slot = sizes.groupBy("lang", slot(F.col("hash")).alias("slot")).agg(F.sum("bytes").alias("bytes"))
-    before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("slot")) - F.col("bytes")
-    last = {r["lang"]: r["last"] for r in by_slot.withColumn("before", before).where(F.col("before") < sample).groupBy("lang").agg(F.max("slot").alias("last")).collect()}
-    if not last:
+    pieces = labelled.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("text"))
+    slot = lambda h: F.pmod(h, F.lit(SLOTS * SLOTS)).cast("int")
+    sizes = pieces.select("lang", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes")).distinct()
+    fine = written(sizes.groupBy("lang", slot(F.col("hash")).alias("slot")).agg(F.sum("bytes").alias("bytes")))
+    # Of the coarse slots, then of the fine ones in the last of them: bytes before each. Both windows have SLOTS rows a language.
+    coarse = F.floor(F.col("slot") / SLOTS).alias("coarse")
+    before = lambda by: F.sum("bytes").over(Window.partitionBy("lang").orderBy(by)) - F.col("bytes")
+    steps = fine.groupBy("lang", coarse).agg(F.sum("bytes").alias("bytes")).withColumn("had", before("coarse")).where(F.col("had") < sample)
+    last = steps.groupBy("lang").agg(F.max("coarse").alias("coarse"), F.max("had").alias("had"))
+    ends = fine.withColumn("coarse", coarse).join(last, ["lang", "coarse"]).withColumn("before", before("slot") + F.col("had"))
+    ends = {r["lang"]: r["slot"] for r in ends.where(F.col("before") < sample).groupBy("lang").agg(F.max("slot").alias("slot")).collect()}
+    if not ends:
         return labelled.limit(0)
-    picked = slot(F.xxhash64("text")) <= F.element_at(F.create_map(*(F.lit(x) for kv in last.items() for x in kv)), F.col("lang"))
+    picked = slot(F.xxhash64("text")) <= F.element_at(F.create_map(*(F.lit(x) for kv in ends.items() for x in kv)), F.col("lang"))
     # The sample has a fixed bound: few partitions mean few partial counts of one string.
-    return labelled.where(picked).dropDuplicates(["lang", "text"]).repartition(len(last))
+    return pieces.where(picked).dropDuplicates(["lang", "text"]).repartition(len(ends))
 
 
 @dataclass
@@ -168,8 +178,8 @@ class Model:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model of ``labelled`` (lang, text); None if no row has both."""
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text")
+    """The model of ``labelled`` (lang, text); None if no row has both, or all texts are empty."""
+    rows = labelled.where("lang is not null and text <> ''").select("lang", "text")
     counts = count_grams(training_sample(rows, sample)).toPandas()
     return Model.of(counts) if len(counts) else None
 

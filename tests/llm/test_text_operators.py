@@ -301,14 +301,26 @@ def test_ids_by_rank_are_the_library_s(spark):
     assert other.ranks is None and other.ids("A b").tolist() == other.model.encode("A b", add_special_tokens=False).ids
 
 
-def test_language_sample_keeps_every_language(spark):
-    from repolith.llm import language as L
-
+def test_language_sample_keeps_every_language(spark, monkeypatch):
     few = [("xx", f"{i} " + "kuvuza mbali " * 300) for i in range(3)]
     copies = [("yy", "the same words again ")] * 990 + [("yy", f"text {i} of its own") for i in range(10)]
     rows = spark.createDataFrame(few + copies, "lang string, text string")
     got = [tuple(r) for r in L.training_sample(rows, 150).collect()]
     size = {x: sum(len(t) for lang, t in got if lang == x) for x in ("xx", "yy")}
-    assert len(set(got)) == len(got) and size["xx"] == len(few[0][1]) and 150 <= size["yy"] < 180
+    assert len(set(got)) == len(got) and 0 < size["xx"] <= len(few[0][1]) and 150 <= size["yy"] < 180
     assert sorted(map(tuple, L.training_sample(rows).collect())) == sorted(set(few + copies))
     assert L.train(rows, 150).langs == ["xx", "yy"]
+    # One text of 5 MB, and 20,000 copies of one: both languages are learned, within the bound.
+    r = random.Random(3)
+    long = " ".join("".join(r.choice("mnopq") for _ in range(6)) for _ in range(750_000))
+    rows = spark.createDataFrame([("zz", long), ("yy", "y")], "lang string, text string").unionByName(spark.range(20_000).selectExpr("'ww' AS lang", "'a text that all copies share' AS text")).unionByName(spark.range(20).selectExpr("'ww' AS lang", "concat('short ', id) AS text"))
+    size = {x["lang"]: x["n"] for x in L.training_sample(rows).groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    assert L.SAMPLE <= size["zz"] < L.SAMPLE + 2 * L.PIECE and size["ww"] == 28 + sum(len(f"short {i}") for i in range(20)) and size["yy"] == 1
+    model = L.train(rows)
+    assert model.langs == ["ww", "yy", "zz"]
+    assert L.identify(spark.createDataFrame([(1, long[5000:9000])], "doc_id long, text string"), model).first()["lang_pred"] == "zz"
+    # Many pieces in one coarse slot: the fine slots find the bound.
+    monkeypatch.setattr(L, "SLOTS", 4)
+    many = spark.range(4000).selectExpr("'vv' AS lang", "concat('piece ', id, ' of a language') AS text")
+    n = L.training_sample(many, 3000).agg(F.sum(F.octet_length("text"))).first()[0]
+    assert 3000 <= n < 3000 + 4000 * 25 / 16 * 1.5
