@@ -13,19 +13,28 @@ NO_ID = (1 << 63) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only a session without one (tests) gets a folder of its own."""
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    A session without one may only be local, where driver and executors are one process (tests): it gets a folder of its
+    own. On a cluster, executors would each write to their own disk and rows would be lost, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
 
 
 def written(frame: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, and lost executors take nothing with them."""
+    """The rows as a table in the shared folder: computed once, and lost executors take nothing with them. It goes when the driver ends."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/repolith-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ from .language import op10_language_id
 from .neighbours import op9_one_bit_neighbours
 from .packing import op6_packing
 from .pseudonyms import op3_pseudonyms
-from .secrets import op4_secret_scan
+from .secrets import OP4_SQL, op4_secret_scan
 from .sharding import op7_uniform_shards
 from .simhash import op2_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_secret_scan": OP4_SQL}
