@@ -4,7 +4,8 @@ Super-k-mer strings (see ``superkmers``) bring all copies of a window to one buc
 Burrows-Wheeler transform and common prefixes are built column by column: round j inserts, for every string at
 once, the symbol before its suffix of length j, at the place that the transform built so far gives it, and updates
 the common prefixes of the rows around it. Both columns live in files that every round reads and writes once, from
-front to back. Rows whose common prefix reaches ``width`` are equal windows; all but the earliest are removed.
+front to back. Rows whose common prefix reaches ``width`` are equal windows; all but the earliest are removed. Equal
+strings are inserted once, with their number as a weight: a row of weight two or more is a repeat like any other.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ K = 16
 #: Strings of one collection, unless more share one minimiser.
 COLLECTION = 2000
 #: Bytes in one symbol: a string becomes STRIDE strings, one for each place of its end, and rounds become fewer.
-STRIDE = 2
+STRIDE = 4
 #: Strings of a block with one minimiser from which the combiner settles them before they travel.
 CROWD = 16
 _KINDS = ["<i8", "<u4", "<i4", "u1", "<u2", "u1", "u1", "?"]
@@ -69,7 +70,7 @@ def collection_bwt(symbols: np.ndarray, at: np.ndarray, length: np.ndarray, cap:
     transform stands before the start of a string.
     """
     m = len(at)
-    bwt_file, lcp_file = Column(np.uint16), Column(np.uint8)
+    bwt_file, lcp_file = Column(symbols.dtype.type), Column(np.uint8)
     try:
         end = at + length
         bwt_file.write(symbols[end - 1])
@@ -100,7 +101,7 @@ def collection_bwt(symbols: np.ndarray, at: np.ndarray, length: np.ndarray, cap:
             fresh = np.zeros(len(bwt) + len(place), bool)
             fresh[place] = True
             old = ~fresh
-            grown = np.empty(len(fresh), np.uint16)
+            grown = np.empty(len(fresh), symbols.dtype)
             left = length[string] - j
             grown[place] = np.where(left > 0, symbols[np.maximum(end[string] - j - 1, 0)], 0)
             grown[old] = bwt
@@ -115,8 +116,11 @@ def collection_bwt(symbols: np.ndarray, at: np.ndarray, length: np.ndarray, cap:
         lcp_file.close()
 
 
-def _equal_windows(strings: S.Strings) -> np.ndarray:
-    """For each window of one collection: does the same string also start earlier in it?"""
+def _equal_windows(strings: S.Strings, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of one collection: does the same string also start earlier in it, and is it there more than once?
+
+    ``weight``: how many equal strings each one stands for; it is the earliest of them.
+    """
     width, m = strings.width // STRIDE, len(strings)
     size = strings.n + strings.width - 1
     at, length, end = [], [], []
@@ -125,11 +129,14 @@ def _equal_windows(strings: S.Strings) -> np.ndarray:
         end.append(strings.at + size - phase)
         at.append(end[-1] - STRIDE * length[-1])
     at, length = np.concatenate(at), np.concatenate(length)
-    # 0 stands before the start of a string; UTF-8 never uses 0xFF, so a shift by one fits.
-    wide = strings.tokens.astype(np.uint16)
-    symbols = wide[np.repeat(at, length) + STRIDE * S.ranges(np.zeros(len(at), np.int64), length)] << np.uint16(8)
-    symbols |= wide[np.repeat(at, length) + STRIDE * S.ranges(np.zeros(len(at), np.int64), length) + 1]
-    bwt, lcp = collection_bwt(symbols + np.uint16(1), np.cumsum(length) - length, length, width)
+    first_byte = np.repeat(at, length) + STRIDE * S.ranges(np.zeros(len(at), np.int64), length)
+    wide = np.zeros(len(first_byte), np.uint32)
+    for i in range(STRIDE):
+        wide = wide << np.uint32(8) | strings.tokens[first_byte + i]
+    # Numbers of the symbols that occur, in their order; 0 stands before the start of a string.
+    seen, symbols = np.unique(wide, return_inverse=True)
+    symbols = (symbols + 1).astype(np.uint16 if len(seen) < 65_535 else np.uint32)
+    bwt, lcp = collection_bwt(symbols, np.cumsum(length) - length, length, width)
     following = np.empty(len(bwt), np.int64)
     following[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
     first = np.cumsum(strings.n) - strings.n
@@ -142,19 +149,19 @@ def _equal_windows(strings: S.Strings) -> np.ndarray:
             row_of[first[string % m] + size[string % m] - string // m - STRIDE * j] = rows
     same = lcp >= width
     group = np.cumsum(~same)
-    several = same.copy()
-    several[:-1] |= same[1:]
+    of_window = np.repeat(np.arange(m), strings.n)
+    many = np.bincount(group[row_of], weight[of_window], minlength=len(lcp) + 1)[group[row_of]] > 1
     flag = np.zeros(len(row_of), bool)
-    which = np.flatnonzero(several[row_of])
+    which = np.flatnonzero(many)
     if len(which):
-        of = np.repeat(np.arange(m), strings.n)[which]
+        of = of_window[which]
         start = strings.start[of] + S.ranges(np.zeros(m, np.int64), strings.n)[which]
         g, doc = group[row_of[which]], strings.doc[of]
         order = np.lexsort((start, doc, g))
         g, doc, start = g[order], doc[order], start[order]
         head = np.maximum.accumulate(np.where(np.concatenate([[True], g[1:] != g[:-1]]), np.arange(len(g)), 0))
         flag[which[order]] = (doc != doc[head]) | (start != start[head])
-    return flag
+    return flag, many
 
 
 def _context_shared(strings: S.Strings) -> np.ndarray:
@@ -181,8 +188,9 @@ def _context_shared(strings: S.Strings) -> np.ndarray:
 def repeats(strings: S.Strings) -> np.ndarray:
     """For each window: does the same string also start earlier (smaller id, or same document and earlier start)?
 
-    Equal packed strings are taken together first: the earliest stands for all. Minimisers still shared then go
-    through collections of about ``COLLECTION`` strings; equal windows share a minimiser and so a collection.
+    Equal packed strings are inserted once, the earliest with the number of all as its weight; only a string that is
+    alone in its text, its minimiser or its half-window contexts, and so can't hold a repeat, is not inserted.
+    Collections have about ``COLLECTION`` strings; equal windows share a minimiser and so a collection.
     """
     length = strings.n + strings.width - 1
     order = np.lexsort((strings.start, strings.doc))
@@ -192,11 +200,13 @@ def repeats(strings: S.Strings) -> np.ndarray:
         head[i] = least.setdefault(strings.tokens[a:b].tobytes(), i)
     del least
     copy = (strings.doc != strings.doc[head]) | (strings.start != strings.start[head])
-    flag = np.repeat(copy, strings.n)
+    weight = 1 + np.bincount(head[copy], minlength=len(strings))
+    flag, many = np.zeros(int(strings.n.sum()), bool), np.zeros(int(strings.n.sum()), bool)
     first = np.cumsum(strings.n) - strings.n
     heads = np.flatnonzero(head == np.arange(len(strings)))
-    heads = heads[strings.pick(heads).repeated()]
-    heads = heads[_context_shared(strings.pick(heads))]
+    near = strings.pick(heads).repeated()
+    near[near] = _context_shared(strings.pick(heads[near]))
+    heads = heads[near | (weight[heads] > 1)]
     heads = heads[np.argsort(strings.mini[heads], kind="stable")]
     while len(heads):
         most = min(COLLECTION, len(heads))
@@ -205,7 +215,9 @@ def repeats(strings: S.Strings) -> np.ndarray:
         few = strings.pick(some)
         few.tokens = strings.tokens[S.ranges(few.at, length[some])]
         few.at = np.cumsum(length[some]) - length[some]
-        flag[S.ranges(first[some], few.n)] = _equal_windows(few)
+        flag[S.ranges(first[some], few.n)], many[S.ranges(first[some], few.n)] = _equal_windows(few, weight[some])
+    later = np.flatnonzero(copy)
+    flag[S.ranges(first[later], strings.n[later])] = many[S.ranges(first[head[later]], strings.n[later])]
     return flag
 
 
