@@ -8,6 +8,7 @@ key are then compared word by word).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,10 @@ from . import superkmers as S
 from .common import table
 
 WIDTH = 50
-K = 4
+#: Words in a minimiser: so many that few are frequent but those in passages that repeat, which settle on the way.
+K = 8
+#: Different words that a task numbers before it starts anew.
+WORDS = 1 << 21
 _KINDS = ["<i8", "<u4", "<i4", "<u2", "<u4", "<u4"]
 
 
@@ -56,16 +60,20 @@ def repeats(strings: S.Strings) -> np.ndarray:
 def _mapper(width: int, k: int):
     def mapper_for(buckets: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            number: dict[bytes, int] = {}
+            code, carry = np.zeros(0, np.uint64), None
             for texts, ids, rows in S.blocks(batches, S.BLOCK):
+                if len(number) > WORDS:
+                    number, code, carry = {}, np.zeros(0, np.uint64), None
                 words = [t.split() for t in texts]
-                number: dict[bytes, int] = {}
                 lengths = np.array([len(w) for w in words], np.int64)
                 tokens = np.fromiter((number.setdefault(x, len(number)) for w in words for x in w), np.int64, int(lengths.sum()))
-                vocab = list(number)
-                code = np.fromiter((xxhash.xxh64_intdigest(x) for x in vocab), np.uint64, len(vocab))
-                strings = S.cut(tokens, code[tokens] if len(tokens) else tokens.astype(np.uint64), lengths, np.array(ids, np.int64), np.array(rows, np.int64), width, k)
-                spans, kept = S.settle(strings, repeats)
+                fresh = len(number) - len(code)
+                code = np.append(code, np.fromiter(map(xxhash.xxh64_intdigest, islice(reversed(number), fresh)), np.uint64, fresh)[::-1])
+                strings = S.cut(tokens, code[tokens], lengths, np.array(ids, np.int64), np.array(rows, np.int64), width, k)
+                spans, kept, carry = S.settle(strings, repeats, 2, carry)
                 flat = [x for w in words for x in w]
+                kept.at = kept.at - (len(kept.tokens) - len(flat))  # all that is kept lies in this block's own words
                 packed = []
                 for bucket, group in S.by_bucket(kept, buckets):
                     bodies = [b" ".join(flat[a : a + n + width - 1]) for a, n in zip(group.at.tolist(), group.n.tolist(), strict=True)]
@@ -100,7 +108,7 @@ def _reducer(width: int):
                 few.tokens = np.fromiter((number.setdefault(x, len(number)) for x in words), np.int64, len(words))
                 lengths = few.n + width - 1
                 few.at = np.cumsum(lengths) - lengths
-                spans, _ = S.settle(few, repeats)
+                spans = S.settle(few, repeats)[0]
                 if spans:
                     out.append(pd.DataFrame(dict(zip(("doc", "row", "start", "stop"), spans, strict=True))))
         return pd.concat(out).astype({"doc": "int64", "row": "int64", "start": "int32", "stop": "int32"})

@@ -27,8 +27,6 @@ K = 16
 COLLECTION = 2000
 #: Bytes in one symbol: a string becomes STRIDE strings, one for each place of its end, and rounds become fewer.
 STRIDE = 4
-#: Strings of a block with one minimiser from which the combiner settles them before they travel.
-CROWD = 16
 _KINDS = ["<i8", "<u4", "<i4", "u1", "<u2", "u1", "u1", "?"]
 _CODE = S.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -224,16 +222,17 @@ def repeats(strings: S.Strings) -> np.ndarray:
 def _mapper(width: int):
     def mapper_for(buckets: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            carry = None
             for texts, ids, rows in S.blocks(batches, S.BLOCK):
                 body = b"".join(texts)
                 tokens = np.frombuffer(body, np.uint8)
                 lengths = np.array([len(t) for t in texts], np.int64)
                 strings = S.cut(tokens, _CODE[tokens], lengths, np.array(ids, np.int64), np.array(rows, np.int64), width, K)
-                spans, kept = S.settle(strings, repeats, CROWD)
+                spans, kept, carry = S.settle(strings, repeats, S.CROWD, carry)
                 packed = []
                 for bucket, group in S.by_bucket(kept, buckets):
                     columns = [np.diff(group.doc, prepend=0), group.row.astype("<u4"), group.start.astype("<i4"), group.n.astype("u1"), (group.mini >> 16).astype("<u2"), (group.mini >> 8).astype("u1"), group.pos.astype("u1"), group.twice]
-                    packed.append((bucket, S.pack(columns, tokens[S.ranges(group.at, group.n + width - 1)].tobytes())))
+                    packed.append((bucket, S.pack(columns, kept.tokens[S.ranges(group.at, group.n + width - 1)].tobytes())))
                 yield from S.moved(spans, packed)
 
         return run
@@ -254,7 +253,7 @@ def _reducer(width: int):
             n, mini = n.astype(np.int64), high.astype(np.uint32) << 8 | low  # three bytes tell a bucket's minimisers well enough apart
             lengths = n + width - 1
             strings = S.Strings(width, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lengths) - lengths, n, doc, row.astype(np.int64), start.astype(np.int64), mini, pos.astype(np.int64), twice)
-            spans, _ = S.settle(strings, repeats)
+            spans = S.settle(strings, repeats)[0]
             if spans:
                 out.append(pd.DataFrame(dict(zip(("doc", "row", "start", "stop"), spans, strict=True))))
         return pd.concat(out).astype({"doc": "int64", "row": "int64", "start": "int32", "stop": "int32"})

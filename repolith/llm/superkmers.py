@@ -7,9 +7,11 @@ a window. Consecutive windows of one document with the same minimiser travel tog
 The flow, for a ``marker`` that knows how to find repeated windows among the strings of one bucket:
 
 1. *map*: a block of documents (``BLOCK`` bytes) is cut into super-k-mers. The marker runs on the block first, as a
-   combiner: windows repeated inside the block are settled at once and only the first of each goes on, so a passage
-   that a third of all documents share reaches its bucket once per block and not once per document.
-2. *exchange*: the strings of one block for one bucket travel as one compressed row.
+   combiner: windows repeated inside the block are settled at once and only the first of each goes on. What is left of
+   crowded minimisers is also carried on to the task's next block, whose strings are settled against it, so a passage
+   that a third of all documents share reaches its bucket once per task and not once per document.
+2. *exchange*: the strings of one block for one bucket travel as one compressed row. Each task of the other side reads
+   as many buckets as any other, so none grows with the corpus.
 3. *bucket*: a minimiser seen once in one string cannot hold a repeat; all other strings go through the marker.
 4. spans found in 1 and 3 are gathered per document and joined to its text.
 
@@ -30,6 +32,10 @@ from .common import NO_ID, row_key, text_bytes
 
 BLOCK = 4 << 20
 BUCKET = 8 << 20
+#: Most tasks that read buckets: beyond, each reads several, one after the other.
+TASKS = 1 << 15
+#: Strings of one minimiser in a block from which it is crowded, and the most tokens carried from block to block: more and the carrying starts anew.
+CROWD, CARRY = 16, 1 << 20
 #: Longest run of windows in one string. Longer runs (periodic texts) are cut, not dropped.
 RUN = 85
 #: Tokens hashed at a time.
@@ -137,15 +143,24 @@ def _cut(codes, first, lengths, doc, row, width, k) -> list[np.ndarray]:
     return [at[run] + base, n, doc[of[run]], row[of[run]], at[run] + base - first[of[run]], least, pos, twice]
 
 
-def settle(strings: Strings, repeats: Callable[[Strings], np.ndarray], least: int = 2) -> tuple[list, Strings]:
-    """Spans of repeated windows, and the runs of windows that are the first of their kind here.
+def settle(strings: Strings, repeats: Callable[[Strings], np.ndarray], least: int = 2, carry: Strings | None = None) -> tuple[list, Strings, Strings | None]:
+    """Spans of repeated windows, the runs of windows that are the first of their kind here, and what to carry to the next block.
 
-    ``least``: a combiner may leave minimisers with fewer strings to the bucket.
+    ``least``: a combiner may leave minimisers with fewer strings to the bucket. ``carry``: strings that have gone on before,
+    of crowded minimisers; new ones of those are settled against them, and so may they be, if the new ones are earlier.
     """
+    m, join = 0, lambda a, b: np.concatenate([a, b])
     which = strings.repeated(least)
+    if carry is not None and len(strings):
+        carry = carry.pick(np.isin(carry.mini, strings.mini))
+        m = len(carry)
+        which = join(np.ones(m, bool), which | np.isin(strings.mini, carry.mini))
+        columns = dict(zip(Strings.FIELDS, map(join, carry.columns(), strings.columns()), strict=True))
+        columns["at"][m:] += len(carry.tokens)
+        strings = Strings(strings.width, join(carry.tokens, strings.tokens), **columns)
     few = strings.pick(which)
     if not len(few):
-        return [], strings
+        return [], strings, None
     flag = repeats(few)
     of = np.repeat(np.arange(len(few)), few.n)
     within = ranges(np.zeros(len(few), np.int64), few.n)
@@ -156,11 +171,17 @@ def settle(strings: Strings, repeats: Callable[[Strings], np.ndarray], least: in
     gone = flag[run]
     spans = [few.doc[s[gone]], few.row[s[gone]], few.start[s[gone]] + i[gone], few.start[s[gone]] + i[gone] + n[gone]]
     s, i, n = s[~gone], i[~gone], n[~gone]
-    alone = strings.pick(~which)
-    join = lambda a, b: np.concatenate([a, b])
-    rest = [few.at[s] + i, n, few.doc[s], few.row[s], few.start[s] + i, few.mini[s], np.zeros(len(s), np.int64), np.ones(len(s), bool)]
-    kept = Strings(strings.width, strings.tokens, *(join(a, b) for a, b in zip(alone.columns(), rest, strict=True)))
-    return spans, kept
+    rest = Strings(strings.width, strings.tokens, few.at[s] + i, n, few.doc[s], few.row[s], few.start[s] + i, few.mini[s], np.zeros(len(s), np.int64), np.ones(len(s), bool))
+    before = s < m
+    alone, new = strings.pick(~which), rest.pick(~before)
+    kept = Strings(strings.width, strings.tokens, *map(join, alone.columns(), new.columns()))
+    _, back, count = np.unique(few.mini, return_inverse=True, return_counts=True)
+    crowded = rest.pick(((count[back] >= CROWD) | np.isin(few.mini, few.mini[:m]))[s])
+    lengths = crowded.n + strings.width - 1
+    if not len(crowded) or lengths.sum() > CARRY:
+        return spans, kept, None
+    crowded.tokens, crowded.at = strings.tokens[ranges(crowded.at, lengths)], np.cumsum(lengths) - lengths
+    return spans, kept, crowded
 
 
 def blocks(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
@@ -221,10 +242,12 @@ def spans_of(docs: DataFrame, mapper: Callable, reducer: Callable) -> DataFrame:
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), row_key(F.col("text")).alias("row"), F.col("text")).where("text is not null")
     buckets = max(8, -(-text_bytes(docs) // BUCKET))
+    tasks = min(buckets, TASKS)
     sent = rows.mapInPandas(mapper(buckets), MOVED)
     # Settled spans need no bucket: a negative one spreads them by document.
     key = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("doc"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
-    found = sent.withColumn("bucket", key).groupBy("bucket").applyInPandas(reducer, "doc long, row long, start int, stop int")
+    dealt = sent.withColumn("bucket", key).withColumn("task", F.pmod(F.col("bucket"), F.lit(tasks)).cast("int"))
+    found = dealt.repartitionById(tasks, F.col("task")).groupBy("task", "bucket").applyInPandas(reducer, "doc long, row long, start int, stop int")
     return found.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 

@@ -121,7 +121,7 @@ def test_once_against_marked_twice(seed):
         texts = [word(150) + passage + word(150) for _ in range(many)]
         tokens, none = np.frombuffer(b"".join(texts), np.uint8), np.zeros(many, np.int64)
         strings = S.cut(tokens, D._CODE[tokens], none + len(texts[0]), np.arange(many) + doc, none, 100, D.K)
-        return S.settle(strings, D.repeats, D.CROWD)[1]
+        return S.settle(strings, D.repeats, S.CROWD)[1]
 
     a, b = block(24, 0), block(1, 100)
     windows = lambda x: [x[p : p + 100].tobytes() for p in range(len(x) - 99)]
@@ -131,3 +131,50 @@ def test_once_against_marked_twice(seed):
     both = S.Strings(100, np.concatenate([a.tokens, b.tokens]), *(np.concatenate(x) for x in zip(a.columns(), b.columns())))
     gone = {p for doc, _, lo, hi in zip(*S.settle(both, D.repeats)[0]) if doc == 100 for p in range(lo, hi)}
     assert gone == want and want >= set(range(150, 150 + 161))
+
+
+def test_repeats_come_from_the_transform(monkeypatch):
+    """Every window that is flagged has a row of the transform whose common prefix, or weight, says so."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)).encode()
+    passage = word(300)
+    texts = [word(120) + passage + word(120) for _ in range(6)] + [passage] * 4 + [word(400)]
+    tokens, none = np.frombuffer(b"".join(texts), np.uint8), np.zeros(len(texts), np.int64)
+    strings = S.cut(tokens, D._CODE[tokens], np.array([len(t) for t in texts]), np.arange(len(texts)), none, 100, D.K)
+    inserted, own = [], D._equal_windows
+    monkeypatch.setattr(D, "_equal_windows", lambda few, weight: inserted.append((few, weight)) or own(few, weight))
+    flag = D.repeats(strings)
+    body = lambda s, i: s.tokens[s.at[i] : s.at[i] + s.n[i] + 99].tobytes()
+    weights = {}
+    for few, weight in inserted:
+        for i, w in enumerate(weight):
+            weights[body(few, i)] = weights.get(body(few, i), 0) + w
+    flagged = [body(strings, i) for i, part in enumerate(np.split(flag, np.cumsum(strings.n)[:-1])) if part.any()]
+    assert set(flagged) <= set(weights) and max(weights.values()) >= 4 and 0 < len(weights) < len(strings)
+
+
+@pytest.mark.parametrize("carried", [1 << 20, 3000])
+def test_crowded_minimisers_are_carried(spark, monkeypatch, carried):
+    """A passage in every document, in many blocks of one task: later blocks settle theirs against what was carried."""
+    monkeypatch.setattr(S, "BLOCK", 20_000)
+    monkeypatch.setattr(S, "CARRY", carried)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7)))
+    passage = [word() for _ in range(80)]
+    docs = [(i, " ".join([word() for _ in range(40)] + passage[r.randint(0, 10) :] + [word() for _ in range(30)])) for i in r.sample(range(10**6), 300)]
+    sent = []
+    for f, g, brute in ((dedup_substrings, "kept_text", brute_words), (dedup_suffixes, "kept", brute_bytes)):
+        one = spark.createDataFrame([(i, t, 7, "x", 9) for i, t in docs], SCHEMA).coalesce(1)
+        out = f(one).drop("n_spans")
+        own = {i: (x[0], x[1], x[-1]) for i, x in brute(docs).items()}
+        assert {x["doc_id"]: (x[[c for c in out.columns if c.startswith("n_")][0]], x["n_removed"], x["sha"]) for x in out.withColumn("sha", F.sha2(g, 256)).collect()} == own
+    for k in range(2):  # strings of the passage that are sent by 20 blocks: with carrying, hardly more than by the first
+        carry, kept = None, 0
+        for lo in range(0, 300, 30):
+            texts = [t.encode() for _, t in docs[lo : lo + 30]]
+            tokens, none = np.frombuffer(b"".join(texts), np.uint8), np.zeros(len(texts), np.int64)
+            strings = S.cut(tokens, D._CODE[tokens], np.array([len(t) for t in texts]), np.array([i for i, _ in docs[lo : lo + 30]]), none, 100, D.K)
+            _, left, carry = S.settle(strings, D.repeats, S.CROWD, carry if k else None)
+            kept += int(left.n.sum())
+        sent.append(kept)
+    assert carried < 10_000 or sent[1] < sent[0] - 9 * 150
