@@ -24,9 +24,10 @@ from .common import table
 WIDTH = 100
 K = 16
 #: Strings of one collection, unless more share one minimiser.
-COLLECTION = 2000
-#: Bytes in one symbol: a string becomes STRIDE strings, one for each place of its end, and rounds become fewer.
-STRIDE = 4
+COLLECTION = 450
+#: Most bytes in one symbol: of the numbers that divide the width, the largest up to this is the stride. A string becomes as
+#: many strings as the stride says, one for each place of its end, and rounds become fewer.
+STRIDE = 10
 _KINDS = ["<i8", "<u4", "<i4", "u1", "<u2", "u1", "u1", "?"]
 _CODE = S.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -61,6 +62,14 @@ def _range_mins(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarra
     return out
 
 
+def _order(values: np.ndarray) -> np.ndarray:
+    """A stable order; wide values go by their halves, as sorts of 16 bits count instead of comparing."""
+    if values.dtype == np.uint16:
+        return np.argsort(values, kind="stable")
+    low = np.argsort(values.astype(np.uint16), kind="stable")
+    return low[np.argsort((values >> np.uint32(16)).astype(np.uint16)[low], kind="stable")]
+
+
 def collection_bwt(symbols: np.ndarray, at: np.ndarray, length: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """Transform and common prefixes (up to ``cap``) of all suffixes of the strings symbols[at:at + length] (values from 1).
 
@@ -78,9 +87,9 @@ def collection_bwt(symbols: np.ndarray, at: np.ndarray, length: np.ndarray, cap:
             bwt, lcp = bwt_file.read(), lcp_file.read()
             going = length[string] >= j
             place, string = place[going], string[going]
-            order = np.argsort(bwt, kind="stable")
+            order = _order(bwt)
             zeros = int(np.count_nonzero(bwt == 0))
-            by_symbol = np.argsort(bwt[place], kind="stable")
+            by_symbol = _order(bwt[place])
             place, string = place[by_symbol], string[by_symbol]
             newest = np.zeros(len(bwt), bool)
             newest[place] = True
@@ -114,29 +123,43 @@ def collection_bwt(symbols: np.ndarray, at: np.ndarray, length: np.ndarray, cap:
         lcp_file.close()
 
 
+def _numbered(tokens: np.ndarray, at: np.ndarray, stride: int) -> np.ndarray:
+    """Numbers, from 1, of the symbols of ``stride`` bytes at these places: equal ones for equal symbols, in the order of a hash.
+
+    Any order of symbols makes a transform whose equal rows lie together. Each symbol is compared with the one that gave
+    its number; should two share a hash, the bytes themselves are sorted.
+    """
+    codes = np.zeros(len(at), np.uint64)
+    for lo in range(0, stride, 8):
+        code = np.zeros(len(at), np.uint64)
+        for i in range(lo, min(lo + 8, stride)):
+            code = code << np.uint64(8) | tokens[at + i]
+        codes = S.mix(codes * np.uint64(0x9E3779B97F4A7C15) + code)
+    seen, one, number = np.unique(codes, return_index=True, return_inverse=True)
+    if any((tokens[at + i] != tokens[at[one] + i][number]).any() for i in range(stride)):
+        wide = np.stack([tokens[at + i] for i in range(stride)], axis=1)
+        seen, number = np.unique(wide, axis=0, return_inverse=True)
+    return (number.ravel() + 1).astype(np.uint16 if len(seen) < 65_535 else np.uint32)
+
+
 def _equal_windows(strings: S.Strings, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window of one collection: does the same string also start earlier in it, and is it there more than once?
 
     ``weight``: how many equal strings each one stands for; it is the earliest of them.
     """
-    width, m = strings.width // STRIDE, len(strings)
+    stride = max(d for d in range(1, STRIDE + 1) if strings.width % d == 0)
+    width, m = strings.width // stride, len(strings)
     size = strings.n + strings.width - 1
     at, length, end = [], [], []
-    for phase in range(STRIDE):
-        length.append((size - phase) // STRIDE)
+    for phase in range(stride):
+        length.append((size - phase) // stride)
         end.append(strings.at + size - phase)
-        at.append(end[-1] - STRIDE * length[-1])
+        at.append(end[-1] - stride * length[-1])
     at, length = np.concatenate(at), np.concatenate(length)
-    first_byte = np.repeat(at, length) + STRIDE * S.ranges(np.zeros(len(at), np.int64), length)
-    wide = np.zeros(len(first_byte), np.uint32)
-    for i in range(STRIDE):
-        wide = wide << np.uint32(8) | strings.tokens[first_byte + i]
-    # Numbers of the symbols that occur, in their order; 0 stands before the start of a string.
-    seen, symbols = np.unique(wide, return_inverse=True)
-    symbols = (symbols + 1).astype(np.uint16 if len(seen) < 65_535 else np.uint32)
+    symbols = _numbered(strings.tokens, np.repeat(at, length) + stride * S.ranges(np.zeros(len(at), np.int64), length), stride)
     bwt, lcp = collection_bwt(symbols, np.cumsum(length) - length, length, width)
     following = np.empty(len(bwt), np.int64)
-    following[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    following[_order(bwt)] = np.arange(len(bwt))
     first = np.cumsum(strings.n) - strings.n
     row_of = np.empty(int(strings.n.sum()), np.int64)
     rows, string = np.arange(len(at)), np.arange(len(at))
@@ -144,7 +167,7 @@ def _equal_windows(strings: S.Strings, weight: np.ndarray) -> tuple[np.ndarray,
         going = length[string] >= j
         rows, string = following[rows[going]], string[going]  # starts sort before all else, as the empty suffixes do
         if j >= width:
-            row_of[first[string % m] + size[string % m] - string // m - STRIDE * j] = rows
+            row_of[first[string % m] + size[string % m] - string // m - stride * j] = rows
     same = lcp >= width
     group = np.cumsum(~same)
     of_window = np.repeat(np.arange(m), strings.n)

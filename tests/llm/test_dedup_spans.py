@@ -153,6 +153,22 @@ def test_repeats_come_from_the_transform(monkeypatch):
     assert set(flagged) <= set(weights) and max(weights.values()) >= 4 and 0 < len(weights) < len(strings)
 
 
+def test_symbols_that_share_a_hash(monkeypatch):
+    tokens = np.frombuffer(b"abcdefghijabcdefghikabcdefghij", np.uint8)
+    at = np.array([0, 10, 20])
+    assert D._numbered(tokens, at, 10).tolist() in ([1, 2, 1], [2, 1, 2])
+    monkeypatch.setattr(D.S, "mix", lambda h: h * np.uint64(0))
+    assert D._numbered(tokens, at, 10).tolist() == [1, 2, 1]
+    wide = np.array([70_000, 5, 65_536 + 5, 70_000, 0], np.uint32)
+    assert D._order(wide).tolist() == [4, 1, 2, 0, 3]
+
+
+@pytest.mark.parametrize("width", [64, 101, 130])
+def test_other_widths(spark, awkward, width):
+    out = dedup_suffixes(frame(spark, awkward), width).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert {r[0]: tuple(r[1:]) for r in out} == brute_bytes(awkward, width)
+
+
 @pytest.mark.parametrize("carried", [1 << 20, 3000])
 def test_crowded_minimisers_are_carried(spark, monkeypatch, carried):
     """A passage in every document, in many blocks of one task: later blocks settle theirs against what was carried."""
