@@ -3,13 +3,14 @@
 Test items, normalised to words, form one generalised suffix automaton. Training words stream through it while the
 length of the longest match that ends at each word is tracked; where it reaches the window's length (or a whole
 shorter item ends), the words of that match are hit. Words outside the benchmark's word pairs can't extend a match
-and are passed over in bulk. Items are taken ``BLOCK`` words at a time: each automaton, and so what is broadcast at
-once, has that bound whatever the benchmark's size, and documents pass through the automata one after another.
+and are passed over in bulk. Items are taken in blocks of about ``BLOCK`` bytes of text, by hash: only one block's texts
+are with the driver or broadcast at a time, and tasks build its automaton. Up to one block, the usual case, documents
+are read once; each further block is another pass whose findings are written, by the digest of the text.
 """
 
 from __future__ import annotations
 
-import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,11 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_bytes, written
 
-WINDOW, BLOCK = 10, 1_000_000
-#: Characters of documents whose words a task holds together.
-SOME = 1 << 20
+WINDOW, BLOCK = 10, 2 << 20
 _LETTERS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
@@ -44,6 +43,7 @@ class Automaton:
     shortest: int
     short: list[tuple[int, ...]]  # items under one window that end here as a whole, longest first
     items: dict[int, frozenset[int]]  # state of a full window -> items that hold it
+    full: list[int]  # state of the last window of any longer match
     item_ids: list
     sizes: list[int]
 
@@ -89,7 +89,10 @@ class Automaton:
             for c in codes:
                 state = extend(state, c)
             pairs.update(zip(codes, codes[1:], strict=False))
-        made = cls(vocab, np.unique(np.array([a * len(vocab) + b for a, b in pairs], np.int64)), nxt, link, length, window, 0, [()] * len(nxt), {}, [i for i, _ in items], [len(w) for _, w in items])
+        made = cls(vocab, np.unique(np.array([a * len(vocab) + b for a, b in pairs], np.int64)), nxt, link, length, window, 0, [()] * len(nxt), {}, [0] * len(nxt), [i for i, _ in items], [len(w) for _, w in items])
+        by_length = sorted(range(1, len(nxt)), key=length.__getitem__)
+        for s in by_length:
+            made.full[s] = s if length[link[s]] < window else made.full[link[s]]
         # Once all items are in, walk each again: where it ends if short, and whose window each window's state is.
         ends: dict[int, list[int]] = {}
         held: dict[int, set[int]] = {}
@@ -102,9 +105,9 @@ class Automaton:
             else:
                 for state, n, _ in made.walk(codes):
                     if n >= window:
-                        held.setdefault(made.window_state(state), set()).add(i)
+                        held.setdefault(made.full[state], set()).add(i)
         made.items = {s: frozenset(x) for s, x in held.items()}
-        for s in sorted(range(1, len(nxt)), key=length.__getitem__):
+        for s in by_length:
             made.short[s] = (*ends.get(s, ()), *made.short[link[s]])
         made.shortest = min([n if n < window else window for n in made.sizes if n], default=window)
         return made
@@ -123,17 +126,11 @@ class Automaton:
                 n = 0
             yield state, n, at
 
-    def window_state(self, state: int) -> int:
-        """The state of the last ``window`` words of a match that is at least so long."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
     def match(self, words: list[bytes], limit: int) -> tuple[np.ndarray, set[int], int]:
         """Which words are hit, the items found, and the longest match. Matches reach over ``limit`` words or a whole short item."""
         get, n = self.vocab.get, len(words)
         code = np.fromiter((get(w, -1) for w in words), np.int64, n)
-        hit, found, longest = np.zeros(n, bool), set(), 0
+        step, found, longest = np.zeros(n + 1, np.int64), set(), 0  # where hits begin and end
         # Runs of words in which each adjacent pair is some item's; a match lies inside one run.
         known = code >= 0
         joined = np.zeros(n + 1, bool)
@@ -148,30 +145,51 @@ class Automaton:
             for state, m, at in self.walk(code[a:b].tolist()):
                 if m >= limit:
                     longest = max(longest, m)
-                    hit[a + at + 1 - m : a + at + 1] = True
-                    found |= self.items.get(self.window_state(state), frozenset())
+                    step[a + at + 1 - m] += 1
+                    step[a + at + 1] -= 1
+                    found |= self.items.get(self.full[state], frozenset())
                 for i in self.short[state]:
                     if self.sizes[i] <= m:
                         longest = max(longest, self.sizes[i])
-                        hit[a + at + 1 - self.sizes[i] : a + at + 1] = True
+                        step[a + at + 1 - self.sizes[i]] += 1
+                        step[a + at + 1] -= 1
                         found.add(i)
-        return hit, found, longest
+        return np.cumsum(step[:-1]) > 0, found, longest
+
+
+FOUND = "n_words long, n_hit long, longest long, items array<string>, hits array<struct<start:long,stop:long>>"
+_built: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, items: list[tuple[object, str]], window: int) -> Automaton:
+    """Of one block; a worker process keeps the last."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Automaton.of([(i, words_of(t)) for i, t in items], window)
+    return _built[name]
+
+
+def _matcher(spark: SparkSession, items: DataFrame, window: int):
+    """A function of texts, in the tasks, that tells what the block ``items`` (item_id, text) hits in each."""
+    block = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()])
+    name = uuid.uuid4().hex
+
+    def some(texts: pd.Series, a: Automaton | None) -> list[tuple]:
+        out = []
+        for text in texts:
+            words = words_of(text)
+            hit, found, longest = a.match(words, window) if a else (np.zeros(len(words), bool), set(), 0)
+            runs = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8))).reshape(-1, 2).tolist()
+            ids = sorted({str(a.item_ids[x]) for x in found if a.item_ids[x] is not None}) if found else []
+            out.append((len(words), int(hit.sum()), longest, ids, [{"start": s, "stop": e} for s, e in runs]))
+        return out
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        a = _automaton(name, block.value, window) if block.value else None
+        for texts in batches:
+            yield pd.DataFrame(some(texts, a), columns=["n_words", "n_hit", "longest", "items", "hits"])
 
-def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """Items of about ``size`` words together; the driver holds one block at a time."""
-    block, n = [], 0
-    for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        words = words_of(row["text"])
-        if not words:
-            continue
-        if block and n + len(words) > size:
-            yield block
-            block, n = [], 0
-        block.append((row["item_id"], words))
-        n += len(words)
-    if block:
-        yield block
+    return F.pandas_udf(run, FOUND), block
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -180,43 +198,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     A word is hit if it lies in an occurrence of ``window`` consecutive words of an item, or of a whole shorter item.
     Null or wordless texts have no words, null or wordless items no windows; an empty benchmark hits nothing. Repeated
-    items are found together. Null item_ids count for hits but are not listed.
+    items are found together. Null item_ids count for hits but are not listed. ``block``: bytes of items taken together.
     """
+    spark = docs.sparkSession
     added = ("n_words", "n_hit", "longest", "items", "hits")
     cols = [c for c in docs.columns if c not in added]
-    sc = docs.sparkSession.sparkContext
-    automata = [sc.broadcast(pickle.dumps(Automaton.of(b, window))) for b in _blocks(benchmark, block)]
-
-    def some(texts: pd.Series, alone: Automaton | None) -> list[tuple]:
-        words = [words_of(t) for t in texts]
-        hits = [np.zeros(len(w), bool) for w in words]
-        items: list[set] = [set() for _ in words]
-        longest = [0] * len(words)
-        for a in automata:  # one in memory at a time
-            automaton = alone or pickle.loads(a.value)
-            for i, w in enumerate(words):
-                hit, found, most = automaton.match(w, window)
-                hits[i] |= hit
-                items[i] |= {str(automaton.item_ids[x]) for x in found if automaton.item_ids[x] is not None}
-                longest[i] = max(longest[i], most)
-        runs = [np.flatnonzero(np.diff(np.concatenate([[0], h, [0]]).astype(np.int8))).reshape(-1, 2).tolist() for h in hits]
-        return [(len(w), int(h.sum()), m, sorted(x), [{"start": s, "stop": e} for s, e in r]) for w, h, m, x, r in zip(words, hits, longest, items, runs, strict=True)]
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        alone = pickle.loads(automata[0].value) if len(automata) == 1 else None
-        for texts in batches:
-            rows, lo = [], 0
-            while lo < len(texts):  # some documents' words at a time
-                hi, n = lo, 0
-                while hi < len(texts) and n < SOME:
-                    n, hi = n + len(texts.iloc[hi] or ""), hi + 1
-                rows += some(texts.iloc[lo:hi], alone)
-                lo = hi
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "longest", "items", "hits"])
-
-    matched = F.pandas_udf(run, "n_words long, n_hit long, longest long, items array<string>, hits array<struct<start:long,stop:long>>")
-    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("doc"), matched("text").alias("found"))
-    return out.select("doc.*", "found.*")
+    items = benchmark.select("item_id", "text").where("text is not null")
+    n = max(1, -(-text_bytes(items) // block))
+    of_block = lambda b: items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n)) == b)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("doc"), "text")
+    if n == 1:
+        matched, _ = _matcher(spark, items, window)
+        return whole.select("doc", matched("text").alias("found")).select("doc.*", "found.*")
+    # What a text hits depends on the text alone: findings of all passes meet by its digest. Only texts with hits take part.
+    digest = F.sha2("text", 256).alias("digest")
+    passes = []
+    for b in range(n):
+        matched, block_ = _matcher(spark, of_block(b), window)
+        passes.append(written(whole.where("text is not null").select(digest, matched("text").alias("found")).where("found.n_hit > 0").select("digest", "found.longest", "found.items", "found.hits").dropDuplicates(["digest"])))
+        block_.destroy()
+    every = passes[0]
+    for p in passes[1:]:
+        every = every.unionByName(p)
+    both = every.groupBy("digest").agg(F.max("longest").alias("longest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    last = lambda acc: F.element_at(acc, -1)
+    # Runs in order, those that touch or overlap made one.
+    union = F.aggregate("hits", F.array().cast("array<struct<start:long,stop:long>>"), lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.when(F.size(acc) > 0, last(acc)["stop"])), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x))))
+    both = both.withColumn("hits", union)
+    n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), lambda w: w != "")).cast("long")
+    out = whole.withColumn("digest", F.sha2("text", 256)).join(both, "digest", "left")
+    zero = F.lit(0).cast("long")
+    n_hit = F.aggregate("hits", zero, lambda acc, x: acc + x["stop"] - x["start"])
+    return out.select("doc.*", n_words.alias("n_words"), F.coalesce(n_hit, zero).alias("n_hit"), F.coalesce("longest", zero).alias("longest"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", F.array().cast("array<struct<start:long,stop:long>>")).alias("hits"))
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
@@ -239,3 +252,13 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+OP5_SQL = f"""WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bg AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[i:i + least(len(w), {WINDOW}) - 1], ' ') AS g FROM b, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS t(i) WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+h AS (SELECT DISTINCT x.r, x.i, x.n, bg.item_id FROM (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM bg) AS ns, unnest(range(1, len(w) - n + 2)) AS t(i)) AS x JOIN bg ON bg.n = x.n AND bg.g = x.g),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT DISTINCT r, i, n FROM h), unnest(range(i, i + n)) AS t(p) GROUP BY r),
+ids AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated FROM d LEFT JOIN hit ON hit.r = d.r LEFT JOIN ids ON ids.r = d.r"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontaminate import op5_benchmark_decontamination
+from .decontaminate import OP5_SQL, op5_benchmark_decontamination
 from .language import op10_language_id
 from .neighbours import op9_one_bit_neighbours
 from .packing import op6_packing
@@ -14,8 +14,8 @@ from .pseudonyms import op3_pseudonyms
 from .secrets import OP4_SQL, op4_secret_scan
 from .sharding import op7_uniform_shards
 from .simhash import op2_simhash_near_dedup
-from .substring_dedup import op1_substring_dedup
-from .suffix_dedup import op8_suffix_dedup
+from .substring_dedup import OP1_SQL, op1_substring_dedup
+from .suffix_dedup import OP8_SQL, op8_suffix_dedup
 
 QUERIES = (
     op1_substring_dedup,
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": OP4_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_secret_scan": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL, "op8_suffix_dedup": OP8_SQL}

@@ -145,3 +145,10 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFra
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS g FROM d, unnest(range(1, len(w) - {WIDTH} + 2)) AS t(i)),
+gone AS (SELECT DISTINCT r, p FROM (SELECT g.r, g.i FROM g JOIN (SELECT g, min(doc_id) AS first FROM g GROUP BY g) AS f ON f.g = g.g WHERE f.first < g.doc_id), unnest(range(i, i + {WIDTH})) AS t(p)),
+k AS (SELECT x.r, count(gone.r) AS n_removed, string_agg(x.word, ' ' ORDER BY x.p) FILTER (WHERE gone.r IS NULL) AS kept FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) AS x LEFT JOIN gone ON gone.r = x.r AND gone.p = x.p GROUP BY x.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.r = d.r"""

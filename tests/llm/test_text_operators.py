@@ -187,7 +187,7 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), sorted(found), sorted(hit)
 
 
-@pytest.mark.parametrize("block", [60, D.BLOCK])
+@pytest.mark.parametrize("block", [200, D.BLOCK])
 def test_decontamination(spark, block):
     r = random.Random(2)
     say = lambda n: " ".join(r.choice(["a", "B", "é", "c1", "d"]) + r.choice(["", ".", ", "]) for _ in range(n))
