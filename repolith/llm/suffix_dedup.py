@@ -318,8 +318,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Bytes as two hexadecimal digits each, as DuckDB cuts texts by characters.
 OP8_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-c AS (SELECT r, doc_id, 1000 * c AS at, substr(h, 2000 * c + 1, {2 * (1000 + WIDTH - 1)}) AS s FROM d, unnest(range(0, length(h) // 2000 + 1)) AS t(c)),
-g AS (SELECT r, doc_id, at + j AS i, md5(substr(s, 2 * j + 1, {2 * WIDTH})) AS g FROM c, unnest(range(0, length(s) // 2 - {WIDTH - 1})) AS t(j)),
+c AS (SELECT r, doc_id, 1000 * c AS b, substr(h, 2000 * c + 1, {2 * (1000 + WIDTH - 1)}) AS s FROM d, unnest(range(0, length(h) // 2000 + 1)) AS t(c)),
+g AS (SELECT r, doc_id, b + j AS i, md5(substr(s, 2 * j + 1, {2 * WIDTH})) AS g FROM c, unnest(range(0, length(s) // 2 - {WIDTH - 1})) AS t(j)),
 again AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
 run AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > {WIDTH}, true) AS new FROM again),
 span AS (SELECT r, s, min(i) AS a, max(i) + {WIDTH} AS b FROM (SELECT r, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS s FROM run) GROUP BY r, s),
