@@ -83,10 +83,10 @@ def unseen(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     if ledger is None:
         return blobs.dropDuplicates(["blob"]).withColumn("seen", none)
     names = F.array(*(F.lit(r.name) for r in rules))
-    # What is known in full is left out before texts are gathered by blob.
     known = ledger.select("blob", F.col("scanned").alias("seen"))
-    full = known.where(F.size(F.array_except(names, "seen")) == 0).select("blob")
-    return blobs.join(full, "blob", "left_anti").dropDuplicates(["blob"]).join(known, "blob", "left").withColumn("seen", F.coalesce("seen", none))
+    # Each task keeps one row of a content before it is moved: copies don't meet.
+    due = blobs.dropDuplicates(["blob"]).join(known, "blob", "left").withColumn("seen", F.coalesce("seen", none))
+    return due.where(F.size(F.array_except(names, "seen")) > 0)
 
 
 def scan(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
