@@ -89,11 +89,11 @@ def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     r = random.Random(1)
     rows = [(i, [r.gauss(0, 1) for _ in range(3)]) for i in range(1, 12)]
-    rows += [(0, [1.0, 2.0, 3.0]), (20, [0.0, 0.0, 0.0]), (40, None), (60, [1.0, None, 2.0]), (80, [nan, 1.0, 1.0]), (100, [inf, 1.0, 1.0]), (120, [1.0, 2.0]), (140, []), (None, [1.0, 1.0, 1.0])]
+    rows += [(0, [1.0, 2.0, 3.0]), (20, [0.0, 0.0, 0.0]), (40, None), (60, [1.0, None, 2.0]), (80, [nan, 1.0, 1.0]), (100, [inf, 1.0, 1.0]), (120, [1.0, 2.0]), (121, [3.0, 1.0]), (140, []), (None, [1.0, 1.0, 1.0])]
     rows += [(13, [5.0, 5.0, 5.0]), (12, [5.0, 5.0, 5.0]), (12, [5.0, 5.0, 5.0])]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "id long, vector array<double>, block int")
-    out = N.search(frame, frame.where("id % 20 = 0"), 20).collect()
-    assert [x["query_id"] for x in out] == [0] * 13 and [x["vec_id"] for x in out[:2]] == [12, 13]
+    out = N.search(frame, frame.where("id % 20 = 0"), 20).orderBy("query_id", "rank").collect()
+    assert [x["query_id"] for x in out] == [0] * 13 + [120] and [x["vec_id"] for x in out[:2]] == [12, 13] and out[-1]["vec_id"] == 121
     assert N.search(frame.limit(0), frame).count() == N.search(frame, frame.limit(0)).count() == 0
     few = N.search(frame, frame.where("id = 3"), 2).collect()
     assert [x["rank"] for x in few] == [1, 2]
@@ -115,3 +115,20 @@ def test_query_shuffles_whole_documents(spark, sf, monkeypatch):
     monkeypatch.setattr(H, "shuffle_into_shards", lambda rows, *a, **k: seen.append(rows.columns) or own(rows, *a, **k))
     H.op7_uniform_shards(spark, sf)
     assert seen == [spark.read.parquet(f"{sf}/documents.parquet").columns]
+
+
+def test_groups_of_blocks_and_queries(spark, monkeypatch):
+    """Many small blocks of both sides, ties and copies: as good as brute force where the bound is wide."""
+    monkeypatch.setattr(N, "FIRST", 3)
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.standard_normal(16).round(2) for i in range(400)}
+    for i in range(100, 140):
+        vectors[i] = vectors[100]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, vector array<double>")
+    got = {}
+    for r in N.search(frame, frame.where("id % 20 = 0"), 20, epsilon=9.0, block_rows=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    for q, found in got.items():
+        want = sorted(((-round(float(vectors[q] @ v), 9), i) for i, v in vectors.items() if i != q))[:20]
+        assert [s for _, s in found] == [-s for s, _ in want] and len(found) == 20
+    assert len(got) == 20
