@@ -74,9 +74,9 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bodies = [t.encode() for t in batch["text"]]
-            fp = np.fromiter((simhash.fingerprint(b, words) for b in bodies), np.uint64, len(bodies))
-            yield pd.DataFrame({"doc": batch["doc"], "node": batch["node"], "fp": fp.view(np.int64), "bands": [bands(shingles(b, words)) for b in bodies]})
+            found = [(simhash.fingerprint(b, words), bands(shingles(b, words))) for b in (t.encode() for t in batch["text"])]
+            fp = np.array([x for x, _ in found], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc": batch["doc"], "node": batch["node"], "fp": fp, "bands": [x for _, x in found]})
 
     return docs.select("doc", "node", "text").mapInPandas(run, "doc long, node long, fp long, bands array<long>")
 

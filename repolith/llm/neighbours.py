@@ -130,10 +130,10 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, epsil
         return build_index(once.withColumn("dim", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), seed)
 
     found, asked = usable(vectors), usable(queries)
-    total = found.count()
-    m = max(1, -(-asked.count() // block_rows))
-    n = max(1, -(-total // block_rows), min(parts(spark), total // 1024))
-    groups = max(-(-n // GROUP), min(n, -(-parts(spark) // m)))
+    # Few groups, so that the score to reach rises from block to block; small tables make more tasks by their queries.
+    n = max(1, -(-found.count() // block_rows))
+    groups, rows = -(-n // GROUP), asked.count()
+    m = max(1, -(-rows // block_rows), min(-(-parts(spark) // groups), rows // 256))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
     index = blocked(found, n).withColumn("part", F.pmod("block", F.lit(groups))).withColumn("query_block", every(m))
     packed = blocked(asked, m).select("dim", F.col("block").alias("query_block"), "ids", "vectors").withColumn("part", every(groups))
