@@ -14,11 +14,20 @@ from pyspark.sql import functions as F
 from repolith.llm import decontaminate, language, near_texts, packing, pseudonyms
 from repolith.llm.common import NO_ID, table, written
 
-#: The stage compares five-word shingles. Fingerprints within the radius are candidates, as are texts that share a MinHash
+#: The near-duplicate stage compares five-word shingles. Fingerprints within the radius are candidates, as are texts that share a MinHash
 #: band; only an exact similarity of 0.8 or more links them.
 NEAR_WORDS, NEAR_RADIUS = 5, 6
 
 
+#: Rows that travel to a Python task at a time. Documents are long: ten thousand of them, the session's own number, take a
+#: good part of an executor's memory in each of its tasks.
+BATCH = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def _columns(frame: DataFrame, docs: DataFrame) -> DataFrame:
     return frame.select(*(F.col(f"`{c}`") for c in docs.columns))
 
@@ -29,6 +38,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Only those have no language (``und``). A low score rejects nothing: the nearest language is still the best guess.
     If no row has both a label and a text there is no model, and everything is rejected.
     """
+    _small_batches(spark)
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
     found = language.identify(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
     return _columns(found.withColumn("lang", F.col("lang_pred")), docs)
@@ -40,12 +50,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat a doc_id are one document to this stage. A row without a doc_id stays only if no row of its
     group has one.
     """
+    _small_batches(spark)
     groups = near_texts.near_texts(docs, NEAR_WORDS, NEAR_RADIUS)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_kept")).distinct()
     return _columns(docs.join(kept, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_kept"), "left_semi"), docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -54,6 +66,7 @@ def mask_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
