@@ -66,7 +66,8 @@ def training_sample(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     pieces reach the bound. So no language with a text is without a piece, and the sample passes the bound by one slot
     at most: a piece, or one part in ``SLOTS`` ** 2 of all that a language has.
     """
-    pieces = labelled.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("text"))
+    cut = F.when(F.octet_length("text") <= PIECE, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    pieces = labelled.select("lang", F.explode(cut).alias("text"))
     slot = lambda h: F.pmod(h, F.lit(SLOTS * SLOTS)).cast("int")
     sizes = pieces.select("lang", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes")).distinct()
     fine = written(sizes.groupBy("lang", slot(F.col("hash")).alias("slot")).agg(F.sum("bytes").alias("bytes")))

@@ -12,7 +12,7 @@ import json
 import os
 from collections import deque
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -84,15 +84,23 @@ class _Tokenizer:
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        words = self.model.get_vocab()
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        self.ranks = self._by_rank(kind)
+        words = kind["model"]["vocab"] if self.ranks is not None else self.model.get_vocab()
+        words = words | {t["content"]: t["id"] for t in kind["added_tokens"]}
         marks = {c for c in ".?!"} | {"Ċ"}  # as byte-level vocabularies write a line break
         self.stops = np.zeros(max(words.values(), default=0) + 2, bool)
         self.stops[[i for w, i in words.items() if w and w[-1] in marks]] = True
-        self.ranks = self._by_rank(json.loads(self.model.to_str()))
+
+    @cached_property
+    def model(self):
+        """The file in its own library; a worker that never needs it doesn't hold it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _by_rank(self, kind: dict):
         import tiktoken
