@@ -21,7 +21,7 @@ NEAR_WORDS, NEAR_RADIUS = 5, 6
 
 #: Rows that travel to a Python task at a time. Documents are long: ten thousand of them, the session's own number, take a
 #: good part of an executor's memory in each of its tasks.
-BATCH = 1000
+BATCH = 500
 
 
 def _small_batches(spark: SparkSession) -> None:
