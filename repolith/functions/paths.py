@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +12,12 @@ from . import rules as R
 
 
 def starts(path: Column, prefixes: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, (path.startswith(p) for p in prefixes))
+    """One pattern for all of them: a small expression, however many filters and windows repeat it."""
+    return path.rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")")
 
 
 def holds(text: Column, words: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+    return text.rlike("|".join(map(re.escape, words)))
 
 
 def ext_rsplit(basename: Column) -> Column:
@@ -30,19 +31,27 @@ def ext_splitext(path: Column) -> Column:
 
 
 def path_features(files: DataFrame) -> DataFrame:
-    """``files`` with path_lower, basename, ext, ext_os, depth and top (first folder, blank at the root)."""
+    """``files`` with path_lower, basename, ext, ext_os, depth and top (first folder, blank at the root).
+
+    They are made by a generator of one row, into which the optimizer writes no later filter: each is computed once, where
+    a projection would be repeated in every condition and window that reads it, until the code is too large to compile.
+    """
     low = F.lower("path")
     base = F.substring_index(low, "/", -1)
-    return files.withColumns(
-        {
-            "path_lower": low,
-            "basename": base,
-            "ext": ext_rsplit(base),
-            "ext_os": ext_splitext(low),
-            "depth": F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit(""))),
-            "top": F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise(F.lit("")),
-        }
-    )
+    made = {
+        "path_lower": low,
+        "basename": base,
+        "ext": ext_rsplit(base),
+        "ext_os": ext_splitext(low),
+        "depth": F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit(""))),
+        "top": F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise(F.lit("")),
+    }
+    return files.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
+
+
+def with_bucket(features: DataFrame, bucket: Column) -> DataFrame:
+    """Those files of path_features that have a bucket, computed once in the same way."""
+    return features.select("*", F.inline(F.array(F.struct(bucket.alias("bucket"))))).where("bucket is not null")
 
 
 def readme_priority(path: Column, nested_last: bool = False) -> Column:
@@ -54,11 +63,6 @@ def readme_priority(path: Column, nested_last: bool = False) -> Column:
     return out.otherwise(2)
 
 
-def _named(kind: Column) -> Column:
-    """A choice that later filters take as one value. Filters would else be rewritten branch by branch, and grow with each."""
-    return F.concat(kind, F.lit(""))
-
-
 def is_source_file(exts: Iterable[str], skip_folders: Iterable[str] = R.SKIP_FOLDERS, skip_names: Iterable[str] = R.SKIP_NAMES) -> Column:
     """Over the columns of path_features."""
     return F.col("ext").isin(*exts) & ~starts(F.col("path_lower"), skip_folders) & ~F.col("basename").isin(*skip_names)
@@ -68,7 +72,7 @@ def preprocessing_bucket() -> Column:
     """named, folder or generic; null where the file does not count."""
     counts = ~starts(F.col("path_lower"), R.PREPROCESSING_SKIP) & F.col("ext_os").isin(*R.PREPROCESSING_EXTS)
     kind = F.when(F.col("basename").rlike(R.PREPROCESSING_NAME), "named").when(starts(F.col("path_lower"), R.PREPROCESSING_FOLDERS), "folder").otherwise("generic")
-    return _named(F.when(counts, kind))
+    return F.when(counts, kind)
 
 
 def api_docs_bucket(rule_based: bool = True) -> Column:
@@ -77,7 +81,7 @@ def api_docs_bucket(rule_based: bool = True) -> Column:
     page = F.col("ext").isin(*R.DOC_EXTS, *(R.HTML_EXTS if rule_based else ()))
     first = F.when(F.col("basename").startswith("readme"), "readme") if rule_based else F.when(F.lit(False), "")
     in_folder = F.when(page, "page")
-    return _named(first.when(named, "config").when(starts(F.col("path_lower"), R.DOC_FOLDERS), in_folder).when(is_source_file(R.API_SOURCE_EXTS), "source"))
+    return first.when(named, "config").when(starts(F.col("path_lower"), R.DOC_FOLDERS), in_folder).when(is_source_file(R.API_SOURCE_EXTS), "source")
 
 
 def usage_bucket() -> Column:
@@ -87,4 +91,4 @@ def usage_bucket() -> Column:
     kind = F.when(F.col("ext") == ".ipynb", "notebook")
     kind = kind.when(F.col("path_lower").isin(*R.USAGE_NAMES) | F.col("basename").isin(*R.USAGE_NAMES), "doc")
     kind = kind.when(starts(F.col("path_lower"), R.EXAMPLE_FOLDERS), folder)
-    return _named(kind.when(script & holds(F.col("basename"), R.EXAMPLE_WORDS), "script"))
+    return kind.when(script & holds(F.col("basename"), R.EXAMPLE_WORDS), "script")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.paths import path_features, preprocessing_bucket, readme_priority, usage_bucket
+from ..functions.paths import path_features, preprocessing_bucket, readme_priority, starts, usage_bucket, with_bucket
 
 
 def _ranked(frame: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
@@ -53,17 +53,10 @@ def top_n_per_bucket(files: DataFrame, caps: dict[str, int], keep_others: bool =
 
 def api_page_order(files: DataFrame, n: int = R.MAX_DOC_PAGES) -> DataFrame:
     """Of path_features rows: the first ``n`` documentation pages, those of reference folders before all others."""
-    strong = F.when(_starts_any(R.STRONG_DOC_FOLDERS), 0).otherwise(1)
+    strong = F.when(starts(F.col("path_lower"), R.STRONG_DOC_FOLDERS), 0).otherwise(1)
     return _ranked(files, ["repo_key"], [strong, "path_lower", "seq"], "rank").where(F.col("rank") <= n)
 
 
-def _starts_any(prefixes: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | F.col("path_lower").startswith(p)
-    return out
-
-
 def round_robin_sample(files: DataFrame, n: int) -> DataFrame:
     """Of path_features rows: one file of each top folder in turn, the root's first, then folders by name; rank 1 to ``n``."""
     turns = _ranked(files, ["repo_key", "top"], ["path_lower", "seq"], "round").where(F.col("round") <= n)
@@ -146,10 +139,10 @@ def link_files(entries: DataFrame, entry: str = "entry") -> DataFrame:
 
 def example_meta(files: DataFrame) -> DataFrame:
     """repo_key, path, kind, place: all notebooks, then all scripts, whether a budget has room for them or not."""
-    found = path_features(files).withColumn("kind", usage_bucket()).where("kind in ('notebook', 'script')")
+    found = with_bucket(path_features(files), usage_bucket()).withColumnRenamed("bucket", "kind").where("kind in ('notebook', 'script')")
     return _ranked(found, ["repo_key"], [F.col("kind") != "notebook", "depth", "path_lower", "seq"], "place").select("repo_key", "path", "kind", "place")
 
 
 def preprocessing_candidates(files: DataFrame) -> DataFrame:
-    found = path_features(files).withColumn("bucket", preprocessing_bucket())
+    found = with_bucket(path_features(files), preprocessing_bucket())
     return top_n_per_bucket(found.where("bucket is not null"), {b: n for b, (n, _, _) in R.PREPROCESSING_BUCKETS.items()})

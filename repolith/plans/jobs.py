@@ -9,7 +9,7 @@ from ..functions import answers as A
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions.parsers import python_docstrings
-from ..functions.paths import api_docs_bucket, is_source_file, path_features, readme_priority, starts, usage_bucket
+from ..functions.paths import api_docs_bucket, is_source_file, path_features, readme_priority, starts, usage_bucket, with_bucket
 from ..operators import activity, files as fl, papers as pp, summary
 
 
@@ -21,7 +21,7 @@ def api_docs_candidates(files: DataFrame, rule_based: bool = True) -> DataFrame:
 
     One pass over the listing: all ranks are windows over one partitioning by repository.
     """
-    found = path_features(files).withColumn("bucket", api_docs_bucket(rule_based)).where("bucket is not null")
+    found = with_bucket(path_features(files), api_docs_bucket(rule_based))
     strong = F.when(starts(F.col("path_lower"), R.STRONG_DOC_FOLDERS), 0).otherwise(1)
     key = F.when(F.col("bucket") == "readme", 0).otherwise(F.col("depth") if rule_based else strong)
     folder, bucket = Window.partitionBy("repo_key", "bucket", "top"), Window.partitionBy("repo_key", "bucket")
@@ -238,7 +238,7 @@ def build_payloads(files: DataFrame, contents: DataFrame, check: str) -> DataFra
         cut, label = fl.char_budget(fl.attach_contents(chosen, contents), R.INSTALL_CHARS, None, "first", "seq"), F.lit("FILE")
         order, tokens = ("first", "seq"), (1_000, 1_000)
     elif check == "usage":
-        chosen = fl.top_n_per_bucket(feats.withColumn("bucket", usage_bucket()).where("bucket is not null"), {"notebook": R.MAX_NOTEBOOKS, "script": R.MAX_SCRIPTS}, keep_others=True)
+        chosen = fl.top_n_per_bucket(with_bucket(feats, usage_bucket()), {"notebook": R.MAX_NOTEBOOKS, "script": R.MAX_SCRIPTS}, keep_others=True)
         cut = fl.staged_budget(chosen, contents)
         label = F.when(F.col("bucket") == "doc", "FILE").otherwise(F.upper("bucket"))
         order, tokens = ("place", "first", "seq"), (4_000, 8_000)
