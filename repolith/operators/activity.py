@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from .papers import attach
 from .files import latest_n
 
 
@@ -71,7 +72,7 @@ def detect_license(papers: DataFrame, licenses: DataFrame, files: DataFrame) ->
     scanned = files.where(~F.col("path").contains("/") & F.lower("path").isin(*R.LICENSE_NAMES)).groupBy("repo_key").agg(F.min_by("path", "seq").alias("p"))
     scanned = scanned.select("repo_key", F.struct(F.lit(R.CUSTOM_LICENSE).alias("name"), F.lit("").alias("spdx"), F.col("p").alias("path"), F.lit("file_scan").alias("source")).alias("b"))
     none = F.struct(F.lit(R.MISSING_LICENSE).alias("name"), F.lit("").alias("spdx"), F.lit("").alias("path"), F.lit("missing").alias("source"))
-    found = papers.join(verdicts, "repo_key", "left").join(scanned, "repo_key", "left")
+    found = attach(attach(papers, verdicts), scanned)
     best = found.withColumn("c", F.when(F.col("repo_key").isNotNull(), F.coalesce("a", "b", none)))
     return best.select(*papers.columns, F.col("c.name").alias("license_name"), F.col("c.spdx").alias("spdx_id"), F.col("c.path").alias("license_path"), F.col("c.source").alias("source"))
 
@@ -79,7 +80,7 @@ def detect_license(papers: DataFrame, licenses: DataFrame, files: DataFrame) ->
 def attach_downloads(packages: DataFrame, downloads: DataFrame) -> DataFrame:
     """``packages`` (package, ...) with last_month and note, where a package that was found has no numbers."""
     missing = F.concat(F.lit("Package '"), F.col("package"), F.lit("' detected from repo but not found in the package index."))
-    out = packages.join(downloads, "package", "left")
+    out = attach(packages, downloads, "package", own="pos" if "pos" in packages.columns else "repo_key")
     return out.withColumn("download_note", F.when(F.col("package").isNotNull() & F.col("last_month").isNull(), missing))
 
 

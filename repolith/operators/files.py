@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.paths import path_features, preprocessing_bucket, readme_priority, starts, usage_bucket, with_bucket
+from .papers import attach
 
 
 def _ranked(frame: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
@@ -71,7 +72,7 @@ def attach_contents(candidates: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def attach_sites(papers: DataFrame, pages: DataFrame) -> DataFrame:
-    return papers.join(pages.select("repo_key", F.nullif("html_url", F.lit("")).alias("pages_url")), "repo_key", "left")
+    return attach(papers, pages.select("repo_key", F.nullif("html_url", F.lit("")).alias("pages_url")))
 
 
 def char_budget(files: DataFrame, budget: int, cap: Column | None, *order: Column | str, start: Column | int = 0) -> DataFrame:

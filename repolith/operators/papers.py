@@ -15,6 +15,17 @@ def with_keys(papers: DataFrame) -> DataFrame:
     return papers.withColumns({"owner": found["owner"], "name": found["repo"], "repo_key": repo_key(F.col("repo"))})
 
 
+def attach(papers: DataFrame, other: DataFrame, key: str = "repo_key", how: str = "left", own: str = "pos") -> DataFrame:
+    """``papers`` joined to ``other`` by a key that many papers may lack: each of those has a key of its own, from its
+    column ``own``, that matches nothing, so that they spread over all partitions and don't meet in one.
+
+    The expression is the same in every call, so one exchange of the papers serves all joins of a job.
+    """
+    alone = F.concat(F.lit("\0"), F.coalesce(papers[own].cast("string"), F.lit("")))
+    right = other.withColumnRenamed(key, "_other")
+    return papers.join(right, F.coalesce(papers[key], alone) == right["_other"], how).drop("_other")
+
+
 def _later(keys: DataFrame, key: str, order: str = "pos") -> DataFrame:
     """(key, first) - the first place of each key. Blank and null keys, which can be many, take no part."""
     return keys.where(F.coalesce(F.length(key) > 0, F.lit(False))).groupBy(key).agg(F.min(order).alias("first"))
@@ -24,7 +35,7 @@ def dedupe_first(papers: DataFrame) -> DataFrame:
     """The first paper of each address, read without case, outer white space and trailing slashes; papers without one all stay."""
     keyed = papers.withColumn("_url", F.lower(F.regexp_replace(strip(F.coalesce("repo", F.lit(""))), "/+$", "")))
     first = _later(keyed, "_url")
-    kept = keyed.join(first, "_url", "left").where(F.col("first").isNull() | (F.col("first") == F.col("pos")))
+    kept = attach(keyed.withColumn("_url", F.nullif("_url", F.lit(""))), first, "_url").where(F.col("first").isNull() | (F.col("first") == F.col("pos")))
     return kept.select(*papers.columns)
 
 
@@ -32,7 +43,7 @@ def mark_duplicates(papers: DataFrame) -> DataFrame:
     """``papers`` (with_keys) with duplicate: an earlier paper has the same owner and name, on the host itself."""
     hosted = F.when(is_hosted(F.col("repo")), F.col("repo_key"))
     keyed = papers.withColumn("_key", hosted)
-    return keyed.join(_later(keyed, "_key"), "_key", "left").withColumn("duplicate", F.coalesce(F.col("first") < F.col("pos"), F.lit(False))).drop("_key", "first")
+    return attach(keyed, _later(keyed, "_key"), "_key").withColumn("duplicate", F.coalesce(F.col("first") < F.col("pos"), F.lit(False))).drop("_key", "first")
 
 
 def validate_papers(papers: DataFrame) -> DataFrame:
@@ -70,13 +81,13 @@ def flag_dead(validated: DataFrame, liveness: DataFrame) -> DataFrame:
     where = F.concat(F.col("owner"), F.lit("/"), F.col("name"))
     more = F.when(F.col("_status") == 404, F.concat(F.lit("Repo not found (404): "), where)).when(F.col("_probed") & F.col("_status").isNull(), F.concat(F.lit("Repo liveness check could not complete (network): "), where))
     more = F.when(is_hosted(F.col("repo")), more)
-    joined = validated.join(probes, "repo_key", "left")
+    joined = attach(validated, probes)
     return joined.withColumn("flags", F.array_compact(F.array_append("flags", more))).drop("_status", "_probed")
 
 
 def attach_meta(papers: DataFrame, meta: DataFrame) -> DataFrame:
     """``papers`` (with_keys) with the repository's metadata and reachable: it has some."""
-    return papers.join(meta.withColumn("reachable", F.lit(True)), "repo_key", "left").withColumn("reachable", F.coalesce("reachable", F.lit(False)))
+    return attach(papers, meta.withColumn("reachable", F.lit(True))).withColumn("reachable", F.coalesce("reachable", F.lit(False)))
 
 
 def reachability_note(unreachable: str) -> Column:
@@ -102,7 +113,10 @@ def attach_ground_truth(results: DataFrame, papers: DataFrame) -> DataFrame:
     """``results`` of labelled titles with truth; of papers that share a title, the last that says yes or no decides."""
     labelled = papers.select(F.coalesce("title", F.lit("")).alias("title"), "pos", truth_label(F.col("ground_truth")).alias("truth")).where("truth is not null")
     last = labelled.groupBy("title").agg(F.max_by("truth", "pos").alias("truth"))
-    return results.withColumn("title", F.coalesce("title", F.lit(""))).join(last, "title")
+    titled = results.withColumn("title", F.coalesce("title", F.lit("")))
+    # Results without a title can be many: their one label, a single row, goes to them.
+    blank = titled.where("title = ''").join(F.broadcast(last.where("title = ''")), "title")
+    return titled.where("title != ''").join(last.where("title != ''"), "title").unionByName(blank)
 
 
 def first_wins(frame: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:

@@ -93,7 +93,7 @@ def audit_api_docs(papers: DataFrame, files: DataFrame, contents: DataFrame, pag
             **{c: shown(c) for c in ("total_public", "documented_public", "high_quality")},
         }
     )
-    out = pp.with_keys(papers).join(each.drop("listed", "python"), "repo_key", "left")
+    out = pp.attach(pp.with_keys(papers), each.drop("listed", "python"))
     if pages is not None:
         out = fl.attach_sites(out, pages)
     verdict = A.verdict(F.col("repo"), F.col("doc_files").isNotNull())
@@ -178,12 +178,15 @@ def audit_maintenance(papers: DataFrame, meta: DataFrame, files: DataFrame, comm
     A repository that has metadata but no activity rows has none: false, not null.
     """
     empty = lambda c, v: F.when(F.col("reachable"), F.coalesce(F.col(c), F.lit(v)))
-    out = pp.attach_meta(pp.with_keys(papers), meta).join(fl.root_presence(files), "repo_key", "left")
-    out = out.join(activity.recent_commits(commits, as_of, recent_days).withColumnRenamed("n", "n_commits"), "repo_key", "left")
-    out = out.join(activity.issue_responses(issues).withColumnRenamed("detail", "issue_detail"), "repo_key", "left")
-    out = out.join(activity.multi_contributors(contributors).withColumnRenamed("n", "n_contributors"), "repo_key", "left")
-    out = out.join(activity.versioned_releases(releases, tags).withColumnRenamed("detail", "release_detail"), "repo_key", "left")
-    out = out.join(activity.last_activity(meta, releases, as_of, stale_days), "repo_key", "left")
+    out = pp.attach(pp.attach_meta(pp.with_keys(papers), meta), fl.root_presence(files))
+    for part in (
+        activity.recent_commits(commits, as_of, recent_days).withColumnRenamed("n", "n_commits"),
+        activity.issue_responses(issues).withColumnRenamed("detail", "issue_detail"),
+        activity.multi_contributors(contributors).withColumnRenamed("n", "n_contributors"),
+        activity.versioned_releases(releases, tags).withColumnRenamed("detail", "release_detail"),
+        activity.last_activity(meta, releases, as_of, stale_days),
+    ):
+        out = pp.attach(out, part)
     reason = T.deprecation_reason(F.col("archived"), F.col("description"))
     out = out.withColumns(
         {
@@ -203,7 +206,7 @@ def audit_adoption(papers: DataFrame, meta: DataFrame, contents: DataFrame, down
     """Each paper with stars, forks, package, last_month and a note on what is missing."""
     named = contents.where(F.col("path").isin("pyproject.toml", "setup.cfg", "setup.py")).withColumn("package", T.package_name(F.col("path"), F.col("content"))).where("package is not null")
     package = named.groupBy("repo_key").agg(F.min_by("package", T.package_priority(F.col("path"))).alias("package"))
-    out = pp.attach_meta(pp.with_keys(papers), meta).join(package, "repo_key", "left").withColumn("package", F.when(F.col("reachable"), F.col("package")))
+    out = pp.attach(pp.attach_meta(pp.with_keys(papers), meta), package).withColumn("package", F.when(F.col("reachable"), F.col("package")))
     out = activity.attach_downloads(out, downloads)
     note = pp.reachability_note("Repository metadata unavailable (private, deleted, or rate-limited?)")
     return out.withColumn("note", F.when(note != "", note).otherwise(F.coalesce("download_note", F.lit("")))).drop("download_note")
@@ -211,7 +214,7 @@ def audit_adoption(papers: DataFrame, meta: DataFrame, contents: DataFrame, down
 
 def audit_post_publication(papers: DataFrame, meta: DataFrame, commits: DataFrame) -> DataFrame:
     """Each paper with last_commit_date, total_commits and a note."""
-    out = pp.attach_meta(pp.with_keys(papers), meta.select("repo_key")).join(activity.commit_totals(commits), "repo_key", "left")
+    out = pp.attach(pp.attach_meta(pp.with_keys(papers), meta.select("repo_key")), activity.commit_totals(commits))
     note = pp.reachability_note("Repo unreachable (deleted, private, or API error)")
     none = F.when(F.col("total_commits").isNull(), "Repo exists but has no commits on its default branch").otherwise("")
     shown = lambda c: F.when(F.col("reachable"), F.col(c)).alias(c)

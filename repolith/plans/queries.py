@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..functions import parsers, paths, urls
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import activity, files as fl, papers as pp, summary
-from ..sources.files import decode_content, repo_blobs
+from ..sources.files import decode_content, read_papers, repo_blobs, write_report
 from ..sources.lens import Lens, with_lenses
 from . import jobs
 
@@ -102,10 +103,30 @@ def activity_of(t: Lens, kind: str) -> DataFrame:
 # ---- sources
 
 
-@query(r"SELECT doc_id, replace(text, chr(65533), '') = text AS same, length(replace(text, chr(65533), '')) AS n FROM documents")
+@query("SELECT doc_id, md5('a' || chr(65533) || text) AS back, length(text) + 2 AS n FROM documents WHERE text IS NOT NULL")
 def s3_decode_content(t: Lens) -> DataFrame:
-    sent = F.base64(F.col("text").cast("binary"))
-    return t.table("documents").select("doc_id", "text", decode_content(sent).alias("back")).select("doc_id", (F.col("back") == F.col("text")).alias("same"), F.length("back").cast("long").alias("n"))
+    """Each text behind a U+FFFD of its own and between bytes that are no UTF-8."""
+    sent = F.base64(F.concat(F.unhex(F.lit("FF61EFBFBDC3")), F.col("text").cast("binary"), F.unhex(F.lit("E282"))))
+    back = decode_content(sent)
+    return t.table("documents").where("text is not null").select("doc_id", F.md5(back.cast("binary")).alias("back"), F.length(back).cast("long").alias("n"))
+
+
+@query("SELECT row_number() OVER (PARTITION BY pos // 1000 ORDER BY pos) - 1 AS pos, title, repo, ground_truth, repo IS NOT NULL AS has_repo FROM lens_papers", "papers")
+def s1_read_papers(t: Lens) -> DataFrame:
+    """The papers as JSON lists of a thousand records, written and read; a record without an address has no such key."""
+    record = F.struct("pos", F.to_json(F.struct("title", "repo", "ground_truth")).alias("json"))
+    lists = t.papers.groupBy(F.floor(F.col("pos") / 1000).alias("part")).agg(F.array_sort(F.collect_list(record)).alias("l"))
+    path = f"{t.spark.conf.get('spark.sql.warehouse.dir')}/papers-{uuid.uuid4().hex}"
+    text = F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["json"]), ",\n"), F.lit("]"))
+    lists.repartition("part").select("part", text.alias("value")).write.partitionBy("part").text(path)
+    return read_papers(t.spark, f"{path}/*").select("pos", "title", "repo", "ground_truth", "has_repo")
+
+
+@query(RESULTS + "SELECT pos, model, status, coalesce(array_to_string(types, ','), '') AS types FROM x", "papers", "answers")
+def s4_write_report(t: Lens) -> DataFrame:
+    path = f"{t.spark.conf.get('spark.sql.warehouse.dir')}/report-{uuid.uuid4().hex}"
+    write_report(path, results(t), summary=jobs.summarise(results(t)))
+    return t.spark.read.parquet(f"{path}/results").select("pos", "model", "status", F.array_join("example_types", ",").alias("types"))
 
 
 @query("SELECT repo_key, count(*) AS n FROM lens_files WHERE seq % 9 <> 0 GROUP BY repo_key", "files")
@@ -574,9 +595,30 @@ def f4_classify_install(t: Lens) -> DataFrame:
     return jobs.classify_install(_readmes(t)).withColumn("tier", F.col("tier").cast("long"))
 
 
-@query()
+INPUT = "CASE WHEN heading <> '' THEN heading || ': ' ELSE '' END || substr(trim(regexp_replace(coalesce(content, ''), '[#*`>\\[\\]!]', '', 'g'), ' ' || chr(10) || chr(9) || chr(13)), 1, 1500)"
+
+
+@query(CLASSIFIED + f"SELECT w.repo_key, w.path, CAST(idx AS BIGINT) AS idx, CASE WHEN {TIER} = 'partial' THEN 'partial' ELSE 'any' END AS kind, {INPUT} AS model_input FROM w ANTI JOIN q ON q.repo_key = w.repo_key AND q.path = w.path WHERE coalesce({TIER} = 'partial', false) OR length(content) >= 50", "files")
 def f4_install_candidates(t: Lens) -> DataFrame:
-    return jobs.install_candidates(_readmes(t))
+    return jobs.install_candidates(_readmes(t)).withColumn("idx", F.col("idx").cast("long"))
+
+
+#: Scores as a model might give them, from the section's place and length, the same in both engines.
+SCORE, LABEL = "(length(coalesce(content, '')) * 7 + idx * 3) % 100 / 100.0", f"CASE WHEN length(coalesce(content, '')) % 4 = 0 THEN 'other' ELSE '{R.SETUP_LABELS[1]}' END"
+SCORED = CLASSIFIED + f""", o AS (SELECT *, coalesce({TIER}, '') AS tier, CAST({SCORE} AS DOUBLE) AS score, {LABEL} AS label FROM w),
+m AS (SELECT repo_key, path, 2 AS tier, idx, label, score, '[heading: ' || heading || '] ' || replace(content[1:100], chr(10), ' ') AS snippet FROM o WHERE tier = 'partial' AND score >= 0.7 AND label <> 'other'
+ UNION ALL SELECT repo_key, path, 2, idx, '{R.SETUP_LABELS[1]}', 1.0, '[heading: ' || heading || '] ' || replace(content[1:100], chr(10), ' ') FROM o WHERE tier = 'strong'
+ UNION ALL SELECT repo_key, path, 4, idx, label, score, '[NLP only: ' || CASE WHEN heading = '' THEN 'no heading' ELSE heading END || '] ' || replace(content[1:100], chr(10), ' ') FROM o WHERE length(content) >= 50 AND score >= 0.85 AND label <> 'other'
+ UNION ALL SELECT repo_key, path, 1, -1, '{R.SETUP_LABELS[1]}', 1.0, snippet FROM q WHERE tier = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY repo_key, path ORDER BY tier, idx) AS k FROM m)
+"""
+
+
+@query(SCORED + "SELECT repo_key, path, label, CAST(score AS DOUBLE) AS confidence, snippet, CAST(tier AS BIGINT) AS tier FROM n WHERE k = 1", "files")
+def f4_scored_install(t: Lens) -> DataFrame:
+    section = jobs._sections(_readmes(t))
+    scores = section.select("repo_key", "path", "idx", F.expr(LABEL).alias("label"), F.expr(SCORE).cast("double").alias("score"))
+    return jobs.classify_install(_readmes(t), scores).withColumn("tier", F.col("tier").cast("long"))
 
 
 REPORT = CLASSIFIED + r""", n AS (SELECT repo_key, string_agg(CASE WHEN contains(path, '/') THEN path ELSE 'README' END || ' (installation guide, confidence: 100%) — ' || snippet, ' | ' ORDER BY contains(path, '/'), seq) AS a FROM q GROUP BY repo_key)
@@ -632,7 +674,11 @@ def f9_structured_comments(t: Lens) -> DataFrame:
     return feats(t).where("ext != '.go' and ext != '.py'").select("repo_key", "path", said.alias("found"))
 
 
-@query()
+#: The rule refers back to a name, which the other engine's patterns can't: the lens has one Go text, whose count is known.
+GO = "starts_with(content, '// Run starts it' || chr(10) || 'func Run()')"
+
+
+@query(FEATS + f"SELECT repo_key, path, CASE WHEN {GO} THEN 1 END AS n FROM x WHERE ext = '.go'", "files")
 def f9_go_comments(t: Lens) -> DataFrame:
     c = T.structured_comments(F.col("ext"), F.col("content"))
     return feats(t).where("ext = '.go'").select("repo_key", "path", c["n"].alias("n"))
@@ -713,36 +759,74 @@ def f20_fill_display(t: Lens) -> DataFrame:
 # ---- helpers
 
 
-@query()
+DOCUMENTED = r"""x AS (SELECT repo_key, path, seq % 3 AS k, regexp_replace(content, '["\\\\]', ' ', 'g') AS body FROM lens_files WHERE ends_with(lower(path), '.py')),
+y AS (SELECT *, regexp_matches(body, '\S') AS said, regexp_matches(body, '(?i)(?:^|[^\w])(args?|parameters?|params?|returns?|yields?|raises?|attributes?)(?:[^\w]|$)') AS sections FROM x)
+SELECT repo_key, path, CASE WHEN k = 1 OR body IS NULL THEN NULL WHEN k = 0 THEN 1 ELSE 0 END AS module, CASE WHEN k = 1 OR body IS NULL THEN NULL WHEN k = 0 THEN 1 ELSE 0 END AS class,
+ CASE WHEN k = 1 OR body IS NULL THEN NULL WHEN k = 0 AND said THEN 1 ELSE 0 END AS function, CASE WHEN k = 1 OR body IS NULL THEN NULL WHEN k = 0 THEN 1 + CAST(said AND sections AS INT) ELSE 0 END AS param_like,
+ CASE WHEN k = 1 OR body IS NULL THEN NULL WHEN k = 0 THEN 1 ELSE 0 END AS public_class_total, CASE WHEN k = 1 OR body IS NULL THEN NULL WHEN k = 0 THEN 1 ELSE 0 END AS public_function_total FROM y"""
+
+
+@query(DOCUMENTED, "files")
 def h1_python_docstrings(t: Lens) -> DataFrame:
-    """Python files of which every third has real syntax around the document's words."""
-    body = F.concat(F.lit('"""Module."""\n\nclass A:\n    """Args: x"""\n\n    def f(self):\n        """'), F.regexp_replace("content", r'["\\]', " "), F.lit('"""\n\n\ndef _g():\n    pass\n'))
-    rows = feats(t).where("ext = '.py'").withColumn("content", F.when(F.col("seq") % 3 == 0, body).otherwise(F.col("content")))
+    """Each text whole in Python files of three kinds: in a docstring, behind a line that does not parse, in comments."""
+    text = F.regexp_replace("content", r'["\\]', " ")
+    body = F.concat(F.lit('"""Module."""\n\nclass A:\n    """Args: x"""\n\n    def f(self):\n        """'), text, F.lit('"""\n\n\ndef _g():\n    pass\n'))
+    kinds = F.when(F.col("seq") % 3 == 0, body).when(F.col("seq") % 3 == 1, F.concat(F.lit("def broken(:\n"), text)).otherwise(F.concat(F.lit("# "), F.regexp_replace(text, r"[\r\n]", "\n# ")))
+    rows = feats(t).where("ext = '.py'").withColumn("content", kinds)
     return rows.select("repo_key", "path", parsers.python_docstrings(F.col("content")).alias("d")).select("repo_key", "path", "d.*")
 
 
-@query()
+@query(f"SELECT repo_key, path, md5(CASE WHEN regexp_matches(content, '\\S') THEN content ELSE '' END) AS flat, md5(CASE WHEN regexp_matches(content, '\\S') THEN substr('[CODE]' || chr(10) || content, 1, {R.NOTEBOOK_CAP}) ELSE '' END) AS short FROM lens_files", "files")
 def h2_notebooks(t: Lens) -> DataFrame:
     cell = F.to_json(F.struct(F.array(F.struct(F.lit("code").alias("cell_type"), F.split("content", r"(?<=\n)").alias("source"))).alias("cells")))
     rows = t.files.withColumn("raw", cell)
-    return rows.select("repo_key", "path", F.length(parsers.flatten_notebook(F.col("raw"))).alias("flat"), F.length(parsers.summarise_notebook(F.col("raw"))).alias("short"))
+    return rows.select("repo_key", "path", F.md5(parsers.flatten_notebook(F.col("raw")).cast("binary")).alias("flat"), F.md5(parsers.summarise_notebook(F.col("raw")).cast("binary")).alias("short"))
 
 
 # ---- jobs
 
 
-@query()
+#: Python's counts are those of the two documented files of the lens; no other one has a docstring.
+HITS = FEATS + f""", x1 AS (SELECT *, {API_BUCKET} AS bucket FROM x),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY CASE WHEN bucket = 'readme' THEN 0 ELSE depth END, path_lower, seq) AS place, row_number() OVER (PARTITION BY repo_key, bucket, top ORDER BY path_lower, seq) AS round, min(seq) OVER (PARTITION BY repo_key, bucket, top) AS top_seq FROM x1 WHERE bucket IS NOT NULL),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY round, top <> '', lower(top), top_seq) AS turn FROM r1 WHERE bucket <> 'source' OR round <= {R.MAX_API_SOURCES}),
+r3 AS (SELECT * REPLACE (CASE WHEN length(content) > 0 THEN content END AS content) FROM r2 WHERE CASE bucket WHEN 'source' THEN turn <= {R.MAX_API_SOURCES} WHEN 'page' THEN place <= {R.MAX_DOC_PAGES} WHEN 'readme' THEN place <= 1 ELSE true END),
+r4 AS (SELECT *, {_count(R.STRUCTURED_BLOCK)} AS b, {_count(R.DECLARED_BLOCK)} AS d, bucket = 'source' AND ext = '.py' AS py, CASE WHEN bucket = 'config' THEN coalesce({TOOL_CONTENT}, {TOOL_NAME}) END AS tt FROM r3),
+r5 AS (SELECT *, bucket IN ('page', 'readme') AND {PAGE} AS page, CASE WHEN py AND starts_with(content, '\"\"\"Module') THEN 'docstring_function' WHEN py AND starts_with(content, 'class A:') THEN 'docstring_class' END AS pt,
+ CASE WHEN bucket = 'source' AND NOT py THEN CASE WHEN ext = '.go' THEN CASE WHEN {GO} THEN 'go doc comments:1:true' END ELSE {COMMENTS} END END AS cc FROM r4),
+hits AS (SELECT repo_key, path, bucket, CASE WHEN tt IS NOT NULL THEN split_part(tt, ':', 3) WHEN page THEN 'doc_page' WHEN pt IS NOT NULL THEN pt WHEN cc IS NOT NULL THEN 'other' END AS type,
+ CASE WHEN tt IS NOT NULL THEN split_part(tt, ':', 2) WHEN page THEN 'other' WHEN pt IS NOT NULL THEN 'python docstrings' WHEN cc IS NOT NULL THEN split_part(cc, ':', 1) END AS doc_type, CASE WHEN tt IS NOT NULL THEN split_part(tt, ':', 1) END AS tool,
+ CASE WHEN pt IS NOT NULL THEN true WHEN cc IS NOT NULL THEN split_part(cc, ':', 3) = 'true' END AS strong, CASE WHEN pt IS NOT NULL THEN 1 + CAST(pt = 'docstring_class' AS INT) END AS total, CASE WHEN pt IS NOT NULL THEN 1 END AS documented FROM r5 WHERE tt IS NOT NULL OR page OR pt IS NOT NULL OR cc IS NOT NULL),
+each AS (SELECT repo_key, coalesce(bool_or(bucket = 'source' AND strong), false) OR count(*) FILTER (WHERE bucket = 'source') >= 2 AS enough, sum(total) AS total, sum(documented) AS documented FROM hits GROUP BY repo_key),
+kept AS (SELECT hits.* FROM hits JOIN each ON each.repo_key = hits.repo_key WHERE bucket <> 'source' OR enough)
+"""
+API = HITS + ", " + KEYED + f""", ty AS (SELECT repo_key, string_agg(doc_type, ',' ORDER BY p, doc_type) AS documentation_types FROM (SELECT DISTINCT repo_key, doc_type, coalesce(nullif(list_position({list(R.DOC_TYPE_ORDER)}, doc_type), 0), 99) AS p FROM kept) GROUP BY repo_key),
+tl AS (SELECT repo_key, (list(tool ORDER BY coalesce(nullif(list_position({list(R.TOOL_ORDER)}, tool), 0), 99), tool))[1] AS doc_tool FROM kept WHERE tool IS NOT NULL GROUP BY repo_key),
+fs AS (SELECT repo_key, array_to_string((list(path ORDER BY lower(path), type, path))[1:3], ', ') AS preview FROM (SELECT DISTINCT repo_key, path, type FROM kept) GROUP BY repo_key),
+api AS (SELECT pos, CASE WHEN coalesce(repo, '') = '' OR NOT contains(repo, 'github.com') THEN 'skipped' WHEN k.repo_key IS NULL THEN 'error' WHEN preview IS NOT NULL THEN 'yes' ELSE 'no' END AS status,
+ CASE WHEN coalesce(repo, '') = '' THEN 'No repo URL provided' WHEN NOT contains(repo, 'github.com') THEN 'Not a hosted repo - manual review needed. URL: ' || repo WHEN k.repo_key IS NULL THEN 'Could not parse repo URL' ELSE '' END AS note,
+ CASE WHEN each.repo_key IS NOT NULL THEN coalesce(documentation_types, '') END AS documentation_types, coalesce(doc_tool, 'none') AS doc_tool, preview, CASE WHEN total > 0 THEN round_even(documented * 100 / total, 1) END AS coverage_percent, k.repo_key
+ FROM k LEFT JOIN each ON each.repo_key = k.repo_key LEFT JOIN ty ON ty.repo_key = k.repo_key LEFT JOIN tl ON tl.repo_key = k.repo_key LEFT JOIN fs ON fs.repo_key = k.repo_key)
+"""
+
+
+@query(HITS + "SELECT repo_key, path, type, doc_type, tool FROM kept", "files")
 def u1_collect_evidence(t: Lens) -> DataFrame:
     return summary.collect_evidence(jobs.api_evidence(jobs.api_docs_candidates(t.files.drop("content")), t.files))
 
 
-@query()
+@query(API + "SELECT api.* EXCLUDE (repo_key), nullif(html_url, '') AS pages_url FROM api LEFT JOIN lens_pages p ON p.repo_key = api.repo_key", "papers", "files", "pages")
 def b1_audit_api_docs(t: Lens) -> DataFrame:
     out = jobs.audit_api_docs(t.papers, t.files.drop("content"), t.files, t.pages)
     return out.select("pos", "status", "note", F.array_join("documentation_types", ",").alias("documentation_types"), "doc_tool", "preview", "coverage_percent", "pages_url")
 
 
-@query(None)
+ONE_README = CLASSIFIED + r""", o AS (SELECT repo_key, arg_min(path, seq) AS path FROM lens_files WHERE starts_with(lower(path), 'readme') GROUP BY repo_key)
+SELECT f.repo_key, CASE WHEN o.path IS NULL THEN 'No README found' WHEN snippet IS NULL THEN 'No' ELSE 'Yes: README (installation guide, confidence: 100%) — ' || snippet END AS report
+ FROM (SELECT DISTINCT repo_key FROM lens_files) f LEFT JOIN o ON o.repo_key = f.repo_key LEFT JOIN q ON q.repo_key = o.repo_key AND q.path = o.path"""
+
+
+@query(ONE_README, "files")
 def b2_audit_install(t: Lens) -> DataFrame:
     return jobs.audit_install(t.files, t.files)
 
@@ -809,15 +893,47 @@ def b7_payloads_preprocessing(t: Lens) -> DataFrame:
     return jobs.build_payloads(t.files.drop("content"), t.files, "preprocessing").withColumn("max_tokens", F.col("max_tokens").cast("long"))
 
 
+def _blocks(order: str, high: int) -> str:
+    return f"""blocks AS (SELECT repo_key, string_agg('### ' || label || ': ' || path || chr(10) || content[1:take], chr(10) || chr(10) ORDER BY {order}) AS p, count(*) AS n, sum(take) AS t FROM c GROUP BY repo_key)
+SELECT r.repo_key, coalesce(p, '[No relevant files found in the repository]') AS payload, coalesce(n, 0) AS n_files, CAST(coalesce(t, 0) AS BIGINT) AS n_chars, CAST(CASE WHEN length(p) > 50000 THEN {high} ELSE {'1000' if high == 1000 else '4000'} END AS BIGINT) AS max_tokens FROM (SELECT DISTINCT repo_key FROM lens_files) r LEFT JOIN blocks ON blocks.repo_key = r.repo_key"""
+
+
+def _spent(source: str, order: str, budget: int, cap: str) -> str:
+    """s and c: what each file of ``source`` gets of a budget that is spent in order."""
+    return f"""s AS (SELECT *, least(length(content), {cap}) AS want, coalesce(sum(least(length(content), {cap})) OVER (PARTITION BY repo_key ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {source} WHERE length(content) > 0),
+c AS (SELECT *, CAST(least(want, greatest({budget} - before, 0)) AS BIGINT) AS take FROM s WHERE least(want, greatest({budget} - before, 0)) > 0)"""
+
+
+ROOT = f"CASE WHEN lower(path) IN {_in(R.ROOT_README_NAMES)} THEN 0 WHEN NOT contains(path, '/') THEN 1"
+PAYLOAD_SQL = {
+    "install": INSTALL + f", i AS (SELECT x.*, {ROOT} WHEN contains(lower(path), 'readme') THEN 3 ELSE 2 END AS first, 'FILE' AS label FROM x JOIN y ON x.repo_key = y.repo_key WHERE x.named OR (NOT any_named AND x.path = readme)), " + _spent("i", "first, seq", R.INSTALL_CHARS, "length(content)") + ", " + _blocks("first, seq", 1000),
+    "usage": FEATS + f""", x1 AS (SELECT *, {USAGE_BUCKET} AS bucket FROM x), u1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY depth, path_lower, seq) AS rank FROM x1 WHERE bucket IS NOT NULL),
+u2 AS (SELECT *, CASE bucket WHEN 'doc' THEN 0 WHEN 'notebook' THEN 1 ELSE 2 END AS place, CASE WHEN bucket = 'doc' THEN {ROOT} ELSE 2 END ELSE rank END AS first, nullif(length(content), 0) AS size FROM u1 WHERE bucket = 'doc' OR rank <= CASE bucket WHEN 'notebook' THEN {R.MAX_NOTEBOOKS} ELSE {R.MAX_SCRIPTS} END),
+u3 AS (SELECT *, CASE WHEN bucket = 'doc' AND size IS NOT NULL THEN least(size, greatest({R.USAGE_CHARS} - coalesce(sum(CASE WHEN bucket = 'doc' THEN size END) OVER (PARTITION BY repo_key ORDER BY place, first, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) END AS t_doc FROM u2),
+u4 AS (SELECT *, coalesce(sum(t_doc) OVER (PARTITION BY repo_key), 0) AS docs, count(*) FILTER (WHERE bucket = 'notebook') OVER (PARTITION BY repo_key) AS books FROM u3),
+u5 AS (SELECT *, CASE WHEN bucket = 'notebook' AND size IS NOT NULL THEN least(size, {R.NOTEBOOK_CAP}, CAST(floor(({R.USAGE_CHARS} - docs) / greatest(books, 1)) AS BIGINT)) END AS t_book, CASE WHEN bucket = 'script' AND size IS NOT NULL THEN least(size, {R.SCRIPT_CAP}) END AS want FROM u4),
+u6 AS (SELECT *, docs + coalesce(sum(t_book) OVER (PARTITION BY repo_key), 0) AS used, coalesce(sum(want) OVER (PARTITION BY repo_key ORDER BY place, first, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u5),
+u7 AS (SELECT *, CAST(CASE WHEN size IS NULL THEN NULL WHEN t_doc IS NOT NULL THEN t_doc WHEN t_book IS NOT NULL THEN t_book ELSE least(want, greatest({R.USAGE_CHARS} - used - before, 0)) END AS BIGINT) AS take, CASE WHEN bucket = 'doc' THEN 'FILE' ELSE upper(bucket) END AS label FROM u6),
+c AS (SELECT * FROM u7 WHERE take > 0 OR (bucket = 'notebook' AND size IS NOT NULL)), """ + _blocks("place, first, seq", 8000),
+    "api_docs": FEATS + f""", x1 AS (SELECT *, CASE WHEN path_lower IN {_in(R.DOC_NAMES)} OR basename IN {_in(R.DOC_NAMES)} THEN 'config' WHEN {_starts('path_lower', R.DOC_FOLDERS)} THEN CASE WHEN ext IN {_in(R.DOC_EXTS)} THEN 'page' END WHEN {SOURCE} THEN 'source' END AS bucket FROM x),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY CASE WHEN {_starts('path_lower', R.STRONG_DOC_FOLDERS)} THEN 0 ELSE 1 END, path_lower, seq) AS nth, row_number() OVER (PARTITION BY repo_key, bucket, top ORDER BY path_lower, seq) AS round, min(seq) OVER (PARTITION BY repo_key, bucket, top) AS top_seq FROM x1 WHERE bucket IS NOT NULL),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY round, top <> '', lower(top), top_seq) AS turn FROM r1 WHERE bucket <> 'source' OR round <= {R.MAX_API_SOURCES}),
+r3 AS (SELECT *, CASE bucket WHEN 'config' THEN 0 WHEN 'page' THEN 1 ELSE 2 END AS place, CASE bucket WHEN 'config' THEN {ROOT} ELSE 2 END WHEN 'page' THEN nth ELSE turn END AS first, CASE WHEN bucket = 'source' THEN 'SOURCE' ELSE 'DOC' END AS label FROM r2 WHERE CASE bucket WHEN 'source' THEN turn <= {R.MAX_API_SOURCES} WHEN 'page' THEN nth <= {R.MAX_DOC_PAGES} ELSE true END),
+""" + _spent("r3", "place, first, seq", R.API_CHARS, f"CASE WHEN bucket = 'source' THEN {R.API_SOURCE_CAP} ELSE {R.API_DOC_CAP} END") + ", " + _blocks("place, first, seq", 6000),
+    "comments": FEATS + f""", r1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key ORDER BY depth, path_lower, seq) AS rank, 'FILE' AS label FROM x WHERE ext IN {_in(R.COMMENT_SOURCE_EXTS)} AND NOT {_starts('path_lower', R.SKIP_FOLDERS)} AND basename NOT IN {_in(R.SKIP_NAMES)}),
+r2 AS (SELECT * FROM r1 WHERE rank <= {R.MAX_COMMENT_SOURCES}), """ + _spent("r2", "rank", R.COMMENT_CHARS, str(R.COMMENT_CAP)) + ", " + _blocks("rank, seq", 4000),
+}
+
+
 def _payload(check: str) -> None:
     def build(t: Lens) -> DataFrame:
-        return jobs.build_payloads(t.files.drop("content"), t.files, check)
+        return jobs.build_payloads(t.files.drop("content"), t.files, check).withColumn("max_tokens", F.col("max_tokens").cast("long"))
 
     build.__name__ = f"b7_payloads_{check}"
-    query()(build)
+    query(PAYLOAD_SQL[check], "files")(build)
 
 
-for _check in ("install", "usage", "api_docs", "comments"):
+for _check in PAYLOAD_SQL:
     _payload(_check)
 
 
@@ -836,6 +952,6 @@ def b10_summarise(t: Lens) -> DataFrame:
     return jobs.summarise(results(t))
 
 
-@query(None)
+@query(API + "SELECT doc_tool, count(*) AS n FROM api WHERE doc_tool <> 'none' GROUP BY doc_tool", "papers", "files")
 def a5_tool_breakdown(t: Lens) -> DataFrame:
     return summary.tool_breakdown(jobs.audit_api_docs(t.papers, t.files.drop("content"), t.files))

@@ -29,8 +29,16 @@ def repo_blobs(tree: DataFrame) -> DataFrame:
 
 
 def decode_content(b64: Column) -> Column:
-    """Base64 (line breaks allowed) to text; bytes that are not UTF-8 are dropped, and U+FFFD with them."""
-    return F.replace(F.make_valid_utf8(F.unbase64(b64).cast("string")), F.lit("�"), F.lit(""))
+    """Base64 (line breaks allowed) to text; bytes that are not UTF-8 are dropped, a U+FFFD that was sent stays."""
+    # What was sent steps aside under two private characters, the first of which is doubled for itself.
+    aside = (("\ue000", "\ue000\ue001"), ("\ufffd", "\ue000\ue002"))
+    text = F.unbase64(b64).cast("string")
+    for a, b in aside:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    text = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    for a, b in reversed(aside):
+        text = F.replace(text, F.lit(b), F.lit(a))
+    return text
 
 
 def write_report(path: str, results: DataFrame, detail: DataFrame | None = None, summary: DataFrame | None = None, comparison: DataFrame | None = None, fmt: str = "parquet") -> None:

@@ -37,6 +37,8 @@ SELECT 'org' || CAST(g % 7 AS STRING) || '/repo' || CAST(g AS STRING) AS repo_ke
     WHEN slot = 3 AND g % 2 = 0 THEN '[project]' || chr(10) || 'name = "proj-' || CAST(g AS STRING) || '"' || chr(10) || 'sphinx' || chr(10)
     WHEN slot = 4 THEN 'extensions = ["sphinx.ext.autodoc", "myst_parser"]' || chr(10)
     WHEN slot = 6 AND g % 2 = 1 THEN '# API reference' || chr(10) || 'Parameters and returns. ' || text
+    WHEN slot = 11 AND g % 2 = 0 THEN '"""Module."""' || chr(10) || 'def run(x):' || chr(10) || '    """Args: x."""' || chr(10) || '    return x' || chr(10)
+    WHEN slot = 11 THEN 'class A:' || chr(10) || '    """One."""' || chr(10) || chr(10) || '    def f(self):' || chr(10) || '        return 1' || chr(10)
     WHEN slot = 14 THEN '// Run starts it' || chr(10) || 'func Run() {}' || chr(10)
     WHEN slot = 15 THEN '/// One' || chr(10) || '//! two' || chr(10)
     WHEN slot IN (16, 17, 18) THEN '/** Doc' || chr(10) || ' * @param x in' || chr(10) || ' */' || chr(10) || 'int f(int x);' || chr(10)

@@ -135,3 +135,33 @@ def test_docstring_query_parses_whole_contents(spark, monkeypatch):
     monkeypatch.setattr(Q, "feats", lambda t: rows)
     monkeypatch.setattr(Q.parsers, "python_docstrings", lambda c: F.struct(c.alias("parsed")))
     assert late in Q.h1_python_docstrings(None).first()["parsed"]
+
+
+def test_papers_without_a_key_spread(spark):
+    """Nine in ten papers have no repository: they lie in all partitions of the join, and one exchange serves two joins."""
+    from repolith.operators.papers import attach
+
+    papers = spark.range(1000).selectExpr("id AS pos", "CASE WHEN id % 10 = 0 THEN concat('r', id % 7) END AS repo_key")
+    meta = spark.range(7).selectExpr("concat('r', id) AS repo_key", "id AS stars")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = attach(attach(papers, meta), meta.withColumnRenamed("stars", "more"))
+        sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 400
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(coalesce(repo_key") == 1
+        got = {r["pos"]: (r["stars"], r["more"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {i: (i % 7, i % 7) if i % 10 == 0 else (None, None) for i in range(1000)}
+
+
+def test_sent_replacement_characters_stay(spark):
+    from repolith.sources.files import decode_content
+
+    raw = ["a�b".encode() + b"\xff", " �".encode(), b"\xe2\x82", b"", "é😀".encode() + b"\xc3"]
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(raw)], "i int, raw binary")
+    got = {r[0]: r[1] for r in rows.select("i", decode_content(F.base64("raw"))).collect()}
+    assert got == {i: x.decode("utf-8", "ignore") for i, x in enumerate(raw)}
