@@ -6,6 +6,7 @@ import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("documents", "events", "labels")
 
@@ -37,7 +38,12 @@ class Lens:
         for t in TABLES:
             if re.search(rf"\bFROM {t}\b", text):
                 self.table(t).createOrReplaceTempView(t)
-        return self.spark.sql(text)
+        found = self.spark.sql(text)
+        if name != "files":
+            return found
+        # Its paths and contents are long expressions: a generator of one row keeps them from being written into every
+        # later condition.
+        return found.select(F.inline(F.array(F.struct(*found.columns))))
 
     def __getattr__(self, name: str) -> DataFrame:
         if f"lens_{name}" not in LENSES:
