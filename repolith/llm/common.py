@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,5 +54,16 @@ def row_key(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def map_batches(frame: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+    """``frame`` through a function of Arrow batches that gives columns by name. Its workers load no pandas, a third of their memory."""
+    empty = frame.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in f(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(columns[x.name], x.type) for x in empty], schema=empty)
+
+    return frame.mapInArrow(run, schema)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

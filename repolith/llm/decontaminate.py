@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,9 +172,9 @@ def _automaton(name: str, items: list[tuple[object, str]], window: int) -> Autom
 def _matcher(spark: SparkSession, items: DataFrame, window: int):
     """A function of texts, in the tasks, that tells what the block ``items`` (item_id, text) hits in each."""
     block = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()])
-    name = uuid.uuid4().hex
+    name, kinds = uuid.uuid4().hex, spark.createDataFrame([], FOUND).toArrow().schema
 
-    def some(texts: pd.Series, a: Automaton | None) -> list[tuple]:
+    def some(texts: list, a: Automaton | None) -> list[tuple]:
         out = []
         for text in texts:
             words = words_of(text)
@@ -184,12 +184,13 @@ def _matcher(spark: SparkSession, items: DataFrame, window: int):
             out.append((len(words), int(hit.sum()), longest, ids, [{"start": s, "stop": e} for s, e in runs]))
         return out
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         a = _automaton(name, block.value, window) if block.value else None
         for texts in batches:
-            yield pd.DataFrame(some(texts, a), columns=["n_words", "n_hit", "longest", "items", "hits"])
+            rows = some(texts.to_pylist(), a)
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], x.type) for i, x in enumerate(kinds)], fields=list(kinds))
 
-    return F.pandas_udf(run, FOUND), block
+    return F.arrow_udf(run, FOUND), block
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import map_batches, table, written
 
 ORDER = 4
 #: Bytes of training text for each language, about.
@@ -50,13 +50,16 @@ def _grams(texts: list[bytes], n: int = ORDER + 1) -> np.ndarray:
 def count_grams(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n): five-byte strings of ``labelled`` (lang, text), counted in each batch before they travel."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for lang, rows in batch.groupby("lang"):
-                gram, n = np.unique(_grams([t.encode() for t in rows["text"]]), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": gram, "n": n})
+            texts: dict[str, list[bytes]] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                texts.setdefault(lang, []).append(text.encode())
+            for lang, some in texts.items():
+                gram, n = np.unique(_grams(some), return_counts=True)
+                yield {"lang": [lang] * len(gram), "gram": gram, "n": n}
 
-    return labelled.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_batches(labelled.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def training_sample(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -97,7 +100,8 @@ class Model:
     lowest: float
 
     @classmethod
-    def of(cls, counts: pd.DataFrame) -> Model:
+    def of(cls, counts) -> Model:
+        """Of a pandas frame (lang, gram, n)."""
         langs = sorted(counts["lang"].unique())
         number = counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
         gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
@@ -195,9 +199,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     cols = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for texts in batches:
+        for array in batches:
+            texts = array.to_pylist()
             found: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
             waiting: list[int] = []
             bodies: list[bytes] = []
@@ -226,9 +231,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     flush()
                     held = 0
             flush()
-            yield pd.DataFrame(found, columns=["lang_pred", "score"])
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang_pred", "score"])
 
-    predicted = F.pandas_udf(run, "lang_pred string, score double")
+    predicted = F.arrow_udf(run, "lang_pred string, score double")
     out = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("doc"), predicted("text").alias("found"))
     return out.select("doc.*", "found.*")
 

@@ -12,14 +12,14 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
 from . import superkmers as S
-from .common import NO_ID, parts, written
+from .common import NO_ID, map_batches, parts, written
 
 BANDS, DEPTH = 32, 8
 #: The least similarity of a link, as a fraction.
@@ -72,13 +72,13 @@ def similar(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> list[tupl
 def _prints(docs: DataFrame, words: int) -> DataFrame:
     """(doc, node, fp, bands) of every row; node stands for the text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            found = [(simhash.fingerprint(b, words), bands(shingles(b, words))) for b in (t.encode() for t in batch["text"])]
+            found = [(simhash.fingerprint(b, words), bands(shingles(b, words))) for b in (t.as_py().encode() for t in batch.column("text"))]
             fp = np.array([x for x, _ in found], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc": batch["doc"], "node": batch["node"], "fp": fp, "bands": [x for _, x in found]})
+            yield {"doc": batch.column("doc"), "node": batch.column("node"), "fp": fp, "bands": [x for _, x in found]}
 
-    return docs.select("doc", "node", "text").mapInPandas(run, "doc long, node long, fp long, bands array<long>")
+    return map_batches(docs.select("doc", "node", "text"), run, "doc long, node long, fp long, bands array<long>")
 
 
 def _star(keyed: DataFrame) -> DataFrame:
@@ -108,15 +108,15 @@ def _links(texts: DataFrame, words: int) -> DataFrame:
     keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     keyed = keyed.withColumn("tile", F.least("own", "other") * F.col("tiles") + F.greatest("own", "other"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r for b in batches for r in zip(b["crowd"], b["tile"], b["node"], b["text"], strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        rows = (tuple(x.as_py() for x in r) for b in batches for r in zip(*(b.column(c) for c in ("crowd", "tile", "node", "text")), strict=True))
         for _, group in groupby(rows, key=lambda r: r[:2]):
             node, sets = zip(*((r[2], shingles(r[3].encode(), words)) for r in group), strict=True)
             pairs = np.array([(node[i], node[j]) for i, j in similar(list(sets))], np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"u": pairs.max(axis=1), "v": pairs.min(axis=1)})
+            yield {"u": pairs.max(axis=1), "v": pairs.min(axis=1)}
 
     dealt = keyed.select("crowd", "tile", "node", "text").repartition(parts(spark), "crowd", "tile").sortWithinPartitions("crowd", "tile", "node")
-    return dealt.mapInPandas(run, "u long, v long").distinct()
+    return map_batches(dealt, run, "u long, v long").distinct()
 
 
 def near_texts(docs: DataFrame, words: int, radius: int) -> DataFrame:

@@ -15,11 +15,11 @@ from collections.abc import Iterator
 from functools import cache, cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, parts, table, text_bytes
+from .common import NO_ID, map_batches, parts, table, text_bytes
 
 SIZE, SENTENCE, INSIDE = 1024, 2, 8
 #: Tokens planned together; what follows the last cuts of one stretch opens the next.
@@ -145,7 +145,7 @@ def _stretch(rows: list[tuple[int, int, np.ndarray, int]], stops: np.ndarray, se
     at, to = edges[:-1], edges[1:]
     of, window = np.searchsorted(ends, at, side="right"), np.searchsorted(cuts, at, side="right") - 1
     doc, start, whole = (np.array([x[i] for x in rows], np.int64) for i in (0, 1, 3))
-    out = pd.DataFrame({"doc": doc[of], "start": start[of] + at - begins[of], "length": to - at, "ids": [tokens[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], "doc_tokens": whole[of], "sequence_id": sequence + window, "offset": at - cuts[window]})
+    out = {"doc": doc[of], "start": start[of] + at - begins[of], "length": to - at, "ids": [tokens[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], "doc_tokens": whole[of], "sequence_id": sequence + window, "offset": at - cuts[window]}
     i = int(np.searchsorted(ends, cuts[-1], side="right"))
     rest = rows[i:]
     if rest and cuts[-1] > begins[i]:
@@ -168,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, sen
     total = text_bytes(rows)
     n = max(1, min(parts(spark), -(-total // (1 << 20))), -(-total // part_bytes))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
 
         model = _tokenizer(tokenizer)
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, sen
         held: list[tuple[int, int, np.ndarray, int]] = []
         tokens = 0
         for batch in batches:
-            for doc, text in zip(batch["doc"].tolist(), batch["text"], strict=True):
+            for doc, text in zip(batch.column("doc").to_pylist(), (x.as_py() for x in batch.column("text")), strict=True):
                 ids = model.ids(text)
                 held.append((doc, 0, np.append(ids, np.uint32(end_id)), len(ids) + 1))
                 tokens += len(ids) + 1
@@ -187,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, sen
         if held:
             yield _stretch(held, model.stops, sequence, size, sentence, inside, True)[0]
 
-    out = rows.repartitionByRange(n, "doc").sortWithinPartitions("doc").mapInPandas(run, PIECES)
+    out = map_batches(rows.repartitionByRange(n, "doc").sortWithinPartitions("doc"), run, PIECES)
     return out.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id")
 
 

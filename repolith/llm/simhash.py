@@ -13,12 +13,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, parts, table, written
+from .common import NO_ID, map_batches, parts, table, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Rows compared together, and the size from which one key's rows are cut into tiles that meet pair by pair.
@@ -45,12 +45,12 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc, fp) of every row; doc is NO_ID where doc_id is null, fp a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.encode() if isinstance(t, str) else b"", words, seed) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc": batch["doc"], "fp": fp.view(np.int64)})
+            fp = np.fromiter((fingerprint((t.as_py() or "").encode(), words, seed) for t in batch.column("text")), np.uint64, len(batch))
+            yield {"doc": batch.column("doc"), "fp": fp.view(np.int64)}
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text").mapInPandas(run, "doc long, fp long")
+    return map_batches(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text"), run, "doc long, fp long")
 
 
 def tables(n: int, radius: int) -> list[int]:
@@ -160,32 +160,30 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
         keyed = keyed.withColumn("tile", F.least("own", other) * F.col("tiles") + F.greatest("own", other))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: list[np.ndarray] = []  # a row for each of t, key, tile and fp
 
-        def compare(frame: pd.DataFrame) -> pd.DataFrame:
-            fp = frame["fp"].to_numpy()
-            t, key, tile = (frame[c].to_numpy() for c in ("t", "key", "tile"))
+        def compare(rows: np.ndarray) -> dict:
+            t, key, tile, fp = rows
             new = np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
             pairs = np.array(forest(fp, np.cumsum(new), radius), np.int64).reshape(-1, 2)
             u, v = fp[pairs[:, 0]], fp[pairs[:, 1]]
-            return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+            return {"u": np.maximum(u, v), "v": np.minimum(u, v)}
 
         for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) < ROWS:
+            held.append(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("t", "key", "tile", "fp")]))
+            if sum(x.shape[1] for x in held) < ROWS:
                 continue
-            frame = pd.concat(held, ignore_index=True)
-            last = frame.iloc[-1]
-            open_ = ((frame["t"] == last["t"]) & (frame["key"] == last["key"]) & (frame["tile"] == last["tile"])).to_numpy()
-            held = [frame[open_]]
+            rows = np.concatenate(held, axis=1)
+            open_ = (rows[:3] == rows[:3, -1:]).all(axis=0)
+            held = [rows[:, open_]]
             if not open_.all():
-                yield compare(frame[~open_].reset_index(drop=True))
+                yield compare(rows[:, ~open_])
         if held:
-            yield compare(pd.concat(held, ignore_index=True))
+            yield compare(np.concatenate(held, axis=1))
 
     dealt = keyed.select("t", "key", "tile", "fp").repartition(parts(spark), "t", "key", "tile").sortWithinPartitions("t", "key", "tile", "fp")
-    return dealt.mapInPandas(run, "u long, v long").distinct()
+    return map_batches(dealt, run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,7 +183,7 @@ def settle(strings: Strings, repeats: Callable[[Strings], np.ndarray], least: in
     return spans, kept, crowded
 
 
-def blocks(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+def blocks(batches: Iterator, limit: int) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
     """Whole documents of about ``limit`` bytes together: (texts, ids, row keys)."""
     texts, ids, rows, size = [], [], [], 0
     for batch in batches:
@@ -201,8 +200,10 @@ def blocks(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[tuple[list[b
         yield texts, ids, rows
 
 
-def moved(spans: list, packed: list[tuple[int, bytes]]) -> Iterator[pd.DataFrame]:
+def moved(spans: list, packed: list[tuple[int, bytes]]) -> Iterator:
     """Rows of MOVED: spans already settled (dealt by document), and packed strings (dealt by minimiser)."""
+    import pandas as pd  # here, as other operators share this module without it
+
     if spans:
         doc, row, start, stop = spans
         yield pd.DataFrame({"bucket": np.full(len(doc), -1, np.int32), "doc": doc, "row": row, "start": start.astype(np.int32), "stop": stop.astype(np.int32), "blob": None})
