@@ -63,7 +63,7 @@ def truth(value: Column) -> Column:
     return F.when(value.isNotNull(), ~F.lower(value).isin("", "false", "0", "0.0", "[]", "{}"))
 
 
-def verdict(url: Column, answer: Column, files: Column | None = None) -> Column:
+def verdict(url: Column, answer: Column, files: Column | None = None, none_found: str = R.NO_FILES) -> Column:
     """struct(status, note) of one paper: skipped, error, no (``files`` given and none found), yes or no.
 
     ``answer`` is what truth() made of the model's boolean.
@@ -72,14 +72,65 @@ def verdict(url: Column, answer: Column, files: Column | None = None) -> Column:
         (F.coalesce(F.length(url) == 0, F.lit(True)), "skipped", F.lit("No repo URL provided")),
         (~is_hosted(url), "skipped", F.concat(F.lit("Not a hosted repo - manual review needed. URL: "), url)),
         (parse_repo_url(url).isNull(), "error", F.lit("Could not parse repo URL")),
-        *([(F.coalesce(files, F.lit(0)) == 0, "no", F.lit("No relevant files found in the repository"))] if files is not None else []),
+        *([(F.coalesce(files, F.lit(0)) == 0, "no", F.lit(none_found))] if files is not None else []),
         (answer.isNull(), "error", F.lit("Empty model response")),
         (answer, "yes", F.lit("")),
         (~answer, "no", F.lit("")),
     ]
+    return _status(reasons)
+
+
+def class_verdict(url: Column, found_class: Column, reason: Column, files: Column | None = None) -> Column:
+    """verdict() of an answer that names a class: EXISTS is yes, any other no, with the model's reason. An address that
+    cannot be read is skipped."""
+    return _status(
+        [
+            (F.coalesce(F.length(url) == 0, F.lit(True)), "skipped", F.lit("No repo URL provided")),
+            (parse_repo_url(url).isNull(), "skipped", F.concat(F.lit("Not a hosted repo - manual review needed. URL: "), url)),
+            *([(F.coalesce(files, F.lit(0)) == 0, "no", F.lit(R.NO_FILES_RETRIEVABLE))] if files is not None else []),
+            (found_class.isNull(), "error", F.lit("Empty model response")),
+            (found_class == "EXISTS", "yes", reason),
+            (F.lit(True), "no", reason),
+        ]
+    )
+
+
+def _status(reasons: list[tuple[Column, str, Column]]) -> Column:
     return first_of(*((c, F.struct(F.lit(s).alias("status"), n.alias("note"))) for c, s, n in reasons))
 
 
+def file_link(owner: Column, name: Column, path: Column) -> Column:
+    return F.concat(F.lit("https://github.com/"), owner, F.lit("/"), name, F.lit("/blob/HEAD/"), path)
+
+
+def file_entries(json: Column, parts: dict[str, str], single: Column | None = None) -> Column:
+    """array<struct(path, ``parts``)> from a JSON list of objects; a part that lacks gets its value in ``parts``.
+
+    Where the list is empty, the path in ``single`` is its only entry. A part named commands is a list; one command may
+    stand alone. Anything but a list of objects gives no entries.
+    """
+    entry = ", ".join(f"`{n}`: string" for n in ("path", *parts))
+    listed = F.coalesce(F.from_json(json, f"array<struct<{entry}>>"), F.array().cast(f"array<struct<{entry}>>"))
+    if single is not None:
+        alone = F.array(F.struct(single.alias("path"), *(F.lit(v).alias(n) for n, v in parts.items())))
+        listed = F.when((F.size(listed) == 0) & (single != ""), alone).otherwise(listed)
+
+    def part(e: Column, n: str, lacking: str) -> Column:
+        if n != "commands":
+            return F.coalesce(e[n], F.lit(lacking))
+        alone = F.when(F.coalesce(e[n], F.lit("")) != "", F.array(e[n])).otherwise(F.array().cast("array<string>"))
+        return F.coalesce(F.from_json(e[n], "array<string>"), alone)
+
+    whole = F.filter(listed, lambda e: e.isNotNull())
+    return F.transform(whole, lambda e: F.struct(F.coalesce(e["path"], F.lit("")).alias("path"), *(part(e, n, v).alias(n) for n, v in parts.items())))
+
+
+def with_links(entries: Column, owner: Column, name: Column) -> Column:
+    """``entries`` of file_entries() whose trimmed path is not blank, with a link."""
+    trimmed = F.transform(entries, lambda e: e.withField("path", strip(e["path"])))
+    return F.transform(F.filter(trimmed, lambda e: e["path"] != ""), lambda e: e.withField("link", file_link(owner, name, e["path"])))
+
+
 def truth_label(value: Column) -> Column:
     """A hand-written label as a boolean; null where it says neither."""
     low = F.lower(strip(value))

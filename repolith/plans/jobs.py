@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,7 +237,7 @@ def build_payloads(files: DataFrame, contents: DataFrame, check: str) -> DataFra
         held = fl.attach_contents(fl.preprocessing_candidates(files), contents)
         cut = fl.cascading_budget(held)
         label = F.coalesce(*(F.when(F.col("bucket") == b, F.lit(x)) for b, (_, _, x) in R.PREPROCESSING_BUCKETS.items()))
-        order, tokens = ("place", "depth", "path_lower", "seq"), (4_000, 4_000)
+        order, tokens = ("place", "depth", "path_lower", "seq"), (2_500, 4_000)
     elif check == "install":
         chosen = path_features(fl.select_install_files(files)).withColumn("first", readme_priority(F.col("path"), nested_last=True))
         cut, label = fl.char_budget(fl.attach_contents(chosen, contents), R.INSTALL_CHARS, None, "first", "seq"), F.lit("FILE")
@@ -250,16 +252,17 @@ def build_payloads(files: DataFrame, contents: DataFrame, check: str) -> DataFra
         held = held.withColumn("place", F.when(F.col("bucket") == "config", 0).when(F.col("bucket") == "page", 1).otherwise(2))
         held = held.withColumn("first", F.when(F.col("bucket") == "config", readme_priority(F.col("path"))).otherwise(F.col("rank")))
         cap = F.when(F.col("bucket") == "source", R.API_SOURCE_CAP).otherwise(R.API_DOC_CAP)
-        cut, label = fl.char_budget(held, R.API_CHARS, cap, "place", "first", "seq"), F.when(F.col("bucket") == "source", "SOURCE").otherwise("DOC")
-        order, tokens = ("place", "first", "seq"), (4_000, 6_000)
+        cut = fl.char_budget(held, R.API_CHARS, cap, "place", "first", "seq")
+        label = F.when(F.col("bucket") == "source", "SOURCE FILE").when(F.col("bucket") == "page", "DOC PAGE").otherwise("DOC CONFIG")
+        order, tokens = ("place", "first", "seq"), (3_000, 6_000)
     else:
         found = feats.where(is_source_file(R.COMMENT_SOURCE_EXTS))
         chosen = fl.latest_n(found, R.MAX_COMMENT_SOURCES, "depth", "path_lower", "seq")
-        cut, label = fl.char_budget(fl.attach_contents(chosen, contents), R.COMMENT_CHARS, F.lit(R.COMMENT_CAP), "rank"), F.lit("FILE")
-        order, tokens = ("rank", "seq"), (4_000, 4_000)
+        cut, label = fl.char_budget(fl.attach_contents(chosen, contents), R.COMMENT_CHARS, F.lit(R.COMMENT_CAP), "rank"), F.lit("SOURCE FILE")
+        order, tokens = ("rank", "seq"), (2_000, 4_000)
     block = F.concat(F.lit("### "), label, F.lit(": "), F.col("path"), F.lit("\n"), F.substring("content", F.lit(1), F.col("take").cast("int")))
     rows = cut.groupBy("repo_key").agg(F.array_sort(F.collect_list(F.struct(*order, block.alias("block")))).alias("b"), F.count(F.lit(1)).alias("n_files"), F.sum("take").alias("n_chars"))
-    text = F.coalesce(F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"), F.lit("[No relevant files found in the repository]"))
+    text = F.coalesce(F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"), F.lit(f"[{R.NO_SOURCE_FILES if check in ('preprocessing', 'comments') else R.NO_FILES}]"))
     out = files.select("repo_key").distinct().join(rows, "repo_key", "left").withColumn("payload", text)
     return out.select("repo_key", "payload", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.when(F.length("payload") > 50_000, tokens[1]).otherwise(tokens[0]).alias("max_tokens"))
 
@@ -267,16 +270,65 @@ def build_payloads(files: DataFrame, contents: DataFrame, check: str) -> DataFra
 # ---- B8 to B10: what models answer
 
 
-ANSWER_FIELDS = {"has_usage_examples": "string", "evidence": "string", "example_types": "array<string>", "example_files": "array<string>"}
+@dataclass(frozen=True)
+class Check:
+    """What a model's answer to a check holds: the field that decides (a boolean or a class), lists of words, other text
+    with what stands for a missing one, and a list of files, each with these parts beside its path."""
+
+    key: str
+    lists: tuple[str, ...] = ()
+    texts: dict[str, str] = field(default_factory=dict)
+    files: str | None = None
+    parts: dict[str, str] = field(default_factory=dict)
+
+
+CHECKS = {
+    "preprocessing": Check("classification", texts={"diagnostic_notes": "", "final_reason": ""}, files="preprocessing_files"),
+    "install": Check("has_installation_instructions", ("instruction_types",), {"installation_file": ""}),
+    "usage": Check("has_usage_examples", ("example_types",), {"example_file": ""}, "example_files", {"type": "other", "description": "", "commands": ""}),
+    "api_docs": Check("has_api_documentation", ("documentation_types",), {"doc_tool": "none"}, "doc_files", {"type": "other", "description": ""}),
+    "comments": Check("has_inline_comments", ("comment_types",), files="files_with_comments", parts={"description": ""}),
+}
 
 
-def judge_answers(responses: DataFrame, papers: DataFrame, key: str = "has_usage_examples", fields: dict[str, str] | None = None, lists: tuple[str, ...] = ("example_types", "example_files")) -> DataFrame:
-    """pos, model, title, repo, status, note, evidence and the answer's lists, for responses (pos, model, raw)."""
-    fields = fields or ANSWER_FIELDS
-    read = responses.withColumn("a", A.parse_answer(F.col("raw"), fields, lists, {"example_file": "example_files"} if "example_files" in fields else None))
-    both = read.join(papers.select("pos", "title", "repo"), "pos")
-    out = both.withColumn("v", A.verdict(F.col("repo"), A.truth(F.col(f"a.{key}"))))
-    return out.select("pos", "model", "title", "repo", "v.*", F.coalesce("a.evidence", F.lit("")).alias("evidence"), *(F.col(f"a.{n}") for n in lists))
+def judge_answers(responses: DataFrame, papers: DataFrame, check: str = "usage", payloads: DataFrame | None = None) -> DataFrame:
+    """pos, model, title, repo, status, note, evidence and what else ``check`` asks for, for responses (pos, model, raw).
+
+    ``payloads`` (repo_key, n_files; see build_payloads) tells which repositories had no file to read: to the checks of
+    comments and of pre-processing that is a no, whatever was answered. A null or missing list is empty.
+    Files come as structs with a link, those without a path go; comments' files stay as they were answered.
+    Pre-processing gives its class, the files' categories, sorted, and the first three pieces of evidence.
+    """
+    c = CHECKS[check]
+    fields = {c.key: "string", "evidence": "string", **dict.fromkeys(c.texts, "string"), **dict.fromkeys(c.lists, "array<string>")}
+    read = responses.withColumn("a", A.parse_answer(F.col("raw"), fields | ({c.files: "string"} if c.files else {}), c.lists))
+    keyed = pp.with_keys(papers).select("pos", "title", "repo", "owner", "name", "repo_key")
+    found = None
+    if payloads is not None and check in ("preprocessing", "comments"):
+        keyed, found = pp.attach(keyed, payloads.select("repo_key", "n_files")), F.coalesce("n_files", F.lit(0))
+    both = read.join(keyed, "pos")
+    text = {n: F.coalesce(F.nullif(F.col(f"a.{n}"), F.lit("")), F.lit(d)) for n, d in c.texts.items()}
+    kept = {n: F.col(f"a.{n}") for n in c.lists}
+    evidence, answer = F.coalesce("a.evidence", F.lit("")), F.col(f"a.{c.key}")
+    if check == "preprocessing":
+        files = A.normalise_entries(F.col(f"a.{c.files}"))
+        said = F.filter(F.transform(files, lambda e: e["evidence"]), lambda e: e != "")
+        evidence = F.when(F.size(said) > 0, F.array_join(F.slice(said, 1, 3), "; ")).otherwise(text["diagnostic_notes"])
+        categories = F.array_sort(F.array_distinct(F.filter(F.transform(files, lambda e: e["category"]), lambda x: x != "")))
+        kept = {"class": F.coalesce(answer, F.lit("NOT_APPLICABLE")), "categories": categories, c.files: files}
+        verdict = A.class_verdict(F.col("repo"), answer, text["final_reason"], found)
+    else:
+        verdict = A.verdict(F.col("repo"), A.truth(answer), found, R.NO_SOURCE_FILES)
+        if c.files:
+            single = text.get("example_file")
+            kept[c.files] = A.file_entries(F.col(f"a.{c.files}"), c.parts, single)
+            if check != "comments":
+                kept[c.files] = A.with_links(kept[c.files], F.col("owner"), F.col("name"))
+        if check == "install":
+            kept["installation_link"] = F.when((text["installation_file"] != "") & F.col("owner").isNotNull(), A.file_link(F.col("owner"), F.col("name"), text["installation_file"])).otherwise("")
+        if check == "api_docs":
+            kept["doc_tool"] = text["doc_tool"]
+    return both.withColumn("v", verdict).select("pos", "model", "title", "repo", "v.*", evidence.alias("evidence"), *(v.alias(n) for n, v in kept.items()))
 
 
 def compare_models(results: DataFrame, models: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -83,6 +83,8 @@ RESULTS = r"""x AS (SELECT r.pos, r.model, p.title, p.repo, p.ground_truth, r.pr
  FROM lens_answers r JOIN lens_papers p ON p.pos = r.pos)
 """
 
+ANSWER_FIELDS = {"has_usage_examples": "string", "evidence": "string", "example_types": "array<string>", "example_files": "array<string>"}
+
 
 def results(t: Lens) -> DataFrame:
     return jobs.judge_answers(t.answers, t.papers)
@@ -706,13 +708,13 @@ def f13_last_page(t: Lens) -> DataFrame:
 
 @query(RESULTS + "SELECT pos, model, array_to_string(types, ',') AS types FROM x WHERE types IS NOT NULL", "papers", "answers")
 def f14_parse_answer(t: Lens) -> DataFrame:
-    a = A.parse_answer(F.col("raw"), jobs.ANSWER_FIELDS, ("example_types", "example_files"))
+    a = A.parse_answer(F.col("raw"), ANSWER_FIELDS, ("example_types", "example_files"))
     return t.answers.select("pos", "model", a.alias("a")).where("a.parsed").select("pos", "model", F.array_join("a.example_types", ",").alias("types"))
 
 
 @query("SELECT pos, model, 'Parsing failed: ' || raw AS evidence FROM lens_answers WHERE contains(raw, '{\"has\": tru') AND NOT contains(raw, 'usage')", "answers")
 def f14_broken_answers(t: Lens) -> DataFrame:
-    a = A.parse_answer(F.col("raw"), jobs.ANSWER_FIELDS)
+    a = A.parse_answer(F.col("raw"), ANSWER_FIELDS)
     return t.answers.select("pos", "model", a.alias("a")).where("not a.parsed and a.evidence is not null").select("pos", "model", "a.evidence")
 
 
@@ -888,14 +890,14 @@ def b6_audit_post_publication(t: Lens) -> DataFrame:
 
 
 @query(CASCADE + """, p AS (SELECT repo_key, string_agg('### ' || CASE bucket WHEN 'named' THEN 'PREPROCESS-NAMED' WHEN 'folder' THEN 'PREPROCESS-FOLDER' ELSE 'GENERIC SOURCE' END || ': ' || path || chr(10) || content[1:take], chr(10) || chr(10) ORDER BY place, depth, path_lower, seq) AS p, count(*) AS n, sum(take) AS t FROM c GROUP BY repo_key)
-SELECT r.repo_key, coalesce(p, '[No relevant files found in the repository]') AS payload, coalesce(n, 0) AS n_files, CAST(coalesce(t, 0) AS BIGINT) AS n_chars, CAST(4000 AS BIGINT) AS max_tokens FROM (SELECT DISTINCT repo_key FROM lens_files) r LEFT JOIN p ON p.repo_key = r.repo_key""", "files")
+SELECT r.repo_key, coalesce(p, '[No source code files found in the repository]') AS payload, coalesce(n, 0) AS n_files, CAST(coalesce(t, 0) AS BIGINT) AS n_chars, CAST(CASE WHEN length(p) > 50000 THEN 4000 ELSE 2500 END AS BIGINT) AS max_tokens FROM (SELECT DISTINCT repo_key FROM lens_files) r LEFT JOIN p ON p.repo_key = r.repo_key""", "files")
 def b7_payloads_preprocessing(t: Lens) -> DataFrame:
     return jobs.build_payloads(t.files.drop("content"), t.files, "preprocessing").withColumn("max_tokens", F.col("max_tokens").cast("long"))
 
 
-def _blocks(order: str, high: int) -> str:
+def _blocks(order: str, low: int, high: int, nothing: str = "No relevant files") -> str:
     return f"""blocks AS (SELECT repo_key, string_agg('### ' || label || ': ' || path || chr(10) || content[1:take], chr(10) || chr(10) ORDER BY {order}) AS p, count(*) AS n, sum(take) AS t FROM c GROUP BY repo_key)
-SELECT r.repo_key, coalesce(p, '[No relevant files found in the repository]') AS payload, coalesce(n, 0) AS n_files, CAST(coalesce(t, 0) AS BIGINT) AS n_chars, CAST(CASE WHEN length(p) > 50000 THEN {high} ELSE {'1000' if high == 1000 else '4000'} END AS BIGINT) AS max_tokens FROM (SELECT DISTINCT repo_key FROM lens_files) r LEFT JOIN blocks ON blocks.repo_key = r.repo_key"""
+SELECT r.repo_key, coalesce(p, '[{nothing} found in the repository]') AS payload, coalesce(n, 0) AS n_files, CAST(coalesce(t, 0) AS BIGINT) AS n_chars, CAST(CASE WHEN length(p) > 50000 THEN {high} ELSE {low} END AS BIGINT) AS max_tokens FROM (SELECT DISTINCT repo_key FROM lens_files) r LEFT JOIN blocks ON blocks.repo_key = r.repo_key"""
 
 
 def _spent(source: str, order: str, budget: int, cap: str) -> str:
@@ -906,7 +908,7 @@ c AS (SELECT *, CAST(least(want, greatest({budget} - before, 0)) AS BIGINT) AS t
 
 ROOT = f"CASE WHEN lower(path) IN {_in(R.ROOT_README_NAMES)} THEN 0 WHEN NOT contains(path, '/') THEN 1"
 PAYLOAD_SQL = {
-    "install": INSTALL + f", i AS (SELECT x.*, {ROOT} WHEN contains(lower(path), 'readme') THEN 3 ELSE 2 END AS first, 'FILE' AS label FROM x JOIN y ON x.repo_key = y.repo_key WHERE x.named OR (NOT any_named AND x.path = readme)), " + _spent("i", "first, seq", R.INSTALL_CHARS, "length(content)") + ", " + _blocks("first, seq", 1000),
+    "install": INSTALL + f", i AS (SELECT x.*, {ROOT} WHEN contains(lower(path), 'readme') THEN 3 ELSE 2 END AS first, 'FILE' AS label FROM x JOIN y ON x.repo_key = y.repo_key WHERE x.named OR (NOT any_named AND x.path = readme)), " + _spent("i", "first, seq", R.INSTALL_CHARS, "length(content)") + ", " + _blocks("first, seq", 1000, 1000),
     "usage": FEATS + f""", x1 AS (SELECT *, {USAGE_BUCKET} AS bucket FROM x), u1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY depth, path_lower, seq) AS rank FROM x1 WHERE bucket IS NOT NULL),
 u2 AS (SELECT *, CASE bucket WHEN 'doc' THEN 0 WHEN 'notebook' THEN 1 ELSE 2 END AS place, CASE WHEN bucket = 'doc' THEN {ROOT} ELSE 2 END ELSE rank END AS first, nullif(length(content), 0) AS size FROM u1 WHERE bucket = 'doc' OR rank <= CASE bucket WHEN 'notebook' THEN {R.MAX_NOTEBOOKS} ELSE {R.MAX_SCRIPTS} END),
 u3 AS (SELECT *, CASE WHEN bucket = 'doc' AND size IS NOT NULL THEN least(size, greatest({R.USAGE_CHARS} - coalesce(sum(CASE WHEN bucket = 'doc' THEN size END) OVER (PARTITION BY repo_key ORDER BY place, first, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) END AS t_doc FROM u2),
@@ -914,14 +916,14 @@ u4 AS (SELECT *, coalesce(sum(t_doc) OVER (PARTITION BY repo_key), 0) AS docs, c
 u5 AS (SELECT *, CASE WHEN bucket = 'notebook' AND size IS NOT NULL THEN least(size, {R.NOTEBOOK_CAP}, CAST(floor(({R.USAGE_CHARS} - docs) / greatest(books, 1)) AS BIGINT)) END AS t_book, CASE WHEN bucket = 'script' AND size IS NOT NULL THEN least(size, {R.SCRIPT_CAP}) END AS want FROM u4),
 u6 AS (SELECT *, docs + coalesce(sum(t_book) OVER (PARTITION BY repo_key), 0) AS used, coalesce(sum(want) OVER (PARTITION BY repo_key ORDER BY place, first, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u5),
 u7 AS (SELECT *, CAST(CASE WHEN size IS NULL THEN NULL WHEN t_doc IS NOT NULL THEN t_doc WHEN t_book IS NOT NULL THEN t_book ELSE least(want, greatest({R.USAGE_CHARS} - used - before, 0)) END AS BIGINT) AS take, CASE WHEN bucket = 'doc' THEN 'FILE' ELSE upper(bucket) END AS label FROM u6),
-c AS (SELECT * FROM u7 WHERE take > 0 OR (bucket = 'notebook' AND size IS NOT NULL)), """ + _blocks("place, first, seq", 8000),
+c AS (SELECT * FROM u7 WHERE take > 0 OR (bucket = 'notebook' AND size IS NOT NULL)), """ + _blocks("place, first, seq", 4000, 8000),
     "api_docs": FEATS + f""", x1 AS (SELECT *, CASE WHEN path_lower IN {_in(R.DOC_NAMES)} OR basename IN {_in(R.DOC_NAMES)} THEN 'config' WHEN {_starts('path_lower', R.DOC_FOLDERS)} THEN CASE WHEN ext IN {_in(R.DOC_EXTS)} THEN 'page' END WHEN {SOURCE} THEN 'source' END AS bucket FROM x),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY CASE WHEN {_starts('path_lower', R.STRONG_DOC_FOLDERS)} THEN 0 ELSE 1 END, path_lower, seq) AS nth, row_number() OVER (PARTITION BY repo_key, bucket, top ORDER BY path_lower, seq) AS round, min(seq) OVER (PARTITION BY repo_key, bucket, top) AS top_seq FROM x1 WHERE bucket IS NOT NULL),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY round, top <> '', lower(top), top_seq) AS turn FROM r1 WHERE bucket <> 'source' OR round <= {R.MAX_API_SOURCES}),
-r3 AS (SELECT *, CASE bucket WHEN 'config' THEN 0 WHEN 'page' THEN 1 ELSE 2 END AS place, CASE bucket WHEN 'config' THEN {ROOT} ELSE 2 END WHEN 'page' THEN nth ELSE turn END AS first, CASE WHEN bucket = 'source' THEN 'SOURCE' ELSE 'DOC' END AS label FROM r2 WHERE CASE bucket WHEN 'source' THEN turn <= {R.MAX_API_SOURCES} WHEN 'page' THEN nth <= {R.MAX_DOC_PAGES} ELSE true END),
-""" + _spent("r3", "place, first, seq", R.API_CHARS, f"CASE WHEN bucket = 'source' THEN {R.API_SOURCE_CAP} ELSE {R.API_DOC_CAP} END") + ", " + _blocks("place, first, seq", 6000),
-    "comments": FEATS + f""", r1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key ORDER BY depth, path_lower, seq) AS rank, 'FILE' AS label FROM x WHERE ext IN {_in(R.COMMENT_SOURCE_EXTS)} AND NOT {_starts('path_lower', R.SKIP_FOLDERS)} AND basename NOT IN {_in(R.SKIP_NAMES)}),
-r2 AS (SELECT * FROM r1 WHERE rank <= {R.MAX_COMMENT_SOURCES}), """ + _spent("r2", "rank", R.COMMENT_CHARS, str(R.COMMENT_CAP)) + ", " + _blocks("rank, seq", 4000),
+r3 AS (SELECT *, CASE bucket WHEN 'config' THEN 0 WHEN 'page' THEN 1 ELSE 2 END AS place, CASE bucket WHEN 'config' THEN {ROOT} ELSE 2 END WHEN 'page' THEN nth ELSE turn END AS first, CASE bucket WHEN 'source' THEN 'SOURCE FILE' WHEN 'page' THEN 'DOC PAGE' ELSE 'DOC CONFIG' END AS label FROM r2 WHERE CASE bucket WHEN 'source' THEN turn <= {R.MAX_API_SOURCES} WHEN 'page' THEN nth <= {R.MAX_DOC_PAGES} ELSE true END),
+""" + _spent("r3", "place, first, seq", R.API_CHARS, f"CASE WHEN bucket = 'source' THEN {R.API_SOURCE_CAP} ELSE {R.API_DOC_CAP} END") + ", " + _blocks("place, first, seq", 3000, 6000),
+    "comments": FEATS + f""", r1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key ORDER BY depth, path_lower, seq) AS rank, 'SOURCE FILE' AS label FROM x WHERE ext IN {_in(R.COMMENT_SOURCE_EXTS)} AND NOT {_starts('path_lower', R.SKIP_FOLDERS)} AND basename NOT IN {_in(R.SKIP_NAMES)}),
+r2 AS (SELECT * FROM r1 WHERE rank <= {R.MAX_COMMENT_SOURCES}), """ + _spent("r2", "rank", R.COMMENT_CHARS, str(R.COMMENT_CAP)) + ", " + _blocks("rank, seq", 2000, 4000, "No source code files"),
 }
 
 
@@ -942,6 +944,68 @@ def b8_judge_answers(t: Lens) -> DataFrame:
     return results(t).select("pos", "model", "title", "repo", "status", F.array_join("example_types", ",").alias("types"))
 
 
+#: The answers' lens as answers to the other checks: what stands for what, in the order of replacement.
+_ONE, _TWO = '"example_types": ["notebook"]', '"example_types": ["CLI usage", "notebook"]'
+ANSWERS_AS = {
+    "install": (("has_usage_examples", "has_installation_instructions"), ("example_types", "instruction_types"), ('"example_files": null', '"installation_file": "docs/INSTALL.md"')),
+    "api_docs": (
+        ("has_usage_examples", "has_api_documentation"),
+        ("example_types", "documentation_types"),
+        ('"example_files": null', '"doc_tool": "sphinx", "doc_files": [{"path": " docs/conf.py ", "type": "config", "description": "d"}, {"path": " "}, {"path": "b.md"}]'),
+    ),
+    "comments": (("has_usage_examples", "has_inline_comments"), ("example_types", "comment_types"), ('"example_files": null', '"files_with_comments": [{"path": "a.py", "description": "d"}, {"description": "e"}]')),
+    "preprocessing": (
+        ('"has_usage_examples": true', '"classification": "EXISTS"'),
+        ('"has_usage_examples": false', '"classification": "NOT_APPLICABLE"'),
+        ('"evidence": "e"', '"final_reason": "r", "diagnostic_notes": "d"'),
+        (_ONE, '"preprocessing_files": ["a.py"]'),
+        (_TWO, '"preprocessing_files": [{"path": " b.py", "category": "Tokenize", "evidence": "x"}, {"path": "", "category": "z"}, {"path": "c.py", "category": "clean", "evidence": "y"}]'),
+    ),
+}
+JUDGED = {
+    "install": RESULTS + """SELECT x.pos, x.model, x.status, coalesce(array_to_string(types, ','), '') AS types,
+ CASE WHEN len(types) = 2 AND owner IS NOT NULL THEN 'https://github.com/' || owner || '/' || name || '/blob/HEAD/docs/INSTALL.md' ELSE '' END AS link FROM x JOIN k ON k.pos = x.pos""",
+    "api_docs": RESULTS + """SELECT x.pos, x.model, x.status, coalesce(array_to_string(types, ','), '') AS types, CASE WHEN len(types) = 2 THEN 'sphinx' ELSE 'none' END AS doc_tool,
+ CASE WHEN len(types) = 2 THEN 'docs/conf.py config d' || coalesce(' https://github.com/' || owner || '/' || name || '/blob/HEAD/docs/conf.py', '') || ', b.md other ' || coalesce(' https://github.com/' || owner || '/' || name || '/blob/HEAD/b.md', '') ELSE '' END AS files FROM x JOIN k ON k.pos = x.pos""",
+    "preprocessing": RESULTS + """SELECT x.pos, x.model, CASE WHEN coalesce(x.repo, '') = '' OR owner IS NULL THEN 'skipped' WHEN types IS NULL THEN 'error' WHEN contains(r.raw, 'examples": true') THEN 'yes' ELSE 'no' END AS status,
+ CASE WHEN types IS NOT NULL AND coalesce(x.repo, '') <> '' AND owner IS NOT NULL THEN 'r' WHEN coalesce(x.repo, '') = '' THEN 'No repo URL provided' WHEN owner IS NULL THEN 'Not a hosted repo - manual review needed. URL: ' || x.repo ELSE 'Empty model response' END AS note,
+ CASE WHEN contains(r.raw, 'examples": true') AND types IS NOT NULL THEN 'EXISTS' ELSE 'NOT_APPLICABLE' END AS class, CASE len(types) WHEN 2 THEN 'clean,tokenize' ELSE '' END AS categories,
+ CASE len(types) WHEN 2 THEN 'x; y' WHEN 1 THEN 'd' ELSE '' END AS evidence, CASE len(types) WHEN 2 THEN 'b.py,c.py' WHEN 1 THEN 'a.py' ELSE '' END AS files FROM x JOIN k ON k.pos = x.pos JOIN lens_answers r ON r.pos = x.pos AND r.model = x.model""",
+}
+#: How many files the comments' payload of a repository holds.
+COMMENTED = PAYLOAD_SQL["comments"].split(", blocks AS")[0] + ", n AS (SELECT repo_key, count(*) AS n FROM c GROUP BY repo_key), "
+JUDGED["comments"] = COMMENTED + KEYED.rstrip() + ", " + RESULTS.replace("x AS", "w AS", 1) + """SELECT w.pos, w.model, CASE WHEN status IN ('skipped', 'error') AND NOT (status = 'error' AND owner IS NOT NULL) THEN status WHEN n IS NULL THEN 'no' ELSE status END AS status,
+ coalesce(array_to_string(types, ','), '') AS types, CASE WHEN len(types) = 2 THEN 'a.py d, e' ELSE '' END AS files FROM w JOIN k ON k.pos = w.pos LEFT JOIN n ON n.repo_key = k.repo_key"""
+for _check in ("install", "api_docs", "preprocessing"):
+    JUDGED[_check] = KEYED.rstrip() + ", " + JUDGED[_check]
+
+
+def _judged(check: str) -> None:
+    said = lambda entries, *parts: F.array_join(F.transform(entries, lambda e: F.concat_ws(" ", *(e[p] for p in parts))), ", ")
+
+    def build(t: Lens) -> DataFrame:
+        raw = F.col("raw")
+        for old, new in ANSWERS_AS[check]:
+            raw = F.replace(raw, F.lit(old), F.lit(new))
+        payloads = jobs.build_payloads(t.files.drop("content"), t.files, check) if check == "comments" else None
+        out = jobs.judge_answers(t.answers.withColumn("raw", raw), t.papers, check, payloads)
+        types = lambda c: F.array_join(c, ",").alias("types")
+        if check == "install":
+            return out.select("pos", "model", "status", types("instruction_types"), F.col("installation_link").alias("link"))
+        if check == "api_docs":
+            return out.select("pos", "model", "status", types("documentation_types"), "doc_tool", said("doc_files", "path", "type", "description", "link").alias("files"))
+        if check == "comments":
+            return out.select("pos", "model", "status", types("comment_types"), F.regexp_replace(said("files_with_comments", "path", "description"), ",  ", ", ").alias("files"))
+        return out.select("pos", "model", "status", "note", "class", F.array_join("categories", ",").alias("categories"), "evidence", F.array_join("preprocessing_files.path", ",").alias("files"))
+
+    build.__name__ = f"b8_judge_{check}"
+    query(JUDGED[check], "papers", "answers", *(["files"] if check == "comments" else []))(build)
+
+
+for _check in JUDGED:
+    _judged(_check)
+
+
 @query(AGREE + "SELECT count(*) FILTER (WHERE agree) AS agreed, count(*) AS papers, count(*) FILTER (WHERE agree) / greatest(count(*), 1) * 100 AS rate FROM z", "papers", "answers")
 def b9_compare_models(t: Lens) -> DataFrame:
     return jobs.compare_models(results(t), MODELS)[1]

@@ -45,8 +45,11 @@ def test_texts(spark):
     assert one(spark, base64.b64encode(b"a\xff\xc3\xa9").decode(), decode_content) == "aé"
 
 
+ANSWER_FIELDS = {"has_usage_examples": "string", "evidence": "string", "example_types": "array<string>", "example_files": "array<string>"}
+
+
 def test_answers(spark):
-    read = lambda raw: one(spark, raw, lambda c: A.parse_answer(c, jobs.ANSWER_FIELDS, ("example_types", "example_files"), {"example_file": "example_files"}))
+    read = lambda raw: one(spark, raw, lambda c: A.parse_answer(c, ANSWER_FIELDS, ("example_types", "example_files"), {"example_file": "example_files"}))
     fenced = read('```json\n{"has_usage_examples": true, "evidence": "e", "example_file": "a.py"}\n```')
     assert (fenced["has_usage_examples"], fenced["example_types"], fenced["example_files"], fenced["parsed"]) == ("true", [], ["a.py"], True)
     assert read('{"a": tru')["evidence"] == 'Parsing failed: {"a": tru' and read("")["parsed"] is False and read("[1]")["parsed"] is False
@@ -165,3 +168,33 @@ def test_sent_replacement_characters_stay(spark):
     rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(raw)], "i int, raw binary")
     got = {r[0]: r[1] for r in rows.select("i", decode_content(F.base64("raw"))).collect()}
     assert got == {i: x.decode("utf-8", "ignore") for i, x in enumerate(raw)}
+
+
+def test_files_of_answers(spark):
+    """One file on its own, one command on its own, parts that lack, no list at all."""
+    parts = {"type": "other", "description": "", "commands": ""}
+    rows = [
+        (0, '[{"path": " a.py ", "commands": "run a"}, {"path": "b.py", "type": "cli", "commands": ["x", "y"]}, {"path": " "}]', "z.py"),
+        (1, "[]", "z.py"),
+        (2, None, ""),
+        (3, '"none"', ""),
+        (4, '[{"path": "c.sh", "commands": "[ -f x ] && y"}]', ""),
+    ]
+    frame = spark.createDataFrame(rows, "i int, raw string, single string")
+    found = A.with_links(A.file_entries(F.col("raw"), parts, F.col("single")), F.lit("o"), F.lit("r"))
+    got = {r["i"]: [(e["path"], e["type"], e["description"], list(e["commands"]), e["link"]) for e in r["e"]] for r in frame.select("i", found.alias("e")).collect()}
+    link = "https://github.com/o/r/blob/HEAD/"
+    assert got[0] == [("a.py", "other", "", ["run a"], link + "a.py"), ("b.py", "cli", "", ["x", "y"], link + "b.py")]
+    assert got[1] == [("z.py", "other", "", [], link + "z.py")]
+    assert got[2] == got[3] == []
+    assert got[4] == [("c.sh", "other", "", ["[ -f x ] && y"], link + "c.sh")]
+
+
+def test_judged_without_files(spark):
+    """No files to read is a no to two checks, whatever was answered; the others don't ask."""
+    papers = spark.createDataFrame([(1, "t", "https://github.com/o/r"), (2, "t", "https://github.com/o/s"), (3, "t", None)], "pos long, title string, repo string")
+    answers = spark.createDataFrame([(i, "m", '{"has_inline_comments": true, "has_usage_examples": true, "classification": "EXISTS", "example_file": "x.py"}') for i in (1, 2, 3)], "pos long, model string, raw string")
+    payloads = spark.createDataFrame([("o/r", 2), ("o/s", 0)], "repo_key string, n_files long")
+    status = lambda check: {r["pos"]: r["status"] for r in jobs.judge_answers(answers, papers, check, payloads).collect()}
+    assert status("comments") == status("preprocessing") == {1: "yes", 2: "no", 3: "skipped"}
+    assert status("usage") == {1: "yes", 2: "yes", 3: "skipped"}
