@@ -67,3 +67,22 @@ def map_batches(frame: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_dealt(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "left", counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined to ``few`` (one row a key) by ``key``, with no task for the rows of one key.
+
+    A key that has more than a small share of all rows is crowded; there are at most four of those for each partition, so
+    they may be broadcast. Its rows are dealt out by a hash of ``spread``, a column of theirs that tells them apart, and
+    its row of ``few`` is repeated once for each number. ``counted`` holds the same keys where ``rows`` are dear to read.
+    """
+    counted = (rows if counted is None else counted).select(key)
+    share = counted.count() // (4 * parts(rows.sparkSession)) + 1
+    crowded = counted.groupBy(key).count().where(F.col("count") > share).select(key, (F.col("count") / share + 1).cast("int").alias("_numbers"))
+    crowded = written(crowded)
+    if crowded.isEmpty():
+        return rows.join(few, key, how)
+    numbers = F.coalesce("_numbers", F.lit(1))
+    dealt = rows.join(F.broadcast(crowded), key, "left").withColumn("_number", F.pmod(F.xxhash64(spread), numbers).cast("int")).drop("_numbers")
+    repeated = few.join(F.broadcast(crowded), key, "left").withColumn("_number", F.explode(F.sequence(F.lit(0), numbers - 1))).drop("_numbers")
+    return dealt.join(written(repeated), [key, "_number"], how).drop("_number")

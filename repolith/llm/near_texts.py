@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from . import superkmers as S
-from .common import NO_ID, map_batches, parts, written
+from .common import NO_ID, join_dealt, map_batches, parts, written
 
 BANDS, DEPTH = 32, 8
 #: The least similarity of a link, as a fraction.
@@ -129,11 +129,15 @@ def near_texts(docs: DataFrame, words: int, radius: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("node"), text.alias("text"))
     prints = written(_prints(rows, words))
-    nodes = written(prints.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
+    nodes = written(prints.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.min("doc").alias("least")))
     crowd = _candidates(nodes, radius)
-    texts = written(rows.select("node", "text").join(crowd, "node").groupBy("node", "crowd").agg(F.max("text").alias("text")))
-    stars = simhash.components(_links(texts, words))
-    rooted = prints.select("doc", "node").join(stars.withColumnRenamed("u", "node"), "node", "left").select("doc", F.coalesce("v", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("doc").alias("component"))
+    texts = join_dealt(rows, crowd, "node", "doc", "inner", counted=prints)
+    texts = written(texts.groupBy("node", "crowd").agg(F.max("text").alias("text")))
+    stars = simhash.components(_links(texts, words)).withColumnRenamed("u", "node")
+    # Copies of a text are one node until the last join, and each node's root is settled before its rows are named.
+    rooted = written(nodes.select("node", "least").join(stars, "node", "left").select("node", "least", F.coalesce("v", "node").alias("root")))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = join_dealt(rooted, smallest, "root", "node").select("node", "component")
+    out = join_dealt(prints.select("doc", "node"), named, "node", "doc")
     own = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return rooted.join(smallest, "root").select(own("doc").alias("doc_id"), own("component").alias("component_id"))
+    return out.select(own("doc").alias("doc_id"), own("component").alias("component_id"))

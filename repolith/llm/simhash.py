@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, map_batches, parts, table, written
+from .common import NO_ID, join_dealt, map_batches, parts, table, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Rows compared together, and the size from which one key's rows are cut into tiles that meet pair by pair.
@@ -216,10 +216,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     distinct = prints.groupBy("fp").agg(F.min("doc").alias("least"))
     distinct = written(distinct)
     stars = components(links(distinct, distinct.count(), radius))
-    rooted = distinct.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
+    rooted = written(distinct.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(smallest, "root").select("fp", "component")
-    out = prints.join(named, "fp")
+    named = join_dealt(rooted, smallest, "root", "fp").select("fp", "component")
+    out = join_dealt(prints, named, "fp", "doc")
     own = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(own("doc").alias("doc_id"), "fp", own("component").alias("component_id"))
 

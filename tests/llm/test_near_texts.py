@@ -76,3 +76,31 @@ def test_exact_bound():
 
     a = np.arange(9, dtype=np.uint64)
     assert N.similar([a, a[:7]]) == [] and N.similar([a[:5], a[:4]]) == [(0, 1)]
+
+def test_hot_keys_are_dealt_out(spark):
+    """A text with half of all rows: its rows and its root lie in several partitions, and nothing is lost or doubled."""
+    from pyspark.sql import functions as F
+
+    from repolith.llm.common import join_dealt
+
+    rows = spark.range(2000).select(F.col("id").alias("doc"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("node"))
+    few = rows.select("node").distinct().where("node != 9").withColumn("v", F.col("node") * 2)
+    for how in ("left", "inner"):
+        out = join_dealt(rows, few, "node", "doc", how)
+        want = {(d, 7 if d % 2 == 0 else d) for d in range(2000)}
+        want = {(d, n, None if n == 9 else 2 * n) for d, n in want if how == "left" or n != 9}
+        got = [tuple(r) for r in out.select("doc", "node", "v").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert join_dealt(rows.limit(0), few, "node", "doc").count() == 0
+
+
+def test_copies_of_one_text(spark, edited):
+    """Half of all rows are one text: all get its component, ids repeated and missing too."""
+    base = edited[0][1]
+    docs = [(i, base) for i in range(300, 600)] + [(None, base), (300, base), (7, base + " tail")] + [(1000 + i, t) for i, t in edited[2:]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    out = {}
+    for r in N.near_texts(frame, 5, 6).collect():
+        out.setdefault(r["doc_id"], []).append(r["component_id"])
+    assert all(out[i] == [7] * (2 if i == 300 else 1) for i in range(300, 600)) and out[None] == [7] and out[7] == [7]
+    assert {d for d, c in out.items() if d is not None and d >= 1000 and d in c} == {1000 + d for d in brute_kept(edited[2:])}
