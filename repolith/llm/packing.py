@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections import deque
 from collections.abc import Iterator
 from functools import cache, cached_property
@@ -76,11 +77,17 @@ def cut_places(lengths: np.ndarray, ends: np.ndarray, size: int, sentence: int,
 _CUT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: The faster library keeps a place to go back to for each character of white space that it passes, and fails beyond some
+#: hundred thousand. A run that long is looked for only in a text that can hold one, and only from where it begins.
+_LONG_BLANK, _BLANK = 1 << 16, re.compile(r"(?<!\s)\s{%d}" % (1 << 16))
+
+
 class _Tokenizer:
     """Ids of whole texts; sentence ends are ids that stand for a full stop, question or exclamation mark, or a line break.
 
     A byte-level vocabulary whose ids follow the order of its merges is also a table of ranks: the same merges are then
-    made by a faster library. Any other file, and texts that hold one of its added tokens, go through its own.
+    made by a faster library. Any other file, and texts that hold one of its added tokens or a very long run of white
+    space, go through its own, which gives the same ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -118,7 +125,7 @@ class _Tokenizer:
         return tiktoken.Encoding("ranks", pat_str=_CUT, mergeable_ranks={bytes(map(letters.__getitem__, w)): i for w, i in vocab.items()}, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.ranks is None or any(a in text for a in self.added):
+        if self.ranks is None or any(a in text for a in self.added) or (len(text) >= _LONG_BLANK and _BLANK.search(text)):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
         return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
