@@ -4,14 +4,14 @@ Every version of every file is a blob, named by the SHA-256 of its content. The
 rule versions have read it and what each of them found; a scan reads only blobs, and for each blob only rule versions,
 that the ledger has not got, once per distinct content. Findings then join back to all paths that hold the blob, for the
 rule versions that are asked for. DataFrame functions only: matches come from ``regexp_extract_all``, their places from
-the lengths of what ``split`` leaves.
+a running sum over the lengths of what ``split`` leaves.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import parts, table, written
@@ -48,31 +48,31 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 
-def _spans(rule: Rule, text: Column, matches: Column, groups: Column) -> Column:
-    """Places in code points: each match begins after all text between matches and all matches before it."""
-    n = F.size(matches)
-    steps = F.zip_with(F.slice(F.split(text, rule.pattern, -1), F.lit(1), n), F.arrays_zip(matches.alias("m"), groups.alias("g")), lambda gap, x: F.struct(F.length(gap).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("m"), F.length(x["g"]).alias("g")))
-    none = F.array().cast(SPANS)
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), start.alias("start"), (start + x["m"]).alias("stop"))
-        return F.struct((start + x["m"]).alias("at"), F.when(x["g"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    found = F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(n > 0, found).otherwise(none)
+def _matches(rule: Rule, rank: int) -> Column:
+    """array<struct(rank, gap, m, g)> of ``rule``'s matches in text, in order: characters before each since the last one, of it, of its group."""
+    due = ~F.array_contains("seen", rule.name)
+    of = lambda group: F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(group))
+    gaps = F.split("text", rule.pattern, -1)
+    sizes = F.zip_with(gaps, F.arrays_zip(of(0).alias("m"), of(rule.group).alias("g")), lambda gap, x: F.struct(F.lit(rank).alias("rank"), F.length(gap).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("m"), F.length(x["g"]).alias("g")))
+    found = F.filter(sizes, lambda x: x["m"].isNotNull())  # what follows the last match has none
+    return F.when(due & F.col("text").rlike(rule.pattern), found).otherwise(F.array().cast("array<struct<rank:int,gap:bigint,m:bigint,g:int>>"))
 
 
 def find_secrets(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``blobs`` (blob, text, seen: rule names not to apply) with spans: places of all rules' findings in each text."""
-    cols = [c for c in blobs.columns]
-    for i, r in enumerate(rules):
-        due = ~F.array_contains("seen", r.name)
-        blobs = blobs.withColumn(f"m{i}", F.when(due, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-        blobs = blobs.withColumn(f"g{i}", F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group)) if r.group else F.col(f"m{i}"))
-        blobs = blobs.withColumn(f"g{i}", F.when(F.size(f"m{i}") > 0, F.col(f"g{i}")).otherwise(F.col(f"m{i}")))
-    found = [_spans(r, F.col("text"), F.col(f"m{i}"), F.col(f"g{i}")) for i, r in enumerate(rules)]
-    return blobs.select(*cols, F.concat(*found).alias("spans"))
+    """``blobs`` (blob, text, seen: rule names not to apply) without the text, with spans: places of all rules' findings.
+
+    A match begins after all text between matches and all matches before it: one running sum for each blob and rule, over
+    rows that lie where the blobs do. ``blob`` tells rows apart. Spans are in the order of their rules, then of the text.
+    """
+    matches = F.flatten(F.array(*(_matches(r, i) for i, r in enumerate(rules))))
+    one = blobs.select("blob", "seen", F.posexplode_outer(matches).alias("at", "x")).select("blob", "seen", "at", "x.*")
+    before = Window.partitionBy("blob", "rank").orderBy("at")
+    one = one.withColumn("stop", F.sum(F.col("gap") + F.col("m")).over(before))
+    kind, version, least = (F.element_at(F.array(*(F.lit(v) for v in values)), F.col("rank") + 1) for values in zip(*((r.kind, r.version, r.least) for r in rules), strict=True))
+    span = F.struct("rank", (F.col("stop") - F.col("m")).alias("start"), kind.alias("kind"), version.alias("version"), "stop")
+    spans = F.array_sort(F.collect_list(F.when(F.col("g") >= least, span)))
+    found = one.groupBy("blob", "seen").agg(spans.alias("s"))
+    return found.select("blob", "seen", F.transform("s", lambda s: F.struct(s["kind"].alias("kind"), s["version"].alias("version"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
 
 
 def unseen(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
