@@ -49,9 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key(text: Column) -> Column:
-    """Tells rows of one doc_id apart by their text, so that repeated ids keep results of their own."""
-    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+def identified(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc (``NO_ID``: none), row, text: ``row`` tells rows of one doc_id apart by the text's digest, so that they keep results of their own.
+
+    It is empty where the doc_id alone tells them apart: for every row with an id, if no id is repeated.
+    """
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    alone = F.col("doc_id").isNotNull() & F.lit(again)
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.when(alone, "").otherwise(digest).alias("row"), F.col(text).alias("text"))
 
 
 def map_batches(frame: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:

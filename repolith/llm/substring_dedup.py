@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import superkmers as S
-from .common import table
+from .common import identified, table
 
 WIDTH = 50
 #: Words in a minimiser: so many that few are frequent but those in passages that repeat, which settle on the way.
 K = 8
 #: Different words that a task numbers before it starts anew.
 WORDS = 1 << 21
-_KINDS = ["<i8", "<u4", "<i4", "<u2", "<u4", "<u4"]
+_KINDS = ["<i8", S.ROW, "<i4", "<u2", "<u4", "<u4"]
 
 
 def repeats(strings: S.Strings) -> np.ndarray:
@@ -70,14 +70,14 @@ def _mapper(width: int, k: int):
                 tokens = np.fromiter((number.setdefault(x, len(number)) for w in words for x in w), np.int64, int(lengths.sum()))
                 fresh = len(number) - len(code)
                 code = np.append(code, np.fromiter(map(xxhash.xxh64_intdigest, islice(reversed(number), fresh)), np.uint64, fresh)[::-1])
-                strings = S.cut(tokens, code[tokens], lengths, np.array(ids, np.int64), np.array(rows, np.int64), width, k)
+                strings = S.cut(tokens, code[tokens], lengths, np.array(ids, np.int64), np.array(rows, S.ROW), width, k)
                 spans, kept, carry = S.settle(strings, repeats, 2, carry)
                 flat = [x for w in words for x in w]
                 kept.at = kept.at - (len(kept.tokens) - len(flat))  # all that is kept lies in this block's own words
                 packed = []
                 for bucket, group in S.by_bucket(kept, buckets):
                     bodies = [b" ".join(flat[a : a + n + width - 1]) for a, n in zip(group.at.tolist(), group.n.tolist(), strict=True)]
-                    columns = [np.diff(group.doc, prepend=0), group.row.astype("<u4"), group.start.astype("<i4"), group.n.astype("<u2"), group.mini.astype("<u4"), np.array([len(b) for b in bodies], "<u4")]
+                    columns = [np.diff(group.doc, prepend=0), group.row, group.start.astype("<i4"), group.n.astype("<u2"), group.mini.astype("<u4"), np.array([len(b) for b in bodies], "<u4")]
                     packed.append((bucket, S.pack(columns, b" ".join(bodies))))
                 yield from S.moved(spans, packed)
 
@@ -97,7 +97,7 @@ def _reducer(width: int):
         if heads:
             doc, row, start, n, mini, size = (np.concatenate(x) for x in zip(*heads, strict=True))
             n = n.astype(np.int64)
-            strings = S.Strings(width, None, np.zeros(len(n), np.int64), n, doc, row.astype(np.int64), start.astype(np.int64), mini, np.zeros(len(n), np.int64), np.zeros(len(n), bool))
+            strings = S.Strings(width, None, np.zeros(len(n), np.int64), n, doc, row, start.astype(np.int64), mini, np.zeros(len(n), np.int64), np.zeros(len(n), bool))
             which = np.flatnonzero(strings.repeated())
             few = strings.pick(which)
             if len(few):
@@ -110,15 +110,16 @@ def _reducer(width: int):
                 few.at = np.cumsum(lengths) - lengths
                 spans = S.settle(few, repeats)[0]
                 if spans:
-                    out.append(pd.DataFrame(dict(zip(("doc", "row", "start", "stop"), spans, strict=True))))
-        return pd.concat(out).astype({"doc": "int64", "row": "int64", "start": "int32", "stop": "int32"})
+                    doc, row, start, stop = spans
+                    out.append(pd.DataFrame({"doc": doc, "row": row.astype(str), "start": start, "stop": stop}))
+        return pd.concat(out).astype({"doc": "int64", "start": "int32", "stop": "int32"})
 
     return run
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
-    """(doc, row, spans) for documents with windows that a document with a smaller id has too."""
-    return S.spans_of(docs, _mapper(width, k), _reducer(width))
+def repeated_windows(rows: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
+    """(doc, row, spans) of rows of identified() with windows that a document with a smaller id has too."""
+    return S.spans_of(rows, _mapper(width, k), _reducer(width))
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
@@ -139,7 +140,8 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFra
                 out.append((doc, kept.decode(), len(words), int(gone.sum())))
             yield pd.DataFrame(out, columns=["doc", "kept_text", "n_words", "n_removed"])
 
-    return S.own_id(S.with_spans(docs, repeated_windows(docs, width, k)).mapInPandas(run, "doc long, kept_text string, n_words long, n_removed long"))
+    rows = identified(docs)
+    return S.own_id(S.with_spans(rows, repeated_windows(rows, width, k)).mapInPandas(run, "doc long, kept_text string, n_words long, n_removed long"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

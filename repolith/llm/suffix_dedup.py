@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import superkmers as S
-from .common import table
+from .common import identified, table
 
 WIDTH = 100
 K = 16
@@ -28,7 +28,7 @@ COLLECTION = 450
 #: Most bytes in one symbol: of the numbers that divide the width, the largest up to this is the stride. A string becomes as
 #: many strings as the stride says, one for each place of its end, and rounds become fewer.
 STRIDE = 10
-_KINDS = ["<i8", "<u4", "<i4", "u1", "<u2", "u1", "u1", "?"]
+_KINDS = ["<i8", S.ROW, "<i4", "u1", "<u2", "u1", "u1", "?"]
 _CODE = S.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -250,11 +250,11 @@ def _mapper(width: int):
                 body = b"".join(texts)
                 tokens = np.frombuffer(body, np.uint8)
                 lengths = np.array([len(t) for t in texts], np.int64)
-                strings = S.cut(tokens, _CODE[tokens], lengths, np.array(ids, np.int64), np.array(rows, np.int64), width, K)
+                strings = S.cut(tokens, _CODE[tokens], lengths, np.array(ids, np.int64), np.array(rows, S.ROW), width, K)
                 spans, kept, carry = S.settle(strings, repeats, S.CROWD, carry)
                 packed = []
                 for bucket, group in S.by_bucket(kept, buckets):
-                    columns = [np.diff(group.doc, prepend=0), group.row.astype("<u4"), group.start.astype("<i4"), group.n.astype("u1"), (group.mini >> 16).astype("<u2"), (group.mini >> 8).astype("u1"), group.pos.astype("u1"), group.twice]
+                    columns = [np.diff(group.doc, prepend=0), group.row, group.start.astype("<i4"), group.n.astype("u1"), (group.mini >> 16).astype("<u2"), (group.mini >> 8).astype("u1"), group.pos.astype("u1"), group.twice]
                     packed.append((bucket, S.pack(columns, kept.tokens[S.ranges(group.at, group.n + width - 1)].tobytes())))
                 yield from S.moved(spans, packed)
 
@@ -275,18 +275,19 @@ def _reducer(width: int):
             doc, row, start, n, high, low, pos, twice = (np.concatenate(x) for x in zip(*heads, strict=True))
             n, mini = n.astype(np.int64), high.astype(np.uint32) << 8 | low  # three bytes tell a bucket's minimisers well enough apart
             lengths = n + width - 1
-            strings = S.Strings(width, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lengths) - lengths, n, doc, row.astype(np.int64), start.astype(np.int64), mini, pos.astype(np.int64), twice)
+            strings = S.Strings(width, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lengths) - lengths, n, doc, row, start.astype(np.int64), mini, pos.astype(np.int64), twice)
             spans = S.settle(strings, repeats)[0]
             if spans:
-                out.append(pd.DataFrame(dict(zip(("doc", "row", "start", "stop"), spans, strict=True))))
-        return pd.concat(out).astype({"doc": "int64", "row": "int64", "start": "int32", "stop": "int32"})
+                doc, row, start, stop = spans
+                out.append(pd.DataFrame({"doc": doc, "row": row.astype(str), "start": start, "stop": stop}))
+        return pd.concat(out).astype({"doc": "int64", "start": "int32", "stop": "int32"})
 
     return run
 
 
-def repeated_strings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc, row, spans) for documents with ``width``-byte strings that also start earlier."""
-    return S.spans_of(docs, _mapper(width), _reducer(width))
+def repeated_strings(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc, row, spans) of rows of identified() with ``width``-byte strings that also start earlier."""
+    return S.spans_of(rows, _mapper(width), _reducer(width))
 
 
 def dedup_suffixes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -308,7 +309,8 @@ def dedup_suffixes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 out.append((doc, kept, len(body), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))))
             yield pd.DataFrame(out, columns=["doc", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return S.own_id(S.with_spans(docs, repeated_strings(docs, width)).mapInPandas(run, "doc long, kept binary, n_bytes long, n_removed long, n_spans long"))
+    rows = identified(docs)
+    return S.own_id(S.with_spans(rows, repeated_strings(rows, width)).mapInPandas(run, "doc long, kept binary, n_bytes long, n_removed long, n_spans long"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, row_key, text_bytes
+from .common import NO_ID, text_bytes
 
 BLOCK = 4 << 20
 BUCKET = 8 << 20
@@ -40,7 +40,9 @@ RUN = 85
 #: Tokens hashed at a time.
 TILE = 1 << 17
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-MOVED = "bucket int, doc long, row long, start int, stop int, blob binary"
+MOVED = "bucket int, doc long, row string, start int, stop int, blob binary"
+#: How a row's key (see identified()) is held: 32 hexadecimal digits or nothing, which compresses to next to nothing.
+ROW = "S32"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -123,7 +125,7 @@ def _cut(codes, first, lengths, doc, row, width, k) -> list[np.ndarray]:
     at = ranges(first - base, windows)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return [none, none, none, none, none, none.astype(np.uint32), none, none.astype(bool)]
+        return [none, none, none, row[:0], none, none.astype(np.uint32), none, none.astype(bool)]
     grams = (spread(codes, k) >> np.uint64(32)).astype(np.uint32)
     mini = sliding_min(grams, width - k + 1)[at]
     of = np.repeat(np.arange(len(lengths)), windows)
@@ -183,7 +185,7 @@ def settle(strings: Strings, repeats: Callable[[Strings], np.ndarray], least: in
     return spans, kept, crowded
 
 
-def blocks(batches: Iterator, limit: int) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+def blocks(batches: Iterator, limit: int) -> Iterator[tuple[list[bytes], list[int], list[str]]]:
     """Whole documents of about ``limit`` bytes together: (texts, ids, row keys)."""
     texts, ids, rows, size = [], [], [], 0
     for batch in batches:
@@ -206,10 +208,10 @@ def moved(spans: list, packed: list[tuple[int, bytes]]) -> Iterator:
 
     if spans:
         doc, row, start, stop = spans
-        yield pd.DataFrame({"bucket": np.full(len(doc), -1, np.int32), "doc": doc, "row": row, "start": start.astype(np.int32), "stop": stop.astype(np.int32), "blob": None})
+        yield pd.DataFrame({"bucket": np.full(len(doc), -1, np.int32), "doc": doc, "row": row.astype(str), "start": start.astype(np.int32), "stop": stop.astype(np.int32), "blob": None})
     for i in range(0, len(packed), 256):
         some = packed[i : i + 256]
-        yield pd.DataFrame({"bucket": np.array([b for b, _ in some], np.int32), "doc": 0, "row": 0, "start": np.int32(0), "stop": np.int32(0), "blob": [x for _, x in some]})
+        yield pd.DataFrame({"bucket": np.array([b for b, _ in some], np.int32), "doc": 0, "row": "", "start": np.int32(0), "stop": np.int32(0), "blob": [x for _, x in some]})
 
 
 def pack(columns: list[np.ndarray], body: bytes) -> bytes:
@@ -236,25 +238,23 @@ def by_bucket(strings: Strings, buckets: int) -> Iterator[tuple[int, Strings]]:
             yield int(where[group[0]]), strings.pick(group)
 
 
-def spans_of(docs: DataFrame, mapper: Callable, reducer: Callable) -> DataFrame:
-    """(doc, row, spans): the repeated windows of each document as start-stop pairs of window starts.
+def spans_of(rows: DataFrame, mapper: Callable, reducer: Callable) -> DataFrame:
+    """(doc, row, spans) for rows of identified(): the repeated windows of each as start-stop pairs of window starts.
 
     ``mapper(buckets)`` and ``reducer`` are functions for mapInPandas and applyInPandas over MOVED rows.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), row_key(F.col("text")).alias("row"), F.col("text")).where("text is not null")
-    buckets = max(8, -(-text_bytes(docs) // BUCKET))
+    buckets = max(8, -(-text_bytes(rows) // BUCKET))
     tasks = min(buckets, TASKS)
-    sent = rows.mapInPandas(mapper(buckets), MOVED)
+    sent = rows.where("text is not null").mapInPandas(mapper(buckets), MOVED)
     # Settled spans need no bucket: a negative one spreads them by document.
     key = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("doc"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
     dealt = sent.withColumn("bucket", key).withColumn("task", F.pmod(F.col("bucket"), F.lit(tasks)).cast("int"))
-    found = dealt.repartitionById(tasks, F.col("task")).groupBy("task", "bucket").applyInPandas(reducer, "doc long, row long, start int, stop int")
+    found = dealt.repartitionById(tasks, F.col("task")).groupBy("task", "bucket").applyInPandas(reducer, "doc long, row string, start int, stop int")
     return found.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """doc, text and the spans (null: none) of every row, repeated rows included; own_id() turns doc back to doc_id."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), row_key(F.col("text")).alias("row"), "text")
     return rows.join(spans, ["doc", "row"], "left").select("doc", "text", "spans")
 
 
