@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -89,6 +90,21 @@ def test_edges(spark):
     assert dedup_substrings(frame(spark, [])).count() == dedup_suffixes(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("ids", [(None, None), (5, 5)])
+def test_texts_of_one_checksum_keep_their_own_words(spark, ids):
+    """Rows that no doc_id tells apart, whose texts have one CRC32: only the one that repeats an earlier document loses words."""
+    shared, own = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    word = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    seen = {zlib.crc32(f"{shared} {word(i)}".encode()): word(i) for i in range(100_000)}
+    a, b = next((seen[c], word(i)) for i in range(1_000_000) if (c := zlib.crc32(f"{own} {word(i)}".encode())) in seen)
+    rows = [(1, shared), (ids[0], f"{shared} {a}"), (ids[1], f"{own} {b}"), (7, "else")]
+    assert zlib.crc32(rows[1][1].encode()) == zlib.crc32(rows[2][1].encode())
+    out = {r["kept_text"]: r["n_removed"] for r in dedup_substrings(frame(spark, rows)).collect()}
+    assert out == {shared: 0, a: 60, rows[2][1]: 0, "else": 0}
+    out = {bytes(r["kept"]).decode(): r["n_removed"] for r in dedup_suffixes(frame(spark, rows)).collect()}
+    assert out == {shared: 0, f" {a}": len(shared), rows[2][1]: 0, "else": 0}
+
+
 def test_one_key_for_different_windows(monkeypatch):
     from repolith.llm import substring_dedup as D
 

@@ -128,6 +128,17 @@ def test_long_texts_are_scanned_in_linear_time(spark):
     assert [len(out[i]) for i in range(7)] == [0, 0, 0, 1, 1, 1, 0] and time.time() - began < 60
 
 
+def test_many_findings_in_one_text(spark):
+    n = 100_000
+    text = "".join(f"{i:016x} " for i in range(n)) + "token=abcdefghijklm"
+    paths = spark.createDataFrame([(0, text), (1, None)], "path long, text string")
+    scanned = C.scan(paths)
+    began = time.time()
+    out = {r["path"]: r for r in C.findings(paths, scanned).select("path", F.size("spans").alias("n"), F.try_element_at("spans", F.lit(-2)).alias("hex"), F.try_element_at("spans", F.lit(-1)).alias("last")).collect()}
+    assert time.time() - began < 20 and out[0]["n"] == n + 1 and out[1]["n"] == 0
+    assert (out[0]["hex"]["start"], out[0]["hex"]["stop"]) == (17 * (n - 1), 17 * n - 1) and out[0]["last"]["kind"] == "assign"
+
+
 # ---- pseudonyms
 
 
@@ -370,3 +381,16 @@ def test_language_sample_keeps_every_language(spark, monkeypatch):
     many = spark.range(4000).selectExpr("'vv' AS lang", "concat('piece ', id, ' of a language') AS text")
     n = L.training_sample(many, 3000).agg(F.sum(F.octet_length("text"))).first()[0]
     assert 3000 <= n < 3000 + 4000 * 25 / 16 * 1.5
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n"])
+def test_long_white_space(spark, blank):
+    """A million and five million blanks: no crash, and the library's own ids."""
+    import public_tokenizers
+
+    t = P._Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("a" + blank * (1_000_000 // len(blank)) + "b c", blank * (5_000_000 // len(blank)), blank * 70_000, "x" + blank * ((1 << 16) // len(blank) - 1) + "y"):
+        assert np.array_equal(t.ids(text), t.model.encode(text, add_special_tokens=False).ids)
+    docs = spark.createDataFrame([(1, "a" + blank * 500_000 + "b")], "doc_id long, text string")
+    out = P.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).agg(F.sum("length"), F.max("doc_tokens")).first()
+    assert out[0] == out[1]
