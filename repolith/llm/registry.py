@@ -10,6 +10,7 @@ from .decontaminate import OP5_SQL, op5_benchmark_decontamination
 from .language import op10_language_id
 from .neighbours import op9_one_bit_neighbours
 from .packing import op6_packing
+from .periodic_runs import op12_periodic_runs
 from .pseudonyms import op3_pseudonyms
 from .secrets import OP4_SQL, op4_secret_scan
 from .sharding import op7_uniform_shards
@@ -28,6 +29,7 @@ QUERIES = (
     op8_suffix_dedup,
     op9_one_bit_neighbours,
     op10_language_id,
+    op12_periodic_runs,
 )
 
 
