@@ -30,11 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, and lost executors take nothing with them. It goes when the driver ends."""
+def written(frame: DataFrame, *by: str) -> DataFrame:
+    """The rows as a table in the shared folder, split by the columns ``by``: computed once, and lost executors take nothing with them. It goes when the driver ends."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/repolith-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    (frame.write.partitionBy(*by) if by else frame.write).parquet(path)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(frame.schema).parquet(path)
@@ -60,6 +60,11 @@ def identified(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.when(alone, "").otherwise(digest).alias("row"), F.col(text).alias("text"))
 
 
+def own_id(found: DataFrame) -> DataFrame:
+    """``doc`` of identified() as doc_id again."""
+    return found.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id")
+
+
 def map_batches(frame: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``frame`` through a function of Arrow batches that gives columns by name. Its workers load no pandas, a third of their memory."""
     empty = frame.sparkSession.createDataFrame([], schema).toArrow().schema

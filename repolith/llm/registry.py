@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP5_SQL, op5_benchmark_decontamination
 from .language import op10_language_id
+from .line_dedup import OP13_SQL, op13_line_dedup
 from .neighbours import op9_one_bit_neighbours
 from .packing import op6_packing
 from .periodic_runs import op12_periodic_runs
@@ -30,6 +31,7 @@ QUERIES = (
     op9_one_bit_neighbours,
     op10_language_id,
     op12_periodic_runs,
+    op13_line_dedup,
 )
 
 
@@ -38,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op4_secret_scan": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL, "op8_suffix_dedup": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_secret_scan": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL, "op8_suffix_dedup": OP8_SQL, "op13_line_dedup": OP13_SQL}

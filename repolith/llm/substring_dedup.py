@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import superkmers as S
-from .common import identified, table
+from .common import identified, own_id, table
 
 WIDTH = 50
 #: Words in a minimiser: so many that few are frequent but those in passages that repeat, which settle on the way.
@@ -141,7 +141,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFra
             yield pd.DataFrame(out, columns=["doc", "kept_text", "n_words", "n_removed"])
 
     rows = identified(docs)
-    return S.own_id(S.with_spans(rows, repeated_windows(rows, width, k)).mapInPandas(run, "doc long, kept_text string, n_words long, n_removed long"))
+    return own_id(S.with_spans(rows, repeated_windows(rows, width, k)).mapInPandas(run, "doc long, kept_text string, n_words long, n_removed long"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import superkmers as S
-from .common import identified, table
+from .common import identified, own_id, table
 
 WIDTH = 100
 K = 16
@@ -310,7 +310,7 @@ def dedup_suffixes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc", "kept", "n_bytes", "n_removed", "n_spans"])
 
     rows = identified(docs)
-    return S.own_id(S.with_spans(rows, repeated_strings(rows, width)).mapInPandas(run, "doc long, kept binary, n_bytes long, n_removed long, n_spans long"))
+    return own_id(S.with_spans(rows, repeated_strings(rows, width)).mapInPandas(run, "doc long, kept binary, n_bytes long, n_removed long, n_spans long"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, text_bytes
+from .common import text_bytes
 
 BLOCK = 4 << 20
 BUCKET = 8 << 20
@@ -258,10 +258,6 @@ def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.join(spans, ["doc", "row"], "left").select("doc", "text", "spans")
 
 
-def own_id(found: DataFrame) -> DataFrame:
-    return found.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id")
-
-
 def covered(spans: np.ndarray | None, n: int, width: int) -> np.ndarray:
     """Which of n tokens a repeated window covers."""
     step = np.zeros(n + 1, np.int64)
