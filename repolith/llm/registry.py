@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversations import op11_conversation_repair
 from .decontaminate import OP5_SQL, op5_benchmark_decontamination
 from .language import op10_language_id
 from .line_dedup import OP13_SQL, op13_line_dedup
@@ -30,6 +31,7 @@ QUERIES = (
     op8_suffix_dedup,
     op9_one_bit_neighbours,
     op10_language_id,
+    op11_conversation_repair,
     op12_periodic_runs,
     op13_line_dedup,
 )
