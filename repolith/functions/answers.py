@@ -28,52 +28,72 @@ def unfenced(raw: Column) -> Column:
 
 
 def parse_answer(raw: Column, fields: dict[str, str], lists: tuple[str, ...] = (), single: dict[str, str] | None = None) -> Column:
-    """struct of ``fields`` (name: string or array<...> type) from a model's JSON object, with evidence and parsed.
+    """struct of ``fields`` from a model's JSON object, with evidence and parsed.
 
-    Fences go. A blank or null answer gives nulls and empty lists; one that is not an object gives evidence "Parsing
-    failed: " and its beginning. ``lists`` that are missing or null become empty; a field of ``single`` (old name: list)
-    that stands alone becomes a list of one. Scalars are read as JSON text, so that truth() can tell what they were.
+    A field's type is string, array<...>, truth (a boolean: how the value is judged, see truth()) or json (its JSON text).
+    Fences go. A blank or null answer gives nulls and empty lists; one that is not an object, or has anything behind it,
+    gives evidence "Parsing failed: " and its beginning. ``lists`` that are missing, null or no lists become empty; a field
+    of ``single`` (old name: list) becomes a list of one, or none if it is judged no, where the list is missing. An object
+    that repeats a key, and the words NaN and Infinity, are not JSON here.
     """
     text = unfenced(raw)
-    whole = F.try_parse_json(text)
-    is_object = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
+    # In brackets, so that a second value or words behind the first are an error.
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = text.endswith("}") & F.try_variant_get(whole, "$[1]", "variant").isNull()
+    is_object = F.coalesce(alone & F.schema_of_variant(F.try_variant_get(whole, "$[0]", "variant")).startswith("OBJECT"), F.lit(False))
     blank = F.coalesce(F.length(raw) == 0, F.lit(True))
-    scalars = {n: t for n, t in fields.items() if not t.startswith("array")}
-    schema = ",".join(f"`{n}` {t}" for n, t in (fields | {o: "string" for o in single or {}}).items())
-    read = F.from_json(text, schema)
+    failed = F.when(~blank & ~is_object, F.concat(F.lit(R.PARSING_FAILED), F.substring(text, 1, 200)))
+
+    def member(name: str, as_: str = "variant") -> Column:
+        return F.when(is_object, F.try_variant_get(whole, f"$[0].{name}", as_))
+
     out = []
     for n, t in fields.items():
-        value = F.when(is_object, read[n])
-        if t.startswith("array"):
-            for old, new in (single or {}).items():
-                if new == n:
-                    value = F.coalesce(value, F.when(is_object & (read[old] != ""), F.array(read[old]).cast(t)))
-            if n in lists:
-                value = F.coalesce(value, F.array().cast(t))
+        if t == "truth":
+            value = truth(member(n))
+        elif t == "json":
+            value = F.when(~F.is_variant_null(member(n)), F.to_json(member(n)))
+        else:
+            value = member(n, t)
+        for old, new in (single or {}).items():
+            if new == n:
+                value = F.when(member(n).isNull() & truth(member(old)), F.array(member(old, "string")).cast(t)).otherwise(value)
+        if n in lists:
+            value = F.coalesce(value, F.array().cast(t))
         if n == "evidence":
-            value = F.when(~blank & ~is_object, F.concat(F.lit("Parsing failed: "), F.substring(text, 1, 200))).otherwise(value)
+            value = F.coalesce(failed, value)
         out.append(value.alias(n))
-    if "evidence" not in scalars:
-        out.append(F.when(~blank & ~is_object, F.concat(F.lit("Parsing failed: "), F.substring(text, 1, 200))).alias("evidence"))
+    if "evidence" not in fields:
+        out.append(failed.alias("evidence"))
     return F.struct(*out, (is_object & ~blank).alias("parsed"))
 
 
 def truth(value: Column) -> Column:
-    """A JSON scalar or collection, as text, the way a dynamic language judges it; null stays null."""
-    return F.when(value.isNotNull(), ~F.lower(value).isin("", "false", "0", "0.0", "[]", "{}"))
+    """A VARIANT as a dynamic language judges it: no are false, zero, and an empty text, list or object; null for a null or nothing.
+
+    The type of the value decides, so that the text "false" is a yes and the boolean false a no.
+    """
+    kind, plain = F.schema_of_variant(value), lambda t: F.try_variant_get(value, "$", t)
+    return (
+        F.when(value.isNull() | F.is_variant_null(value), F.lit(None).cast("boolean"))
+        .when(kind == "BOOLEAN", plain("boolean"))
+        .when(kind == "STRING", plain("string") != "")
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~F.to_json(value).isin("[]", "{}"))
+        .otherwise(plain("double") != 0)
+    )
 
 
-def verdict(url: Column, answer: Column, files: Column | None = None, none_found: str = R.NO_FILES) -> Column:
+def verdict(url: Column, answer: Column, files: Column | None = None, none_found: str = R.NO_FILES, review: str = R.NEEDS_REVIEW, unparsed: Column | None = None) -> Column:
     """struct(status, note) of one paper: skipped, error, no (``files`` given and none found), yes or no.
 
     ``answer`` is what truth() made of the model's boolean.
     """
     reasons = [
-        (F.coalesce(F.length(url) == 0, F.lit(True)), "skipped", F.lit("No repo URL provided")),
-        (~is_hosted(url), "skipped", F.concat(F.lit("Not a hosted repo - manual review needed. URL: "), url)),
-        (parse_repo_url(url).isNull(), "error", F.lit("Could not parse repo URL")),
+        (F.coalesce(F.length(url) == 0, F.lit(True)), "skipped", F.lit(R.NO_URL)),
+        (~is_hosted(url), "skipped", F.concat(F.lit(review), url)),
+        (parse_repo_url(url).isNull(), "error", F.lit(R.NOT_PARSED) if unparsed is None else unparsed),
         *([(F.coalesce(files, F.lit(0)) == 0, "no", F.lit(none_found))] if files is not None else []),
-        (answer.isNull(), "error", F.lit("Empty model response")),
+        (answer.isNull(), "error", F.lit(R.EMPTY_ANSWER)),
         (answer, "yes", F.lit("")),
         (~answer, "no", F.lit("")),
     ]
@@ -85,10 +105,10 @@ def class_verdict(url: Column, found_class: Column, reason: Column, files: Colum
     cannot be read is skipped."""
     return _status(
         [
-            (F.coalesce(F.length(url) == 0, F.lit(True)), "skipped", F.lit("No repo URL provided")),
-            (parse_repo_url(url).isNull(), "skipped", F.concat(F.lit("Not a hosted repo - manual review needed. URL: "), url)),
+            (F.coalesce(F.length(url) == 0, F.lit(True)), "skipped", F.lit(R.NO_URL)),
+            (parse_repo_url(url).isNull(), "skipped", F.concat(F.lit(R.NEEDS_REVIEW), url)),
             *([(F.coalesce(files, F.lit(0)) == 0, "no", F.lit(R.NO_FILES_RETRIEVABLE))] if files is not None else []),
-            (found_class.isNull(), "error", F.lit("Empty model response")),
+            (found_class.isNull(), "error", F.lit(R.EMPTY_ANSWER)),
             (found_class == "EXISTS", "yes", reason),
             (F.lit(True), "no", reason),
         ]
@@ -100,7 +120,7 @@ def _status(reasons: list[tuple[Column, str, Column]]) -> Column:
 
 
 def file_link(owner: Column, name: Column, path: Column) -> Column:
-    return F.concat(F.lit("https://github.com/"), owner, F.lit("/"), name, F.lit("/blob/HEAD/"), path)
+    return F.concat(F.lit(R.FILE_ADDRESS[0]), owner, F.lit("/"), name, F.lit(R.FILE_ADDRESS[1]), path)
 
 
 def file_entries(json: Column, parts: dict[str, str], single: Column | None = None) -> Column:

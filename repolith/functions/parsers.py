@@ -1,9 +1,8 @@
-"""The two helpers that need a parser: Python syntax (H1) and notebooks (H2). Arrow batches, one small function a row."""
+"""The helper that needs a parser: Python syntax (H1). Arrow batches, one small function a row."""
 
 from __future__ import annotations
 
 import ast
-import json
 import re
 
 import pandas as pd
@@ -51,57 +50,3 @@ def python_docstrings(content: Column) -> Column:
 
     counted = run(content)
     return F.when(counted["module"].isNotNull(), counted)
-
-
-def _cells(raw: str) -> list[tuple[str, str, list]] | None:
-    """(kind, source, outputs) of a notebook's cells with a source; null if the text is no notebook."""
-    try:
-        cells = json.loads(raw)["cells"]
-    except (ValueError, KeyError, TypeError, RecursionError):
-        return None
-    out = []
-    for cell in cells if isinstance(cells, list) else []:
-        if isinstance(cell, dict):
-            source = cell.get("source") or ""
-            text = "".join(map(str, source)) if isinstance(source, list) else str(source)
-            if text.strip():
-                out.append((str(cell.get("cell_type", "")), text, cell.get("outputs") or []))
-    return out
-
-
-def _flat(raw: str | None, limit: int | None) -> str | None:
-    cells = None if raw is None else _cells(raw)
-    if cells is None:
-        return raw if limit is None or raw is None else raw[:limit]
-    blocks = []
-    for kind, text, outputs in cells:
-        if limit is None:
-            blocks.append(text)
-        elif kind in ("code", "markdown"):
-            blocks.append(f"[{kind.upper()}]\n{text}")
-            for o in outputs if kind == "code" else []:
-                said = o.get("text") or "" if isinstance(o, dict) else ""
-                said = "".join(map(str, said)) if isinstance(said, list) else str(said)
-                if said and len(said) < 500:
-                    blocks.append(f"[OUTPUT]\n{said}")
-    return "\n\n".join(blocks)[:limit]
-
-
-def flatten_notebook(raw: Column) -> Column:
-    """The sources of a notebook's cells, one after the other; text that is no notebook stays."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _flat(t, None), na_action="ignore")
-
-    return run(raw)
-
-
-def summarise_notebook(raw: Column, limit: int = R.NOTEBOOK_CAP) -> Column:
-    """Code, short text outputs and prose of a notebook, cut to ``limit`` characters; other text is only cut."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _flat(t, limit), na_action="ignore")
-
-    return run(raw)

@@ -11,10 +11,6 @@ from . import rules as R
 from .paths import holds, starts
 from .urls import strip
 
-#: Line ends are line feeds alone, and \w, \s and \b know all scripts.
-_HEADING = r"(?mdU)^(#{1,4})\s+(.+)$"
-
-
 def first_of(*cases: tuple[Column, object]) -> Column:
     return F.coalesce(*(F.when(c, v) for c, v in cases))
 
@@ -24,8 +20,8 @@ def split_sections(text: Column) -> Column:
 
     What stands before the first heading is left out.
     """
-    heads = F.regexp_extract_all(text, F.lit(_HEADING), F.lit(2))
-    bodies = F.slice(F.split(text, _HEADING, -1), F.lit(2), F.greatest(F.size(heads), F.lit(1)))
+    heads = F.regexp_extract_all(text, F.lit(R.HEADING), F.lit(2))
+    bodies = F.slice(F.split(text, R.HEADING, -1), F.lit(2), F.greatest(F.size(heads), F.lit(1)))
     pairs = F.transform(F.arrays_zip(heads.alias("h"), bodies.alias("b")), lambda x, i: F.struct(i.alias("idx"), strip(x["h"]).alias("heading"), strip(x["b"]).alias("content")))
     return F.when(F.size(heads) > 0, pairs).otherwise(F.array(F.struct(F.lit(0).alias("idx"), F.lit("").alias("heading"), text.alias("content"))))
 

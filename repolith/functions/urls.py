@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import HOST
-
-_REPO = r"github\.com/([^/]+)/([^/?.#]+)"
-_PAGES = r"^https?://([^./]+)\.github\.io/([^/?#]+)"
+from .rules import HOST, PAGES_ADDRESS, REPO_ADDRESS
 
 
 def strip(c: Column) -> Column:
@@ -21,7 +18,7 @@ def parse_repo_url(url: Column) -> Column:
     trimmed = strip(url)
 
     def part(i: int) -> Column:
-        return F.coalesce(F.nullif(F.regexp_extract(url, _REPO, i), F.lit("")), F.nullif(F.regexp_extract(trimmed, _PAGES, i), F.lit("")))
+        return F.coalesce(F.nullif(F.regexp_extract(url, REPO_ADDRESS, i), F.lit("")), F.nullif(F.regexp_extract(trimmed, PAGES_ADDRESS, i), F.lit("")))
 
     return F.when(part(1).isNotNull(), F.struct(part(1).alias("owner"), part(2).alias("repo")))
 

@@ -79,7 +79,7 @@ def detect_license(papers: DataFrame, licenses: DataFrame, files: DataFrame) ->
 
 def attach_downloads(packages: DataFrame, downloads: DataFrame) -> DataFrame:
     """``packages`` (package, ...) with last_month and note, where a package that was found has no numbers."""
-    missing = F.concat(F.lit("Package '"), F.col("package"), F.lit("' detected from repo but not found in the package index."))
+    missing = F.concat(F.lit(R.NO_DOWNLOADS[0]), F.col("package"), F.lit(R.NO_DOWNLOADS[1]))
     out = attach(packages, downloads, "package", own="pos" if "pos" in packages.columns else "repo_key")
     return out.withColumn("download_note", F.when(F.col("package").isNotNull() & F.col("last_month").isNull(), missing))
 

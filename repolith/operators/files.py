@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.notebooks import flatten_notebook, is_notebook, usage_text
 from ..functions.paths import path_features, preprocessing_bucket, readme_priority, starts, usage_bucket, with_bucket
 from .papers import attach
 
@@ -71,16 +72,41 @@ def attach_contents(candidates: DataFrame, contents: DataFrame) -> DataFrame:
     return candidates.join(contents.select("repo_key", "path", "content").where(F.length("content") > 0), ["repo_key", "path"])
 
 
+def attach_sizes(candidates: DataFrame, contents: DataFrame, how: str = "inner", as_example: bool = False) -> DataFrame:
+    """Candidates with size: how many characters of each there are to read. Missing and empty contents have none (null, with ``how`` left).
+
+    Sizes travel, texts do not: lengths are taken where contents lie (from n_chars, if a snapshot has it). Only notebooks
+    are moved, those that were chosen flattened, and dropped again before anything is ranked or summed.
+    """
+    book = is_notebook(F.col("path"))
+    chars = F.col("n_chars") if "n_chars" in contents.columns else F.length("content")
+    found = contents.where(chars > 0).select("repo_key", "path", F.when(~book, chars).cast("long").alias("_chars"), F.when(book, F.col("content")).alias("_book"))
+    size = F.coalesce("_chars", F.length(_flattened(F.col("_book"), as_example)).cast("long"))
+    return candidates.join(found, ["repo_key", "path"], how).withColumn("size", size).drop("_chars", "_book")
+
+
+def attach_texts(cut: DataFrame, contents: DataFrame, as_example: bool = False) -> DataFrame:
+    """``cut`` (repo_key, path, take) with text: the first ``take`` characters of what there is to read, by one join."""
+    found = cut.join(contents.where(F.length("content") > 0).select("repo_key", "path", "content"), ["repo_key", "path"])
+    text = F.when(is_notebook(F.col("path")), _flattened(F.col("content"), as_example)).otherwise(F.col("content"))
+    return found.withColumn("text", F.substring(text, F.lit(1), F.col("take").cast("int"))).drop("content")
+
+
+def _flattened(raw: Column, as_example: bool) -> Column:
+    return usage_text(raw) if as_example else flatten_notebook(raw)
+
+
 def attach_sites(papers: DataFrame, pages: DataFrame) -> DataFrame:
     return attach(papers, pages.select("repo_key", F.nullif("html_url", F.lit("")).alias("pages_url")))
 
 
 def char_budget(files: DataFrame, budget: int, cap: Column | None, *order: Column | str, start: Column | int = 0) -> DataFrame:
-    """``files`` (repo_key, content, ...) with take: how many characters of each, in order, until ``budget`` is spent.
+    """``files`` (repo_key and size, or content) with take: how many characters of each, in order, until ``budget`` is spent.
 
     ``cap``: most of one file; ``start``: what is spent already. Files that get nothing are left out.
     """
-    want = F.length("content") if cap is None else F.least(F.length("content"), cap)
+    size = F.col("size") if "size" in files.columns else F.length("content")
+    want = size if cap is None else F.least(size, cap)
     before = Window.partitionBy("repo_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     spent = F.coalesce(F.sum("_want").over(before), F.lit(0)) + (F.lit(start) if isinstance(start, int) else start)
     taken = files.withColumn("_want", want.cast("long")).withColumn("take", F.least("_want", F.greatest(F.lit(budget) - spent, F.lit(0))))
@@ -88,25 +114,24 @@ def char_budget(files: DataFrame, budget: int, cap: Column | None, *order: Colum
 
 
 def cascading_budget(files: DataFrame) -> DataFrame:
-    """Pre-processing files (path_features, bucket, content) under one budget that flows from named to folder to generic."""
+    """Pre-processing files (path_features, bucket, size) under one budget that flows from named to folder to generic."""
     place = F.coalesce(*(F.when(F.col("bucket") == b, F.lit(i)) for i, b in enumerate(R.PREPROCESSING_BUCKETS)))
     cap = F.coalesce(*(F.when(F.col("bucket") == b, F.lit(c)) for b, (_, c, _) in R.PREPROCESSING_BUCKETS.items()))
     return char_budget(files.withColumn("place", place), R.PREPROCESSING_CHARS, cap, "place", "depth", "path_lower", "seq")
 
 
-def staged_budget(chosen: DataFrame, contents: DataFrame) -> DataFrame:
-    """Usage files (path_features, bucket, rank of top_n_per_bucket) with take: documents first, then notebooks in equal
-    shares of what is left, then scripts. A notebook's share counts those chosen, readable or not; of share 0 its header stays.
+def staged_budget(chosen: DataFrame) -> DataFrame:
+    """Usage files (path_features, bucket, rank of top_n_per_bucket, size) with take: documents first, then notebooks in equal
+    shares of what is left, then scripts. A notebook's share counts those chosen, readable (size not null) or not; of share 0
+    its header stays, unless documents have taken all.
 
     place and first are the order of the blocks. All sums are windows over one partitioning by repository.
     """
-    texts = contents.select("repo_key", "path", "content").where(F.length("content") > 0)
     kind = lambda k: F.col("bucket") == k
-    rows = chosen.join(texts, ["repo_key", "path"], "left").withColumns(
+    rows = chosen.withColumns(
         {
             "place": F.when(kind("doc"), 0).when(kind("notebook"), 1).otherwise(2),
             "first": F.when(kind("doc"), readme_priority(F.col("path"))).otherwise(F.col("rank")),
-            "size": F.length("content").cast("long"),
         }
     )
     whole = Window.partitionBy("repo_key")
@@ -121,7 +146,7 @@ def staged_budget(chosen: DataFrame, contents: DataFrame) -> DataFrame:
     want = F.when(kind("script"), F.least("size", F.lit(R.SCRIPT_CAP)))
     take = F.coalesce("t_doc", "t_book", F.least(want, F.greatest(left - F.col("used") - total(want, before), F.lit(0))))
     rows = rows.withColumn("take", F.when(F.col("size").isNotNull(), take).cast("long"))
-    return rows.where((F.col("take") > 0) | (kind("notebook") & F.col("size").isNotNull())).drop("size", "t_doc", "doc_chars", "t_book", "used")
+    return rows.where((F.col("take") > 0) | (kind("notebook") & F.col("size").isNotNull() & (F.col("doc_chars") < left))).drop("t_doc", "doc_chars", "t_book", "used")
 
 
 def latest_n(frame: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -135,7 +160,7 @@ def link_files(entries: DataFrame, entry: str = "entry") -> DataFrame:
     path = F.regexp_replace(F.coalesce(F.col("_e.path"), F.lit("")), r"(?U)^\s+|\s+$", "")
     fields = [f for f in entries.schema[entry].dataType.elementType.fieldNames() if f != "path"]
     kept = one.withColumns({"path": path, **{f: F.col(f"_e.{f}") for f in fields}}).where("path != ''").drop("_e", entry)
-    return kept.withColumn("link", F.concat(F.lit("https://github.com/"), "owner", F.lit("/"), "name", F.lit("/blob/HEAD/"), "path"))
+    return kept.withColumn("link", F.concat(F.lit(R.FILE_ADDRESS[0]), "owner", F.lit("/"), "name", F.lit(R.FILE_ADDRESS[1]), "path"))
 
 
 def example_meta(files: DataFrame) -> DataFrame:

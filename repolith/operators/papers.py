@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions.answers import truth_label
 from ..functions.urls import is_hosted, parse_repo_url, repo_key, strip
 
@@ -54,13 +55,13 @@ def validate_papers(papers: DataFrame) -> DataFrame:
     marked = mark_duplicates(with_keys(papers))
     url = strip(F.coalesce("repo", F.lit("")))
     absent = ~F.col("has_repo") if "has_repo" in papers.columns else F.lit(False)
-    title = F.when(F.coalesce(F.length(strip(F.col("title"))), F.lit(0)) == 0, "Missing title.")
+    title = F.when(F.coalesce(F.length(strip(F.col("title"))), F.lit(0)) == 0, R.FLAG_NO_TITLE)
     repo = (
-        F.when(absent, "No repo link to validate.")
-        .when(url == "", "Missing repo URL.")
-        .when(~is_hosted(url), F.concat(F.lit("Repo is not a hosted URL (will be skipped): "), url))
-        .when(F.col("repo_key").isNull(), F.concat(F.lit("Repo URL not parseable as owner/repo: "), url))
-        .when(F.col("duplicate"), F.concat(F.lit("Duplicate repo (also appears earlier in the list): "), F.col("owner"), F.lit("/"), F.col("name")))
+        F.when(absent, R.FLAG_NO_REPO)
+        .when(url == "", R.FLAG_BLANK_REPO)
+        .when(~is_hosted(url), F.concat(F.lit(R.FLAG_NOT_HOSTED), url))
+        .when(F.col("repo_key").isNull(), F.concat(F.lit(R.FLAG_NOT_PARSED), url))
+        .when(F.col("duplicate"), F.concat(F.lit(R.FLAG_DUPLICATE), F.col("owner"), F.lit("/"), F.col("name")))
     )
     return marked.withColumn("flags", F.array_compact(F.array(title, repo)))
 
@@ -79,7 +80,7 @@ def flag_dead(validated: DataFrame, liveness: DataFrame) -> DataFrame:
     """Flags from a table of probes (repo_key, status; a null status is a probe that failed) added to those of parseable papers."""
     probes = liveness.select("repo_key", F.col("status").alias("_status"), F.lit(True).alias("_probed"))
     where = F.concat(F.col("owner"), F.lit("/"), F.col("name"))
-    more = F.when(F.col("_status") == 404, F.concat(F.lit("Repo not found (404): "), where)).when(F.col("_probed") & F.col("_status").isNull(), F.concat(F.lit("Repo liveness check could not complete (network): "), where))
+    more = F.when(F.col("_status") == 404, F.concat(F.lit(R.FLAG_GONE), where)).when(F.col("_probed") & F.col("_status").isNull(), F.concat(F.lit(R.FLAG_UNKNOWN), where))
     more = F.when(is_hosted(F.col("repo")), more)
     joined = attach(validated, probes)
     return joined.withColumn("flags", F.array_compact(F.array_append("flags", more))).drop("_status", "_probed")
@@ -93,7 +94,7 @@ def attach_meta(papers: DataFrame, meta: DataFrame) -> DataFrame:
 def reachability_note(unreachable: str) -> Column:
     """Why a paper of attach_meta has no numbers: no address, none that parses, or no answer (said in the check's own words)."""
     url = F.coalesce("repo", F.lit(""))
-    return F.when(url == "", "No repo URL provided").when(F.col("repo_key").isNull(), "Not a hosted repo URL").when(~F.col("reachable"), unreachable).otherwise("")
+    return F.when(url == "", R.NO_URL).when(F.col("repo_key").isNull(), R.NOT_HOSTED).when(~F.col("reachable"), unreachable).otherwise("")
 
 
 def unreachable(papers: DataFrame, meta: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import answers as A
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions.parsers import python_docstrings
-from ..functions.paths import api_docs_bucket, is_source_file, path_features, readme_priority, starts, usage_bucket, with_bucket
+from ..functions.paths import api_docs_bucket, is_source_file, path_features, preprocessing_bucket, readme_priority, starts, usage_bucket, with_bucket
 from ..operators import activity, files as fl, papers as pp, summary
 
 
@@ -98,7 +98,7 @@ def audit_api_docs(papers: DataFrame, files: DataFrame, contents: DataFrame, pag
     out = pp.attach(pp.with_keys(papers), each.drop("listed", "python"))
     if pages is not None:
         out = fl.attach_sites(out, pages)
-    verdict = A.verdict(F.col("repo"), F.col("doc_files").isNotNull())
+    verdict = A.verdict(F.col("repo"), F.col("doc_files").isNotNull(), review=R.NOT_HOSTED_DOCS, unparsed=F.concat(F.lit(R.NOT_PARSED_DOCS), F.col("repo")))
     return out.withColumn("v", verdict).withColumns({"status": F.col("v.status"), "note": F.col("v.note"), "doc_tool": F.coalesce("doc_tool", F.lit("none"))}).drop("v", "owner", "name")
 
 
@@ -170,7 +170,7 @@ def audit_install(files: DataFrame, contents: DataFrame, all_readmes: bool = Fal
 
 def audit_license(papers: DataFrame, licenses: DataFrame, files: DataFrame) -> DataFrame:
     """Each paper with its licence; without a repository, a note."""
-    note = F.when(F.coalesce(F.length("repo"), F.lit(0)) == 0, "No repo URL provided").when(F.col("repo_key").isNull(), "Not a hosted repo URL").otherwise("")
+    note = F.when(F.coalesce(F.length("repo"), F.lit(0)) == 0, R.NO_URL).when(F.col("repo_key").isNull(), R.NOT_HOSTED).otherwise("")
     return activity.detect_license(pp.with_keys(papers), licenses, files).withColumn("note", note)
 
 
@@ -210,15 +210,15 @@ def audit_adoption(papers: DataFrame, meta: DataFrame, contents: DataFrame, down
     package = named.groupBy("repo_key").agg(F.min_by("package", T.package_priority(F.col("path"))).alias("package"))
     out = pp.attach(pp.attach_meta(pp.with_keys(papers), meta), package).withColumn("package", F.when(F.col("reachable"), F.col("package")))
     out = activity.attach_downloads(out, downloads)
-    note = pp.reachability_note("Repository metadata unavailable (private, deleted, or rate-limited?)")
+    note = pp.reachability_note(R.META_UNREACHABLE)
     return out.withColumn("note", F.when(note != "", note).otherwise(F.coalesce("download_note", F.lit("")))).drop("download_note")
 
 
 def audit_post_publication(papers: DataFrame, meta: DataFrame, commits: DataFrame) -> DataFrame:
     """Each paper with last_commit_date, total_commits and a note."""
     out = pp.attach(pp.attach_meta(pp.with_keys(papers), meta.select("repo_key")), activity.commit_totals(commits))
-    note = pp.reachability_note("Repo unreachable (deleted, private, or API error)")
-    none = F.when(F.col("total_commits").isNull(), "Repo exists but has no commits on its default branch").otherwise("")
+    note = pp.reachability_note(R.REPO_UNREACHABLE)
+    none = F.when(F.col("total_commits").isNull(), R.NO_COMMITS).otherwise("")
     shown = lambda c: F.when(F.col("reachable"), F.col(c)).alias(c)
     return out.select("pos", "title", "repo", "repo_key", shown("last_commit_date"), shown("total_commits"), F.when(note != "", note).otherwise(none).alias("note"))
 
@@ -227,28 +227,32 @@ def audit_post_publication(papers: DataFrame, meta: DataFrame, commits: DataFram
 
 
 def build_payloads(files: DataFrame, contents: DataFrame, check: str) -> DataFrame:
-    """repo_key, payload, n_files, n_chars, max_tokens for ``check``: preprocessing, install, usage, api_docs or comments.
+    """repo_key, payload, n_files, n_chars, max_tokens, paths, n_source for ``check``: preprocessing, install, usage, api_docs or comments.
 
-    Text is cut per file before it is gathered, so a repository's payload stays within the check's budget. Blocks read
-    "### LABEL: path" and the text. Repositories with nothing to read get the placeholder that the model expects.
+    What is read is decided on sizes alone; one join then fetches the texts, cut, of the files that get any. Notebooks are
+    flattened before they count. Text is cut per file before it is gathered, so a repository's payload stays within the
+    check's budget. Blocks read "### LABEL: path" and the text; paths has theirs, in order. Repositories with nothing to read
+    get the placeholder that the model expects. n_source: the source files there are to choose from, for pre-processing.
     """
-    feats = path_features(files)
+    feats = path_features(files.drop("content"))
+    sized = lambda chosen: fl.attach_sizes(chosen, contents)
+    total = None
     if check == "preprocessing":
-        held = fl.attach_contents(fl.preprocessing_candidates(files), contents)
-        cut = fl.cascading_budget(held)
+        total = with_bucket(feats, preprocessing_bucket()).groupBy("repo_key").agg(F.count(F.lit(1)).alias("n_source"))
+        cut = fl.cascading_budget(sized(fl.preprocessing_candidates(files.drop("content"))))
         label = F.coalesce(*(F.when(F.col("bucket") == b, F.lit(x)) for b, (_, _, x) in R.PREPROCESSING_BUCKETS.items()))
         order, tokens = ("place", "depth", "path_lower", "seq"), (2_500, 4_000)
     elif check == "install":
-        chosen = path_features(fl.select_install_files(files)).withColumn("first", readme_priority(F.col("path"), nested_last=True))
-        cut, label = fl.char_budget(fl.attach_contents(chosen, contents), R.INSTALL_CHARS, None, "first", "seq"), F.lit("FILE")
+        chosen = path_features(fl.select_install_files(files.drop("content"))).withColumn("first", readme_priority(F.col("path"), nested_last=True))
+        cut, label = fl.char_budget(sized(chosen), R.INSTALL_CHARS, None, "first", "seq"), F.lit("FILE")
         order, tokens = ("first", "seq"), (1_000, 1_000)
     elif check == "usage":
         chosen = fl.top_n_per_bucket(with_bucket(feats, usage_bucket()), {"notebook": R.MAX_NOTEBOOKS, "script": R.MAX_SCRIPTS}, keep_others=True)
-        cut = fl.staged_budget(chosen, contents)
+        cut = fl.staged_budget(fl.attach_sizes(chosen, contents, "left", as_example=True))
         label = F.when(F.col("bucket") == "doc", "FILE").otherwise(F.upper("bucket"))
         order, tokens = ("place", "first", "seq"), (4_000, 8_000)
     elif check == "api_docs":
-        held = fl.attach_contents(api_docs_candidates(files, rule_based=False), contents)
+        held = sized(api_docs_candidates(files.drop("content"), rule_based=False))
         held = held.withColumn("place", F.when(F.col("bucket") == "config", 0).when(F.col("bucket") == "page", 1).otherwise(2))
         held = held.withColumn("first", F.when(F.col("bucket") == "config", readme_priority(F.col("path"))).otherwise(F.col("rank")))
         cap = F.when(F.col("bucket") == "source", R.API_SOURCE_CAP).otherwise(R.API_DOC_CAP)
@@ -258,13 +262,16 @@ def build_payloads(files: DataFrame, contents: DataFrame, check: str) -> DataFra
     else:
         found = feats.where(is_source_file(R.COMMENT_SOURCE_EXTS))
         chosen = fl.latest_n(found, R.MAX_COMMENT_SOURCES, "depth", "path_lower", "seq")
-        cut, label = fl.char_budget(fl.attach_contents(chosen, contents), R.COMMENT_CHARS, F.lit(R.COMMENT_CAP), "rank"), F.lit("SOURCE FILE")
+        cut, label = fl.char_budget(sized(chosen), R.COMMENT_CHARS, F.lit(R.COMMENT_CAP), "rank"), F.lit("SOURCE FILE")
         order, tokens = ("rank", "seq"), (2_000, 4_000)
-    block = F.concat(F.lit("### "), label, F.lit(": "), F.col("path"), F.lit("\n"), F.substring("content", F.lit(1), F.col("take").cast("int")))
-    rows = cut.groupBy("repo_key").agg(F.array_sort(F.collect_list(F.struct(*order, block.alias("block")))).alias("b"), F.count(F.lit(1)).alias("n_files"), F.sum("take").alias("n_chars"))
+    texts = fl.attach_texts(cut.select("repo_key", "path", "take", label.alias("label"), *order), contents, as_example=check == "usage")
+    block = F.concat(F.lit("### "), "label", F.lit(": "), F.col("path"), F.lit("\n"), "text")
+    rows = texts.groupBy("repo_key").agg(F.array_sort(F.collect_list(F.struct(*order, block.alias("block"), "path"))).alias("b"), F.count(F.lit(1)).alias("n_files"), F.sum("take").alias("n_chars"))
     text = F.coalesce(F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"), F.lit(f"[{R.NO_SOURCE_FILES if check in ('preprocessing', 'comments') else R.NO_FILES}]"))
     out = files.select("repo_key").distinct().join(rows, "repo_key", "left").withColumn("payload", text)
-    return out.select("repo_key", "payload", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.when(F.length("payload") > 50_000, tokens[1]).otherwise(tokens[0]).alias("max_tokens"))
+    out = out.join(total, "repo_key", "left") if total is not None else out.withColumn("n_source", F.lit(None).cast("long"))
+    paths = F.coalesce(F.transform("b", lambda x: x["path"]), F.array().cast("array<string>"))
+    return out.select("repo_key", "payload", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.when(F.length("payload") > 50_000, tokens[1]).otherwise(tokens[0]).alias("max_tokens"), paths.alias("paths"), "n_source")
 
 
 # ---- B8 to B10: what models answer
@@ -294,18 +301,19 @@ CHECKS = {
 def judge_answers(responses: DataFrame, papers: DataFrame, check: str = "usage", payloads: DataFrame | None = None) -> DataFrame:
     """pos, model, title, repo, status, note, evidence and what else ``check`` asks for, for responses (pos, model, raw).
 
-    ``payloads`` (repo_key, n_files; see build_payloads) tells which repositories had no file to read: to the checks of
-    comments and of pre-processing that is a no, whatever was answered. A null or missing list is empty.
-    Files come as structs with a link, those without a path go; comments' files stay as they were answered.
-    Pre-processing gives its class, the files' categories, sorted, and the first three pieces of evidence.
+    ``payloads`` (of build_payloads) tells which repositories had no file to read: to the checks of comments and of
+    pre-processing that is a no, whatever was answered. A null or missing list is empty. The answer's boolean is judged by
+    its type: the text "false" is a yes. Files come as structs with a link, those without a path go; comments' files stay
+    as they were answered. Pre-processing gives its class, the files' categories, sorted, and the first three pieces of
+    evidence; if the payloads say so, also files_checked, total_source_files and the coverage, the share of them that was read.
     """
     c = CHECKS[check]
-    fields = {c.key: "string", "evidence": "string", **dict.fromkeys(c.texts, "string"), **dict.fromkeys(c.lists, "array<string>")}
-    read = responses.withColumn("a", A.parse_answer(F.col("raw"), fields | ({c.files: "string"} if c.files else {}), c.lists))
+    fields = {c.key: "string" if check == "preprocessing" else "truth", "evidence": "string", **dict.fromkeys(c.texts, "string"), **dict.fromkeys(c.lists, "array<string>")}
+    read = responses.withColumn("a", A.parse_answer(F.col("raw"), fields | ({c.files: "json"} if c.files else {}), c.lists))
     keyed = pp.with_keys(papers).select("pos", "title", "repo", "owner", "name", "repo_key")
     found = None
     if payloads is not None and check in ("preprocessing", "comments"):
-        keyed, found = pp.attach(keyed, payloads.select("repo_key", "n_files")), F.coalesce("n_files", F.lit(0))
+        keyed, found = pp.attach(keyed, payloads.select("repo_key", "n_files", *(x for x in ("paths", "n_source") if x in payloads.columns))), F.coalesce("n_files", F.lit(0))
     both = read.join(keyed, "pos")
     text = {n: F.coalesce(F.nullif(F.col(f"a.{n}"), F.lit("")), F.lit(d)) for n, d in c.texts.items()}
     kept = {n: F.col(f"a.{n}") for n in c.lists}
@@ -315,10 +323,13 @@ def judge_answers(responses: DataFrame, papers: DataFrame, check: str = "usage",
         said = F.filter(F.transform(files, lambda e: e["evidence"]), lambda e: e != "")
         evidence = F.when(F.size(said) > 0, F.array_join(F.slice(said, 1, 3), "; ")).otherwise(text["diagnostic_notes"])
         categories = F.array_sort(F.array_distinct(F.filter(F.transform(files, lambda e: e["category"]), lambda x: x != "")))
-        kept = {"class": F.coalesce(answer, F.lit("NOT_APPLICABLE")), "categories": categories, c.files: files}
+        kept = {"class": F.coalesce(F.nullif(answer, F.lit("")), F.lit("NOT_APPLICABLE")), "categories": categories, c.files: files}
         verdict = A.class_verdict(F.col("repo"), answer, text["final_reason"], found)
+        if "n_source" in keyed.columns:
+            total = F.coalesce("n_source", F.lit(0))
+            kept |= {"files_checked": F.coalesce("paths", F.array().cast("array<string>")), "total_source_files": total, "coverage": summary.coverage_checked(found, total)}
     else:
-        verdict = A.verdict(F.col("repo"), A.truth(answer), found, R.NO_SOURCE_FILES)
+        verdict = A.verdict(F.col("repo"), answer, found, R.NO_SOURCE_FILES)
         if c.files:
             single = text.get("example_file")
             kept[c.files] = A.file_entries(F.col(f"a.{c.files}"), c.parts, single)

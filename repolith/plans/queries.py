@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
-from ..functions import parsers, paths, urls
+from ..functions import notebooks, parsers, paths, urls
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import activity, files as fl, papers as pp, summary
@@ -30,7 +31,7 @@ def query(sql: str | None = None, *lenses: str):
     def register(f: Callable[[Lens], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Lens(spark, sf_dir))
         if sql is not None:
-            joiner = ",\n" if sql.lstrip().startswith(("k AS", "x AS")) else "\n"
+            joiner = ",\n" if re.match(r"\s*\w+ AS \(", sql) else "\n"
             ORACLES[f.__name__] = (with_lenses(*lenses) + joiner if lenses else "") + sql
         return f
 
@@ -65,6 +66,20 @@ FEATS = r"""x AS (SELECT *, CASE WHEN contains(basename, '.') THEN '.' || split_
  FROM (SELECT *, lower(path) AS path_lower, split_part(lower(path), '/', -1) AS basename, length(path) - length(replace(path, '/', '')) AS depth,
   CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END AS top FROM lens_files) f)
 """
+#: What the lens's notebooks say, as the other engine reads them: the code cell's text, unescaped, between what is known of its neighbours.
+_CODE_CELL = r"""replace(regexp_extract(content, '"source": (?:\["import a.n", )?"(.*?)"(?:, ""\])?, "id"', 1), chr(92) || 'n', chr(10))"""
+FLAT = rf"""CASE WHEN NOT ends_with(path, '.ipynb') OR NOT starts_with(content, '{{"cells": [{{') THEN content
+ WHEN contains(content, 'import a') AND contains(content, '"source": ["import a') THEN '# --- Cell 0 (code) ---' || chr(10) || 'import a' || chr(10) || {_CODE_CELL}
+ ELSE CASE WHEN regexp_matches({_CODE_CELL}, '\S') THEN '# --- Cell 0 (code) ---' || chr(10) || {_CODE_CELL} || chr(10) || chr(10) ELSE '' END || '# --- Cell 3 (markdown) ---' || chr(10) || '# # Title' || chr(10) || '#   say so' END"""
+#: As an example, a notebook without cells shows nothing, but counts as read.
+SHOWN = f"CASE WHEN starts_with(content, '{{\"cells\": []') THEN '' ELSE {FLAT} END"
+
+
+def _read(sql: str, text: str = FLAT) -> str:
+    """``sql`` over FEATS, with contents as they are read; raw is what they were."""
+    return sql.replace("FROM lens_files) f", f"FROM (SELECT * REPLACE ({text} AS content), content AS raw FROM lens_files) AS raw_files) f", 1)
+
+
 SOURCE = f"(ext IN {_in(R.API_SOURCE_EXTS)} AND NOT {_starts('path_lower', R.SKIP_FOLDERS)} AND basename NOT IN {_in(R.SKIP_NAMES)})"
 API_BUCKET = f"""CASE WHEN starts_with(basename, 'readme') THEN 'readme' WHEN path_lower IN {_in(R.DOC_NAMES)} OR basename IN {_in(R.DOC_NAMES)} THEN 'config'
  WHEN {_starts('path_lower', R.DOC_FOLDERS)} THEN CASE WHEN ext IN {_in(R.DOC_EXTS + R.HTML_EXTS)} THEN 'page' END WHEN {SOURCE} THEN 'source' END"""
@@ -73,17 +88,18 @@ PRE_BUCKET = f"""CASE WHEN NOT {_starts('path_lower', R.PREPROCESSING_SKIP)} AND
 USAGE_BUCKET = f"""CASE WHEN ext = '.ipynb' THEN 'notebook' WHEN path_lower IN {_in(R.USAGE_NAMES)} OR basename IN {_in(R.USAGE_NAMES)} THEN 'doc'
  WHEN {_starts('path_lower', R.EXAMPLE_FOLDERS)} THEN CASE WHEN ext IN {_in(R.DOC_EXTS)} THEN 'doc' WHEN ext IN {_in(R.SCRIPT_EXTS)} THEN 'script' END
  WHEN ext IN {_in(R.SCRIPT_EXTS)} AND {_holds('basename', R.EXAMPLE_WORDS)} THEN 'script' END"""
-#: Verdicts of the answers that are well-formed JSON or blank, as the labels' lens writes them.
+#: Verdicts of the answers, as the labels' lens writes them: the other engine knows their values by sight, the texts "false" and "0" among the yes.
 RESULTS = r"""x AS (SELECT r.pos, r.model, p.title, p.repo, p.ground_truth, r.prompt_tokens, r.completion_tokens, r.total_tokens,
+  regexp_extract(r.raw, '"has_usage_examples": (.*?), "evid', 1) AS said,
   CASE WHEN coalesce(p.repo, '') = '' OR NOT contains(p.repo, 'github.com') THEN 'skipped'
    WHEN regexp_extract(p.repo, 'github\.com/([^/]+)/([^/?.#]+)', 1) = '' THEN 'error'
-   WHEN r.raw = '' OR contains(r.raw, '{"has": tru') THEN 'error'
-   WHEN contains(r.raw, '"has_usage_examples": true') THEN 'yes' ELSE 'no' END AS status,
-  CASE WHEN r.raw = '' OR contains(r.raw, '{"has": tru') THEN NULL WHEN contains(r.raw, 'CLI usage') THEN ['CLI usage', 'notebook'] ELSE ['notebook'] END AS types
+   WHEN r.raw = '' OR contains(r.raw, '{"has": tru') OR contains(r.raw, 'and so on') OR said IN ('', 'null') THEN 'error'
+   WHEN said IN ('true', '"false"', '"0"', '-1', '[false]') THEN 'yes' ELSE 'no' END AS status,
+  CASE WHEN r.raw = '' OR contains(r.raw, '{"has": tru') OR contains(r.raw, 'and so on') THEN NULL WHEN contains(r.raw, 'CLI usage') THEN ['CLI usage', 'notebook'] ELSE ['notebook'] END AS types
  FROM lens_answers r JOIN lens_papers p ON p.pos = r.pos)
 """
 
-ANSWER_FIELDS = {"has_usage_examples": "string", "evidence": "string", "example_types": "array<string>", "example_files": "array<string>"}
+ANSWER_FIELDS = {"has_usage_examples": "truth", "evidence": "string", "example_types": "array<string>", "example_files": "array<string>"}
 
 
 def results(t: Lens) -> DataFrame:
@@ -158,7 +174,7 @@ def p3_last_two_segments(t: Lens) -> DataFrame:
 
 VALID = KEYED + r""", v AS (SELECT *, min(pos) OVER (PARTITION BY CASE WHEN contains(repo, 'github.com') THEN repo_key END) AS first FROM k),
 w AS (SELECT *, CASE WHEN trim(coalesce(title, '')) = '' THEN 'Missing title.' END AS f1, CASE WHEN trim(coalesce(repo, '')) = '' THEN 'Missing repo URL.'
- WHEN NOT contains(repo, 'github.com') THEN 'Repo is not a hosted URL (will be skipped): ' || trim(repo) WHEN repo_key IS NULL THEN 'Repo URL not parseable as owner/repo: ' || trim(repo)
+ WHEN NOT contains(repo, 'github.com') THEN 'Repo is not a GitHub URL (will be skipped): ' || trim(repo) WHEN repo_key IS NULL THEN 'Repo URL not parseable as github.com/owner/repo: ' || trim(repo)
  WHEN first < pos THEN 'Duplicate repo (also appears earlier in the list): ' || owner || '/' || name END AS f2 FROM v)
 """
 
@@ -178,7 +194,7 @@ def p5_quality_counts(t: Lens) -> DataFrame:
     return pp.quality_counts(pp.validate_papers(t.papers))
 
 
-@query(VALID + r"""SELECT w.pos, concat_ws(chr(10), f1, f2, CASE WHEN contains(w.repo, 'github.com') AND l.repo_key IS NOT NULL THEN CASE WHEN l.status = 404 THEN 'Repo not found (404): ' || owner || '/' || name
+@query(VALID + r"""SELECT w.pos, concat_ws(chr(10), f1, f2, CASE WHEN contains(w.repo, 'github.com') AND l.repo_key IS NOT NULL THEN CASE WHEN l.status = 404 THEN 'Repo not found on GitHub (404): ' || owner || '/' || name
  WHEN l.status IS NULL THEN 'Repo liveness check could not complete (network): ' || owner || '/' || name END END) AS flags FROM w LEFT JOIN lens_liveness l ON l.repo_key = w.repo_key""", "papers", "liveness")
 def p6_flag_dead(t: Lens) -> DataFrame:
     return pp.flag_dead(pp.validate_papers(t.papers), t.liveness).select("pos", F.array_join("flags", "\n").alias("flags"))
@@ -248,7 +264,7 @@ def p17_non_target_rows(t: Lens) -> DataFrame:
 # ---- joins
 
 
-@query(KEYED + "SELECT pos, k.repo_key, stars, forks, m.repo_key IS NOT NULL AS reachable, CASE WHEN coalesce(repo, '') = '' THEN 'No repo URL provided' WHEN k.repo_key IS NULL THEN 'Not a hosted repo URL' WHEN m.repo_key IS NULL THEN 'gone' ELSE '' END AS note FROM k LEFT JOIN lens_meta m ON m.repo_key = k.repo_key", "papers", "meta")
+@query(KEYED + "SELECT pos, k.repo_key, stars, forks, m.repo_key IS NOT NULL AS reachable, CASE WHEN coalesce(repo, '') = '' THEN 'No repo URL provided' WHEN k.repo_key IS NULL THEN 'Not a GitHub repo URL' WHEN m.repo_key IS NULL THEN 'gone' ELSE '' END AS note FROM k LEFT JOIN lens_meta m ON m.repo_key = k.repo_key", "papers", "meta")
 def j1_attach_meta(t: Lens) -> DataFrame:
     return pp.attach_meta(keyed(t), t.meta).select("pos", "repo_key", "stars", "forks", "reachable", pp.reachability_note("gone").alias("note"))
 
@@ -289,7 +305,7 @@ def packages(t: Lens) -> DataFrame:
     return named.groupBy("repo_key").agg(F.min_by("package", T.package_priority(F.col("path"))).alias("package"))
 
 
-@query(PACKAGES + "SELECT x.repo_key, x.package, last_month, CASE WHEN last_month IS NULL THEN 'Package ''' || x.package || ''' detected from repo but not found in the package index.' END AS download_note FROM x LEFT JOIN lens_downloads d ON d.package = x.package WHERE x.package IS NOT NULL", "files", "downloads")
+@query(PACKAGES + "SELECT x.repo_key, x.package, last_month, CASE WHEN last_month IS NULL THEN 'Package ''' || x.package || ''' detected from repo but not found on PyPI / pypistats.' END AS download_note FROM x LEFT JOIN lens_downloads d ON d.package = x.package WHERE x.package IS NOT NULL", "files", "downloads")
 def j5_attach_downloads(t: Lens) -> DataFrame:
     return activity.attach_downloads(packages(t), t.downloads).select("repo_key", "package", "last_month", "download_note")
 
@@ -497,26 +513,27 @@ c AS (SELECT *, least(want, greatest(80000 - before, 0)) AS take FROM b WHERE le
 """
 
 
-@query(CASCADE + "SELECT repo_key, path, CAST(take AS BIGINT) AS take FROM c", "files")
+@query(_read(CASCADE) + "SELECT repo_key, path, CAST(take AS BIGINT) AS take FROM c", "files")
 def w7_cascading_budget(t: Lens) -> DataFrame:
-    return fl.cascading_budget(fl.attach_contents(fl.preprocessing_candidates(t.files).drop("content"), t.files)).select("repo_key", "path", "take")
+    return fl.cascading_budget(fl.attach_sizes(fl.preprocessing_candidates(t.files.drop("content")), t.files)).select("repo_key", "path", "take")
 
 
 STAGED = FEATS + f""", y AS (SELECT *, {USAGE_BUCKET} AS bucket FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY depth, path_lower, seq) AS rank FROM y WHERE bucket IS NOT NULL),
 q AS (SELECT * FROM z WHERE bucket = 'doc' OR rank <= CASE bucket WHEN 'notebook' THEN 20 ELSE 15 END),
 d AS (SELECT *, least(length(content), greatest(400000 - coalesce(sum(length(content)) OVER (PARTITION BY repo_key ORDER BY CASE WHEN path_lower IN {_in(R.ROOT_README_NAMES)} THEN 0 WHEN NOT contains(path, '/') THEN 1 ELSE 2 END, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS take FROM q WHERE bucket = 'doc' AND length(content) > 0),
 ds AS (SELECT repo_key, sum(take) AS doc_chars FROM d GROUP BY repo_key),
-ns AS (SELECT n.repo_key, least(8000, floor((400000 - coalesce(doc_chars, 0)) / books)) AS share FROM (SELECT repo_key, count(*) AS books FROM q WHERE bucket = 'notebook' GROUP BY repo_key) n LEFT JOIN ds ON ds.repo_key = n.repo_key),
-nb AS (SELECT q.*, least(length(content), share) AS take FROM q JOIN ns ON ns.repo_key = q.repo_key WHERE bucket = 'notebook' AND length(content) > 0),
+ns AS (SELECT n.repo_key, CASE WHEN coalesce(doc_chars, 0) < 400000 THEN least(8000, floor((400000 - coalesce(doc_chars, 0)) / books)) END AS share FROM (SELECT repo_key, count(*) AS books FROM q WHERE bucket = 'notebook' GROUP BY repo_key) n LEFT JOIN ds ON ds.repo_key = n.repo_key),
+nb AS (SELECT q.*, least(length(content), share) AS take FROM q JOIN ns ON ns.repo_key = q.repo_key WHERE bucket = 'notebook' AND length(raw) > 0 AND share IS NOT NULL),
 us AS (SELECT repo_key, sum(take) AS used FROM (SELECT repo_key, take FROM d UNION ALL SELECT repo_key, take FROM nb) GROUP BY repo_key),
 sc AS (SELECT q.*, least(least(length(content), 4000), greatest(400000 - coalesce(used, 0) - coalesce(sum(least(length(content), 4000)) OVER (PARTITION BY q.repo_key ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS take FROM q LEFT JOIN us ON us.repo_key = q.repo_key WHERE bucket = 'script' AND length(content) > 0)
 SELECT repo_key, path, bucket, CAST(take AS BIGINT) AS take FROM d WHERE take > 0 UNION ALL SELECT repo_key, path, bucket, CAST(take AS BIGINT) FROM nb UNION ALL SELECT repo_key, path, bucket, CAST(take AS BIGINT) FROM sc WHERE take > 0"""
 
 
-@query(STAGED, "files")
+@query(_read(STAGED, SHOWN), "files")
 def w8_staged_budget(t: Lens) -> DataFrame:
     found = feats(t).drop("content").withColumn("bucket", paths.usage_bucket()).where("bucket is not null")
-    return fl.staged_budget(fl.top_n_per_bucket(found, {"notebook": 20, "script": 15}, keep_others=True), t.files).select("repo_key", "path", "bucket", "take")
+    chosen = fl.top_n_per_bucket(found, {"notebook": 20, "script": 15}, keep_others=True)
+    return fl.staged_budget(fl.attach_sizes(chosen, t.files, "left", as_example=True)).select("repo_key", "path", "bucket", "take")
 
 
 @query("SELECT repo_key, event_id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_key ORDER BY ts DESC, event_id DESC) AS r FROM lens_activity) WHERE r <= 5", "activity")
@@ -706,13 +723,13 @@ def f13_last_page(t: Lens) -> DataFrame:
     return docs.select("doc_id", T.last_page(F.col("link"), F.lit(1)).alias("pages"))
 
 
-@query(RESULTS + "SELECT pos, model, array_to_string(types, ',') AS types FROM x WHERE types IS NOT NULL", "papers", "answers")
+@query(RESULTS + """SELECT pos, model, array_to_string(types, ',') AS types, CASE WHEN said IN ('', 'null') THEN NULL ELSE said IN ('true', '"false"', '"0"', '-1', '[false]') END AS answer FROM x WHERE types IS NOT NULL""", "papers", "answers")
 def f14_parse_answer(t: Lens) -> DataFrame:
     a = A.parse_answer(F.col("raw"), ANSWER_FIELDS, ("example_types", "example_files"))
-    return t.answers.select("pos", "model", a.alias("a")).where("a.parsed").select("pos", "model", F.array_join("a.example_types", ",").alias("types"))
+    return t.answers.select("pos", "model", a.alias("a")).where("a.parsed").select("pos", "model", F.array_join("a.example_types", ",").alias("types"), F.col("a.has_usage_examples").alias("answer"))
 
 
-@query("SELECT pos, model, 'Parsing failed: ' || raw AS evidence FROM lens_answers WHERE contains(raw, '{\"has\": tru') AND NOT contains(raw, 'usage')", "answers")
+@query("""SELECT pos, model, 'Parsing failed: ' || raw AS evidence FROM lens_answers WHERE contains(raw, '{"has": tru') AND NOT contains(raw, 'usage') OR contains(raw, 'and so on')""", "answers")
 def f14_broken_answers(t: Lens) -> DataFrame:
     a = A.parse_answer(F.col("raw"), ANSWER_FIELDS)
     return t.answers.select("pos", "model", a.alias("a")).where("not a.parsed and a.evidence is not null").select("pos", "model", "a.evidence")
@@ -778,11 +795,15 @@ def h1_python_docstrings(t: Lens) -> DataFrame:
     return rows.select("repo_key", "path", parsers.python_docstrings(F.col("content")).alias("d")).select("repo_key", "path", "d.*")
 
 
-@query(f"SELECT repo_key, path, md5(CASE WHEN regexp_matches(content, '\\S') THEN content ELSE '' END) AS flat, md5(CASE WHEN regexp_matches(content, '\\S') THEN substr('[CODE]' || chr(10) || content, 1, {R.NOTEBOOK_CAP}) ELSE '' END) AS short FROM lens_files", "files")
+@query(rf"""SELECT repo_key, path, CASE WHEN regexp_matches(content, '\S') THEN md5('# --- Cell 1 (code) ---' || chr(10) || content) ELSE 'raw' END AS flat,
+ md5(CASE WHEN regexp_matches(content, '\S') THEN substr('[CODE]' || chr(10) || content || chr(10) || chr(10) || '[OUTPUT]' || chr(10) || 'out', 1, {R.NOTEBOOK_CAP}) ELSE '' END) AS short FROM lens_files""", "files")
 def h2_notebooks(t: Lens) -> DataFrame:
-    cell = F.to_json(F.struct(F.array(F.struct(F.lit("code").alias("cell_type"), F.split("content", r"(?<=\n)").alias("source"))).alias("cells")))
-    rows = t.files.withColumn("raw", cell)
-    return rows.select("repo_key", "path", F.md5(parsers.flatten_notebook(F.col("raw")).cast("binary")).alias("flat"), F.md5(parsers.summarise_notebook(F.col("raw")).cast("binary")).alias("short"))
+    """Each text as a notebook's code, line by line, behind a cell of another kind and with two outputs, one of them long."""
+    outputs = F.array(F.struct(F.array(F.lit("o"), F.lit("ut")).alias("text")), F.struct(F.array(F.lit("x" * R.OUTPUT_CAP)).alias("text")))
+    cells = F.array(F.struct(F.lit("raw").alias("cell_type"), F.array(F.lit("r")).alias("source"), F.array().cast("array<struct<text:array<string>>>").alias("outputs")), F.struct(F.lit("code").alias("cell_type"), F.split("content", r"(?<=\n)").alias("source"), outputs.alias("outputs")))
+    rows = t.files.withColumn("raw", F.to_json(F.struct(cells.alias("cells"))))
+    flat = notebooks.flatten_notebook(F.col("raw"))
+    return rows.select("repo_key", "path", F.when(flat == F.col("raw"), "raw").otherwise(F.md5(flat.cast("binary"))).alias("flat"), F.md5(notebooks.summarise_notebook(F.col("raw")).cast("binary")).alias("short"))
 
 
 # ---- jobs
@@ -806,7 +827,7 @@ API = HITS + ", " + KEYED + f""", ty AS (SELECT repo_key, string_agg(doc_type, '
 tl AS (SELECT repo_key, (list(tool ORDER BY coalesce(nullif(list_position({list(R.TOOL_ORDER)}, tool), 0), 99), tool))[1] AS doc_tool FROM kept WHERE tool IS NOT NULL GROUP BY repo_key),
 fs AS (SELECT repo_key, array_to_string((list(path ORDER BY lower(path), type, path))[1:3], ', ') AS preview FROM (SELECT DISTINCT repo_key, path, type FROM kept) GROUP BY repo_key),
 api AS (SELECT pos, CASE WHEN coalesce(repo, '') = '' OR NOT contains(repo, 'github.com') THEN 'skipped' WHEN k.repo_key IS NULL THEN 'error' WHEN preview IS NOT NULL THEN 'yes' ELSE 'no' END AS status,
- CASE WHEN coalesce(repo, '') = '' THEN 'No repo URL provided' WHEN NOT contains(repo, 'github.com') THEN 'Not a hosted repo - manual review needed. URL: ' || repo WHEN k.repo_key IS NULL THEN 'Could not parse repo URL' ELSE '' END AS note,
+ CASE WHEN coalesce(repo, '') = '' THEN 'No repo URL provided' WHEN NOT contains(repo, 'github.com') THEN 'Not a GitHub repo: ' || repo WHEN k.repo_key IS NULL THEN 'Could not parse GitHub repository URL: ' || repo ELSE '' END AS note,
  CASE WHEN each.repo_key IS NOT NULL THEN coalesce(documentation_types, '') END AS documentation_types, coalesce(doc_tool, 'none') AS doc_tool, preview, CASE WHEN total > 0 THEN round_even(documented * 100 / total, 1) END AS coverage_percent, k.repo_key
  FROM k LEFT JOIN each ON each.repo_key = k.repo_key LEFT JOIN ty ON ty.repo_key = k.repo_key LEFT JOIN tl ON tl.repo_key = k.repo_key LEFT JOIN fs ON fs.repo_key = k.repo_key)
 """
@@ -833,7 +854,7 @@ def b2_audit_install(t: Lens) -> DataFrame:
     return jobs.audit_install(t.files, t.files)
 
 
-@query(LICENSED + "SELECT *, CASE WHEN coalesce(repo, '') = '' THEN 'No repo URL provided' WHEN repo_key IS NULL THEN 'Not a hosted repo URL' ELSE '' END AS note FROM w", "papers", "meta", "files")
+@query(LICENSED + "SELECT *, CASE WHEN coalesce(repo, '') = '' THEN 'No repo URL provided' WHEN repo_key IS NULL THEN 'Not a GitHub repo URL' ELSE '' END AS note FROM w", "papers", "meta", "files")
 def b3_audit_license(t: Lens) -> DataFrame:
     out = jobs.audit_license(t.papers, t.meta, t.files)
     return out.select("pos", "title", "repo", "repo_key", "license_name", "spdx_id", "license_path", "source", "note")
@@ -871,7 +892,7 @@ def a3_overall_counts(t: Lens) -> DataFrame:
 
 
 ADOPTION = KEYED + ", " + PACKAGES + """, w AS (SELECT pos, repo, k.repo_key, stars, forks, m.repo_key IS NOT NULL AS reachable, CASE WHEN m.repo_key IS NOT NULL THEN x.package END AS package FROM k LEFT JOIN lens_meta m ON m.repo_key = k.repo_key LEFT JOIN x ON x.repo_key = k.repo_key)
-SELECT pos, stars, forks, w.package, last_month, CASE WHEN coalesce(repo, '') = '' THEN 'No repo URL provided' WHEN repo_key IS NULL THEN 'Not a hosted repo URL' WHEN NOT reachable THEN 'Repository metadata unavailable (private, deleted, or rate-limited?)' WHEN w.package IS NOT NULL AND last_month IS NULL THEN 'Package ''' || w.package || ''' detected from repo but not found in the package index.' ELSE '' END AS note FROM w LEFT JOIN lens_downloads d ON d.package = w.package"""
+SELECT pos, stars, forks, w.package, last_month, CASE WHEN coalesce(repo, '') = '' THEN 'No repo URL provided' WHEN repo_key IS NULL THEN 'Not a GitHub repo URL' WHEN NOT reachable THEN 'GitHub API call failed (private repo, deleted, or rate-limited?)' WHEN w.package IS NOT NULL AND last_month IS NULL THEN 'Package ''' || w.package || ''' detected from repo but not found on PyPI / pypistats.' ELSE '' END AS note FROM w LEFT JOIN lens_downloads d ON d.package = w.package"""
 
 
 @query(ADOPTION, "papers", "meta", "files", "downloads")
@@ -880,7 +901,7 @@ def b5_audit_adoption(t: Lens) -> DataFrame:
 
 
 POST = KEYED + """, c AS (SELECT repo_key, strftime(max(ts), '%Y-%m-%d') AS d, count(*) AS n FROM lens_activity WHERE kind = 'commit' GROUP BY repo_key)
-SELECT pos, title, repo, k.repo_key, CASE WHEN m.repo_key IS NOT NULL THEN d END AS last_commit_date, CASE WHEN m.repo_key IS NOT NULL THEN n END AS total_commits, CASE WHEN coalesce(repo, '') = '' THEN 'No repo URL provided' WHEN k.repo_key IS NULL THEN 'Not a hosted repo URL'
+SELECT pos, title, repo, k.repo_key, CASE WHEN m.repo_key IS NOT NULL THEN d END AS last_commit_date, CASE WHEN m.repo_key IS NOT NULL THEN n END AS total_commits, CASE WHEN coalesce(repo, '') = '' THEN 'No repo URL provided' WHEN k.repo_key IS NULL THEN 'Not a GitHub repo URL'
  WHEN m.repo_key IS NULL THEN 'Repo unreachable (deleted, private, or API error)' WHEN n IS NULL THEN 'Repo exists but has no commits on its default branch' ELSE '' END AS note FROM k LEFT JOIN lens_meta m ON m.repo_key = k.repo_key LEFT JOIN c ON c.repo_key = k.repo_key"""
 
 
@@ -889,15 +910,21 @@ def b6_audit_post_publication(t: Lens) -> DataFrame:
     return jobs.audit_post_publication(t.papers, t.meta, activity_of(t, "commit"))
 
 
-@query(CASCADE + """, p AS (SELECT repo_key, string_agg('### ' || CASE bucket WHEN 'named' THEN 'PREPROCESS-NAMED' WHEN 'folder' THEN 'PREPROCESS-FOLDER' ELSE 'GENERIC SOURCE' END || ': ' || path || chr(10) || content[1:take], chr(10) || chr(10) ORDER BY place, depth, path_lower, seq) AS p, count(*) AS n, sum(take) AS t FROM c GROUP BY repo_key)
-SELECT r.repo_key, coalesce(p, '[No source code files found in the repository]') AS payload, coalesce(n, 0) AS n_files, CAST(coalesce(t, 0) AS BIGINT) AS n_chars, CAST(CASE WHEN length(p) > 50000 THEN 4000 ELSE 2500 END AS BIGINT) AS max_tokens FROM (SELECT DISTINCT repo_key FROM lens_files) r LEFT JOIN p ON p.repo_key = r.repo_key""", "files")
+@query(_read(CASCADE) + """, p AS (SELECT repo_key, string_agg(path, '|' ORDER BY place, depth, path_lower, seq) AS paths, string_agg('### ' || CASE bucket WHEN 'named' THEN 'PREPROCESS-NAMED' WHEN 'folder' THEN 'PREPROCESS-FOLDER' ELSE 'GENERIC SOURCE' END || ': ' || path || chr(10) || content[1:take], chr(10) || chr(10) ORDER BY place, depth, path_lower, seq) AS p, count(*) AS n, sum(take) AS t FROM c GROUP BY repo_key)
+SELECT r.repo_key, coalesce(p, '[No source code files found in the repository]') AS payload, coalesce(n, 0) AS n_files, CAST(coalesce(t, 0) AS BIGINT) AS n_chars, CAST(CASE WHEN length(p) > 50000 THEN 4000 ELSE 2500 END AS BIGINT) AS max_tokens, coalesce(paths, '') AS paths, total AS n_source
+ FROM (SELECT DISTINCT repo_key FROM lens_files) r LEFT JOIN p ON p.repo_key = r.repo_key LEFT JOIN (SELECT repo_key, count(*) AS total FROM z GROUP BY repo_key) n ON n.repo_key = r.repo_key""", "files")
 def b7_payloads_preprocessing(t: Lens) -> DataFrame:
-    return jobs.build_payloads(t.files.drop("content"), t.files, "preprocessing").withColumn("max_tokens", F.col("max_tokens").cast("long"))
+    return _shown(t, "preprocessing")
+
+
+def _shown(t: Lens, check: str) -> DataFrame:
+    out = jobs.build_payloads(t.files.drop("content"), t.files, check)
+    return out.withColumns({"max_tokens": F.col("max_tokens").cast("long"), "paths": F.array_join("paths", "|")})
 
 
 def _blocks(order: str, low: int, high: int, nothing: str = "No relevant files") -> str:
-    return f"""blocks AS (SELECT repo_key, string_agg('### ' || label || ': ' || path || chr(10) || content[1:take], chr(10) || chr(10) ORDER BY {order}) AS p, count(*) AS n, sum(take) AS t FROM c GROUP BY repo_key)
-SELECT r.repo_key, coalesce(p, '[{nothing} found in the repository]') AS payload, coalesce(n, 0) AS n_files, CAST(coalesce(t, 0) AS BIGINT) AS n_chars, CAST(CASE WHEN length(p) > 50000 THEN {high} ELSE {low} END AS BIGINT) AS max_tokens FROM (SELECT DISTINCT repo_key FROM lens_files) r LEFT JOIN blocks ON blocks.repo_key = r.repo_key"""
+    return f"""blocks AS (SELECT repo_key, string_agg(path, '|' ORDER BY {order}) AS paths, string_agg('### ' || label || ': ' || path || chr(10) || content[1:take], chr(10) || chr(10) ORDER BY {order}) AS p, count(*) AS n, sum(take) AS t FROM c GROUP BY repo_key)
+SELECT r.repo_key, coalesce(p, '[{nothing} found in the repository]') AS payload, coalesce(n, 0) AS n_files, CAST(coalesce(t, 0) AS BIGINT) AS n_chars, CAST(CASE WHEN length(p) > 50000 THEN {high} ELSE {low} END AS BIGINT) AS max_tokens, coalesce(paths, '') AS paths, CAST(NULL AS BIGINT) AS n_source FROM (SELECT DISTINCT repo_key FROM lens_files) r LEFT JOIN blocks ON blocks.repo_key = r.repo_key"""
 
 
 def _spent(source: str, order: str, budget: int, cap: str) -> str:
@@ -909,27 +936,27 @@ c AS (SELECT *, CAST(least(want, greatest({budget} - before, 0)) AS BIGINT) AS t
 ROOT = f"CASE WHEN lower(path) IN {_in(R.ROOT_README_NAMES)} THEN 0 WHEN NOT contains(path, '/') THEN 1"
 PAYLOAD_SQL = {
     "install": INSTALL + f", i AS (SELECT x.*, {ROOT} WHEN contains(lower(path), 'readme') THEN 3 ELSE 2 END AS first, 'FILE' AS label FROM x JOIN y ON x.repo_key = y.repo_key WHERE x.named OR (NOT any_named AND x.path = readme)), " + _spent("i", "first, seq", R.INSTALL_CHARS, "length(content)") + ", " + _blocks("first, seq", 1000, 1000),
-    "usage": FEATS + f""", x1 AS (SELECT *, {USAGE_BUCKET} AS bucket FROM x), u1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY depth, path_lower, seq) AS rank FROM x1 WHERE bucket IS NOT NULL),
-u2 AS (SELECT *, CASE bucket WHEN 'doc' THEN 0 WHEN 'notebook' THEN 1 ELSE 2 END AS place, CASE WHEN bucket = 'doc' THEN {ROOT} ELSE 2 END ELSE rank END AS first, nullif(length(content), 0) AS size FROM u1 WHERE bucket = 'doc' OR rank <= CASE bucket WHEN 'notebook' THEN {R.MAX_NOTEBOOKS} ELSE {R.MAX_SCRIPTS} END),
+    "usage": _read(FEATS, SHOWN) + f""", x1 AS (SELECT *, {USAGE_BUCKET} AS bucket FROM x), u1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY depth, path_lower, seq) AS rank FROM x1 WHERE bucket IS NOT NULL),
+u2 AS (SELECT *, CASE bucket WHEN 'doc' THEN 0 WHEN 'notebook' THEN 1 ELSE 2 END AS place, CASE WHEN bucket = 'doc' THEN {ROOT} ELSE 2 END ELSE rank END AS first, CASE WHEN length(raw) > 0 THEN length(content) END AS size FROM u1 WHERE bucket = 'doc' OR rank <= CASE bucket WHEN 'notebook' THEN {R.MAX_NOTEBOOKS} ELSE {R.MAX_SCRIPTS} END),
 u3 AS (SELECT *, CASE WHEN bucket = 'doc' AND size IS NOT NULL THEN least(size, greatest({R.USAGE_CHARS} - coalesce(sum(CASE WHEN bucket = 'doc' THEN size END) OVER (PARTITION BY repo_key ORDER BY place, first, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) END AS t_doc FROM u2),
 u4 AS (SELECT *, coalesce(sum(t_doc) OVER (PARTITION BY repo_key), 0) AS docs, count(*) FILTER (WHERE bucket = 'notebook') OVER (PARTITION BY repo_key) AS books FROM u3),
 u5 AS (SELECT *, CASE WHEN bucket = 'notebook' AND size IS NOT NULL THEN least(size, {R.NOTEBOOK_CAP}, CAST(floor(({R.USAGE_CHARS} - docs) / greatest(books, 1)) AS BIGINT)) END AS t_book, CASE WHEN bucket = 'script' AND size IS NOT NULL THEN least(size, {R.SCRIPT_CAP}) END AS want FROM u4),
 u6 AS (SELECT *, docs + coalesce(sum(t_book) OVER (PARTITION BY repo_key), 0) AS used, coalesce(sum(want) OVER (PARTITION BY repo_key ORDER BY place, first, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u5),
 u7 AS (SELECT *, CAST(CASE WHEN size IS NULL THEN NULL WHEN t_doc IS NOT NULL THEN t_doc WHEN t_book IS NOT NULL THEN t_book ELSE least(want, greatest({R.USAGE_CHARS} - used - before, 0)) END AS BIGINT) AS take, CASE WHEN bucket = 'doc' THEN 'FILE' ELSE upper(bucket) END AS label FROM u6),
-c AS (SELECT * FROM u7 WHERE take > 0 OR (bucket = 'notebook' AND size IS NOT NULL)), """ + _blocks("place, first, seq", 4000, 8000),
-    "api_docs": FEATS + f""", x1 AS (SELECT *, CASE WHEN path_lower IN {_in(R.DOC_NAMES)} OR basename IN {_in(R.DOC_NAMES)} THEN 'config' WHEN {_starts('path_lower', R.DOC_FOLDERS)} THEN CASE WHEN ext IN {_in(R.DOC_EXTS)} THEN 'page' END WHEN {SOURCE} THEN 'source' END AS bucket FROM x),
+c AS (SELECT * FROM u7 WHERE take > 0 OR (bucket = 'notebook' AND size IS NOT NULL AND docs < {R.USAGE_CHARS})), """ + _blocks("place, first, seq", 4000, 8000),
+    "api_docs": _read(FEATS) + f""", x1 AS (SELECT *, CASE WHEN path_lower IN {_in(R.DOC_NAMES)} OR basename IN {_in(R.DOC_NAMES)} THEN 'config' WHEN {_starts('path_lower', R.DOC_FOLDERS)} THEN CASE WHEN ext IN {_in(R.DOC_EXTS)} THEN 'page' END WHEN {SOURCE} THEN 'source' END AS bucket FROM x),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY CASE WHEN {_starts('path_lower', R.STRONG_DOC_FOLDERS)} THEN 0 ELSE 1 END, path_lower, seq) AS nth, row_number() OVER (PARTITION BY repo_key, bucket, top ORDER BY path_lower, seq) AS round, min(seq) OVER (PARTITION BY repo_key, bucket, top) AS top_seq FROM x1 WHERE bucket IS NOT NULL),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY repo_key, bucket ORDER BY round, top <> '', lower(top), top_seq) AS turn FROM r1 WHERE bucket <> 'source' OR round <= {R.MAX_API_SOURCES}),
 r3 AS (SELECT *, CASE bucket WHEN 'config' THEN 0 WHEN 'page' THEN 1 ELSE 2 END AS place, CASE bucket WHEN 'config' THEN {ROOT} ELSE 2 END WHEN 'page' THEN nth ELSE turn END AS first, CASE bucket WHEN 'source' THEN 'SOURCE FILE' WHEN 'page' THEN 'DOC PAGE' ELSE 'DOC CONFIG' END AS label FROM r2 WHERE CASE bucket WHEN 'source' THEN turn <= {R.MAX_API_SOURCES} WHEN 'page' THEN nth <= {R.MAX_DOC_PAGES} ELSE true END),
 """ + _spent("r3", "place, first, seq", R.API_CHARS, f"CASE WHEN bucket = 'source' THEN {R.API_SOURCE_CAP} ELSE {R.API_DOC_CAP} END") + ", " + _blocks("place, first, seq", 3000, 6000),
-    "comments": FEATS + f""", r1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key ORDER BY depth, path_lower, seq) AS rank, 'SOURCE FILE' AS label FROM x WHERE ext IN {_in(R.COMMENT_SOURCE_EXTS)} AND NOT {_starts('path_lower', R.SKIP_FOLDERS)} AND basename NOT IN {_in(R.SKIP_NAMES)}),
+    "comments": _read(FEATS) + f""", r1 AS (SELECT *, row_number() OVER (PARTITION BY repo_key ORDER BY depth, path_lower, seq) AS rank, 'SOURCE FILE' AS label FROM x WHERE ext IN {_in(R.COMMENT_SOURCE_EXTS)} AND NOT {_starts('path_lower', R.SKIP_FOLDERS)} AND basename NOT IN {_in(R.SKIP_NAMES)}),
 r2 AS (SELECT * FROM r1 WHERE rank <= {R.MAX_COMMENT_SOURCES}), """ + _spent("r2", "rank", R.COMMENT_CHARS, str(R.COMMENT_CAP)) + ", " + _blocks("rank, seq", 2000, 4000, "No source code files"),
 }
 
 
 def _payload(check: str) -> None:
     def build(t: Lens) -> DataFrame:
-        return jobs.build_payloads(t.files.drop("content"), t.files, check).withColumn("max_tokens", F.col("max_tokens").cast("long"))
+        return _shown(t, check)
 
     build.__name__ = f"b7_payloads_{check}"
     query(PAYLOAD_SQL[check], "files")(build)
@@ -967,17 +994,22 @@ JUDGED = {
  CASE WHEN len(types) = 2 AND owner IS NOT NULL THEN 'https://github.com/' || owner || '/' || name || '/blob/HEAD/docs/INSTALL.md' ELSE '' END AS link FROM x JOIN k ON k.pos = x.pos""",
     "api_docs": RESULTS + """SELECT x.pos, x.model, x.status, coalesce(array_to_string(types, ','), '') AS types, CASE WHEN len(types) = 2 THEN 'sphinx' ELSE 'none' END AS doc_tool,
  CASE WHEN len(types) = 2 THEN 'docs/conf.py config d' || coalesce(' https://github.com/' || owner || '/' || name || '/blob/HEAD/docs/conf.py', '') || ', b.md other ' || coalesce(' https://github.com/' || owner || '/' || name || '/blob/HEAD/b.md', '') ELSE '' END AS files FROM x JOIN k ON k.pos = x.pos""",
-    "preprocessing": RESULTS + """SELECT x.pos, x.model, CASE WHEN coalesce(x.repo, '') = '' OR owner IS NULL THEN 'skipped' WHEN types IS NULL THEN 'error' WHEN contains(r.raw, 'examples": true') THEN 'yes' ELSE 'no' END AS status,
- CASE WHEN types IS NOT NULL AND coalesce(x.repo, '') <> '' AND owner IS NOT NULL THEN 'r' WHEN coalesce(x.repo, '') = '' THEN 'No repo URL provided' WHEN owner IS NULL THEN 'Not a hosted repo - manual review needed. URL: ' || x.repo ELSE 'Empty model response' END AS note,
- CASE WHEN contains(r.raw, 'examples": true') AND types IS NOT NULL THEN 'EXISTS' ELSE 'NOT_APPLICABLE' END AS class, CASE len(types) WHEN 2 THEN 'clean,tokenize' ELSE '' END AS categories,
- CASE len(types) WHEN 2 THEN 'x; y' WHEN 1 THEN 'd' ELSE '' END AS evidence, CASE len(types) WHEN 2 THEN 'b.py,c.py' WHEN 1 THEN 'a.py' ELSE '' END AS files FROM x JOIN k ON k.pos = x.pos JOIN lens_answers r ON r.pos = x.pos AND r.model = x.model""",
+    "preprocessing": RESULTS + """SELECT x.pos, x.model, CASE WHEN coalesce(x.repo, '') = '' OR owner IS NULL THEN 'skipped' WHEN coalesce(f.n, 0) = 0 THEN 'no' WHEN types IS NULL OR said NOT IN ('true', 'false') THEN 'error' WHEN said = 'true' THEN 'yes' ELSE 'no' END AS status,
+ CASE WHEN coalesce(x.repo, '') = '' THEN 'No repo URL provided' WHEN owner IS NULL THEN 'Not a GitHub repo — manual review needed. URL: ' || x.repo WHEN coalesce(f.n, 0) = 0 THEN 'No source files retrievable from the repo' WHEN types IS NOT NULL AND said IN ('true', 'false') THEN 'r' ELSE 'Empty LLM response — content may be too large for this model' END AS note,
+ CASE WHEN said = 'true' AND types IS NOT NULL THEN 'EXISTS' ELSE 'NOT_APPLICABLE' END AS class, CASE len(types) WHEN 2 THEN 'clean,tokenize' ELSE '' END AS categories,
+ CASE len(types) WHEN 2 THEN 'x; y' WHEN 1 THEN 'd' ELSE '' END AS evidence, CASE len(types) WHEN 2 THEN 'b.py,c.py' WHEN 1 THEN 'a.py' ELSE '' END AS files,
+ coalesce(f.paths, '') AS files_checked, coalesce(f.total, 0) AS total_source_files, CASE WHEN coalesce(f.total, 0) = 0 THEN '' ELSE CAST(round_even(100.0 * coalesce(f.n, 0) / f.total, 0) AS BIGINT) || '%' END AS coverage FROM x JOIN k ON k.pos = x.pos LEFT JOIN f ON f.repo_key = k.repo_key""",
 }
 #: How many files the comments' payload of a repository holds.
 COMMENTED = PAYLOAD_SQL["comments"].split(", blocks AS")[0] + ", n AS (SELECT repo_key, count(*) AS n FROM c GROUP BY repo_key), "
 JUDGED["comments"] = COMMENTED + KEYED.rstrip() + ", " + RESULTS.replace("x AS", "w AS", 1) + """SELECT w.pos, w.model, CASE WHEN status IN ('skipped', 'error') AND NOT (status = 'error' AND owner IS NOT NULL) THEN status WHEN n IS NULL THEN 'no' ELSE status END AS status,
  coalesce(array_to_string(types, ','), '') AS types, CASE WHEN len(types) = 2 THEN 'a.py d, e' ELSE '' END AS files FROM w JOIN k ON k.pos = w.pos LEFT JOIN n ON n.repo_key = k.repo_key"""
-for _check in ("install", "api_docs", "preprocessing"):
+for _check in ("install", "api_docs"):
     JUDGED[_check] = KEYED.rstrip() + ", " + JUDGED[_check]
+#: What the pre-processing payload of a repository read, of how many source files.
+READ = """, g AS (SELECT repo_key, count(*) AS n, string_agg(path, '|' ORDER BY place, depth, path_lower, seq) AS paths FROM c GROUP BY repo_key),
+f AS (SELECT t.repo_key, total, n, paths FROM (SELECT repo_key, count(*) AS total FROM z GROUP BY repo_key) t LEFT JOIN g ON g.repo_key = t.repo_key), """
+JUDGED["preprocessing"] = _read(CASCADE).replace("x AS (SELECT *, CASE WHEN contains(basename", "xf AS (SELECT *, CASE WHEN contains(basename", 1).replace("AS bucket FROM x)", "AS bucket FROM xf)", 1).rstrip() + READ + KEYED.rstrip() + ", " + JUDGED["preprocessing"]
 
 
 def _judged(check: str) -> None:
@@ -987,7 +1019,7 @@ def _judged(check: str) -> None:
         raw = F.col("raw")
         for old, new in ANSWERS_AS[check]:
             raw = F.replace(raw, F.lit(old), F.lit(new))
-        payloads = jobs.build_payloads(t.files.drop("content"), t.files, check) if check == "comments" else None
+        payloads = jobs.build_payloads(t.files.drop("content"), t.files, check) if check in ("comments", "preprocessing") else None
         out = jobs.judge_answers(t.answers.withColumn("raw", raw), t.papers, check, payloads)
         types = lambda c: F.array_join(c, ",").alias("types")
         if check == "install":
@@ -996,10 +1028,10 @@ def _judged(check: str) -> None:
             return out.select("pos", "model", "status", types("documentation_types"), "doc_tool", said("doc_files", "path", "type", "description", "link").alias("files"))
         if check == "comments":
             return out.select("pos", "model", "status", types("comment_types"), F.regexp_replace(said("files_with_comments", "path", "description"), ",  ", ", ").alias("files"))
-        return out.select("pos", "model", "status", "note", "class", F.array_join("categories", ",").alias("categories"), "evidence", F.array_join("preprocessing_files.path", ",").alias("files"))
+        return out.select("pos", "model", "status", "note", "class", F.array_join("categories", ",").alias("categories"), "evidence", F.array_join("preprocessing_files.path", ",").alias("files"), F.array_join("files_checked", "|").alias("files_checked"), "total_source_files", "coverage")
 
     build.__name__ = f"b8_judge_{check}"
-    query(JUDGED[check], "papers", "answers", *(["files"] if check == "comments" else []))(build)
+    query(JUDGED[check], "papers", "answers", *(["files"] if check in ("comments", "preprocessing") else []))(build)
 
 
 for _check in JUDGED:

@@ -39,6 +39,9 @@ SELECT 'org' || CAST(g % 7 AS STRING) || '/repo' || CAST(g AS STRING) AS repo_ke
     WHEN slot = 6 AND g % 2 = 1 THEN '# API reference' || chr(10) || 'Parameters and returns. ' || text
     WHEN slot = 11 AND g % 2 = 0 THEN '"""Module."""' || chr(10) || 'def run(x):' || chr(10) || '    """Args: x."""' || chr(10) || '    return x' || chr(10)
     WHEN slot = 11 THEN 'class A:' || chr(10) || '    """One."""' || chr(10) || chr(10) || '    def f(self):' || chr(10) || '        return 1' || chr(10)
+    WHEN slot = 13 AND g % 4 = 0 THEN '{"cells": [{"cell_type": "code", "source": "' || replace(translate(text, chr(34) || chr(92) || chr(9) || chr(13), '    '), chr(10), chr(92) || 'n') || '", "id": 1, "outputs": [{"data": {"image/png": "' || repeat('iVBOR', 400) || '"}}]}, {"cell_type": "raw", "source": "left out"}, {"cell_type": "code", "source": " "}, {"cell_type": "markdown", "source": ["# Title' || chr(92) || 'n", "' || chr(92) || 'n", "  say so' || chr(92) || 'n"]}], "metadata": {}}'
+    WHEN slot = 13 AND g % 4 = 1 THEN '{"cells": [], "metadata": {}}'
+    WHEN slot = 13 AND g % 4 = 2 THEN '{"cells": [{"cell_type": "code", "source": ["import a' || chr(92) || 'n", "' || replace(translate(text, chr(34) || chr(92) || chr(9) || chr(13), '    '), chr(10), chr(92) || 'n') || '", ""], "id": 1}]}'
     WHEN slot = 14 THEN '// Run starts it' || chr(10) || 'func Run() {}' || chr(10)
     WHEN slot = 15 THEN '/// One' || chr(10) || '//! two' || chr(10)
     WHEN slot IN (16, 17, 18) THEN '/** Doc' || chr(10) || ' * @param x in' || chr(10) || ' */' || chr(10) || 'int f(int x);' || chr(10)
@@ -64,6 +67,10 @@ FROM events
 -- lens_answers
 SELECT l.doc_id AS pos, m.model, 1 AS pass,
   CASE WHEN l.doc_id % 17 = 0 THEN '' WHEN l.doc_id % 19 = 0 THEN '{"has": tru'
+    WHEN l.doc_id % 29 = 0 THEN '{"has_usage_examples": true, "evidence": "e"} and so on'
+    WHEN l.doc_id % 6 = 1 THEN '{' || CASE (l.doc_id + m.k) % 12 WHEN 11 THEN '"other": true' ELSE '"has_usage_examples": ' ||
+      CASE (l.doc_id + m.k) % 12 WHEN 0 THEN '"false"' WHEN 1 THEN '"0"' WHEN 2 THEN 'false' WHEN 3 THEN '0' WHEN 4 THEN '[]' WHEN 5 THEN '{}' WHEN 6 THEN '""' WHEN 7 THEN 'null' WHEN 8 THEN '0.0' WHEN 9 THEN '-1' ELSE '[false]' END
+      END || ', "evidence": "e", "example_types": ["notebook"]}'
     WHEN l.doc_id % 5 = 0 THEN '```json' || chr(10) || '{"has_usage_examples": ' || CASE WHEN (l.quality + m.k) % 2 = 1 THEN 'true' ELSE 'false' END || ', "evidence": "e", "example_types": ["notebook"]}' || chr(10) || '```'
     ELSE '{"has_usage_examples": ' || CASE WHEN l.quality = 1 OR (l.doc_id % 7 = 0 AND m.k = 2) THEN 'true' ELSE 'false' END || ', "evidence": "e", "example_types": ["CLI usage", "notebook"], "example_files": null}' END AS raw,
   l.doc_id % 900 + 100 AS prompt_tokens, l.doc_id % 50 AS completion_tokens, CASE WHEN m.k = 2 THEN 0 ELSE l.doc_id % 900 + 100 + l.doc_id % 50 END AS total_tokens

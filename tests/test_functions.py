@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolith.functions import answers as A
-from repolith.functions import parsers, paths, urls
+from repolith.functions import notebooks, parsers, paths, urls
 from repolith.functions import text as T
 from repolith.operators import files as fl
 from repolith.operators import papers as pp
@@ -45,20 +45,83 @@ def test_texts(spark):
     assert one(spark, base64.b64encode(b"a\xff\xc3\xa9").decode(), decode_content) == "aé"
 
 
-ANSWER_FIELDS = {"has_usage_examples": "string", "evidence": "string", "example_types": "array<string>", "example_files": "array<string>"}
+ANSWER_FIELDS = {"has_usage_examples": "truth", "evidence": "string", "example_types": "array<string>", "example_files": "array<string>"}
 
 
 def test_answers(spark):
     read = lambda raw: one(spark, raw, lambda c: A.parse_answer(c, ANSWER_FIELDS, ("example_types", "example_files"), {"example_file": "example_files"}))
     fenced = read('```json\n{"has_usage_examples": true, "evidence": "e", "example_file": "a.py"}\n```')
-    assert (fenced["has_usage_examples"], fenced["example_types"], fenced["example_files"], fenced["parsed"]) == ("true", [], ["a.py"], True)
+    assert (fenced["has_usage_examples"], fenced["example_types"], fenced["example_files"], fenced["parsed"]) == (True, [], ["a.py"], True)
     assert read('{"a": tru')["evidence"] == 'Parsing failed: {"a": tru' and read("")["parsed"] is False and read("[1]")["parsed"] is False
-    assert [one(spark, v, A.truth) for v in ("true", "false", "0", "x", "", None)] == [True, False, False, True, False, None]
     assert [one(spark, v, A.truth_label) for v in ("has examples", " No ", "maybe", None)] == [True, False, None, None]
     got = one(spark, json.dumps([{"path": " p ", "category": "A"}, "q", {"path": ""}]), A.normalise_entries)
     assert [tuple(e) for e in got] == [("p", "a", ""), ("q", "", "")]
 
 
+JUDGED = ["true", "false", '"false"', '"False"', '"0"', '""', '" "', "0", "-0.0", "0.0", "1e-9", "-1", "1e400", "12345678901234567890123", "[]", "[0]", "[[]]", "{}", '{"a": 0}', "null", '"\\u0000"']
+
+
+def test_truth_is_by_type(spark):
+    """Against the language whose truth it is; a missing value and a null say neither."""
+    raws = [f'{{"x": {v}, "evidence": "e"}}' for v in JUDGED] + ['{"y": true}', '```json\n{"x": "no"}\n```', '{"x": true} and more', '{"x": true} {"x": false}', '[{"x": true}]', "", None, '{"x": tru']
+
+    def plain(raw):
+        try:
+            found = json.loads((raw or "").strip().removeprefix("```json").removesuffix("```"))
+        except ValueError:
+            return None
+        value = found.get("x") if isinstance(found, dict) else None
+        return None if value is None else bool(value)
+
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, v string")
+    a = frame.select("i", A.parse_answer(F.col("v"), {"x": "truth"}).alias("a")).select("i", "a.x", "a.evidence", "a.parsed").collect()
+    assert {r["i"]: r["x"] for r in a} == {i: plain(r) for i, r in enumerate(raws)}
+    assert [r["i"] - len(JUDGED) for r in sorted(a) if r["evidence"] and r["evidence"].startswith("Parsing failed: ")] == [2, 3, 4, 7]
+
+
+def test_fields_of_answers(spark):
+    fields = {"e": "string", "l": "array<string>", "j": "json"}
+    read = lambda raw, single=None: one(spark, raw, lambda c: A.parse_answer(c, fields, ("l",), single))
+    assert tuple(read('{"e": "x", "l": ["a", {"b": 1}], "j": [{"path": "p"}]}'))[:3] == ("x", ["a", '{"b":1}'], '[{"path":"p"}]')
+    assert tuple(read('{"e": null, "l": "text", "j": null}'))[:3] == (None, [], None)
+    assert read('{"one": "a"}', {"one": "l"})["l"] == ["a"] and read('{"one": ""}', {"one": "l"})["l"] == [] and read('{"one": "a", "l": null}', {"one": "l"})["l"] == []
+
+
+def _plain_notebook(raw):
+    """What a notebook says, by its parsed JSON."""
+    try:
+        book = json.loads(raw)
+    except ValueError:
+        return raw
+    if not isinstance(book, dict) or not isinstance(book.get("cells"), list):
+        return raw
+    blocks = []
+    for i, cell in enumerate(book["cells"]):
+        source = cell.get("source", "") if isinstance(cell, dict) else ""
+        source = "".join(source) if isinstance(source, list) else source
+        if isinstance(source, str) and source.strip() and cell.get("cell_type") in ("code", "markdown"):
+            prose = "\n".join(f"# {x}" for x in source.strip().splitlines() if x.strip())
+            blocks.append(f"# --- Cell {i} ({cell['cell_type']}) ---\n{source if cell['cell_type'] == 'code' else prose}")
+    return "\n\n".join(blocks) or raw
+
+
+def test_notebooks(spark):
+    r = random.Random(8)
+    pieces = ["a\n", "b", " ", "\n\n", "# T\r\n", "x\u2028y", "é\x85z", "\t", "\x1c", "q\x0bw"]
+    source = lambda: r.choice([[r.choice(pieces) for _ in range(r.randrange(5))], "".join(r.choice(pieces) for _ in range(r.randrange(5))), None, 5, [], ""])
+    cell = lambda: r.choice([{"cell_type": r.choice(["code", "markdown", "raw"]), "source": source(), "outputs": [{"text": ["1"]}]}, {"cell_type": "code"}, 7, None, {"source": "x"}])
+    books = [json.dumps({"cells": [cell() for _ in range(r.randrange(6))], "metadata": {}}) for _ in range(300)] + ["plain", "", "[1]", "{}", '{"cells": {}}', '{"cells": null}', '"s"', json.dumps({"cells": [{"cell_type": "code", "source": "x" * 3_000_000}]})]
+    frame = spark.createDataFrame(list(enumerate(books)), "i int, v string")
+    out = frame.select("i", notebooks.flatten_notebook(F.col("v")).alias("flat"), notebooks.usage_text(F.col("v")).alias("shown"), notebooks.summarise_notebook(F.col("v"), 40).alias("short"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {x["i"]: x for x in out.collect()}
+    assert [got[i]["flat"] for i in range(len(books))] == [_plain_notebook(b) for b in books]
+    is_object = lambda b: b.startswith("{")
+    assert [got[i]["shown"] for i in range(len(books))] == [("" if _plain_notebook(b) == b and is_object(b) else _plain_notebook(b)) for b in books]
+    book = json.dumps({"cells": [{"cell_type": "code", "source": ["a\n", "b"], "outputs": [{"text": ["1"]}, {"text": "z" * 500}, {"data": {}}]}, {"cell_type": "markdown", "source": "m"}]})
+    assert one(spark, book, notebooks.summarise_notebook) == "[CODE]\na\nb\n\n[OUTPUT]\n1\n\n[MARKDOWN]\nm" and one(spark, "plain text", lambda c: notebooks.summarise_notebook(c, 5)) == "plain"
+
+
 def test_status(spark):
     f = lambda *v: spark.range(1).select(A.overall_status(*map(F.lit, v)).alias("o")).first()["o"]
     assert f(True, True, True, True) == "ARCHIVED" and f(True, False, False, True, True, True, False) == "ACTIVE"
@@ -69,9 +132,6 @@ def test_parsers(spark):
     code = 'def foo():\n    """Args: a"""\nclass C:\n    def __init__(self): pass\n    def _x(self): pass\n    def __y(self): pass\n'
     assert tuple(one(spark, code, parsers.python_docstrings)) == (0, 0, 1, 1, 1, 2)
     assert one(spark, "def (", parsers.python_docstrings) is None
-    book = json.dumps({"cells": [{"cell_type": "code", "source": ["a\n", "b"], "outputs": [{"text": ["1"]}]}, {"cell_type": "markdown", "source": "m"}]})
-    assert one(spark, book, parsers.flatten_notebook) == "a\nb\n\nm" and one(spark, book, parsers.summarise_notebook) == "[CODE]\na\nb\n\n[OUTPUT]\n1\n\n[MARKDOWN]\nm"
-    assert one(spark, "plain", parsers.flatten_notebook) == "plain"
 
 
 def test_budget_is_the_loop(spark):
