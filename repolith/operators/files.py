@@ -14,6 +14,9 @@ from ..functions.notebooks import flatten_notebook, is_notebook, usage_text
 from ..functions.paths import path_features, preprocessing_bucket, readme_priority, starts, usage_bucket, with_bucket
 from .papers import attach
 
+#: Shares that a large repository's rows are ranked in before they are merged.
+SHARES = 16
+
 
 def _ranked(frame: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
     return frame.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -56,7 +59,7 @@ def top_n_per_bucket(files: DataFrame, caps: dict[str, int], keep_others: bool =
 def api_page_order(files: DataFrame, n: int = R.MAX_DOC_PAGES) -> DataFrame:
     """Of path_features rows: the first ``n`` documentation pages, those of reference folders before all others."""
     strong = F.when(starts(F.col("path_lower"), R.STRONG_DOC_FOLDERS), 0).otherwise(1)
-    return _ranked(files, ["repo_key"], [strong, "path_lower", "seq"], "rank").where(F.col("rank") <= n)
+    return latest_n(files, n, strong, "path_lower", "seq")
 
 
 def round_robin_sample(files: DataFrame, n: int) -> DataFrame:
@@ -149,9 +152,16 @@ def staged_budget(chosen: DataFrame) -> DataFrame:
     return rows.where((F.col("take") > 0) | (kind("notebook") & F.col("size").isNotNull() & (F.col("doc_chars") < left))).drop("t_doc", "doc_chars", "t_book", "used")
 
 
-def latest_n(frame: DataFrame, n: int, *order: Column | str) -> DataFrame:
-    """The first ``n`` rows of each repository in the given order, with rank."""
-    return _ranked(frame, ["repo_key"], list(order), "rank").where(F.col("rank") <= n)
+def latest_n(frame: DataFrame, n: int, *order: Column | str, keys: tuple[str, ...] = ("repo_key",)) -> DataFrame:
+    """The first ``n`` rows of each repository (or ``keys``) in the given order, with rank.
+
+    In two steps, so that a repository with a large part of all rows is not one task's: first the first ``n`` of each share
+    of it (a hash of its rows), which Spark also applies before the rows are moved, then the first ``n`` of those.
+    """
+    plain = [c for c, t in frame.dtypes if not t.startswith(("map", "variant"))]
+    shared = frame.withColumn("_share", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in plain)), F.lit(SHARES)))
+    few = _ranked(shared, [*keys, "_share"], list(order), "_rank").where(F.col("_rank") <= n).drop("_share", "_rank")
+    return _ranked(few, list(keys), list(order), "rank").where(F.col("rank") <= n)
 
 
 def link_files(entries: DataFrame, entry: str = "entry") -> DataFrame:

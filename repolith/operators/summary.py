@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 
+#: Paths that a preview names, and shares that a large group is ranked in before they are merged.
+PREVIEW, SHARES = 3, 16
+
 
 def _filled(counts: DataFrame, names: tuple[str, ...], key: str, more: bool) -> DataFrame:
     """``counts`` (key, n) with each of ``names`` there, zero if need be; others stay if ``more``."""
@@ -69,11 +72,24 @@ def source_evidence(hits: DataFrame) -> DataFrame:
 def collect_evidence(hits: DataFrame) -> DataFrame:
     """repo_key, path, type, doc_type, tool of configuration, pages and sources (bucket, strong) together; sources only of
     repositories where they are enough.
+
+    A repository's sources, of which candidates have a limit, meet; its other files, which may be many, are dealt out.
     """
-    repo = Window.partitionBy("repo_key")
     source = F.col("bucket") == "source"
-    enough = F.bool_or(source & F.coalesce("strong", F.lit(False))).over(repo) | (F.count_if(source).over(repo) >= 2)
-    return hits.withColumn("enough", enough).where(~source | F.col("enough")).select("repo_key", "path", "type", "doc_type", "tool")
+    place = F.when(source, -1).otherwise(F.pmod(F.xxhash64("path"), F.lit(SHARES)))
+    together = Window.partitionBy("repo_key", "place")
+    enough = F.bool_or(F.coalesce("strong", F.lit(False))).over(together) | (F.count(F.lit(1)).over(together) >= 2)
+    return hits.withColumn("place", place).withColumn("enough", enough).where(~source | F.col("enough")).select("repo_key", "path", "type", "doc_type", "tool")
+
+
+def first_of_shares(frame: DataFrame, keys: list[str], order: list[str], n: int = PREVIEW) -> DataFrame:
+    """``frame`` with early: one of the first ``n`` of its group's share, a hash of ``order`` away from the others.
+
+    The first ``n`` of a group are among the early rows, at most n * SHARES of them; no task sorts more than a share of it.
+    """
+    share = F.pmod(F.xxhash64(*order), F.lit(SHARES))
+    within = Window.partitionBy(*keys, "_share").orderBy(*order)
+    return frame.withColumn("_share", share).withColumn("early", F.row_number().over(within) <= n).drop("_share")
 
 
 def ordered_doc_types(types: Column) -> Column:
@@ -89,13 +105,17 @@ def primary_tool(tools: Column) -> Column:
     return F.coalesce(best["x"], F.lit("none"))
 
 
-def doc_file_list(entries: DataFrame) -> DataFrame:
-    """repo_key, doc_files (array of path, type), preview: distinct, by path without case and type; the preview names three."""
-    once = entries.groupBy("repo_key", "path", "type").agg(F.lit(1).alias("_"))
-    files = F.array_sort(F.collect_list(F.struct(F.lower("path").alias("low"), "type", "path")))
-    listed = once.groupBy("repo_key").agg(files.alias("f"))
-    out = F.transform("f", lambda x: F.struct(x["path"].alias("path"), x["type"].alias("type")))
-    return listed.select("repo_key", out.alias("doc_files"), F.array_join(F.slice(F.transform("f", lambda x: x["path"]), 1, 3), ", ").alias("preview"))
+def doc_file_rows(entries: DataFrame) -> DataFrame:
+    """repo_key, path, type: each once."""
+    return entries.select("repo_key", "path", "type").distinct()
+
+
+def doc_file_preview(entries: DataFrame) -> DataFrame:
+    """repo_key, n_doc_files, preview: how many (path, type) there are, and the first three paths, by path without case and type."""
+    early = first_of_shares(doc_file_rows(entries).withColumn("low", F.lower("path")), ["repo_key"], ["low", "type", "path"])
+    firsts = F.array_sort(F.collect_list(F.when(F.col("early"), F.struct("low", "type", "path"))))
+    listed = early.groupBy("repo_key").agg(F.count(F.lit(1)).alias("n_doc_files"), firsts.alias("f"))
+    return listed.select("repo_key", "n_doc_files", F.array_join(F.slice(F.transform("f", lambda x: x["path"]), 1, PREVIEW), ", ").alias("preview"))
 
 
 def confusion_metrics(joined: DataFrame) -> DataFrame:

@@ -64,41 +64,57 @@ def api_evidence(candidates: DataFrame, contents: DataFrame) -> DataFrame:
     return rows.withColumn("e", entry).where("e is not null").select("repo_key", "path", "bucket", "rank", "e.*")
 
 
-def audit_api_docs(papers: DataFrame, files: DataFrame, contents: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """One row a paper: status, documentation_types, doc_tool, doc_files, preview, coverage, pages_url.
+def api_docs_verdicts(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """repo_key, documentation_types, doc_tool, n_doc_files, preview, coverage_percent and its counts, of repositories with evidence.
 
-    A repository without a listing is a no; an address that cannot be parsed an error, one of another host skipped. A
-    repository's evidence, which the candidates' limits bound, is gathered once and all else read off it.
+    All of it is sums, flags, sets of known types and first elements, which merge: a repository's row has a fixed size, and
+    none of its evidence meets in one task but three files of each share of it. See api_doc_files() for the files themselves.
     """
-    hits = api_evidence(api_docs_candidates(files), contents)
-    each = hits.groupBy("repo_key").agg(F.collect_list(F.struct(F.lower("path").alias("low"), *(c for c in hits.columns if c != "repo_key"))).alias("all"))
-    source = lambda e: e["bucket"] == "source"
-    enough = F.exists("all", lambda e: source(e) & e["strong"]) | (F.size(F.filter("all", source)) >= 2)
-    each = each.withColumn("enough", enough)
-    each = each.withColumn("kept", F.filter("all", lambda e: ~source(e) | F.col("enough")))
-    listed = F.array_sort(F.array_distinct(F.transform("kept", lambda e: F.struct(e["low"], e["type"], e["path"]))))
-    total = lambda name: F.aggregate("all", F.lit(0).cast("long"), lambda a, e: a + F.coalesce(e[name], F.lit(0)))
-    each = each.select(
+    hits = api_evidence(api_docs_candidates(files), contents).dropDuplicates(["repo_key", "path", "type"])
+    source = F.col("bucket") == "source"
+    ranked = summary.first_of_shares(hits.withColumns({"low": F.lower("path"), "source": source}), ["repo_key", "source"], ["low", "type", "path"])
+    known = F.array(*map(F.lit, R.TOOL_ORDER))
+    tool = F.when(F.col("tool").isNotNull(), F.struct(F.coalesce(F.nullif(F.array_position(known, F.col("tool")), F.lit(0)), F.lit(99)).alias("p"), "tool"))
+    strong = F.coalesce("strong", F.lit(False))
+    each = ranked.groupBy("repo_key").agg(
+        (F.bool_or(source & strong) | (F.count_if(source) >= 2)).alias("enough"), F.count_if(source).alias("n_source"), F.count_if(~source).alias("n_other"),
+        F.collect_set(F.when(source, F.col("doc_type"))).alias("types_source"), F.collect_set(F.when(~source, F.col("doc_type"))).alias("types_other"),
+        F.min(tool).alias("tool"), F.collect_list(F.when(F.col("early"), F.struct("low", "type", "path", "source"))).alias("firsts"),
+        (F.count("public_total") > 0).alias("python"), *(F.sum(c).alias(n) for c, n in (("public_total", "total_public"), ("public_documented", "documented_public"), ("high_quality_documented", "high_quality"))),
+    )
+    kept = F.array_sort(F.filter("firsts", lambda e: ~e["source"] | F.col("enough")))
+    types = F.when(F.col("enough"), F.concat("types_other", "types_source")).otherwise(F.col("types_other"))
+    total = F.when(F.col("python"), F.col("total_public"))
+    return each.select(
         "repo_key",
-        summary.ordered_doc_types(F.transform("kept", lambda e: e["doc_type"])).alias("documentation_types"),
-        summary.primary_tool(F.filter(F.transform("kept", lambda e: e["tool"]), lambda t: t.isNotNull())).alias("doc_tool"),
-        F.when(F.size("kept") > 0, listed).alias("listed"),
-        F.exists("all", lambda e: e["public_total"].isNotNull()).alias("python"),
-        *(total(n).alias(m) for n, m in (("public_total", "total_public"), ("public_documented", "documented_public"), ("high_quality_documented", "high_quality"))),
-    )
-    shown = lambda c: F.when(F.col("python"), F.col(c))
-    each = each.withColumns(
-        {
-            "doc_files": F.transform("listed", lambda x: F.struct(x["path"].alias("path"), x["type"].alias("type"))),
-            "preview": F.array_join(F.slice(F.transform("listed", lambda x: x["path"]), 1, 3), ", "),
-            "coverage_percent": F.when(shown("total_public") > 0, F.bround(F.col("documented_public") * 100 / F.nullif("total_public", F.lit(0)), 1)),
-            **{c: shown(c) for c in ("total_public", "documented_public", "high_quality")},
-        }
-    )
-    out = pp.attach(pp.with_keys(papers), each.drop("listed", "python"))
+        summary.ordered_doc_types(types).alias("documentation_types"),
+        F.coalesce("tool.tool", F.lit("none")).alias("doc_tool"),
+        (F.col("n_other") + F.when(F.col("enough"), F.col("n_source")).otherwise(0)).alias("n_doc_files"),
+        F.when(F.size(kept) > 0, F.array_join(F.slice(F.transform(kept, lambda e: e["path"]), 1, summary.PREVIEW), ", ")).alias("preview"),
+        F.when(total > 0, F.bround(F.col("documented_public") * 100 / F.nullif(total, F.lit(0)), 1)).alias("coverage_percent"),
+        total.alias("total_public"), *(F.when(F.col("python"), F.col(c)).alias(c) for c in ("documented_public", "high_quality")),
+    )
+
+
+def api_doc_files(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """repo_key, path, type: the files that document a repository's interface, a row each, however many there are."""
+    return summary.doc_file_rows(summary.collect_evidence(api_evidence(api_docs_candidates(files), contents)))
+
+
+def audit_api_docs(papers: DataFrame, files: DataFrame, contents: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One row a paper: status, documentation_types, doc_tool, n_doc_files, preview, coverage, pages_url.
+
+    A repository without a listing is a no; an address that cannot be parsed an error, one of another host skipped.
+    """
+    return judge_api_docs(papers, api_docs_verdicts(files, contents), pages)
+
+
+def judge_api_docs(papers: DataFrame, verdicts: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """audit_api_docs() from what api_docs_verdicts() found, in one go or in parts."""
+    out = pp.attach(pp.with_keys(papers), verdicts)
     if pages is not None:
         out = fl.attach_sites(out, pages)
-    verdict = A.verdict(F.col("repo"), F.col("doc_files").isNotNull(), review=R.NOT_HOSTED_DOCS, unparsed=F.concat(F.lit(R.NOT_PARSED_DOCS), F.col("repo")))
+    verdict = A.verdict(F.col("repo"), F.coalesce(F.col("n_doc_files") > 0, F.lit(False)), review=R.NOT_HOSTED_DOCS, unparsed=F.concat(F.lit(R.NOT_PARSED_DOCS), F.col("repo")))
     return out.withColumn("v", verdict).withColumns({"status": F.col("v.status"), "note": F.col("v.note"), "doc_tool": F.coalesce("doc_tool", F.lit("none"))}).drop("v", "owner", "name")
 
 
@@ -174,21 +190,16 @@ def audit_license(papers: DataFrame, licenses: DataFrame, files: DataFrame) -> D
     return activity.detect_license(pp.with_keys(papers), licenses, files).withColumn("note", note)
 
 
-def audit_maintenance(papers: DataFrame, meta: DataFrame, files: DataFrame, commits: DataFrame, issues: DataFrame, contributors: DataFrame, releases: DataFrame, tags: DataFrame, as_of: str, recent_days: int = 182, stale_days: int = 365) -> DataFrame:
+def audit_maintenance(papers: DataFrame, meta: DataFrame, files: DataFrame, activity_rows: DataFrame, as_of: str, recent_days: int = 182, stale_days: int = 365) -> DataFrame:
     """Each paper with its indicators (value, detail) and overall status; without metadata all are null.
 
-    A repository that has metadata but no activity rows has none: false, not null.
+    ``activity_rows`` (see activity.scoreboard) are read once. A repository that has metadata but no activity rows has none:
+    false, not null.
     """
     empty = lambda c, v: F.when(F.col("reachable"), F.coalesce(F.col(c), F.lit(v)))
-    out = pp.attach(pp.attach_meta(pp.with_keys(papers), meta), fl.root_presence(files))
-    for part in (
-        activity.recent_commits(commits, as_of, recent_days).withColumnRenamed("n", "n_commits"),
-        activity.issue_responses(issues).withColumnRenamed("detail", "issue_detail"),
-        activity.multi_contributors(contributors).withColumnRenamed("n", "n_contributors"),
-        activity.versioned_releases(releases, tags).withColumnRenamed("detail", "release_detail"),
-        activity.last_activity(meta, releases, as_of, stale_days),
-    ):
-        out = pp.attach(out, part)
+    known = meta.join(activity.scoreboard(activity_rows, as_of, recent_days), "repo_key", "left").join(fl.root_presence(files), "repo_key", "left")
+    out = pp.attach(pp.with_keys(papers), activity.with_last(known, as_of, stale_days).withColumn("reachable", F.lit(True)))
+    out = out.withColumn("reachable", F.coalesce("reachable", F.lit(False))).drop("released", "last_commit_date", "total_commits")
     reason = T.deprecation_reason(F.col("archived"), F.col("description"))
     out = out.withColumns(
         {

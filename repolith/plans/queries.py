@@ -393,6 +393,20 @@ def a10_versioned_releases(t: Lens) -> DataFrame:
     return activity.versioned_releases(activity_of(t, "release"), activity_of(t, "tag"))
 
 
+BOARD = f"""x AS (SELECT repo_key, count(*) FILTER (WHERE kind = 'commit') AS c, count(*) FILTER (WHERE kind = 'commit' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL {RECENT} DAY) AS late, max(ts) FILTER (WHERE kind = 'commit') AS head,
+ count(DISTINCT actor) FILTER (WHERE kind = 'contributor') AS actors, count(*) FILTER (WHERE kind IN ('release', 'tag')) AS named, max(ts) FILTER (WHERE kind = 'release') AS released FROM lens_activity GROUP BY repo_key),
+""" + ISSUES + ", " + RELEASES
+
+
+@query(BOARD + """SELECT x.repo_key, CASE WHEN c > 0 THEN late > 0 END AS recent, CASE WHEN c > 0 THEN least(late, 100) END AS n_commits, hit > 0 AS responded, hit || '/' || i.n || ' issues have responses' AS issue_detail,
+ CASE WHEN actors > 0 THEN least(actors, 100) > 1 END AS several, CASE WHEN actors > 0 THEN least(actors, 100) END AS n_contributors, CASE WHEN named > 0 THEN d IS NOT NULL END AS versioned, CASE WHEN named > 0 THEN coalesce(d, 'None') END AS release_detail,
+ strftime(released, '%Y-%m-%d %H:%M:%S') AS released, strftime(head, '%Y-%m-%d') AS last_commit_date, CASE WHEN c > 0 THEN c END AS total_commits FROM x LEFT JOIN i ON i.repo_key = x.repo_key LEFT JOIN s ON s.repo_key = x.repo_key""", "activity")
+def a7_a12_scoreboard(t: Lens) -> DataFrame:
+    """All indicators by one scan, against each by its own SQL."""
+    out = activity.scoreboard(t.activity, AS_OF, RECENT)
+    return out.withColumns({"released": F.date_format("released", "yyyy-MM-dd HH:mm:ss"), "n_commits": F.col("n_commits").cast("long"), "n_contributors": F.col("n_contributors").cast("long")})
+
+
 LAST = f"""l AS (SELECT m.repo_key, greatest(CAST(pushed_at AS TIMESTAMP), d) AS last FROM lens_meta m LEFT JOIN (SELECT repo_key, max(ts) AS d FROM lens_activity WHERE kind = 'release' GROUP BY repo_key) a ON a.repo_key = m.repo_key)"""
 STALE_SQL = f"last < TIMESTAMP '{AS_OF}' - INTERVAL {STALE} DAY"
 
@@ -550,11 +564,22 @@ def w10_ordered_doc_types(t: Lens) -> DataFrame:
     return sets.select("source", F.array_join(summary.ordered_doc_types(F.col("types")), ",").alias("types"), summary.primary_tool(F.col("tools")).alias("tool"))
 
 
-@query("x AS (SELECT DISTINCT repo_key, path, CASE WHEN seq % 2 = 0 THEN 'a' ELSE 'b' END AS type FROM lens_files WHERE NOT starts_with(path, 'src/')) SELECT repo_key, string_agg(path || ':' || type, ',' ORDER BY lower(path), type) AS doc_files, array_to_string(list(path ORDER BY lower(path), type)[1:3], ', ') AS preview FROM x GROUP BY repo_key", "files")
+LISTED = "x AS (SELECT DISTINCT repo_key, path, CASE WHEN seq % 2 = 0 THEN 'a' ELSE 'b' END AS type FROM lens_files) "
+
+
+def _entries_twice(t: Lens) -> DataFrame:
+    entries = t.files.select("repo_key", "path", F.when(F.col("seq") % 2 == 0, "a").otherwise("b").alias("type"))
+    return entries.unionByName(entries)
+
+
+@query(LISTED + "SELECT repo_key, path, type FROM x", "files")
 def w11_doc_file_list(t: Lens) -> DataFrame:
-    entries = t.files.where("not startswith(path, 'src/')").select("repo_key", "path", F.when(F.col("seq") % 2 == 0, "a").otherwise("b").alias("type"))
-    listed = summary.doc_file_list(entries.unionByName(entries))
-    return listed.select("repo_key", F.array_join(F.transform("doc_files", lambda x: F.concat(x["path"], F.lit(":"), x["type"])), ",").alias("doc_files"), "preview")
+    return summary.doc_file_rows(_entries_twice(t))
+
+
+@query(LISTED + "SELECT repo_key, count(*) AS n_doc_files, array_to_string(list(path ORDER BY lower(path), type, path)[1:3], ', ') AS preview FROM x GROUP BY repo_key", "files")
+def w11_doc_file_preview(t: Lens) -> DataFrame:
+    return summary.doc_file_preview(_entries_twice(t))
 
 
 # ---- set operations
@@ -825,10 +850,10 @@ kept AS (SELECT hits.* FROM hits JOIN each ON each.repo_key = hits.repo_key WHER
 """
 API = HITS + ", " + KEYED + f""", ty AS (SELECT repo_key, string_agg(doc_type, ',' ORDER BY p, doc_type) AS documentation_types FROM (SELECT DISTINCT repo_key, doc_type, coalesce(nullif(list_position({list(R.DOC_TYPE_ORDER)}, doc_type), 0), 99) AS p FROM kept) GROUP BY repo_key),
 tl AS (SELECT repo_key, (list(tool ORDER BY coalesce(nullif(list_position({list(R.TOOL_ORDER)}, tool), 0), 99), tool))[1] AS doc_tool FROM kept WHERE tool IS NOT NULL GROUP BY repo_key),
-fs AS (SELECT repo_key, array_to_string((list(path ORDER BY lower(path), type, path))[1:3], ', ') AS preview FROM (SELECT DISTINCT repo_key, path, type FROM kept) GROUP BY repo_key),
+fs AS (SELECT repo_key, count(*) AS n_doc_files, array_to_string((list(path ORDER BY lower(path), type, path))[1:3], ', ') AS preview FROM (SELECT DISTINCT repo_key, path, type FROM kept) GROUP BY repo_key),
 api AS (SELECT pos, CASE WHEN coalesce(repo, '') = '' OR NOT contains(repo, 'github.com') THEN 'skipped' WHEN k.repo_key IS NULL THEN 'error' WHEN preview IS NOT NULL THEN 'yes' ELSE 'no' END AS status,
  CASE WHEN coalesce(repo, '') = '' THEN 'No repo URL provided' WHEN NOT contains(repo, 'github.com') THEN 'Not a GitHub repo: ' || repo WHEN k.repo_key IS NULL THEN 'Could not parse GitHub repository URL: ' || repo ELSE '' END AS note,
- CASE WHEN each.repo_key IS NOT NULL THEN coalesce(documentation_types, '') END AS documentation_types, coalesce(doc_tool, 'none') AS doc_tool, preview, CASE WHEN total > 0 THEN round_even(documented * 100 / total, 1) END AS coverage_percent, k.repo_key
+ CASE WHEN each.repo_key IS NOT NULL THEN coalesce(documentation_types, '') END AS documentation_types, coalesce(doc_tool, 'none') AS doc_tool, preview, CASE WHEN each.repo_key IS NOT NULL THEN coalesce(n_doc_files, 0) END AS n_doc_files, CASE WHEN total > 0 THEN round_even(documented * 100 / total, 1) END AS coverage_percent, k.repo_key
  FROM k LEFT JOIN each ON each.repo_key = k.repo_key LEFT JOIN ty ON ty.repo_key = k.repo_key LEFT JOIN tl ON tl.repo_key = k.repo_key LEFT JOIN fs ON fs.repo_key = k.repo_key)
 """
 
@@ -838,10 +863,15 @@ def u1_collect_evidence(t: Lens) -> DataFrame:
     return summary.collect_evidence(jobs.api_evidence(jobs.api_docs_candidates(t.files.drop("content")), t.files))
 
 
+@query(HITS + "SELECT DISTINCT repo_key, path, type FROM kept", "files")
+def b1_api_doc_files(t: Lens) -> DataFrame:
+    return jobs.api_doc_files(t.files.drop("content"), t.files)
+
+
 @query(API + "SELECT api.* EXCLUDE (repo_key), nullif(html_url, '') AS pages_url FROM api LEFT JOIN lens_pages p ON p.repo_key = api.repo_key", "papers", "files", "pages")
 def b1_audit_api_docs(t: Lens) -> DataFrame:
     out = jobs.audit_api_docs(t.papers, t.files.drop("content"), t.files, t.pages)
-    return out.select("pos", "status", "note", F.array_join("documentation_types", ",").alias("documentation_types"), "doc_tool", "preview", "coverage_percent", "pages_url")
+    return out.select("pos", "status", "note", F.array_join("documentation_types", ",").alias("documentation_types"), "doc_tool", "preview", "n_doc_files", "coverage_percent", "pages_url")
 
 
 ONE_README = CLASSIFIED + r""", o AS (SELECT repo_key, arg_min(path, seq) AS path FROM lens_files WHERE starts_with(lower(path), 'readme') GROUP BY repo_key)
@@ -872,8 +902,7 @@ q AS (SELECT *, CASE WHEN NOT reachable THEN 'NOT_ASSESSABLE' WHEN archived_reas
 
 
 def _maintenance(t: Lens) -> DataFrame:
-    of = lambda k: activity_of(t, k)
-    return jobs.audit_maintenance(t.papers, t.meta, t.files, of("commit"), of("issue"), of("contributor"), of("release"), of("tag"), AS_OF, RECENT, STALE)
+    return jobs.audit_maintenance(t.papers, t.meta, t.files.drop("content"), t.activity, AS_OF, RECENT, STALE)
 
 
 @query(MAINTENANCE + "SELECT * FROM q", "papers", "meta", "activity")
