@@ -48,7 +48,7 @@ class LineRuns:
         """h1, h2, owner: of ``lines`` (h1, h2, doc), each hash that no run holds, with its smallest doc."""
         fresh = lines.groupBy(*KEY).agg(F.min("doc").alias("owner"))
         for run in self.runs():
-            fresh = fresh.join(run, KEY, "left_anti")
+            fresh = fresh.join(run.hint("merge"), KEY, "left_anti")
         return fresh
 
     def add(self, lines: DataFrame) -> None:
@@ -127,7 +127,8 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     # An element of a one-element array has a name in what follows, and is made once.
     left = F.get(F.transform(F.array(F.struct(split.alias("lines"), "gone")), kept), F.lit(0))
     n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    found = rows.join(gone, ["doc", "row"], "left").select(
+    # Merged at every size: a broadcast for small tables alone would only put off what large ones cost.
+    found = rows.join(gone.hint("merge"), ["doc", "row"], "left").select(
         "doc",
         F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n")).alias("kept_text"),
         F.coalesce(n, F.lit(1)).cast("long").alias("n_lines"),
