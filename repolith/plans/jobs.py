@@ -61,7 +61,9 @@ def api_evidence(candidates: DataFrame, contents: DataFrame) -> DataFrame:
         .when(documented + d["module"] > 0, hit)
         .when(c.isNotNull(), as_entry(F.lit("other"), c["doc_type"], null, c["strong"]))
     )
-    return rows.withColumn("e", entry).where("e is not null").select("repo_key", "path", "bucket", "rank", "e.*")
+    # A generator of one row, into which the optimizer writes no filter: each file is parsed and searched once, not once more to be kept.
+    found = rows.select("repo_key", "path", "bucket", "rank", F.inline(F.array(F.struct(entry.alias("e")))))
+    return found.where("e is not null").select("repo_key", "path", "bucket", "rank", "e.*")
 
 
 def api_docs_verdicts(files: DataFrame, contents: DataFrame) -> DataFrame:
