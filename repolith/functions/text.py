@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,22 +27,47 @@ def split_sections(text: Column) -> Column:
     return F.when(F.size(heads) > 0, pairs).otherwise(F.array(F.struct(F.lit(0).alias("idx"), F.lit("").alias("heading"), text.alias("content"))))
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of ``value``, which has a name in it and is made once: an element of a one-element array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _literal(pattern: str) -> tuple[str, bool]:
+    """The longest run of characters that every match of ``pattern`` holds, and whether holding it is all there is to a match."""
+    plain = re.sub(r"\\s\+\\S\+$", "", pattern).replace("\\.", "\0")
+    runs = [r.replace("\0", ".") for r in plain.split(".")]
+    return max(runs, key=len), len(runs) == 1 and plain == pattern.replace("\\.", "\0")
+
+
 def install_command_hit(text: Column) -> Column:
-    """The snippet around the first command, in the rules' order, that a text holds; null without one."""
-    low = F.lower(text)
+    """The snippet around the first command, in the rules' order, that a text holds; null without one.
+
+    A text is searched for the words that commands are made of, and only patterns whose words it holds are tried: most hold
+    no "install", which goes before most of the others.
+    """
     patterns = F.array(*map(F.lit, R.INSTALL_COMMANDS))
-    first = F.coalesce(*(F.when(low.rlike(p), F.lit(i)) for i, p in enumerate(R.INSTALL_COMMANDS, 1)))
 
-    def snippet(i: Column) -> Column:
+    def first(low: Column, some) -> Column:
+        found = []
+        for i, p in enumerate(R.INSTALL_COMMANDS, 1):
+            head, whole = _literal(p)
+            if some(head):
+                found.append(F.when(low.contains(head) if whole else low.contains(head) & low.rlike(p), F.lit(i)))
+        return F.coalesce(*found)
+
+    def snippet(low: Column, i: Column) -> Column:
         pattern = F.get(patterns, i - 1)
         at = F.regexp_instr(low, pattern) - 1
         begin = F.greatest(at - 20, F.lit(0))
         length = at + F.length(F.regexp_substr(low, pattern)) + 60 - begin
         return strip(F.translate(F.substring(text, begin + 1, length), "\n", " "))
 
-    # The rank is found once and then has a name: an element of a one-element array.
-    ranks = F.array_compact(F.array(F.when(low.rlike("|".join(f"(?:{p})" for p in R.INSTALL_COMMANDS)), first)))
-    return F.get(F.transform(ranks, snippet), F.lit(0))
+    def search(low: Column) -> Column:
+        common = "install"
+        rank = F.when(low.contains(common), first(low, lambda head: True)).otherwise(first(low, lambda head: common not in head))
+        return once(rank, lambda i: F.when(i.isNotNull(), snippet(low, i)))
+
+    return once(F.lower(text), search)
 
 
 def heading_tier(heading: Column, content: Column) -> Column:
@@ -88,19 +114,24 @@ def doc_page_evidence(path_lower: Column, content: Column) -> Column:
 
 
 def structured_comments(ext: Column, content: Column) -> Column:
-    """struct(doc_type, n, strong) of a source file's documentation comments, by language; null without any."""
-    n = lambda p: F.regexp_count(content, F.lit(p))
-    hit = lambda kind, count, strong=True: F.struct(F.lit(kind).alias("doc_type"), count.cast("long").alias("n"), (strong if isinstance(strong, Column) else F.lit(strong)).alias("strong"))
-    blocks, declared, lines = n(R.STRUCTURED_BLOCK), n(R.DECLARED_BLOCK), n(R.DOXYGEN_LINE)
-    either = F.when(blocks > 0, blocks).otherwise(declared)
-    return first_of(
-        ((ext == ".cs") & (n(R.CSHARP_DOC) > 0), hit("c# xml docs", n(R.CSHARP_DOC))),
-        ((ext == ".go") & (n(R.GO_DOC) > 0), hit("go doc comments", n(R.GO_DOC))),
-        ((ext == ".rs") & (n(R.RUST_DOC) >= 2), hit("rust doc comments", n(R.RUST_DOC))),
-        (ext.isin(*R.JVM_EXTS) & (either > 0), hit("java javadoc", either)),
-        (ext.isin(*R.SCRIPT_DOC_EXTS) & (either > 0), hit("jsdoc/typedoc", either)),
-        (ext.isin(*R.C_EXTS) & (blocks + lines > 0), hit("c++ doxygen comments", blocks + lines, blocks > 0)),
-    )
+    """struct(doc_type, n, strong) of a source file's documentation comments, by language; null without any. Each pattern is counted once."""
+    n = lambda p: F.regexp_count(content, F.lit(p)).cast("long")
+    hit = lambda kind, count, strong=True: F.struct(F.lit(kind).alias("doc_type"), count.alias("n"), (strong if isinstance(strong, Column) else F.lit(strong)).alias("strong"))
+    marked = ext.isin(*R.JVM_EXTS, *R.SCRIPT_DOC_EXTS)
+    own = F.when(ext == ".cs", n(R.CSHARP_DOC)).when(ext == ".go", n(R.GO_DOC)).when(ext == ".rs", n(R.RUST_DOC)).when(ext.isin(*R.C_EXTS), n(R.DOXYGEN_LINE))
+    blocks = F.when(marked | ext.isin(*R.C_EXTS), n(R.STRUCTURED_BLOCK))
+
+    def judged(x: Column) -> Column:
+        either = F.when(x["blocks"] > 0, x["blocks"]).otherwise(n(R.DECLARED_BLOCK))
+        return first_of(
+            ((ext == ".cs") & (x["own"] > 0), hit("c# xml docs", x["own"])),
+            ((ext == ".go") & (x["own"] > 0), hit("go doc comments", x["own"])),
+            ((ext == ".rs") & (x["own"] >= 2), hit("rust doc comments", x["own"])),
+            (marked, once(either, lambda e: F.when(e > 0, F.when(ext.isin(*R.JVM_EXTS), hit("java javadoc", e)).otherwise(hit("jsdoc/typedoc", e))))),
+            (ext.isin(*R.C_EXTS) & (x["blocks"] + x["own"] > 0), hit("c++ doxygen comments", x["blocks"] + x["own"], x["blocks"] > 0)),
+        )
+
+    return once(F.struct(own.alias("own"), blocks.alias("blocks")), judged)
 
 
 def package_name(path: Column, content: Column) -> Column:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolith.functions import answers as A
-from repolith.functions import notebooks, parsers, paths, urls
+from repolith.functions import notebooks, parsers, paths, rules, urls
 from repolith.functions import text as T
 from repolith.operators import files as fl
 from repolith.operators import papers as pp
@@ -58,6 +58,24 @@ def test_answers(spark):
     assert [tuple(e) for e in got] == [("p", "a", ""), ("q", "", "")]
 
 
+def test_install_commands_by_their_words(spark):
+    """Against every pattern tried in turn."""
+    import re
+
+    r = random.Random(2)
+    heads = [re.sub(r"\\s\+\\S\+", r.choice(["", " ", " x", "\n y"]), p).replace("\\.", ".") for p in rules.INSTALL_COMMANDS for _ in range(3)]
+    texts = ["".join(r.choice([*heads, " ", "install", "Pip ", "word ", "\n", "/configure", "?/install"]) for _ in range(r.randrange(4))) for _ in range(500)] + [h.upper() for h in heads]
+
+    def plain(text):
+        for p in rules.INSTALL_COMMANDS:
+            if m := re.search(p, text.lower()):
+                return text[max(0, m.start() - 20) : m.end() + 60].replace("\n", " ").strip()
+        return None
+
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, v string").select("i", T.install_command_hit(F.col("v")).alias("o")).collect()
+    assert {x["i"]: x["o"] for x in got} == {i: plain(t) for i, t in enumerate(texts)}
+
+
 JUDGED = ["true", "false", '"false"', '"False"', '"0"', '""', '" "', "0", "-0.0", "0.0", "1e-9", "-1", "1e400", "12345678901234567890123", "[]", "[0]", "[[]]", "{}", '{"a": 0}', "null", '"\\u0000"']
 
 
