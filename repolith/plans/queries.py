@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from ..functions import notebooks, parsers, paths, urls
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import activity, files as fl, papers as pp, summary
-from ..sources.files import decode_content, read_papers, repo_blobs, write_report
+from ..sources.files import decode_content, read_papers, repo_blobs, scratch, write_report
 from ..sources.lens import Lens, with_lenses
 from . import jobs
 
@@ -134,17 +133,33 @@ def s1_read_papers(t: Lens) -> DataFrame:
     """The papers as JSON lists of a thousand records, written and read; a record without an address has no such key."""
     record = F.struct("pos", F.to_json(F.struct("title", "repo", "ground_truth")).alias("json"))
     lists = t.papers.groupBy(F.floor(F.col("pos") / 1000).alias("part")).agg(F.array_sort(F.collect_list(record)).alias("l"))
-    path = f"{t.spark.conf.get('spark.sql.warehouse.dir')}/papers-{uuid.uuid4().hex}"
+    path = scratch(t.spark, "papers")
     text = F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["json"]), ",\n"), F.lit("]"))
     lists.repartition("part").select("part", text.alias("value")).write.partitionBy("part").text(path)
     return read_papers(t.spark, f"{path}/*").select("pos", "title", "repo", "ground_truth", "has_repo")
 
 
-@query(RESULTS + "SELECT pos, model, status, coalesce(array_to_string(types, ','), '') AS types FROM x", "papers", "answers")
+#: A report's rows, part by part, as text.
+REPORTED = RESULTS + """, detail AS (SELECT pos, model, unnest(types) AS type FROM x),
+said AS (SELECT pos, coalesce(max(upper(status)) FILTER (WHERE model = 'model-a'), 'N/A') || ' ' || coalesce(max(upper(status)) FILTER (WHERE model = 'model-b'), 'N/A') || ' ' || coalesce(max(upper(status)) FILTER (WHERE model = 'model-c'), 'N/A') AS s FROM x GROUP BY pos)
+SELECT 'results' AS part, pos || ' ' || model || ' ' || status || ' ' || coalesce(array_to_string(types, ','), '') AS said FROM x
+UNION ALL SELECT 'detail', pos || ' ' || model || ' ' || type FROM detail
+UNION ALL SELECT 'summary', s || ' ' || count(x.status) FROM (SELECT unnest(['yes', 'no', 'skipped', 'error']) AS s) LEFT JOIN x ON x.status = s GROUP BY s
+UNION ALL SELECT 'summary', 'total ' || count(*) FROM x UNION ALL SELECT 'summary', 'coverage_pct ' || CAST(floor(count(*) FILTER (WHERE status = 'yes') / greatest(count(*), 1) * 100) AS BIGINT) FROM x
+UNION ALL SELECT 'comparison', pos || ' ' || s FROM said"""
+
+
+@query(REPORTED, "papers", "answers")
 def s4_write_report(t: Lens) -> DataFrame:
-    path = f"{t.spark.conf.get('spark.sql.warehouse.dir')}/report-{uuid.uuid4().hex}"
-    write_report(path, results(t), summary=jobs.summarise(results(t)))
-    return t.spark.read.parquet(f"{path}/results").select("pos", "model", "status", F.array_join("example_types", ",").alias("types"))
+    """A report with all its parts, written and read again, each as it was."""
+    path, found = scratch(t.spark, "report"), results(t)
+    detail = found.select("pos", "model", F.explode("example_types").alias("type"))
+    write_report(path, found, detail, jobs.summarise(found), summary.model_agreement(found, MODELS))
+    read = lambda part, *columns: t.spark.read.parquet(f"{path}/{part}").select(F.lit(part).alias("part"), F.concat_ws(" ", *columns).alias("said"))
+    out = read("results", F.col("pos"), "model", "status", F.array_join("example_types", ","))
+    for more in (read("detail", F.col("pos"), "model", "type"), read("summary", F.col("metric"), F.floor("value")), read("comparison", F.col("pos"), *(F.col(f"`{m}`") for m in MODELS))):
+        out = out.unionByName(more)
+    return out
 
 
 @query("SELECT repo_key, count(*) AS n FROM lens_files WHERE seq % 9 <> 0 GROUP BY repo_key", "files")
@@ -421,21 +436,6 @@ def a12_commit_totals(t: Lens) -> DataFrame:
     return activity.commit_totals(activity_of(t, "commit"))
 
 
-def _doc_hits(t: Lens) -> DataFrame:
-    n = F.length("text")
-    return t.table("documents").select(F.col("source").alias("repo_key"), (n % 40).cast("long").alias("public_total"), (n % 40 % 7).cast("long").alias("public_documented"), (n % 3).cast("long").alias("high_quality_documented"), (F.col("doc_id") % 11 == 0).alias("strong"), "doc_id")
-
-
-@query("SELECT source AS repo_key, CAST(sum(length(text) % 40) AS BIGINT) AS total_public, CAST(sum(length(text) % 40 % 7) AS BIGINT) AS documented_public, CAST(sum(length(text) % 3) AS BIGINT) AS high_quality, round_even(sum(length(text) % 40 % 7) * 100 / sum(length(text) % 40), 1) AS coverage_percent FROM documents GROUP BY source")
-def a13_api_coverage(t: Lens) -> DataFrame:
-    return summary.api_coverage(_doc_hits(t))
-
-
-@query("SELECT source AS repo_key, bool_or(doc_id % 11 = 0) OR count(*) >= 2 AS enough, count(*) AS n FROM documents GROUP BY source")
-def a14_source_evidence(t: Lens) -> DataFrame:
-    return summary.source_evidence(_doc_hits(t))
-
-
 @query(TRUTH + """, c AS (SELECT count(*) AS labelled, count(*) FILTER (WHERE status IN ('yes', 'no')) AS evaluated, count(*) FILTER (WHERE status = 'yes' AND truth) AS tp, count(*) FILTER (WHERE status = 'yes' AND NOT truth) AS fp,
  count(*) FILTER (WHERE status = 'no' AND NOT truth) AS tn, count(*) FILTER (WHERE status = 'no' AND truth) AS fn FROM z),
 d AS (SELECT *, coalesce((tp + tn) / nullif(evaluated, 0), 0.0) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall FROM c)
@@ -461,23 +461,6 @@ def a17_model_agreement(t: Lens) -> DataFrame:
 
 
 
-def _entries(t: Lens) -> DataFrame:
-    """Documents as lists of entries: a category from the language, evidence from the source, the second one blank."""
-    e = lambda c, v: F.struct(F.lit("p").alias("path"), c.alias("category"), v.alias("evidence"))
-    blank = F.lit("")
-    return t.table("documents").select("doc_id", F.array(e(F.col("lang"), F.col("source")), e(blank, blank), e(F.lit("en"), F.lit("x")), e(F.lit("aa"), F.col("lang")), e(F.col("lang"), F.lit("y"))).alias("entries"))
-
-
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([lang, '', 'en', 'aa', lang], lambda c: c <> ''))), ',') AS categories, array_to_string(list_filter([source, '', 'x', lang, 'y'], lambda c: c <> '')[1:3], '; ') AS evidence FROM documents")
-def a18_categories_and_evidence(t: Lens) -> DataFrame:
-    return _entries(t).select("doc_id", F.array_join(summary.categories_of(F.col("entries")), ",").alias("categories"), summary.top_evidence(F.col("entries")).alias("evidence"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE CAST(round_even(100.0 * (doc_id % 5) / (doc_id % 13), 0) AS BIGINT) || '%' END AS coverage FROM documents")
-def a19_coverage_checked(t: Lens) -> DataFrame:
-    return t.table("documents").select("doc_id", summary.coverage_checked(F.col("doc_id") % 5, F.col("doc_id") % 13).alias("coverage"))
-
-
 # ---- windows
 
 
@@ -858,6 +841,21 @@ api AS (SELECT pos, CASE WHEN coalesce(repo, '') = '' OR NOT contains(repo, 'git
 """
 
 
+@query(HITS + """SELECT repo_key, CAST(sum(total) AS BIGINT) AS total_public, CAST(sum(documented) AS BIGINT) AS documented_public, CAST(sum(CAST(type = 'docstring_function' AS INT)) AS BIGINT) AS high_quality, round_even(sum(documented) * 100 / sum(total), 1) AS coverage_percent FROM hits WHERE total IS NOT NULL GROUP BY repo_key""", "files")
+def a13_api_coverage(t: Lens) -> DataFrame:
+    """Of the evidence in Python files; of the lens's two documented ones, the function's docstring names its arguments."""
+    return summary.api_coverage(_evidence(t).where("public_total is not null"))
+
+
+@query(HITS + "SELECT repo_key, bool_or(strong) OR count(*) >= 2 AS enough, count(*) AS n FROM hits WHERE bucket = 'source' GROUP BY repo_key", "files")
+def a14_source_evidence(t: Lens) -> DataFrame:
+    return summary.source_evidence(_evidence(t).where("bucket = 'source'"))
+
+
+def _evidence(t: Lens) -> DataFrame:
+    return jobs.api_evidence(jobs.api_docs_candidates(t.files.drop("content")), t.files)
+
+
 @query(HITS + "SELECT repo_key, path, type, doc_type, tool FROM kept", "files")
 def u1_collect_evidence(t: Lens) -> DataFrame:
     return summary.collect_evidence(jobs.api_evidence(jobs.api_docs_candidates(t.files.drop("content")), t.files))
@@ -1067,6 +1065,49 @@ for _check in JUDGED:
     _judged(_check)
 
 
+def _files_of_answers(t: Lens) -> DataFrame:
+    """Answers to the check of pre-processing, with the entries that each lists."""
+    raw = F.col("raw")
+    for old, new in ANSWERS_AS["preprocessing"]:
+        raw = F.replace(raw, F.lit(old), F.lit(new))
+    a = A.parse_answer(raw, {"preprocessing_files": "json"})
+    return t.answers.select("pos", "model", a.alias("a")).where("a.parsed").select("pos", "model", A.normalise_entries(F.col("a.preprocessing_files")).alias("entries"))
+
+
+@query(RESULTS + "SELECT pos, model, CASE len(types) WHEN 2 THEN 'clean,tokenize' ELSE '' END AS categories, CASE len(types) WHEN 2 THEN 'x; y' ELSE '' END AS evidence FROM x WHERE types IS NOT NULL", "papers", "answers")
+def a18_categories_and_evidence(t: Lens) -> DataFrame:
+    return _files_of_answers(t).select("pos", "model", F.array_join(summary.categories_of(F.col("entries")), ",").alias("categories"), summary.top_evidence(F.col("entries")).alias("evidence"))
+
+
+@query(RESULTS + "SELECT pos, model, CASE len(types) WHEN 2 THEN 'b.py|tokenize|x,c.py|clean|y' ELSE 'a.py||' END AS entries FROM x WHERE types IS NOT NULL", "papers", "answers")
+def f18_normalise_answers(t: Lens) -> DataFrame:
+    said = F.transform("entries", lambda x: F.concat_ws("|", x["path"], x["category"], x["evidence"]))
+    return _files_of_answers(t).select("pos", "model", F.array_join(said, ",").alias("entries"))
+
+
+@query(_read(CASCADE).rstrip() + READ.rstrip(" ,\n") + " SELECT repo_key, CAST(round_even(100.0 * coalesce(n, 0) / total, 0) AS BIGINT) || '%' AS coverage FROM f", "files")
+def a19_coverage_checked(t: Lens) -> DataFrame:
+    read = jobs.build_payloads(t.files.drop("content"), t.files, "preprocessing").where("n_source > 0")
+    return read.select("repo_key", summary.coverage_checked(F.col("n_files"), F.col("n_source")).alias("coverage"))
+
+
+#: The first model's answers as the first reading, the second's as the second; repositories by paper, named where such files are listed.
+TWO_READ = _read(CASCADE).replace("x AS (SELECT *, CASE WHEN contains(basename", "xf AS (SELECT *, CASE WHEN contains(basename", 1).replace("AS bucket FROM x)", "AS bucket FROM xf)", 1).rstrip() + ", " + KEYED.rstrip() + ", " + RESULTS + """, w AS (SELECT x.pos, k.repo_key, model, CASE WHEN said = 'true' THEN 'EXISTS' ELSE 'NOT_APPLICABLE' END AS class FROM x JOIN k ON k.pos = x.pos WHERE k.repo_key IS NOT NULL AND types IS NOT NULL)
+SELECT a.pos, CASE WHEN a.class = 'NOT_APPLICABLE' AND b.class = 'EXISTS' AND a.repo_key IN (SELECT repo_key FROM z WHERE bucket = 'named') THEN 'EXISTS' ELSE a.class END AS class
+ FROM (SELECT * FROM w WHERE model = 'model-a') a LEFT JOIN (SELECT * FROM w WHERE model = 'model-b') b ON b.pos = a.pos"""
+
+
+@query(TWO_READ, "files", "papers", "answers")
+def f16_two_pass_of_answers(t: Lens) -> DataFrame:
+    said = _files_of_answers(t).select("pos", "model")
+    raw = t.answers.select("pos", "model", F.when(F.col("raw").contains('"has_usage_examples": true'), "EXISTS").otherwise("NOT_APPLICABLE").alias("class"))
+    rows = raw.join(said, ["pos", "model"]).join(keyed(t).select("pos", F.col("repo_key").alias("repo")), "pos").where("repo is not null").withColumn("repo_key", F.concat_ws(" ", "repo", "pos"))
+    named = fl.preprocessing_candidates(t.files.drop("content")).where("bucket = 'named'").select(F.col("repo_key").alias("repo")).distinct()
+    of = lambda m: rows.where(F.col("model") == m).withColumn("model", F.lit("m"))
+    _, final = jobs.two_pass(of("model-a"), of("model-b"), rows.join(named, "repo", "left_semi"))
+    return final.select("pos", "class")
+
+
 @query(AGREE + "SELECT count(*) FILTER (WHERE agree) AS agreed, count(*) AS papers, count(*) FILTER (WHERE agree) / greatest(count(*), 1) * 100 AS rate FROM z", "papers", "answers")
 def b9_compare_models(t: Lens) -> DataFrame:
     return jobs.compare_models(results(t), MODELS)[1]

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAPER = "struct<title:string,repo:string,semanticscholarid:string,ground_truth:string>"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a table that is written to be read again, where driver and executors share one (spark.checkpoint.dir);
+    only a local session, whose driver and executors are one process, may lack that. It goes when the driver ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
     """pos (from 0, the file's order), title, repo, semanticscholarid, ground_truth, has_repo of a JSON list or single object.
 
