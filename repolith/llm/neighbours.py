@@ -25,8 +25,9 @@ from .common import parts, table
 NEAREST, SEED = 20, 7
 #: Standard deviations that the error bound allows: larger ones rerank more and miss less.
 EPSILON = 2.5
-#: Most rows of a block of vectors or of queries, about, and most blocks that one task meets.
-BLOCK, GROUP = 8192, 8
+#: Most rows of a block of vectors or of queries, about, and most bytes of one, and most blocks that one task meets: a task
+#: holds some 32 MB of vectors, whatever their length.
+BLOCK, BYTES, GROUP = 8192, 4 << 20, 8
 #: Vectors of the first block that are reranked by their estimates, to have a score that others must reach.
 FIRST = 64
 INDEX = "dim int, block long, ids binary, codes binary, scales binary, vectors binary"
@@ -131,9 +132,12 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, epsil
 
     found, asked = usable(vectors), usable(queries)
     # Few groups, so that the score to reach rises from block to block; small tables make more tasks by their queries.
-    n = max(1, -(-found.count() // block_rows))
-    groups, rows = -(-n // GROUP), asked.count()
-    m = max(1, -(-rows // block_rows), min(-(-parts(spark) // groups), rows // 256))
+    sizes = (F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("vector") * F.lit(8).cast("long")), F.lit(0)).alias("bytes"))
+    have, want = found.agg(*sizes).first(), asked.agg(*sizes).first()
+    blocks_of = lambda x: max(1, -(-x["rows"] // block_rows), -(-x["bytes"] // BYTES))
+    n = blocks_of(have)
+    groups = -(-n // GROUP)
+    m = max(blocks_of(want), min(-(-parts(spark) // groups), want["rows"] // 256))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
     index = blocked(found, n).withColumn("part", F.pmod("block", F.lit(groups))).withColumn("query_block", every(m))
     packed = blocked(asked, m).select("dim", F.col("block").alias("query_block"), "ids", "vectors").withColumn("part", every(groups))

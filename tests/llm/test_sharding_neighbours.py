@@ -132,3 +132,24 @@ def test_groups_of_blocks_and_queries(spark, monkeypatch):
         want = sorted(((-round(float(vectors[q] @ v), 9), i) for i, v in vectors.items() if i != q))[:20]
         assert [s for _, s in found] == [-s for s, _ in want] and len(found) == 20
     assert len(got) == 20
+
+
+def test_long_vectors_make_small_blocks(spark, monkeypatch):
+    """1,536 dimensions: no packed block outgrows its bytes by much, and at least 0.9 of the nearest are found."""
+    from repolith.llm import neighbours as A
+
+    rng = np.random.default_rng(5)
+    middle = rng.standard_normal((40, 1536))
+    rows = [(i, (middle[i % 40] + 0.7 * rng.standard_normal(1536)).round(3).tolist()) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>").repartition(4)
+    made, own = [], A.build_index
+    monkeypatch.setattr(A, "build_index", lambda *a: made.append(own(*a)) or made[-1])
+    got = A.search(frame, frame.where("id % 20 = 0")).collect()
+    assert made[0].selectExpr("max(length(vectors))").first()[0] < 2 * A.BYTES
+    vectors = np.array([v for _, v in rows])
+    hit = 0
+    for q in range(0, 2000, 20):
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        hit += len({int(i) for i in np.argsort(-score, kind="stable")[:20]} & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hit >= 0.9 * 20 * 100 and len(got) == 2000
