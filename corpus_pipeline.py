@@ -57,15 +57,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of benchmark passages go, with what stands between them; a document that is such in more than half of its words goes as a whole.
+
+    Texts without a passage stay to the byte, null and blank ones too. Repeated rows are judged alike, null doc_ids like
+    any other. An empty benchmark changes nothing, and an empty table gives none.
+    """
     _small_batches(spark)
     return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Numbers, dates and addresses that tell of persons become others of their format, the same ones in all documents.
+
+    All rows stay; null, empty and very long texts, repeated rows and null doc_ids are as they were but for that.
+    """
     return _columns(pseudonyms.pseudonymise(docs, pseudonyms.QUERY_KEY), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1,024 tokens (see packing.pack()): every token lies in exactly one.
+
+    A null or empty text is one token, its end. Rows without a doc_id come last; repeated ids stay apart. An empty table
+    gives no pieces.
+    """
     _small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
