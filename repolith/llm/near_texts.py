@@ -103,7 +103,7 @@ def _links(texts: DataFrame, words: int) -> DataFrame:
     spark = texts.sparkSession
     crowds = texts.groupBy("crowd").agg(F.sum(F.octet_length("text") + 1).alias("bytes")).where(F.col("bytes") > TILE)
     tiles = F.coalesce(F.ceil(F.col("bytes") / TILE), F.lit(1)).cast("long")
-    keyed = texts.join(crowds, "crowd", "left").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    keyed = join_dealt(texts, written(crowds), "crowd", "node").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
     # Texts of tile i meet tile j in tile pair (i, j): none outgrows two tiles.
     keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     keyed = keyed.withColumn("tile", F.least("own", "other") * F.col("tiles") + F.greatest("own", "other"))
