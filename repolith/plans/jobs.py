@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
@@ -131,18 +131,18 @@ def classify_install(readmes: DataFrame, scores: DataFrame | None = None, thresh
     install_candidates() has what there is to score.
     """
     texts = readmes.where(F.length(T.strip(F.col("content"))) > 0).select("repo_key", "path", "content")
+    if scores is None:
+        return _sure_signs(texts)
     command = texts.withColumn("hit", T.install_command_hit(F.col("content"))).where("hit is not null")
     command = command.select("repo_key", "path", F.lit("installation guide").alias("label"), F.lit(1.0).alias("confidence"), F.concat(F.lit("[command] ..."), "hit", F.lit("...")).alias("snippet"), F.lit(1).alias("tier"), F.lit(-1).alias("idx"))
     section = _sections(texts)
     start = F.translate(F.substring("content", 1, 100), "\n", " ")
     headed = F.concat(F.lit("[heading: "), "heading", F.lit("] "), start)
     strong = section.where("tier = 'strong'").select("repo_key", "path", F.lit("installation guide").alias("label"), F.lit(1.0).alias("confidence"), headed.alias("snippet"), F.lit(2).alias("tier"), "idx")
-    ways = [command, strong]
-    if scores is not None:
-        scored = section.join(scores, ["repo_key", "path", "idx"]).where(F.col("label").isin(*R.SETUP_LABELS))
-        ways.append(scored.where((F.col("tier") == "partial") & (F.col("score") >= threshold)).select("repo_key", "path", "label", F.col("score").alias("confidence"), headed.alias("snippet"), F.lit(2).alias("tier"), "idx"))
-        plain = F.concat(F.lit("[NLP only: "), F.coalesce(F.nullif("heading", F.lit("")), F.lit("no heading")), F.lit("] "), start)
-        ways.append(scored.where((F.length("content") >= 50) & (F.col("score") >= threshold + 0.15)).select("repo_key", "path", "label", F.col("score").alias("confidence"), plain.alias("snippet"), F.lit(4).alias("tier"), "idx"))
+    scored = section.join(scores, ["repo_key", "path", "idx"]).where(F.col("label").isin(*R.SETUP_LABELS))
+    likely = scored.where((F.col("tier") == "partial") & (F.col("score") >= threshold)).select("repo_key", "path", "label", F.col("score").alias("confidence"), headed.alias("snippet"), F.lit(2).alias("tier"), "idx")
+    plain = F.concat(F.lit("[NLP only: "), F.coalesce(F.nullif("heading", F.lit("")), F.lit("no heading")), F.lit("] "), start)
+    ways = [command, strong, likely, scored.where((F.length("content") >= 50) & (F.col("score") >= threshold + 0.15)).select("repo_key", "path", "label", F.col("score").alias("confidence"), plain.alias("snippet"), F.lit(4).alias("tier"), "idx")]
     every = ways[0]
     for w in ways[1:]:
         every = every.unionByName(w)
@@ -151,6 +151,20 @@ def classify_install(readmes: DataFrame, scores: DataFrame | None = None, thresh
     return every.groupBy("repo_key", "path").agg(best.alias("b")).select("repo_key", "path", "b.*")
 
 
+def _sure_signs(texts: DataFrame) -> DataFrame:
+    """classify_install() without scores: one pass over each text where it lies, its sections only where it has no command."""
+
+    def reason(snippet: Column, tier: int) -> Column:
+        return F.struct(F.lit("installation guide").alias("label"), F.lit(1.0).alias("confidence"), snippet.alias("snippet"), F.lit(tier).alias("tier"))
+
+    strong = F.filter(T.split_sections(F.col("content")), lambda s: T.heading_tier(s["heading"], s["content"]) == "strong")
+    headed = T.once(F.get(strong, F.lit(0)), lambda s: F.when(s.isNotNull(), reason(F.concat(F.lit("[heading: "), s["heading"], F.lit("] "), F.translate(F.substring(s["content"], 1, 100), "\n", " ")), 2)))
+    best = T.once(T.install_command_hit(F.col("content")), lambda hit: F.when(hit.isNotNull(), reason(F.concat(F.lit("[command] ..."), hit, F.lit("...")), 1)).otherwise(headed))
+    # A generator of one row keeps the search from being done once more to see whether it found anything.
+    found = texts.select("repo_key", "path", F.inline(F.array(F.struct(best.alias("b")))))
+    return found.where("b is not null").select("repo_key", "path", "b.*")
+
+
 def _sections(texts: DataFrame) -> DataFrame:
     one = texts.select("repo_key", "path", F.explode(T.split_sections(F.col("content"))).alias("s"))
     return one.select("repo_key", "path", "s.*").withColumn("tier", T.heading_tier(F.col("heading"), F.col("content")))
@@ -168,18 +182,19 @@ def install_candidates(readmes: DataFrame) -> DataFrame:
 def audit_install(files: DataFrame, contents: DataFrame, all_readmes: bool = False, scores: DataFrame | None = None) -> DataFrame:
     """repo_key, report: Yes with where and why, No, or that there is no readme."""
     low = F.lower("path")
-    found = files.where(F.substring_index(low, "/", -1).startswith("readme") if all_readmes else low.startswith("readme"))
+    readme = F.substring_index(low, "/", -1).startswith("readme") if all_readmes else low.startswith("readme")
+    found = files.where(readme)
     if not all_readmes:
         found = found.join(fl.first_readme(files), ["repo_key", "path"], "left_semi")
-    text = found.select("repo_key", "path", "seq").join(contents.select("repo_key", "path", "content"), ["repo_key", "path"])
-    hits = classify_install(text, scores).join(found.select("repo_key", "path", "seq"), ["repo_key", "path"])
+    found = found.select("repo_key", "path", "seq")
+    text = found.join(contents.where(readme).select("repo_key", "path", "content"), ["repo_key", "path"])
+    hits = classify_install(text, scores).join(found, ["repo_key", "path"])
     where = F.when(F.col("path").contains("/"), F.col("path")).otherwise(F.lit("README"))
     said = F.concat(where, F.lit(" ("), "label", F.lit(", confidence: "), F.bround(F.col("confidence") * 100, 0).cast("long").cast("string"), F.lit("%) — "), "snippet")
     listed = hits.groupBy("repo_key").agg(F.array_sort(F.collect_list(F.struct(F.col("path").contains("/").alias("nested"), "seq", said.alias("said")))).alias("l"))
     report = F.concat(F.lit("Yes: "), F.array_join(F.transform("l", lambda x: x["said"]), " | "))
-    has = found.select("repo_key", F.lit(True).alias("has")).distinct()
-    repos = files.select("repo_key").distinct()
-    out = repos.join(has, "repo_key", "left").join(listed, "repo_key", "left")
+    repos = files.groupBy("repo_key").agg(F.bool_or(readme).alias("has"))
+    out = repos.join(listed, "repo_key", "left")
     return out.select("repo_key", F.coalesce(report, F.when(F.col("has"), "No").otherwise("No README found")).alias("report"))
 
 
@@ -195,13 +210,13 @@ def audit_license(papers: DataFrame, licenses: DataFrame, files: DataFrame) -> D
 def audit_maintenance(papers: DataFrame, meta: DataFrame, files: DataFrame, activity_rows: DataFrame, as_of: str, recent_days: int = 182, stale_days: int = 365) -> DataFrame:
     """Each paper with its indicators (value, detail) and overall status; without metadata all are null.
 
-    ``activity_rows`` (see activity.scoreboard) are read once. A repository that has metadata but no activity rows has none:
-    false, not null.
+    ``activity_rows`` (see activity.scoreboard) are read once; last_commit_date and total_commits, which audit_post_publication()
+    asks for, come from the same scan. A repository that has metadata but no activity rows has none: false, not null.
     """
     empty = lambda c, v: F.when(F.col("reachable"), F.coalesce(F.col(c), F.lit(v)))
     known = meta.join(activity.scoreboard(activity_rows, as_of, recent_days), "repo_key", "left").join(fl.root_presence(files), "repo_key", "left")
     out = pp.attach(pp.with_keys(papers), activity.with_last(known, as_of, stale_days).withColumn("reachable", F.lit(True)))
-    out = out.withColumn("reachable", F.coalesce("reachable", F.lit(False))).drop("released", "last_commit_date", "total_commits")
+    out = out.withColumn("reachable", F.coalesce("reachable", F.lit(False))).drop("released")
     reason = T.deprecation_reason(F.col("archived"), F.col("description"))
     out = out.withColumns(
         {

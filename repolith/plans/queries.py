@@ -937,6 +937,12 @@ def b6_audit_post_publication(t: Lens) -> DataFrame:
     return jobs.audit_post_publication(t.papers, t.meta, activity_of(t, "commit"))
 
 
+@query(POST.replace("SELECT pos, title, repo, k.repo_key, CASE WHEN m.repo_key", "SELECT pos, CASE WHEN m.repo_key").split(", CASE WHEN coalesce(repo, '')")[0] + " FROM k LEFT JOIN lens_meta m ON m.repo_key = k.repo_key LEFT JOIN c ON c.repo_key = k.repo_key", "papers", "meta", "activity")
+def b6_by_the_maintenance_scan(t: Lens) -> DataFrame:
+    """What this check asks for, from the one scan of activity that the maintenance check makes."""
+    return _maintenance(t).select("pos", "last_commit_date", "total_commits")
+
+
 @query(_read(CASCADE) + """, p AS (SELECT repo_key, string_agg(path, '|' ORDER BY place, depth, path_lower, seq) AS paths, string_agg('### ' || CASE bucket WHEN 'named' THEN 'PREPROCESS-NAMED' WHEN 'folder' THEN 'PREPROCESS-FOLDER' ELSE 'GENERIC SOURCE' END || ': ' || path || chr(10) || content[1:take], chr(10) || chr(10) ORDER BY place, depth, path_lower, seq) AS p, count(*) AS n, sum(take) AS t FROM c GROUP BY repo_key)
 SELECT r.repo_key, coalesce(p, '[No source code files found in the repository]') AS payload, coalesce(n, 0) AS n_files, CAST(coalesce(t, 0) AS BIGINT) AS n_chars, CAST(CASE WHEN length(p) > 50000 THEN 4000 ELSE 2500 END AS BIGINT) AS max_tokens, coalesce(paths, '') AS paths, total AS n_source
  FROM (SELECT DISTINCT repo_key FROM lens_files) r LEFT JOIN p ON p.repo_key = r.repo_key LEFT JOIN (SELECT repo_key, count(*) AS total FROM z GROUP BY repo_key) n ON n.repo_key = r.repo_key""", "files")
