@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes, written
+from .common import join_dealt, table, text_bytes, written
 
 WINDOW, BLOCK = 10, 2 << 20
 _LETTERS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -227,7 +227,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     union = F.aggregate("hits", F.array().cast("array<struct<start:long,stop:long>>"), lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.when(F.size(acc) > 0, last(acc)["stop"])), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x))))
     both = both.withColumn("hits", union)
     n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), lambda w: w != "")).cast("long")
-    out = whole.withColumn("digest", F.sha2("text", 256)).join(both, "digest", "left")
+    # A missing text has a key of its own, and copies of a text that is hit are dealt out.
+    keyed = whole.withColumn("digest", F.coalesce(digest, F.concat(F.lit("-"), F.hex(F.xxhash64("doc")))))
+    out = join_dealt(keyed, written(both), "digest", "doc", counted=whole.where("text is not null").select(digest))
     zero = F.lit(0).cast("long")
     n_hit = F.aggregate("hits", zero, lambda acc, x: acc + x["stop"] - x["start"])
     return out.select("doc.*", n_words.alias("n_words"), F.coalesce(n_hit, zero).alias("n_hit"), F.coalesce("longest", zero).alias("longest"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", F.array().cast("array<struct<start:long,stop:long>>")).alias("hits"))

@@ -224,6 +224,15 @@ def test_decontamination(spark, block):
     assert D.contamination(odd(spark, []), bench).count() == 0
 
 
+def test_copies_of_a_hit_text_are_dealt_out(spark):
+    """Over several blocks of items, a text that most documents have, and missing ones: all are answered, none lost."""
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(20)]
+    docs = [(i, items[3][1] + " end" if i % 3 else None if i % 2 else f"clean {i}") for i in range(600)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {x["doc_id"]: (x["n_words"], x["n_hit"], x["items"]) for x in D.contamination(odd(spark, docs), bench, block=200).collect()}
+    assert out == {i: (13, 12, ["3"]) if i % 3 else (0, 0, []) if i % 2 else (2, 0, []) for i in range(600)}
+
+
 def test_decontamination_of_given_table(spark, sf):
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = dict(texts_of(spark, sf))
