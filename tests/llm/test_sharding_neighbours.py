@@ -4,6 +4,8 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+import xxhash
 
 from repolith.llm import neighbours as N
 from repolith.llm import sharding as H
@@ -136,16 +138,14 @@ def test_groups_of_blocks_and_queries(spark, monkeypatch):
 
 def test_long_vectors_make_small_blocks(spark, monkeypatch):
     """1,536 dimensions: no packed block outgrows its bytes by much, and at least 0.9 of the nearest are found."""
-    from repolith.llm import neighbours as A
-
     rng = np.random.default_rng(5)
     middle = rng.standard_normal((40, 1536))
     rows = [(i, (middle[i % 40] + 0.7 * rng.standard_normal(1536)).round(3).tolist()) for i in range(2000)]
     frame = spark.createDataFrame(rows, "id long, vector array<double>").repartition(4)
-    made, own = [], A.build_index
-    monkeypatch.setattr(A, "build_index", lambda *a: made.append(own(*a)) or made[-1])
-    got = A.search(frame, frame.where("id % 20 = 0")).collect()
-    assert made[0].selectExpr("max(length(vectors))").first()[0] < 2 * A.BYTES
+    made, own = [], N.build_index
+    monkeypatch.setattr(N, "build_index", lambda *a: made.append(own(*a)) or made[-1])
+    got = N.search(frame, frame.where("id % 20 = 0")).collect()
+    assert made[0].selectExpr("max(length(vectors))").first()[0] < 2 * N.BYTES
     vectors = np.array([v for _, v in rows])
     hit = 0
     for q in range(0, 2000, 20):
@@ -153,3 +153,42 @@ def test_long_vectors_make_small_blocks(spark, monkeypatch):
         score[q] = -np.inf
         hit += len({int(i) for i in np.argsort(-score, kind="stable")[:20]} & {r["vec_id"] for r in got if r["query_id"] == q})
     assert hit >= 0.9 * 20 * 100 and len(got) == 2000
+
+
+def plain_shards(rows, n, shards=H.SHARDS, seed=H.SEED):
+    """shard and slot of each row, row by row: parts by one hash, the drawn matrix dealt out by a second, cells by a third."""
+    long = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def hashed(*values):
+        h = 42
+        for v in values:
+            if v is not None:
+                h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, h)
+        return long(h)
+
+    number = lambda v: None if v is None else v.to_bytes(8, "little", signed=True)
+    keys = [[hashed((seed + i).to_bytes(4, "little"), *(number(v) if isinstance(v, int) else v for v in r)) for i in range(3)] for r in rows]
+    of = {}
+    for i, (h0, _, _) in enumerate(keys):
+        of.setdefault(h0 % n, []).append(i)
+    matrix = H.draw_matrix([len(of[p]) for p in sorted(of)], shards, seed)
+    held = [[] for _ in range(shards)]
+    for p, to in zip(sorted(of), matrix, strict=True):
+        mine = iter(sorted(of[p], key=lambda i: (keys[i][1], keys[i][0])))
+        for shard, count in enumerate(to):
+            held[shard] += [next(mine) for _ in range(count)]
+    cells = max(1, n // shards)
+    cell = lambda i: hashed((seed + 3).to_bytes(4, "little"), number(keys[i][2])) % cells
+    return {i: (shard, slot) for shard, some in enumerate(held) for slot, i in enumerate(sorted(some, key=lambda i: (cell(i), keys[i][2])))}
+
+
+@pytest.mark.parametrize("part", [50_000, 7])
+def test_query_against_a_plain_version(spark, sf, monkeypatch, part):
+    monkeypatch.setattr(H, "PART", part)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = plain_shards(rows, max(4, -(-len(rows) // part)))
+    out = {r["doc_id"]: r for r in H.op7_uniform_shards(spark, sf).collect()}
+    assert len(out) == len(rows)
+    for i, (doc_id, text, *_) in enumerate(rows):
+        r, body = out[doc_id], (text or "").encode()
+        assert (r["shard"], r["slot"]) == want[i] and (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(body) + 1, zlib.crc32(body), "rows", None)
