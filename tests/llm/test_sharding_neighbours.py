@@ -171,7 +171,11 @@ def plain_shards(rows, n, shards=H.SHARDS, seed=H.SEED):
     of = {}
     for i, (h0, _, _) in enumerate(keys):
         of.setdefault(h0 % n, []).append(i)
-    matrix = H.draw_matrix([len(of[p]) for p in sorted(of)], shards, seed)
+    groups = {}
+    for p in sorted(of):
+        groups.setdefault(p // H.GROUP, []).append(p)
+    drawn = H.draw_matrix([sum(len(of[p]) for p in ps) for ps in groups.values()], shards, seed)
+    matrix = [row for (g, ps), places in zip(groups.items(), drawn, strict=True) for row in H.draw_group(g, [len(of[p]) for p in ps], places.tolist(), seed)]
     held = [[] for _ in range(shards)]
     for p, to in zip(sorted(of), matrix, strict=True):
         mine = iter(sorted(of[p], key=lambda i: (keys[i][1], keys[i][0])))
@@ -182,9 +186,10 @@ def plain_shards(rows, n, shards=H.SHARDS, seed=H.SEED):
     return {i: (shard, slot) for shard, some in enumerate(held) for slot, i in enumerate(sorted(some, key=lambda i: (cell(i), keys[i][2])))}
 
 
-@pytest.mark.parametrize("part", [50_000, 7])
-def test_query_against_a_plain_version(spark, sf, monkeypatch, part):
+@pytest.mark.parametrize("part,group", [(50_000, 1024), (7, 1024), (7, 4)])
+def test_query_against_a_plain_version(spark, sf, monkeypatch, part, group):
     monkeypatch.setattr(H, "PART", part)
+    monkeypatch.setattr(H, "GROUP", group)
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = plain_shards(rows, max(4, -(-len(rows) // part)))
     out = {r["doc_id"]: r for r in H.op7_uniform_shards(spark, sf).collect()}
