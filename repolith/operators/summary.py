@@ -83,13 +83,15 @@ def collect_evidence(hits: DataFrame) -> DataFrame:
 
 
 def first_of_shares(frame: DataFrame, keys: list[str], order: list[str], n: int = PREVIEW) -> DataFrame:
-    """``frame`` with early: one of the first ``n`` of its group's share, a hash of ``order`` away from the others.
+    """``frame``, a row for each ``order`` of a group, with early: one of the first ``n`` of its group's share, a hash of ``order``
+    away from the others.
 
     The first ``n`` of a group are among the early rows, at most n * SHARES of them; no task sorts more than a share of it.
     """
     share = F.pmod(F.xxhash64(*order), F.lit(SHARES))
     within = Window.partitionBy(*keys, "_share").orderBy(*order)
-    return frame.withColumn("_share", share).withColumn("early", F.row_number().over(within) <= n).drop("_share")
+    ranked = frame.withColumn("_share", share).withColumns({"early": F.dense_rank().over(within) <= n, "_before": F.lag(F.struct(*order)).over(within)})
+    return ranked.where(~F.struct(*order).eqNullSafe(F.col("_before"))).drop("_share", "_before")
 
 
 def ordered_doc_types(types: Column) -> Column:
@@ -112,7 +114,7 @@ def doc_file_rows(entries: DataFrame) -> DataFrame:
 
 def doc_file_preview(entries: DataFrame) -> DataFrame:
     """repo_key, n_doc_files, preview: how many (path, type) there are, and the first three paths, by path without case and type."""
-    early = first_of_shares(doc_file_rows(entries).withColumn("low", F.lower("path")), ["repo_key"], ["low", "type", "path"])
+    early = first_of_shares(entries.select("repo_key", "path", "type").withColumn("low", F.lower("path")), ["repo_key"], ["low", "type", "path"])
     firsts = F.array_sort(F.collect_list(F.when(F.col("early"), F.struct("low", "type", "path"))))
     listed = early.groupBy("repo_key").agg(F.count(F.lit(1)).alias("n_doc_files"), firsts.alias("f"))
     return listed.select("repo_key", "n_doc_files", F.array_join(F.slice(F.transform("f", lambda x: x["path"]), 1, PREVIEW), ", ").alias("preview"))

@@ -156,6 +156,8 @@ def test_evidence_of_one_repository_has_a_fixed_size(spark):
     assert row["n_doc_files"] == 100_000 and row["preview"] == "p0/pyproject.toml, p1/pyproject.toml, p10/pyproject.toml"
     assert len(str(row)) < 600 and jobs.api_doc_files(paths, contents).count() == 100_000
     entries = paths.select("repo_key", "path", F.lit("a").alias("type"))
+    twice = summary.doc_file_preview(entries.union(entries)).first()
+    assert (twice["n_doc_files"], twice["preview"]) == (100_000, row["preview"])
     assert summary.doc_file_preview(entries).first()["preview"] == row["preview"]
     widest = out._jdf.queryExecution().optimizedPlan().toString()
     assert widest.count("collect_list") == 1
