@@ -3,9 +3,12 @@
 Test items, normalised to words, form one generalised suffix automaton. Training words stream through it while the
 length of the longest match that ends at each word is tracked; where it reaches the window's length (or a whole
 shorter item ends), the words of that match are hit. Words outside the benchmark's word pairs can't extend a match
-and are passed over in bulk. Items are taken in blocks of about ``BLOCK`` bytes of text, by hash: only one block's texts
-are with the driver or broadcast at a time, and tasks build its automaton. Up to one block, the usual case, documents
-are read once; each further block is another pass whose findings are written, by the digest of the text.
+and are passed over in bulk. Items are taken in blocks of about ``BLOCK`` bytes of text, by hash, and tasks build a
+block's automaton. One block, the usual case, is broadcast, and documents are read once.
+
+Of several blocks none goes to the driver. A map of fixed size tells, while documents are read, which of their windows may
+be some item's; the stretches that those cover are written, routed by their windows to the blocks that hold them, and
+matched there. So documents are read twice, to be searched and to be given their findings, however many blocks there are.
 """
 
 from __future__ import annotations
@@ -16,12 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_dealt, table, text_bytes, written
+from .common import join_dealt, map_batches, parts, table, text_bytes, written
 
 WINDOW, BLOCK = 10, 2 << 20
+#: Size of the map of windows, which is the driver's and broadcast: 16 MB. A fuller map lets more stretches through, and loses none.
+MAP_BITS = 1 << 27
 _LETTERS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
@@ -190,7 +196,149 @@ def _matcher(spark: SparkSession, items: DataFrame, window: int):
             rows = some(texts.to_pylist(), a)
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], x.type) for i, x in enumerate(kinds)], fields=list(kinds))
 
-    return F.arrow_udf(run, FOUND), block
+    return F.arrow_udf(run, FOUND)
+
+
+def _windows(words: list[bytes], lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, a hash of each window of so many words) for the lengths asked for, in one sweep."""
+    code = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    rolled = np.zeros(len(words) + 1, np.uint64)
+    for m in range(1, min(max(lengths, default=0), len(words)) + 1):
+        rolled = rolled[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[m - 1 :]
+        if m in lengths:
+            mixed = (rolled ^ (rolled >> np.uint64(29)) ^ np.uint64(m)) * np.uint64(0xBF58476D1CE4E5B9)
+            yield m, (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+
+
+def _item_windows(blocks: DataFrame, window: int) -> DataFrame:
+    """length, key, block: each window of the items once a block; shorter items are one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for block, text in zip(batch["block"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                words = words_of(text)
+                for m, keys in _windows(words, [min(len(words), window)]):
+                    keys = np.unique(keys)
+                    yield {"length": [m] * len(keys), "key": keys, "block": [block] * len(keys)}
+
+    return written(map_batches(blocks.select("block", "text"), run, "length int, key long, block int").distinct())
+
+
+def _window_map(windows: DataFrame) -> np.ndarray:
+    """A bit for each hash of a window: at most ``MAP_BITS`` of them, whatever the number of windows."""
+    bit = (F.col("key").bitwiseAND(F.lit(MAP_BITS - 1)) + 1).alias("bit")
+    pages = windows.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in pages.toLocalIterator():
+        page = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["page"] - 1) * len(page) : r["page"] * len(page)] = page
+    return out
+
+
+STRETCHES = "keys array<long>, stretches array<struct<start:long,words:string>>"
+
+
+def _searcher(spark: SparkSession, windows: DataFrame):
+    """A function of texts, in the tasks, that gives the windows the map knows and the stretches of words they cover."""
+    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # 1 to the window's length
+    bits = spark.sparkContext.broadcast(_window_map(windows))
+    kinds = spark.createDataFrame([], STRETCHES).toArrow().schema
+
+    def one(text: str) -> tuple[list, list]:
+        words, known = words_of(text), []
+        step = np.zeros(len(words) + 1, np.int64)
+        for m, keys in _windows(words, lengths):
+            place = keys & np.int64(MAP_BITS - 1)
+            at = np.flatnonzero(bits.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            np.add.at(step, at, 1)
+            np.add.at(step, at + m, -1)
+            known.append(keys[at])
+        covered = np.cumsum(step[:-1]) > 0
+        runs = np.flatnonzero(np.diff(np.concatenate([[0], covered, [0]]).astype(np.int8))).reshape(-1, 2).tolist()
+        keys = np.unique(np.concatenate(known)).tolist() if known else []
+        return keys, [{"start": a, "words": b" ".join(words[a:b]).decode()} for a, b in runs]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [one(t) for t in texts.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], x.type) for i, x in enumerate(kinds)], fields=list(kinds))
+
+    return F.arrow_udf(run, STRETCHES), bits
+
+
+HITS = "digest string, longest long, items array<string>, hits array<struct<start:long,stop:long>>"
+
+
+def _match_blocks(rows: DataFrame, window: int) -> DataFrame:
+    """What the stretches of each text hit in a block. ``rows`` are sorted: a block's items, then the texts routed to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        here, items, a = None, [], None
+        for batch in batches:
+            out: dict[str, list] = {"digest": [], "longest": [], "items": [], "hits": []}
+            for r in batch.to_pylist():
+                if r["block"] != here:
+                    here, items, a = r["block"], [], None
+                if r["stretches"] is None:
+                    if a is None:  # else they are the same block's once more, for its next share of texts
+                        items.append((r["id"], words_of(r["text"])))
+                    continue
+                if a is None:
+                    a, items = Automaton.of(items, window), []
+                found, longest, hits = set(), 0, []
+                for s in r["stretches"]:
+                    hit, some, m = a.match(s["words"].encode().split(), window)
+                    found, longest = found | some, max(longest, m)
+                    edges = (np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8))) + s["start"]).reshape(-1, 2)
+                    hits += [{"start": x, "stop": y} for x, y in edges.tolist()]
+                if hits:
+                    out["digest"].append(r["id"])
+                    out["longest"].append(longest)
+                    out["items"].append(sorted({a.item_ids[x] for x in found if a.item_ids[x] is not None}))
+                    out["hits"].append(hits)
+            yield out
+
+    return map_batches(rows, run, HITS)
+
+
+def _united(hits: pa.Array) -> pa.Array:
+    """Sorted runs of each row; those that touch or overlap made one."""
+    out = []
+    for runs in hits.to_pylist():
+        one: list[dict] = []
+        for r in runs:
+            if one and r["start"] <= one[-1]["stop"]:
+                one[-1]["stop"] = max(one[-1]["stop"], r["stop"])
+            else:
+                one.append(r)
+        out.append(one)
+    return pa.array(out, hits.type)
+
+
+def _findings(texts: DataFrame, blocks: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The digests of all ``texts`` (digest, text), and what each distinct text that is hit hits in any of the ``blocks``.
+
+    A block that more than a small share of the stretches is routed to is dealt out: its items are repeated for each share.
+    """
+    spark = texts.sparkSession
+    windows = _item_windows(blocks, window)
+    search, bits = _searcher(spark, windows)
+    searched = written(texts.select("digest", search("text").alias("found")).select("digest", "found.*"))
+    bits.destroy()
+    known = written(searched.where("size(keys) > 0").dropDuplicates(["digest"]))
+    holders = windows.groupBy("key").agg(F.collect_set("block").alias("blocks"))  # at most all blocks
+    wanted = known.select("digest", F.explode("keys").alias("key"))
+    routed = written(join_dealt(wanted, holders, "key", "digest", "inner").select("digest", F.explode("blocks").alias("block")).distinct())
+    share = routed.count() // (4 * parts(spark)) + 1
+    shares = written(routed.groupBy("block").agg((F.count(F.lit(1)) / share + 1).cast("int").alias("shares")))
+    crowded = F.broadcast(shares.where("shares > 1"))  # at most four for each partition
+    mine = routed.join(crowded, "block", "left").withColumn("share", F.pmod(F.xxhash64("digest"), F.coalesce("shares", F.lit(1))).cast("int"))
+    stretches = mine.join(known, "digest").select("block", "share", F.lit(1).alias("kind"), F.col("digest").alias("id"), F.lit(None).cast("string").alias("text"), "stretches")
+    dealt = blocks.join(shares, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    items = dealt.select("block", "share", F.lit(0).alias("kind"), F.col("item_id").cast("string").alias("id"), "text", F.lit(None).cast("array<struct<start:long,words:string>>").alias("stretches"))
+    rows = items.unionByName(stretches).repartition(parts(spark), "block", "share").sortWithinPartitions("block", "share", "kind", "id", "text")
+    found = _match_blocks(rows, window).groupBy("digest").agg(F.max("longest").alias("longest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return searched.select("digest"), written(found.withColumn("hits", F.arrow_udf(_united, "array<struct<start:long,stop:long>>")("hits")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -206,30 +354,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     cols = [c for c in docs.columns if c not in added]
     items = benchmark.select("item_id", "text").where("text is not null")
     n = max(1, -(-text_bytes(items) // block))
-    of_block = lambda b: items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n)) == b)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("doc"), "text")
     if n == 1:
-        matched, _ = _matcher(spark, items, window)
+        matched = _matcher(spark, items, window)
         return whole.select("doc", matched("text").alias("found")).select("doc.*", "found.*")
-    # What a text hits depends on the text alone: findings of all passes meet by its digest. Only texts with hits take part.
+    # What a text hits depends on the text alone: findings meet it by its digest.
     digest = F.sha2("text", 256).alias("digest")
-    passes = []
-    for b in range(n):
-        matched, block_ = _matcher(spark, of_block(b), window)
-        passes.append(written(whole.where("text is not null").select(digest, matched("text").alias("found")).where("found.n_hit > 0").select("digest", "found.longest", "found.items", "found.hits").dropDuplicates(["digest"])))
-        block_.destroy()
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    both = every.groupBy("digest").agg(F.max("longest").alias("longest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
-    last = lambda acc: F.element_at(acc, -1)
-    # Runs in order, those that touch or overlap made one.
-    union = F.aggregate("hits", F.array().cast("array<struct<start:long,stop:long>>"), lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.when(F.size(acc) > 0, last(acc)["stop"])), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x))))
-    both = both.withColumn("hits", union)
+    blocks = items.withColumn("block", F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n)).cast("int"))
+    texts, both = _findings(whole.where("text is not null").select(digest, "text"), blocks, window)
     n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), lambda w: w != "")).cast("long")
     # A missing text has a key of its own, and copies of a text that is hit are dealt out.
     keyed = whole.withColumn("digest", F.coalesce(digest, F.concat(F.lit("-"), F.hex(F.xxhash64("doc")))))
-    out = join_dealt(keyed, written(both), "digest", "doc", counted=whole.where("text is not null").select(digest))
+    out = join_dealt(keyed, both, "digest", "doc", counted=texts)
     zero = F.lit(0).cast("long")
     n_hit = F.aggregate("hits", zero, lambda acc, x: acc + x["stop"] - x["start"])
     return out.select("doc.*", n_words.alias("n_words"), F.coalesce(n_hit, zero).alias("n_hit"), F.coalesce("longest", zero).alias("longest"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", F.array().cast("array<struct<start:long,stop:long>>")).alias("hits"))

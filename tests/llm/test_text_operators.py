@@ -233,6 +233,35 @@ def test_copies_of_a_hit_text_are_dealt_out(spark):
     assert out == {i: (13, 12, ["3"]) if i % 3 else (0, 0, []) if i % 2 else (2, 0, []) for i in range(600)}
 
 
+def test_documents_are_read_twice_however_many_blocks(spark):
+    """Searched, and given their findings. A share of the texts holds passages of items in many blocks; a hot one is in most."""
+    r = random.Random(4)
+    items = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(r.choice([1, 4, 12, 30])))) for i in range(60)]
+    docs = [(i, " ".join([f"d{i}", items[3][1] if i % 3 else "", *(items[r.randrange(60)][1] for _ in range(i % 4)), f"e{i}"])) for i in range(400)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {i: brute_hits(t, items)[:3] for i, t in docs}
+    for block, few in ((200, True), (1600, False)):
+        n = max(1, -(-sum(len(t) for _, t in items) // block))
+        assert n > 10 if few else 2 <= n < 8
+        read = spark.sparkContext.accumulator(0)
+        counted = F.udf(lambda t, read=read: read.add(1) or t, "string").asNondeterministic()
+        frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("text", counted("text"))
+        out = {x["doc_id"]: (x["n_words"], x["n_hit"], x["items"]) for x in D.contamination(frame, bench, block=block).select("doc_id", "n_words", "n_hit", "items").collect()}
+        assert out == want
+        assert read.value == 2 * len(docs)
+
+
+def test_a_full_map_of_windows_loses_nothing(spark, monkeypatch):
+    """With a map so small that every window passes, the blocks still tell what is hit."""
+    monkeypatch.setattr(D, "MAP_BITS", 1 << 15)
+    r = random.Random(5)
+    items = [(i, " ".join(f"{i}w{j}" for j in range(3000))) for i in range(40)]
+    docs = [(i, " ".join(f"{r.randrange(40)}w{j}" for j in range(200))) for i in range(20)] + [(99, items[7][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {x["doc_id"]: (x["n_hit"], x["longest"], x["items"]) for x in D.contamination(odd(spark, docs), bench, block=60_000).collect()}
+    assert out == {i: (0, 0, []) for i in range(20)} | {99: (3000, 3000, ["7"])}
+
+
 def test_decontamination_of_given_table(spark, sf):
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = dict(texts_of(spark, sf))
