@@ -104,3 +104,26 @@ def test_copies_of_one_text(spark, edited):
         out.setdefault(r["doc_id"], []).append(r["component_id"])
     assert all(out[i] == [7] * (2 if i == 300 else 1) for i in range(300, 600)) and out[None] == [7] and out[7] == [7]
     assert {d for d, c in out.items() if d is not None and d >= 1000 and d in c} == {1000 + d for d in brute_kept(edited[2:])}
+
+
+@pytest.mark.parametrize("level", [0.8, 0.85, 0.9])
+def test_planted_edits_are_found(spark, sf, level):
+    """Copies of the given texts with words replaced until their similarity is just above the level: all must meet."""
+    r = random.Random(9)
+    given = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    long = [(d, t.encode().lower().split()) for d, t in given if t and len(t.split()) >= 60]
+    pairs, planted = [], []
+    for i, (d, w) in enumerate(r.sample(long, min(len(long), 40))):
+        w = [x.decode() for x in w]
+        whole, other = brute_sets([" ".join(w)])[0], list(w)
+        for p in r.sample(range(len(w)), len(w)):
+            old, other[p] = other[p], f"edit{r.randrange(10**6)}"
+            b = brute_sets([" ".join(other)])[0]
+            if len(whole & b) < level * len(whole | b):
+                other[p] = old
+                break
+        pairs.append((d, 10**9 + i))
+        planted.append((10**9 + i, " ".join(other)))
+    found = N.near_texts(spark.createDataFrame(given + planted, "doc_id long, text string"), 5, 6).collect()
+    group = {x["doc_id"]: x["component_id"] for x in found}
+    assert len(pairs) == 40 and sum(group[a] == group[b] for a, b in pairs) >= 0.97 * len(pairs)
