@@ -9,6 +9,8 @@ from ..functions import rules as R
 
 #: Paths that a preview names, and shares that a large group is ranked in before they are merged.
 PREVIEW, SHARES = 3, 16
+#: One row in so many, by its hash, is where a long list may be cut, and the cuts of a list at most: what lies between two is numbered together.
+CUT, CUTS = 4096, 63
 
 
 def _filled(counts: DataFrame, names: tuple[str, ...], key: str, more: bool) -> DataFrame:
@@ -112,6 +114,41 @@ def doc_file_rows(entries: DataFrame) -> DataFrame:
     return entries.select("repo_key", "path", "type").distinct()
 
 
+def cut_in_parts(rows: DataFrame, key: str, order: Column) -> DataFrame:
+    """``rows`` with part: how many cuts of its group lie at a row or before it, so that parts follow each other by ``order``.
+
+    Cuts are rows of the group, chosen by a hash; a group of some CUT rows or fewer has hardly any. They are few and broadcast.
+    """
+    place = F.xxhash64(order)
+    chosen = F.slice(F.array_sort(F.collect_list(F.struct(place.alias("hash"), order.alias("at")))), 1, CUTS)
+    cuts = rows.where(F.pmod(place, F.lit(CUT)) == 0).groupBy(F.col(key).alias("_key")).agg(F.transform(chosen, lambda x: x["at"]).alias("_cuts"))
+    passed = F.size(F.filter("_cuts", lambda cut: cut <= F.col("_at")))
+    dealt = rows.withColumn("_at", order).join(F.broadcast(cuts), F.col(key).eqNullSafe(F.col("_key")), "left")
+    return dealt.withColumn("part", F.when(F.col("_cuts").isNull(), 0).otherwise(passed)).drop("_key", "_cuts", "_at")
+
+
+def doc_file_list(entries: DataFrame) -> DataFrame:
+    """repo_key, path, type, place, preview: each (path, type) once, its place in its repository by path without case, type and
+    path (missing paths last), and the repository's first three paths.
+
+    Parts of a list are numbered each by itself; counts and first rows of parts are all that meets of a repository.
+    """
+    low = F.lower("path")
+    order = F.struct(low.isNull().alias("none"), low.alias("low"), F.col("type"), F.col("path"))
+    rows = cut_in_parts(doc_file_rows(entries), "repo_key", order)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("repo_key", "part").orderBy(order)))
+    firsts = F.collect_list(F.when(F.col("rank") <= PREVIEW, order))
+    parts = ranked.groupBy("repo_key", "part").agg(F.count(F.lit(1)).alias("n"), firsts.alias("firsts"))
+    repo = Window.partitionBy("repo_key")
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("firsts").over(repo))), 1, PREVIEW)
+    known = parts.select(
+        F.col("repo_key").alias("_repo"), F.col("part").alias("_part"), (F.sum("n").over(repo.orderBy("part")) - F.col("n")).alias("before"),
+        F.array_join(F.transform(first, lambda x: x["path"]), ", ").alias("preview"),
+    )
+    found = ranked.join(known, F.col("repo_key").eqNullSafe(F.col("_repo")) & F.col("part").eqNullSafe(F.col("_part")))
+    return found.select("repo_key", "path", "type", (F.col("before") + F.col("rank")).alias("place"), "preview")
+
+
 def doc_file_preview(entries: DataFrame) -> DataFrame:
     """repo_key, n_doc_files, preview: how many (path, type) there are, and the first three paths, by path without case and type."""
     early = first_of_shares(entries.select("repo_key", "path", "type").withColumn("low", F.lower("path")), ["repo_key"], ["low", "type", "path"])

@@ -555,9 +555,10 @@ def _entries_twice(t: Lens) -> DataFrame:
     return entries.unionByName(entries)
 
 
-@query(LISTED + "SELECT repo_key, path, type FROM x", "files")
+@query(LISTED + """, p AS (SELECT repo_key, coalesce(array_to_string(list(path ORDER BY lower(path) NULLS LAST, type, path)[1:3], ', '), '') AS preview FROM x GROUP BY repo_key)
+SELECT x.repo_key, path, type, row_number() OVER (PARTITION BY x.repo_key ORDER BY lower(path) NULLS LAST, type, path) AS place, preview FROM x JOIN p ON p.repo_key IS NOT DISTINCT FROM x.repo_key""", "files")
 def w11_doc_file_list(t: Lens) -> DataFrame:
-    return summary.doc_file_rows(_entries_twice(t))
+    return summary.doc_file_list(_entries_twice(t))
 
 
 @query(LISTED + "SELECT repo_key, count(*) AS n_doc_files, array_to_string(list(path ORDER BY lower(path), type, path)[1:3], ', ') AS preview FROM x GROUP BY repo_key", "files")
